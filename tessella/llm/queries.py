@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from tessella.llm.common import shared_dir
 from tessella.llm.decontaminate import decontaminate
+from tessella.llm.jaccard_join import jaccard_join
 from tessella.llm.packing import pack_documents
 from tessella.llm.substring_dedup import substring_dedup
 from tessella.llm.token_files import read_token_files, write_token_files
@@ -31,6 +32,10 @@ def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", "n_removed", "kept_sha256")
 
 
+def op3_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join(table(spark, sf_dir, "documents").select("doc_id", "text"), 5, 75)
+
+
 def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = pack_documents(table(spark, sf_dir, "documents"), tokenizer("byte_bpe_50k.json"), 2048, 1)
     return out.select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")
@@ -50,6 +55,7 @@ def op10_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFram
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_substring_dedup": op1_substring_dedup,
+        "op3_ngram_jaccard_join": op3_ngram_jaccard_join,
         "op6_packing": op6_packing,
         "op9_token_files": op9_token_files,
         "op10_benchmark_decontamination": op10_benchmark_decontamination,
