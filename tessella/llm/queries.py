@@ -11,6 +11,7 @@ from tessella.llm.common import shared_dir
 from tessella.llm.decontaminate import decontaminate
 from tessella.llm.jaccard_join import jaccard_join
 from tessella.llm.packing import pack_documents
+from tessella.llm.sharding import shard
 from tessella.llm.substring_dedup import substring_dedup
 from tessella.llm.token_files import read_token_files, write_token_files
 
@@ -41,6 +42,11 @@ def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")
 
 
+def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = shard(table(spark, sf_dir, "documents").select("doc_id", "text"), 8)
+    return out.select("doc_id", "_shard.size", "_shard.text_crc32", F.lit("bytes").alias("law"), "_shard.shard", "_shard.slot", F.lit(None).cast("int").alias("grown_shard"))
+
+
 def op9_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = shared_dir(spark)
     write_token_files(table(spark, sf_dir, "documents"), path, tokenizer("word_bpe_49k.json"), 2)
@@ -57,6 +63,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_substring_dedup": op1_substring_dedup,
         "op3_ngram_jaccard_join": op3_ngram_jaccard_join,
         "op6_packing": op6_packing,
+        "op7_sharding": op7_sharding,
         "op9_token_files": op9_token_files,
         "op10_benchmark_decontamination": op10_benchmark_decontamination,
     }
