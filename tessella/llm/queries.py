@@ -14,8 +14,9 @@ from tessella.llm.packing import pack_documents
 from tessella.llm.sharding import shard
 from tessella.llm.substring_dedup import substring_dedup
 from tessella.llm.token_files import read_token_files, write_token_files
+from tessella.llm.url_filter import SPAM_WORDS, host_path_rule, url_filter, word_rule
 
-SPACE_WORDS = r"[^\x20\x09-\x0D]+"
+URL_RULES = [("block", "com", "/en/"), ("allow", "example.com", "/en/7"), ("block", "net", "/de/"), ("block", "example.net", "/de/8"), ("block", "org", "/es/")]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -47,6 +48,28 @@ def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "_shard.size", "_shard.text_crc32", F.lit("bytes").alias("law"), "_shard.shard", "_shard.slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
+def op8_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rules = [host_path_rule(*r) for r in URL_RULES] + [word_rule("block", w) for w in SPAM_WORDS]
+    out = url_filter(table(spark, sf_dir, "pages").select("page_id", "url"), rules)
+    return out.select("page_id", "_url.host", "_url.path", "_url.rule", "_url.verdict")
+
+
+def _op8_sql() -> str:
+    rules = ", ".join(f"('{v}', '{h}', '{p}', {len(h) + len(p)})" for v, h, p in URL_RULES)
+    words = "|".join(w.replace("-", "[^a-z0-9]") for w in SPAM_WORDS)
+    return f"""
+WITH cut AS (
+  SELECT page_id, CASE WHEN strpos(url, '://') > 0 THEN regexp_extract(substr(url, strpos(url, '://') + 3), '^[^?#]*') ELSE '' END AS rest FROM pages),
+part AS (
+  SELECT page_id, translate(regexp_extract(coalesce(rest, ''), '^[^/]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+    CASE WHEN strpos(rest, '/') > 0 THEN substr(rest, strpos(rest, '/')) ELSE '' END AS path FROM cut),
+rules(verdict, h, p, n) AS (VALUES {rules}),
+best AS (
+  SELECT page_id, max_by(h || p, n) AS rule, max_by(verdict, n) AS verdict FROM part JOIN rules ON (host = h OR ends_with(host, '.' || h)) AND starts_with(path, p) GROUP BY page_id)
+SELECT page_id, host, path, rule, coalesce(verdict, CASE WHEN regexp_matches(lower(host || ' ' || path), '(^|[^a-z0-9])({words})([^a-z0-9]|$)') THEN 'block' ELSE 'allow' END) AS verdict
+FROM part LEFT JOIN best USING (page_id)"""
+
+
 def op9_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = shared_dir(spark)
     write_token_files(table(spark, sf_dir, "documents"), path, tokenizer("word_bpe_49k.json"), 2)
@@ -64,10 +87,11 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op3_ngram_jaccard_join": op3_ngram_jaccard_join,
         "op6_packing": op6_packing,
         "op7_sharding": op7_sharding,
+        "op8_url_filter": op8_url_filter,
         "op9_token_files": op9_token_files,
         "op10_benchmark_decontamination": op10_benchmark_decontamination,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op8_url_filter": _op8_sql()}
