@@ -3,7 +3,7 @@
 `write_token_files` makes below one folder
 - `dictionary`: its bytes (trained on the serialized id arrays of a bounded sample) and their SHA-256;
 - `shards`: one row for each shard, in ascending document order: partition and number, first and last id, dictionary
-  hash, documents, tokens, an index (for each document id, offset, bytes and tokens, all 64-bit) and the frames.
+  hash, documents, tokens, tokens before it in its partition, an index (for each document id, offset, bytes and tokens, all 64-bit) and the frames.
 Everything is written by Spark's Parquet writer, so any store that Spark writes to will do. A short-document access
 prunes shards by first and last id and reads one index and one frame.
 """
@@ -25,12 +25,14 @@ from pyspark.sql import types as T
 from tessella.llm.common import parts, tune, volume
 from tessella.llm.tokens import encoder
 
-_SHARDS = "part int, number int, first_id long, last_id long, dictionary string, documents long, tokens long, entries binary, frames binary"
+_SHARDS = "part int, number int, first_id long, last_id long, dictionary string, documents long, tokens long, before long, entries binary, frames binary"
 
 
 def _dictionary(docs: DataFrame, tokenizer: str, end_id: int, dtype: str, sample: int, size: int) -> bytes:
     """Trained on at most `sample` documents of at most 64 KB, those with the least hashes of their ids."""
-    texts = [r["text"] for r in docs.where(F.octet_length("text").between(1, 1 << 16)).orderBy(F.xxhash64("id")).limit(sample).collect()]
+    order = F.xxhash64("id")
+    least = docs.select(order.alias("o")).distinct().orderBy("o").limit(sample).agg(F.max("o")).first()[0]
+    texts = [] if least is None else [r["text"] for r in docs.where((order <= least) & F.octet_length("text").between(1, 1 << 16)).limit(sample).select(order.alias("o"), "text").collect()]
     arrays = [np.append(np.frombuffer(encoder(tokenizer).encode(t), "<u4"), end_id).astype(dtype).tobytes() for t in texts]
     try:
         return zstandard.train_dictionary(size, arrays).as_bytes()
@@ -63,13 +65,13 @@ def write_token_files(docs: DataFrame, path: str, tokenizer: str, end_id: int =
         to_ids, pack, end = encoder(tokenizer).encode, _codec(dictionary, level), np.array([end_id], "<u4").tobytes()
         entries: list[tuple[int | None, int, int, int]] = []
         frames: list[bytes] = []
-        held = number = 0
+        held = number = before = 0
 
         def shard() -> pa.RecordBatch:
             index = np.array([(e[0] or 0, *e[1:]) for e in entries], "<i8")
             known = [e[0] for e in entries if e[0] is not None]
-            row = [part, number, known[0] if known else None, known[-1] if known else None, name, len(entries), int(index[:, 3].sum()), np.array([e[0] is not None for e in entries], np.uint8).tobytes() + index.tobytes(), b"".join(frames)]
-            return pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(row, [pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.binary(), pa.binary()], strict=True)], [c.split()[0] for c in _SHARDS.split(", ")])
+            row = [part, number, known[0] if known else None, known[-1] if known else None, name, len(entries), int(index[:, 3].sum()), before, np.array([e[0] is not None for e in entries], np.uint8).tobytes() + index.tobytes(), b"".join(frames)]
+            return pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(row, [pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.binary()], strict=True)], [c.split()[0] for c in _SHARDS.split(", ")])
 
         for batch in batches:
             for part, key, text in zip(batch["part"].to_pylist(), batch["id"].to_pylist(), batch["text"].to_pylist(), strict=True):
@@ -77,6 +79,7 @@ def write_token_files(docs: DataFrame, path: str, tokenizer: str, end_id: int =
                 frame = pack.compress(ids.astype(dtype).tobytes())
                 if entries and held + len(frame) > shard_bytes:
                     yield shard()
+                    before += sum(e[3] for e in entries)
                     entries, frames, held, number = [], [], 0, number + 1
                 entries.append((key, held, len(frame), len(ids)))
                 frames.append(frame)
@@ -104,11 +107,8 @@ def read_token_files(spark: SparkSession, path: str, id_col: str = "doc_id", wit
     """From the files, for each document: id_col, start (ids of all documents before it), n_tokens, ids_crc32 and, if asked for, ids."""
     name, dtype, dictionary = _opened(spark, path)
     shards = spark.read.schema(_SHARDS).parquet(f"{path}/shards")
-    order = ["part", "number"]
     totals = shards.groupBy("part").agg(F.sum("tokens").alias("n")).orderBy("part").collect()  # one row for each partition
     base = dict(zip([r["part"] for r in totals], accumulate((r["n"] for r in totals), initial=0), strict=False))
-    heads = shards.select(*order, "tokens")
-    before = heads.alias("a").join(heads.alias("b"), (F.col("a.part") == F.col("b.part")) & (F.col("b.number") < F.col("a.number")), "left").groupBy("a.part", "a.number").agg(F.coalesce(F.sum("b.tokens"), F.lit(0)).cast("long").alias("before")).select("part", "number", "before")
     schema = T.StructType([T.StructField(id_col, T.LongType()), *[T.StructField(c, T.LongType()) for c in ("start", "n_tokens", "ids_crc32")], *([T.StructField("ids", T.ArrayType(T.IntegerType()))] if with_ids else [])])
 
     def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -127,7 +127,7 @@ def read_token_files(spark: SparkSession, path: str, id_col: str = "doc_id", wit
                 n = index[:, 3]
                 yield pa.RecordBatch.from_arrays([pa.array(index[:, 0], pa.int64(), mask=~known), pa.array(at + np.cumsum(n) - n), pa.array(n), pa.array(crcs, pa.int64()), *([pa.array(ids, pa.list_(pa.int32()))] if with_ids else [])], schema.names)
 
-    return shards.join(before, order).select("part", "before", "dictionary", "entries", "frames").mapInArrow(decode, schema)
+    return shards.select("part", "before", "dictionary", "entries", "frames").mapInArrow(decode, schema)
 
 
 def fetch(spark: SparkSession, path: str, key: int) -> list[list[int]]:
