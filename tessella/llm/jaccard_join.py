@@ -6,9 +6,13 @@
    documents share l shingles in their first n - o + l. Each document picks its own l by estimated cost: postings read
    plus expected candidates (postings / l) times the cost of a check; a pair must share min(l) of the prefix shingles
    of level min(l) or less before it is verified. Documents with too few shingles that anyone else has cannot link.
-3. Equal sets are one node. Each node is verified against one hub first, the one it shares most prefix shingles with;
-   then every pair that passes the prefix test and is not already in one component is verified on whole sets. So no link
-   between different components is missed and no group is expanded into all its pairs.
+3. Equal sets are one node. Of each prefix shingle's holders the one with the commonest shingles is the hub; a node joins
+   the hub that it meets most (or that one's own), and in a large group is verified against it first.
+   The nodes of a hub of bounded size are one task, which counts common shingles over an inverted list.
+4. Of a larger hub, whoever is left outside its main component is compared with all of its nodes, in blocks of bounded
+   size; pairs of different hubs go through the prefix test and are
+   verified one by one. Pairs within one component are not looked at: no link between different components is missed,
+   and no group is expanded into all its pairs.
 """
 
 from __future__ import annotations
@@ -24,7 +28,7 @@ from tessella.llm.graph import components
 
 _COUNTS = "bucket int, origin int, prints binary, counts binary"
 _CLASSES = "origin int, prints binary, classes binary"
-_SETS = "id long, n long, a long, b long, need int, ell int, unique int, prefix array<long>, tokens array<long>"
+_SETS = "id long, n long, a long, b long, need int, ell int, unique int, score double, prefix array<long>, tokens array<long>"
 
 
 class _Shingles:
@@ -83,7 +87,7 @@ def _choose(n: int, need: int, unique: int, cost: np.ndarray, most: int, check:
 
 def shingle_sets(docs: DataFrame, k: int = 5, percent: int = 75, id_col: str = "doc_id", text_col: str = "text", longest: int = 8, check: float = 1 / 16, group_bytes: int = 6 << 20) -> DataFrame:
     """One row for each document: id, n (distinct shingles), a and b (a 128-bit sum of the set; null if nothing can link),
-    need, ell, unique, prefix and tokens (the shingles that others have, rare first)."""
+    need, ell, unique, score (mean frequency class), prefix and tokens (the shingles that others have, rare first)."""
     spark = docs.sparkSession
     tune(spark)
     _, size = volume(docs, text_col)
@@ -127,8 +131,10 @@ def shingle_sets(docs: DataFrame, k: int = 5, percent: int = 75, id_col: str = "
             prefix.append(h[: max(0, int(n[d] - need[d]) + best - unique)].view(np.int64))
             tokens.append(h.view(np.int64))
         gone = ~links
+        common = np.concatenate([[0], np.cumsum(kind)])
+        score = (common[s.first[1:]] - common[s.first[:-1]]) / np.maximum(n, 1)
         return pa.table(
-            [rows["id"], pa.array(n, pa.int64()), pa.array((total[s.first[1:]] - total[s.first[:-1]]).view(np.int64), mask=gone), pa.array((other[s.first[1:]] - other[s.first[:-1]]).view(np.int64), mask=gone), pa.array(need, pa.int32()), pa.array(ell, pa.int32()), pa.array(n - repeated, pa.int32()), pa.array(prefix, pa.list_(pa.int64())), pa.array(tokens, pa.list_(pa.int64()))],
+            [rows["id"], pa.array(n, pa.int64()), pa.array((total[s.first[1:]] - total[s.first[:-1]]).view(np.int64), mask=gone), pa.array((other[s.first[1:]] - other[s.first[:-1]]).view(np.int64), mask=gone), pa.array(need, pa.int32()), pa.array(ell, pa.int32()), pa.array(n - repeated, pa.int32()), pa.array(score), pa.array(prefix, pa.list_(pa.int64())), pa.array(tokens, pa.list_(pa.int64()))],
             [c.split()[0] for c in _SETS.split(", ")],
         )
 
@@ -149,7 +155,70 @@ def _fits(n: str, m: str, percent: int):
     return 100 * F.least(n, m) >= percent * F.greatest(n, m)
 
 
-def jaccard_join(docs: DataFrame, k: int = 5, percent: int = 75, id_col: str = "doc_id", text_col: str = "text", **sizes) -> DataFrame:
+def _join_components(left: pa.Table, right: pa.Table, percent: int) -> list[tuple[int, int]]:
+    """Links between left and right nodes, enough to join all components that they join."""
+    flat = right["tokens"].combine_chunks()
+    tokens = flat.flatten().to_numpy(zero_copy_only=False)
+    owner = np.repeat(np.arange(right.num_rows), flat.value_lengths().to_numpy(zero_copy_only=False))
+    by = np.argsort(tokens, kind="stable")
+    tokens, owner = tokens[by], owner[by]
+    n, ids, comps = (right[c].to_numpy() for c in ("n", "id", "component"))
+    out, up = [], {}
+
+    def find(x):
+        while up.get(x, x) != x:
+            x = up[x] = up.get(up[x], up[x])
+        return x
+
+    for row in left.to_pylist():
+        own = np.array(row["tokens"], np.int64)
+        a, b = np.searchsorted(tokens, own, "left"), np.searchsorted(tokens, own, "right")
+        count = b - a
+        at = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count) + np.repeat(a, count)
+        common = np.bincount(owner[at], minlength=right.num_rows)
+        for k in np.flatnonzero((100 * common >= percent * (row["n"] + n - common)) & (comps != row["component"]) & (ids != row["id"])):
+            x, y = find(row["component"]), find(int(comps[k]))
+            if x != y:
+                up[x] = y
+                out.append((row["id"], int(ids[k])))
+    return out
+
+
+def _edges(links: list[tuple[int, int]]) -> pa.Table:
+    return pa.table([pa.array([x for x, _ in links], pa.int64()), pa.array([y for _, y in links], pa.int64())], ["a", "b"])
+
+
+def _small_hubs(nodes: DataFrame, hub: DataFrame, percent: int) -> DataFrame:
+    """All links that count within hubs of bounded size: a group each."""
+
+    def compare(rows: pa.Table) -> pa.Table:
+        rows = rows.append_column("component", rows["id"])
+        return _edges(_join_components(rows, rows, percent))
+
+    return nodes.select("id", "n", "tokens").join(hub.where("nodes > 1 and blocks = 1").select("id", "hub"), "id").groupBy("hub").applyInArrow(compare, "a long, b long")
+
+
+def _large_hubs(nodes: DataFrame, state: DataFrame, percent: int, block: int) -> DataFrame:
+    """Links between nodes of one large hub that are not in one component yet: those outside the hub's main component
+    against all, in blocks."""
+
+    def compare(left: pa.Table, right: pa.Table) -> pa.Table:
+        return _edges(_join_components(left, right.rename_columns([c.removesuffix("_r") for c in right.column_names]), percent) if left.num_rows and right.num_rows else [])
+
+    main = state.groupBy("hub", "component").agg(F.count(F.lit(1)).alias("c")).groupBy("hub").agg(F.max_by("component", F.struct("c", "component")).alias("main"), F.count(F.lit(1)).alias("kinds")).where("kinds > 1").select("hub", "main")
+    state = state.join(main, "hub")
+    blocks = lambda of: F.ceil(F.greatest(F.sum(F.when(of, 1).otherwise(0)) / block, F.sum(F.when(of, F.col("held")).otherwise(0)) / (block * 800))).cast("int")
+    state = state.join(state.groupBy("hub").agg(blocks(F.col("component") != F.col("main")).alias("lefts"), blocks(F.lit(True)).alias("rights")), "hub")
+    members = nodes.select("id", "n", "tokens").join(state, "id")
+    own = lambda blocks: F.pmod(F.xxhash64("id"), F.col(blocks)).cast("int")
+    other = lambda blocks: F.explode(F.sequence(F.lit(0), F.col(blocks) - 1))
+    rows = ["id", "n", "component", "tokens"]
+    left = members.where("component <> main").select("hub", own("lefts").alias("i"), other("rights").alias("j"), *rows)
+    right = members.select(F.col("hub").alias("hub_r"), own("rights").alias("j_r"), other("lefts").alias("i_r"), *[F.col(c).alias(f"{c}_r") for c in rows])
+    return left.groupBy("hub", "i", "j").cogroup(right.groupBy("hub_r", "i_r", "j_r")).applyInArrow(compare, "a long, b long")
+
+
+def jaccard_join(docs: DataFrame, k: int = 5, percent: int = 75, id_col: str = "doc_id", text_col: str = "text", block: int = 512, **sizes) -> DataFrame:
     """Links documents whose sets of distinct k-word shingles have Jaccard similarity >= percent / 100, exactly.
 
     Words are runs of non-space bytes, A-Z as lower case. Returns for each input row id_col, n_shingles and component_id:
@@ -163,24 +232,32 @@ def jaccard_join(docs: DataFrame, k: int = 5, percent: int = 75, id_col: str = "
     member = able.select("id", "n", "a", "b").join(copies, ["n", "a", "b"]).select("id", "rep").distinct()
     nodes = written(able.join(copies.select("n", "a", "b", F.col("rep").alias("id")), ["n", "a", "b", "id"], "left_semi").dropDuplicates(["n", "a", "b", "id"]))
     level = F.greatest(F.lit(1), F.col("unique") + F.col("pos") - F.col("n") + F.col("need") + 1).cast("int")
-    postings = nodes.select("id", "n", "need", "ell", "unique", F.posexplode("prefix").alias("pos", "token")).select("token", "id", "n", "ell", level.alias("level"))
+    postings = nodes.select("id", "n", "need", "ell", "unique", "score", F.posexplode("prefix").alias("pos", "token")).select("token", "id", "n", "ell", "score", level.alias("level"))
 
-    # one hub for each node: of those of its size class, the least id that it shares most prefix shingles with
+    # one hub for each node: of those of its size class, the one with the commonest shingles that it meets most
     size = F.floor(F.log("n") / F.log(F.lit(100 / percent + 1e-9)) + 1e-9) if percent < 100 else F.col("n")
     sized = postings.withColumn("size", size)
-    hubs = sized.groupBy("token", "size").agg(F.min("id").alias("x"), F.count(F.lit(1)).alias("c")).where("c > 1").drop("c")
-    first = sized.join(hubs, ["token", "size"]).where("id <> x").groupBy("id", "x").agg(F.count(F.lit(1)).alias("c"))
-    first = first.groupBy("id").agg(F.max_by("x", F.struct("c", -F.col("x"))).alias("x")).select("x", F.col("id").alias("y"))
-    links = written(_verified(first, nodes, percent))
-
-    # then all pairs that pass the prefix test across components
-    grown = components(links)
-    placed = written(postings.join(grown, "id", "left").withColumn("component", F.coalesce("component", "id")))
-    shared = placed.groupBy("token", "component").agg(F.count(F.lit(1)).alias("c")).groupBy("token").agg(F.max_by("component", F.struct("c", "component")).alias("major"), F.count(F.lit(1)).alias("kinds")).where("kinds > 1").select("token", "major")
+    hubs = sized.groupBy("token", "size").agg(F.max_by("id", F.struct("score", -F.col("id"))).alias("x"), F.count(F.lit(1)).alias("c")).where("c > 1").drop("c")
+    met = sized.join(hubs, ["token", "size"]).groupBy("id", "x").agg(F.count(F.lit(1)).alias("c"))
+    hub = met.groupBy("id").agg(F.max_by("x", F.struct("c", F.col("x") == F.col("id"), -F.col("x"))).alias("hub"))
+    hub = written(hub.join(nodes.groupBy("id").agg(F.max(F.size("tokens")).alias("held")), "id"))
+    for _ in range(2):  # a hub's own hub takes its nodes over
+        above = hub.select(F.col("id").alias("hub"), F.col("hub").alias("above"))
+        hub = written(hub.join(above, "hub", "left").select("id", F.coalesce("above", "hub").alias("hub"), "held"))
+    sized = hub.groupBy("hub").agg(F.count(F.lit(1)).alias("nodes"), F.ceil(F.greatest(F.count(F.lit(1)) / block, F.sum("held") / (block * 800))).cast("int").alias("blocks"))
+    hub = written(hub.join(sized, "hub"))
+    stars = _verified(hub.where("id <> hub and blocks > 1").select(F.col("hub").alias("x"), F.col("id").alias("y")), nodes, percent)
+    links = written(_small_hubs(nodes, hub, percent).union(stars))
+    state = written(hub.join(components(links), "id", "left").select("id", "hub", "held", "blocks", F.coalesce("component", "id").alias("component")))
+    links = links.union(_large_hubs(nodes, state.where("blocks > 1").drop("blocks"), percent, block))
+
+    # pairs of different hubs that pass the prefix test; a shingle's main hub is not joined with itself
+    placed = written(postings.join(state.select("id", "hub", "component"), "id", "left").withColumn("hub", F.coalesce("hub", "id")).withColumn("component", F.coalesce("component", "id")))
+    shared = placed.groupBy("token", "hub").agg(F.count(F.lit(1)).alias("c")).groupBy("token").agg(F.max_by("hub", F.struct("c", "hub")).alias("major"), F.count(F.lit(1)).alias("kinds")).where("kinds > 1").select("token", "major")
     placed = placed.join(shared, "token")
-    left = placed.where("component <> major").select("token", *[F.col(c).alias(f"{c}_l") for c in ("id", "n", "ell", "level", "component")])
+    left = placed.where("hub <> major").select("token", *[F.col(c).alias(f"{c}_l") for c in ("id", "n", "ell", "level", "component", "hub")])
     ell = F.least("ell", "ell_l")
-    pairs = left.join(placed, "token").where((F.col("component") != F.col("component_l")) & ((F.col("component") == F.col("major")) | (F.col("id") > F.col("id_l"))) & _fits("n", "n_l", percent) & (F.greatest("level", "level_l") <= ell))
+    pairs = left.join(placed, "token").where((F.col("hub") != F.col("hub_l")) & (F.col("component") != F.col("component_l")) & ((F.col("hub") == F.col("major")) | (F.col("id") > F.col("id_l"))) & _fits("n", "n_l", percent) & (F.greatest("level", "level_l") <= ell))
     pairs = pairs.groupBy(F.least("id", "id_l").alias("x"), F.greatest("id", "id_l").alias("y")).agg(F.count(F.lit(1)).alias("c"), F.max(ell).alias("ell")).where("c >= ell")
     links = links.union(_verified(pairs, nodes, percent))
 
