@@ -14,6 +14,8 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tessella.session import ship
+
 #: Bytes that part words: space and \t \n \v \f \r.
 SPACES = bytes([0x20, *range(0x09, 0x0E)])
 #: Bytes that part words of the benchmark's kind: all ASCII but digits and letters.
@@ -28,6 +30,7 @@ _powers: list[np.ndarray] = []
 
 def tune(spark: SparkSession, megabytes: int = 8) -> None:
     """Bounds the Arrow batches that Python workers get, for the session: long texts would else make batches of gigabytes."""
+    ship(spark)
     conf = spark.conf
     if conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == "10000":
         conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "4096")
@@ -85,17 +88,19 @@ def _pows(n: int) -> tuple[np.ndarray, np.ndarray]:
 class Splitter:
     """Finds and hashes the words of many texts at once, on their UTF-8 bytes."""
 
-    def __init__(self, seps: bytes = SPACES, lower: bool = False):
+    def __init__(self, seps: bytes = SPACES, lower: bool = False, heads: tuple[int, ...] = ()):
+        self.heads = heads
         self.sep = np.zeros(256, bool)
         self.sep[list(seps)] = True
         self.code = _CODES.copy()
         if lower:
             self.code[65:91] = self.code[97:123]
 
-    def __call__(self, data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    def __call__(self, data: np.ndarray, bounds: np.ndarray) -> tuple:
         """Hashes, starts and ends of all words, and the number of words before each text.
 
         data: bytes; bounds: where each text starts, and the last ends. A word ends at a separator or with its text.
+        With `heads`, a fifth value has for each of these lengths the hash of that many first bytes (0: shorter words).
         """
         at, end, out = int(bounds[0]), int(bounds[-1]), []
         inner = np.unique(bounds[1:-1])
@@ -123,10 +128,12 @@ class Splitter:
                 up, down = _pows(len(seg) + 1)
                 total = np.zeros(len(seg) + 1, np.uint64)
                 np.cumsum(self.code[seg] * up[: len(seg)], out=total[1:])
-                out.append((_mix((total[e] - total[s]) * down[s]), s + at, e + at))
+                firsts = [np.where(e - s > k, _mix((total[np.minimum(s + k, e)] - total[s]) * down[s]), _U(0)) for k in self.heads]
+                out.append((_mix((total[e] - total[s]) * down[s]), s + at, e + at, *firsts))
             at = stop
-        h, s, e = (np.concatenate(x) for x in zip(*out, strict=True)) if out else (np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64))
-        return h, s, e, np.searchsorted(s, bounds)
+        none = np.zeros(0, np.uint64)
+        h, s, e, *firsts = (np.concatenate(x) for x in zip(*out, strict=True)) if out else (none, np.zeros(0, np.int64), np.zeros(0, np.int64), *[none for _ in self.heads])
+        return (h, s, e, np.searchsorted(s, bounds), *([firsts] if self.heads else []))
 
 
 def join_hash(a: np.ndarray, b: np.ndarray) -> np.ndarray:

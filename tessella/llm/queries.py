@@ -15,6 +15,8 @@ from tessella.llm.packing import pack_documents
 from tessella.llm.sharding import shard
 from tessella.llm.substring_dedup import substring_dedup
 from tessella.llm.token_files import read_token_files, write_token_files
+from tessella.llm.vector_graph import near_duplicates
+from tessella.llm.weak_labels import judge
 from tessella.llm.url_filter import SPAM_WORDS, host_path_rule, url_filter, word_rule
 
 URL_RULES = [("block", "com", "/en/"), ("allow", "example.com", "/en/7"), ("block", "net", "/de/"), ("block", "example.net", "/de/8"), ("block", "org", "/es/")]
@@ -35,10 +37,19 @@ def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", "n_removed", "kept_sha256")
 
 
+def op2_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(table(spark, sf_dir, "embeddings"), 0.98)
+
+
 def op3_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join(table(spark, sf_dir, "documents").select("doc_id", "text"), 5, 75)
 
 
+def op4_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = judge(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "labels"))
+    return out.select("doc_id", *[F.round(f"_quality.{c}", 9).alias(c) for c in ("quality_posterior", "clean_posterior", "quality", "clean")], "_quality.keep")
+
+
 def op5_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     held_out = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 10 == 0
     out = score_texts(table(spark, sf_dir, "documents").select("doc_id", "text"), ~held_out)
@@ -91,7 +102,9 @@ def op10_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFram
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_substring_dedup": op1_substring_dedup,
+        "op2_embedding_near_dedup": op2_embedding_near_dedup,
         "op3_ngram_jaccard_join": op3_ngram_jaccard_join,
+        "op4_quality_classifier": op4_quality_classifier,
         "op5_lm_scoring": op5_lm_scoring,
         "op6_packing": op6_packing,
         "op7_sharding": op7_sharding,
