@@ -4,9 +4,9 @@ from __future__ import annotations
 
 
 def _modules():
-    from tessella.plans import core
+    from tessella.plans import core, statistics
 
-    return [core]
+    return [core, statistics]
 
 
 def queries() -> dict:
