@@ -4,9 +4,9 @@ from __future__ import annotations
 
 
 def _modules():
-    from tessella.plans import core, statistics
+    from tessella.plans import core, more, statistics
 
-    return [core, statistics]
+    return [core, statistics, more]
 
 
 def queries() -> dict:
