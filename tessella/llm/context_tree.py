@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tessella.llm.common import SPACES, Splitter, in_sorted, origin, pack, parts, text_bytes, tune, unpack, volume, written
+from tessella.llm.common import SPACES, Splitter, in_sorted, origin, pack, parts, tally, tune, unpack, volume, written
 
 _COUNTS = "kind string, bucket int, keys binary, counts binary"
 _END = np.uint64(0xE0D0E0D0E0D0E0D1)
@@ -180,8 +180,8 @@ class _Texts:
 
 
 def _counted(keys: np.ndarray, learn: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    known, counts = np.unique(keys[learn], return_counts=True)
-    every = np.union1d(known, keys[~learn])
+    known, counts = tally(keys[learn])
+    every = tally(np.append(known, tally(keys[~learn])[0]))[0]
     out = np.zeros(len(every), np.int64)
     out[np.searchsorted(every, known)] = counts
     return every, out
@@ -258,7 +258,7 @@ def score_texts(docs: DataFrame, learn, depth: int = 5, id_col: str = "doc_id",
     def ask(rows: pa.Table) -> pa.Table:
         t = _Texts(rows["text"].to_pylist(), depth)
         where = (rows["origin"][0].as_py(),)
-        pairs, words = np.unique(t.pairs), np.unique(np.append(t.words, _END))
+        pairs, words = tally(t.pairs)[0], tally(np.append(t.words, _END))[0]
         return _table(_rows("pair", pairs, None, bucket_of(pairs, depth, bits), where) + _rows("word", words, None, (words >> _U(64 - bits)).astype(np.int64), where), "kind string, bucket int, origin int, keys binary")
 
     def answer(asked: pa.Table, priced: pa.Table) -> pa.Table:
@@ -289,7 +289,7 @@ def score_texts(docs: DataFrame, learn, depth: int = 5, id_col: str = "doc_id",
             return out
 
         n = rows.num_rows
-        words = np.unique(np.append(t.words, _END))
+        words = tally(np.append(t.words, _END))[0]
         counts = values("word", words, (words >> _U(64 - bits)).astype(np.int64)).astype(np.int64)
         logs = np.log10((counts + 0.1) / (total + 0.1 * (vocabulary + 1)))
         at = np.searchsorted(words, t.words)
@@ -297,7 +297,7 @@ def score_texts(docs: DataFrame, learn, depth: int = 5, id_col: str = "doc_id",
         end = np.searchsorted(words, _END)
         unigrams = np.bincount(owner, logs[at], n) + logs[end]
         known = np.bincount(owner, counts[at] > 0, n).astype(np.int64) + int(counts[end] > 0)
-        pairs = np.unique(t.pairs)
+        pairs = tally(t.pairs)[0]
         prices = values("pair", pairs, bucket_of(pairs, depth, bits)).astype(np.uint32).view(np.float32).astype(float)
         tree = np.zeros(n)
         for a in range(0, n, 1 << 16):  # document number and pair in one sortable key

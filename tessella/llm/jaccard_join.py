@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tessella.llm.common import SPACES, Splitter, grams, in_sorted, inside, origin, pack, parts, text_bytes, tune, unpack, volume, written
+from tessella.llm.common import SPACES, Splitter, grams, in_sorted, inside, origin, pack, parts, tally, text_bytes, tune, unpack, volume, written
 from tessella.llm.graph import components
 
 _COUNTS = "bucket int, origin int, prints binary, counts binary"
@@ -54,7 +54,7 @@ class _Shingles:
 
 
 def _count_rows(s: _Shingles, where: int, bits: int, bucket_bits: int) -> pa.Table:
-    prints, counts = np.unique(s.hash >> np.uint64(64 - bits), return_counts=True)
+    prints, counts = tally(s.hash >> np.uint64(64 - bits))
     cuts = np.searchsorted(prints, np.arange(1, 1 << bucket_bits, dtype=np.uint64) << np.uint64(bits - bucket_bits))
     rows = [(b, p, c) for b, (p, c) in enumerate(zip(np.split(prints, cuts), np.split(counts, cuts), strict=True)) if len(p)]
     return pa.table([pa.array([r[0] for r in rows], pa.int32()), pa.array([where] * len(rows), pa.int32()), pa.array([pack(r[1], True) for r in rows], pa.binary()), pa.array([pack(r[2]) for r in rows], pa.binary())], ["bucket", "origin", "prints", "counts"])

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tessella.llm.common import Splitter, grams, in_sorted, inside, join_hash, origin, pack, parts, text_bytes, tune, unpack, volume
+from tessella.llm.common import Splitter, grams, in_sorted, inside, origin, pack, parts, tally, text_bytes, tune, unpack, volume
 
 _LEVEL = "bucket int, origin int, runs binary, again binary, docs binary"
 _ANSWER = "origin int, runs binary, docs binary"
@@ -63,7 +63,7 @@ def _level_rows(g: _Group, where: int, at: np.ndarray, runs: np.ndarray, bits: i
     rank = rank[g.owner[at]].astype(np.uint64)
     room = max(1, (max(len(ids) - 1, 1)).bit_length())
     if bits + room <= 64:
-        both = np.unique(runs << np.uint64(room) | rank)
+        both = tally(runs << np.uint64(room) | rank)[0]
         key, doc = both >> np.uint64(room), both & np.uint64((1 << room) - 1)
     else:
         order = np.lexsort((rank, runs))
