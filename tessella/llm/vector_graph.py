@@ -15,6 +15,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import math
 from collections.abc import Iterator
 
@@ -32,14 +33,26 @@ _NODE = "id long, label int, weight long, vector array<double>"
 def unit_nodes(vectors: DataFrame, id_col: str, vector_col: str, label_col: str) -> tuple[DataFrame, DataFrame]:
     """Nodes (equal directions of one label, under their least id), and members (id, node). Others are left out: without
     a label, null, empty, zero, or with a null or non-finite component."""
-    v = F.transform(F.col(vector_col), lambda x: x.cast("double"))
-    rows = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(label_col).cast("int").alias("label"), v.alias("v")).where("id is not null and label is not null and v is not null")
-    finite = F.aggregate("v", F.lit(True), lambda ok, x: ok & x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
-    largest = F.array_max(F.transform("v", F.abs))
-    rows = rows.where(finite & (F.size("v") > 0)).withColumn("m", largest).where("m > 0").withColumn("v", F.transform("v", lambda x: x / F.col("m")))
-    norm = F.sqrt(F.aggregate("v", F.lit(0.0), lambda s, x: s + x * x))
-    rows = rows.withColumn("norm", norm).select("id", "label", F.transform("v", lambda x: x / F.col("norm") + F.lit(0.0)).alias("vector"))
-    keyed = rows.withColumn("key", F.sha2(F.to_json("vector"), 256))
+    rows = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(label_col).cast("int").alias("label"), F.col(vector_col).cast("array<double>").alias("vector"))
+    rows = rows.where("id is not null and label is not null and vector is not null")
+
+    def unit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keep, units, keys = [], [], []
+            for k, v in enumerate(batch["vector"].to_pylist()):
+                if not v or None in v:
+                    continue
+                x = np.array(v, float)
+                most = np.abs(x).max()
+                if not 0 < most < np.inf:  # false for NaN, too
+                    continue
+                x = x / most
+                x = x / np.sqrt(x @ x) + 0.0  # no negative zeros
+                keep.append(k), units.append(x), keys.append(hashlib.blake2b(x.tobytes(), digest_size=16).hexdigest())
+            at = pa.array(keep, pa.int64())
+            yield pa.RecordBatch.from_arrays([batch["id"].take(at), batch["label"].take(at), pa.array(units, pa.list_(pa.float64())), pa.array(keys, pa.string())], ["id", "label", "vector", "key"])
+
+    keyed = written(rows.mapInArrow(unit, "id long, label int, vector array<double>, key string"))
     nodes = keyed.groupBy("label", "key").agg(F.min("id").alias("node"), F.count(F.lit(1)).alias("weight"))
     members = keyed.join(nodes, ["label", "key"])
     return members.where("id = node").dropDuplicates(["id", "label", "key"]).select("id", "label", "weight", "vector"), members.select("id", "node", "weight")
@@ -139,7 +152,7 @@ def _shared_first(mine: np.ndarray, theirs: np.ndarray, shard: int) -> np.ndarra
     return np.where(common, mine, np.iinfo(np.int64).max).min(1) == shard
 
 
-def _search(nodes: DataFrame, overlap: int, beam: int, threshold: float, share: int, part_size: int, degree: int, alpha: float, sample: int) -> DataFrame:
+def _search(nodes: DataFrame, overlap: int, beam: int, threshold: float, share: int, part_size: int, degree: int, alpha: float, sample: int, slack: float) -> DataFrame:
     """One build and search: rows (id, n, other): links of a node counted in a part, or a link that joins components."""
     middle = centres(nodes, share, sample)
 
@@ -198,7 +211,7 @@ def _search(nodes: DataFrame, overlap: int, beam: int, threshold: float, share:
                 place[r, : ok.sum()] = targets[ok]
             y = x[at]
             medoid = int((y @ y.mean(0)).argmax())
-            for _, _, q, n in greedy_range(y, place, medoid, x[ask], beam, threshold - 0.01):
+            for _, _, q, n in greedy_range(y, place, medoid, x[ask], beam, threshold - slack):
                 cosine = np.concatenate([np.einsum("ij,ij->i", x[ask[q[s : s + 65536]]], y[n[s : s + 65536]]) for s in range(0, len(q), 65536)]) if len(q) else np.zeros(0)
                 ok = (cosine >= threshold) & (ask[q] != at[n])
                 pairs.append(np.unique(np.sort(np.stack([ask[q[ok]], at[n[ok]]], 1), 1), axis=0))
@@ -245,20 +258,21 @@ def audit(nodes: DataFrame, found: DataFrame, threshold: float, sample: int = 25
     return sum(want.values()), sum(min(n, got.get(i, 0)) for i, n in want.items())
 
 
-def near_duplicates(vectors: DataFrame, threshold: float = 0.98, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str = "label", overlap: int = 2, beam: int = 16, share: int = 256, part_size: int = 1024, degree: int = 16, alpha: float = 1.2, sample: int = 8192, least_recall: float = 0.9, rounds: int = 3) -> DataFrame:
+def near_duplicates(vectors: DataFrame, threshold: float = 0.98, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str = "label", overlap: int = 3, beam: int = 16, share: int = 256, part_size: int = 1024, degree: int = 16, alpha: float = 1.2, sample: int = 8192, slack: float = 0.02, least_recall: float = 0.9, rounds: int = 3) -> DataFrame:
     """Links vectors of one label with cosine >= threshold. Returns for each input row id_col, n_links (other vectors found
     linked directly), component_id (the smallest id reachable by links, itself included) and kept (id = component_id).
 
     Vectors that are null, empty, zero or hold a null or non-finite component, and rows without a label, link with nothing
     and are kept. Vectors of different length never link. Rows without an id have null component and are not kept. Equal
-    vectors link by themselves. `sample` bounds the vectors of a label that centres are fitted on; all are indexed. Other
+    vectors link by themselves. `sample` bounds the vectors of a label that centres are fitted on; all are indexed.
+    Nodes within threshold - slack of a query are expanded, too. Other
     columns are not returned. An empty table gives an empty result.
     """
     tune(vectors.sparkSession)
     nodes, members = unit_nodes(vectors, id_col, vector_col, label_col)
     nodes, members = written(nodes), written(members)
     for k in range(rounds):
-        found = written(_search(nodes, overlap << k, beam << k, threshold, share, part_size, degree, alpha, sample))
+        found = written(_search(nodes, overlap << k, beam << k, threshold, share, part_size, degree, alpha, sample, slack))
         want, got = audit(nodes, found, threshold)
         if got >= least_recall * want:
             break
