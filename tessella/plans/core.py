@@ -274,12 +274,12 @@ def _distance(metric, sql):
 for _m, _s in _DISTANCE.items():
     _distance(_m, _s)
 
-_SPARSE = "f AS (SELECT p_brand AS p, p_size % 7 AS f, 1 AS v FROM part WHERE p_size % 3 = 0 GROUP BY 1, 2), k AS (SELECT p, count(*) AS k FROM f GROUP BY 1), x AS (SELECT a.p AS a, b.p AS b, count(*) AS c FROM f a JOIN f b ON a.f = b.f AND a.p < b.p GROUP BY 1, 2)"
+_SPARSE = "f AS (SELECT p_brand AS p, p_size AS f, 1 AS v FROM part GROUP BY 1, 2), k AS (SELECT p, count(*) AS k FROM f GROUP BY 1), x AS (SELECT a.p AS a, b.p AS b, count(*) AS c FROM f a JOIN f b ON a.f = b.f AND a.p < b.p GROUP BY 1, 2)"
 
 
 @query(f"WITH {_SPARSE} SELECT m.p AS a, n.p AS b, round(1 - coalesce(c, 0) / (m.k + n.k - coalesce(c, 0)), 6) AS distance FROM k m JOIN k n ON m.p < n.p LEFT JOIN x ON x.a = m.p AND x.b = n.p")
 def distance_jaccard(spark, d):
-    t = table(spark, d, "part").where("p_size % 3 = 0").select("p_brand", (F.col("p_size") % 7).alias("f")).distinct().withColumn("value", F.lit(1.0))
+    t = table(spark, d, "part").select("p_brand", F.col("p_size").alias("f")).distinct().withColumn("value", F.lit(1.0))
     return rounded(P.distance_matrix(t, "p_brand", "f", metric="jaccard"), "distance")
 
 

@@ -34,19 +34,21 @@ PVALUES = "pv AS (SELECT o_orderkey AS key, (o_orderkey * 7919 % 9973 + 1) / 997
 
 
 def intervals(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
-    o = table(spark, d, "orders").withColumn("start", F.unix_date(F.to_date("o_orderdate")).cast("long"))
-    a = o.select(F.col("o_orderkey").alias("id"), F.col("o_orderpriority").alias("chrom"), "start", (F.col("start") + 1 + F.col("o_orderkey") % 30).alias("end"))
-    li = table(spark, d, "lineitem").where("l_partkey % 10 = 0").join(o.select(F.col("o_orderkey"), F.col("o_orderpriority").alias("chrom")), F.col("l_orderkey") == F.col("o_orderkey"))
+    """Orders (a) and their shipments (b) as intervals of days, on 100 sequences named by priority and customer."""
+    chrom = F.concat_ws("-", "o_orderpriority", F.col("o_custkey") % 20).alias("chrom")
+    o = table(spark, d, "orders").select("o_orderkey", chrom, F.unix_date(F.to_date("o_orderdate")).cast("long").alias("start"))
+    a = o.select(F.col("o_orderkey").alias("id"), "chrom", "start", (F.col("start") + 1 + F.col("o_orderkey") % 30).alias("end"))
+    li = table(spark, d, "lineitem").join(o.drop("start"), F.col("l_orderkey") == F.col("o_orderkey"))
     s = F.unix_date(F.to_date("l_shipdate")).cast("long")
     b = li.groupBy(F.col("l_orderkey").alias("id"), "chrom").agg(F.min(s).alias("start"), F.max(F.col("l_quantity").cast("long")).alias("q")).select("id", "chrom", "start", (F.col("start") + 1 + F.col("q")).alias("end"))
     return a, b
 
 
-INTERVALS = """a AS (SELECT o_orderkey AS id, o_orderpriority AS chrom, date_diff('day', DATE '1970-01-01', CAST(o_orderdate AS DATE)) AS s,
-    date_diff('day', DATE '1970-01-01', CAST(o_orderdate AS DATE)) + 1 + o_orderkey % 30 AS e FROM orders),
-b AS (SELECT l_orderkey AS id, o_orderpriority AS chrom, min(date_diff('day', DATE '1970-01-01', CAST(l_shipdate AS DATE))) AS s,
+INTERVALS = """o AS (SELECT o_orderkey, o_orderpriority || '-' || o_custkey % 20 AS chrom, date_diff('day', DATE '1970-01-01', CAST(o_orderdate AS DATE)) AS s FROM orders),
+a AS (SELECT o_orderkey AS id, chrom, s, s + 1 + o_orderkey % 30 AS e FROM o),
+b AS (SELECT l_orderkey AS id, chrom, min(date_diff('day', DATE '1970-01-01', CAST(l_shipdate AS DATE))) AS s,
     min(date_diff('day', DATE '1970-01-01', CAST(l_shipdate AS DATE))) + 1 + max(CAST(l_quantity AS BIGINT)) AS e
-  FROM lineitem JOIN orders ON l_orderkey = o_orderkey WHERE l_partkey % 10 = 0 GROUP BY 1, 2)"""
+  FROM lineitem JOIN o ON l_orderkey = o_orderkey GROUP BY 1, 2)"""
 
 
 def dosages(spark: SparkSession, d: str) -> DataFrame:

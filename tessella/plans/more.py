@@ -58,7 +58,7 @@ def _meta(spark, d):
 query("meta_analysis", f"WITH {_META}, f AS (SELECT sum(1 / v) AS w, sum(y / v) AS wy, sum(y * y / v) AS wy2, sum(1 / v ** 2) AS w2, count(*) AS k FROM m), q AS (SELECT *, wy2 - wy * wy / w AS q FROM f), t AS (SELECT *, greatest(0, (q - (k - 1)) / (w - w2 / w)) AS tau2 FROM q) SELECT round(any_value(wy / w), 6) AS fixed, round(any_value(q), 6) AS q, round(any_value(greatest(0, (q - (k - 1)) / q)), 6) AS i2, round(any_value(tau2), 6) AS tau2, any_value(k) AS k, round(sum(y / (v + tau2)) / sum(1 / (v + tau2)), 6) AS random, round(sqrt(1 / sum(1 / (v + tau2))), 6) AS random_se FROM m, t")(lambda spark, d: T.meta_analysis(_meta(spark, d), "y", "v"))
 query("leave_one_out", f"WITH {_META}, t AS (SELECT sum(1 / v) AS w, sum(y / v) AS wy FROM m) SELECT brand, round((wy - y / v) / (w - 1 / v), 6) AS effect, round(sqrt(1 / (w - 1 / v)), 6) AS se FROM m, t")(lambda spark, d: T.leave_one_out(_meta(spark, d), "brand", "y", "v"))
 query("cumulative_incidence", f"WITH {LIVES}, e AS (SELECT grp, time, CASE WHEN event = 1 THEN 1 WHEN time % 2 = 0 THEN 2 ELSE 0 END AS ev FROM lives), t AS (SELECT grp, time, count(*) FILTER (ev = 1) AS d, count(*) FILTER (ev > 0) AS al, count(*) AS m FROM e GROUP BY 1, 2), r AS (SELECT *, CAST(sum(m) OVER (PARTITION BY grp ORDER BY time DESC) AS BIGINT) AS n FROM t), k AS (SELECT * FROM r WHERE al > 0), s AS (SELECT *, exp(coalesce(sum(CASE WHEN n > al THEN ln(1 - al / n) END) OVER (PARTITION BY grp ORDER BY time ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)) AS b FROM k) SELECT grp, time, d, n, round(sum(b * d / n) OVER (PARTITION BY grp ORDER BY time), 6) AS incidence FROM s")(lambda spark, d: T.cumulative_incidence(lives(spark, d).withColumn("ev", F.when(F.col("event") == 1, 1).when(F.col("time") % 2 == 0, 2).otherwise(0)), "time", "ev", "grp"))
-query("ewma_chart", "WITH RECURSIVE s AS (SELECT user_id AS key, value AS v, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS t FROM events WHERE value IS NOT NULL AND user_id % 5 = 0), g AS (SELECT *, abs(v - lag(v) OVER (PARTITION BY key ORDER BY t)) AS mr FROM s), b AS (SELECT key, avg(v) AS center, avg(mr) / 1.128 AS sigma FROM g GROUP BY 1), e AS (SELECT s.key, t, v, 0.2 * v + 0.8 * center AS z FROM s JOIN b USING (key) WHERE t = 1 UNION ALL SELECT s.key, s.t, s.v, 0.2 * s.v + 0.8 * e.z FROM e JOIN s ON s.key = e.key AND s.t = e.t + 1), h AS (SELECT e.key, t, v, z, center, 3 * sigma * sqrt(0.2 / 1.8 * (1 - 0.8 ** (2 * t))) AS half FROM e JOIN b USING (key)) SELECT key, t, round(v, 6) AS v, round(z, 6) AS ewma, round(center - half, 6) AS low, round(center + half, 6) AS high, abs(z - center) > half AS signal FROM h")(lambda spark, d: T.ewma_chart(table(spark, d, "events").where("user_id % 5 = 0"), "user_id", ["ts", "event_id"], "value"))
+query("ewma_chart", "WITH RECURSIVE s AS (SELECT user_id AS key, value AS v, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS t FROM events WHERE value IS NOT NULL), g AS (SELECT *, abs(v - lag(v) OVER (PARTITION BY key ORDER BY t)) AS mr FROM s), b AS (SELECT key, avg(v) AS center, avg(mr) / 1.128 AS sigma FROM g GROUP BY 1), e AS (SELECT s.key, t, v, 0.2 * v + 0.8 * center AS z FROM s JOIN b USING (key) WHERE t = 1 UNION ALL SELECT s.key, s.t, s.v, 0.2 * s.v + 0.8 * e.z FROM e JOIN s ON s.key = e.key AND s.t = e.t + 1), h AS (SELECT e.key, t, v, z, center, 3 * sigma * sqrt(0.2 / 1.8 * (1 - 0.8 ** (2 * t))) AS half FROM e JOIN b USING (key)) SELECT key, t, round(v, 6) AS v, round(z, 6) AS ewma, round(center - half, 6) AS low, round(center + half, 6) AS high, abs(z - center) > half AS signal FROM h")(lambda spark, d: T.ewma_chart(table(spark, d, "events"), "user_id", ["ts", "event_id"], "value"))
 
 # clusters
 _X = "c AS (SELECT vec_id AS key, label, unnest(range(len(embedding))) AS i, unnest(embedding)::DOUBLE AS x FROM embeddings)"

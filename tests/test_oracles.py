@@ -1,13 +1,14 @@
-"""Every query with SQL against DuckDB on the smallest tables."""
+"""Every query with SQL against DuckDB, on the smallest tables or those in $ORACLE_DIR."""
 
 import math
+import os
 
 import duckdb
 import pytest
 
 import __spark_entry__ as entry
 
-D = "/root/testdata/sf0.001"
+D = os.environ.get("ORACLE_DIR", "/root/testdata/sf0.001")
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 SQL = entry.oracle_sql()
 
