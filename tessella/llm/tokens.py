@@ -14,13 +14,14 @@ import os
 import re
 from array import array
 
-_CACHED = 500_000
+_CACHED = 200_000
 #: Letters that no normalizer changes but for their case, and marks that never join with them.
 _LATIN = "A-Za-zÀ-ÖØ-öø-įĲ-ſ"
 _PLAIN = re.compile(f"([{_LATIN}]+)([.,;:!?]*)").fullmatch
 #: Byte-level BPE writes each byte as a visible character: itself if printable, else the next free one from 256 on.
 _VISIBLE = [*range(33, 127), *range(161, 173), *range(174, 256)]
 _SHOWN = {b: b for b in _VISIBLE} | {b: 256 + i for i, b in enumerate(sorted(set(range(256)) - set(_VISIBLE)))}
+_LEAD = chr(_SHOWN[32])
 _encoders: dict[str, Encoder] = {}
 
 
@@ -53,9 +54,12 @@ class Encoder:
 
     def _run(self, run: str) -> bytes:
         """Ids of letters, or of marks, as the model sees them."""
-        if self.mode == "dropped":
-            run = run.lower()
-        shown = run.encode().decode("latin-1").translate(_SHOWN)
+        if self.lead:
+            shown = run if run[0] != " " else _LEAD + run[1:]
+        else:
+            shown = run.lower()
+        if not run.isascii():
+            shown = (run if self.lead else shown).encode().decode("latin-1").translate(_SHOWN)
         return array("I", [t.id for t in self.model.tokenize(shown)]).tobytes()
 
     def _first(self, piece: str) -> bytes:
@@ -76,9 +80,12 @@ class Encoder:
         """Ids of a piece behind a space; None if white space joins across its ends."""
         ids = self.old.get(piece)
         if ids is None:
-            plain = _PLAIN(piece)
-            if plain:
-                ids = self._run(self.lead + plain[1])
+            letters = piece.isalpha() and piece.isascii()
+            plain = None if letters else _PLAIN(piece)
+            if letters:
+                ids = self._run(self.lead + piece)
+            elif plain:
+                ids = (self.new.get(plain[1]) if plain[2] else None) or self._run(self.lead + plain[1])
                 if plain[2]:
                     ids += self._first(plain[2])
             elif not piece or piece[0].isspace() or piece[-1].isspace():
