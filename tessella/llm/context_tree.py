@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tessella.llm.common import SPACES, Splitter, in_sorted, origin, pack, parts, tally, tune, unpack, volume, written
+from tessella.llm.common import SPACES, Splitter, batches_of, in_sorted, one_group, origin, pack, parts, slices, tally, tune, two_groups, unpack, volume, written
 
 _COUNTS = "kind string, bucket int, keys binary, counts binary"
 _END = np.uint64(0xE0D0E0D0E0D0E0D1)
@@ -191,7 +191,7 @@ def count_tables(docs: DataFrame, depth: int, bits: int) -> DataFrame:
     """docs: id, text, learn. The merged counts of all (context, byte) pairs and words; those not learned from count zero."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches, "text", 6 << 20):
             learn = np.array(batch["learn"].to_pylist(), bool)
             t = _Texts(batch["text"].to_pylist(), depth)
             pairs, n = _counted(t.pairs, np.repeat(learn, np.diff(t.pair_at)))
@@ -210,7 +210,7 @@ def count_tables(docs: DataFrame, depth: int, bits: int) -> DataFrame:
         kind = rows["kind"][0].as_py()
         return _table([(kind, rows["bucket"][0].as_py(), pack(keys[heads], True), pack(counts), int((counts > 0).sum()) if kind == "word" else 0, int(counts.sum()) if kind == "word" else 0)], f"{_COUNTS}, known long, total long")
 
-    return docs.mapInArrow(count, _COUNTS).groupBy("kind", "bucket").applyInArrow(merge, f"{_COUNTS}, known long, total long")
+    return docs.mapInArrow(batches_of(count), _COUNTS).groupBy("kind", "bucket").applyInArrow(one_group(merge), f"{_COUNTS}, known long, total long")
 
 
 def score_texts(docs: DataFrame, learn, depth: int = 5, id_col: str = "doc_id", text_col: str = "text", group_bytes: int = 6 << 20) -> DataFrame:
@@ -270,8 +270,8 @@ def score_texts(docs: DataFrame, learn, depth: int = 5, id_col: str = "doc_id",
                 out.append((where, kind, bucket, pack(values[in_sorted(keys, unpack(blob))[0]])))
         return _table(out, "origin_t int, kind string, bucket int, values binary")
 
-    asked = base.groupBy("origin").applyInArrow(ask, "kind string, bucket int, origin int, keys binary")
-    told = asked.groupBy("kind", "bucket").cogroup(priced.groupBy("kind_t", "bucket_t")).applyInArrow(answer, "origin_t int, kind string, bucket int, values binary")
+    asked = base.groupBy("origin").applyInArrow(one_group(ask), "kind string, bucket int, origin int, keys binary")
+    told = asked.groupBy("kind", "bucket").cogroup(priced.groupBy("kind_t", "bucket_t")).applyInArrow(two_groups(answer), "origin_t int, kind string, bucket int, values binary")
     schema = T.StructType([T.StructField(id_col, base.schema["id"].dataType), T.StructField("learned", T.BooleanType()), *[T.StructField(c, T.LongType()) for c in ("n_tokens", "n_known", "train_tokens")], *[T.StructField(c, T.DoubleType()) for c in ("base_score", "score")], T.StructField("n_bytes", T.LongType()), T.StructField("bits_per_byte", T.DoubleType())])
 
     def score(rows: pa.Table, told: pa.Table) -> pa.Table:
@@ -312,4 +312,4 @@ def score_texts(docs: DataFrame, learn, depth: int = 5, id_col: str = "doc_id",
         size = np.diff(t.pair_at)
         return pa.table([rows["id"], rows["learn"], pa.array(np.diff(t.word_at) + 1, pa.int64()), pa.array(known), pa.array(np.full(n, total)), pa.array(unigrams), pa.array(tree), pa.array(size, pa.int64()), pa.array(-tree * np.log2(10) / size)], schema.names)
 
-    return base.groupBy("origin").cogroup(told.groupBy("origin_t")).applyInArrow(score, schema)
+    return base.groupBy("origin").cogroup(told.groupBy("origin_t")).applyInArrow(two_groups(score), schema)

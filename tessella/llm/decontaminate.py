@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tessella.llm.common import NOT_ALNUM, Splitter, grams, in_sorted, inside, origin, parts, text_bytes, tune, volume
+from tessella.llm.common import NOT_ALNUM, Splitter, batches_of, grams, in_sorted, inside, origin, parts, slices, text_bytes, tune, volume
 
 
 def winnow(hashes: np.ndarray, first: np.ndarray, k: int, window: int) -> tuple[np.ndarray, np.ndarray]:
@@ -155,14 +155,14 @@ def _by_broadcast(base: DataFrame, items: DataFrame, schema: T.StructType, windo
     prints = np.unique(winnow(w.hash, w.first, k, window)[1])
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches, "text"):
             w = _Words(batch["text"])
             at, kept = winnow(w.hash, w.first, k, window)
             starts = near(at[in_sorted(prints, kept)[1]], inside(w.first, window), window - k + 1)
             hit, doc, item = runs.hits(w, window, starts)
             yield pa.RecordBatch.from_arrays([batch["id"], *_finish(w, hit, doc, [names[i] for i in item.tolist()]), batch["text"], batch["rest"]], schema.names)
 
-    return base.mapInArrow(judge, schema)
+    return base.mapInArrow(batches_of(judge), schema)
 
 
 def _by_shuffle(base: DataFrame, items: DataFrame, schema: T.StructType, window: int, k: int, groups: int) -> DataFrame:

@@ -21,9 +21,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from tessella.llm.common import SPACES, Splitter, grams, in_sorted, inside, origin, pack, parts, tally, text_bytes, tune, unpack, volume, written
+from tessella.llm.common import SPACES, Splitter, grams, in_sorted, inside, one_group, origin, pack, parts, tally, text_bytes, tune, two_groups, unpack, volume, written
 from tessella.llm.graph import components
 
 _COUNTS = "bucket int, origin int, prints binary, counts binary"
@@ -138,8 +137,8 @@ def shingle_sets(docs: DataFrame, k: int = 5, percent: int = 75, id_col: str = "
             [c.split()[0] for c in _SETS.split(", ")],
         )
 
-    told = base.groupBy("origin").applyInArrow(count, _COUNTS).groupBy("bucket").applyInArrow(_classes, _CLASSES)
-    return base.groupBy("origin").cogroup(told.groupBy("origin")).applyInArrow(order, _SETS)
+    told = base.groupBy("origin").applyInArrow(one_group(count), _COUNTS).groupBy("bucket").applyInArrow(one_group(_classes), _CLASSES)
+    return base.groupBy("origin").cogroup(told.groupBy("origin")).applyInArrow(two_groups(order), _SETS)
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:

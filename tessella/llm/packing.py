@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tessella.llm.common import tune, written
+from tessella.llm.common import batches_of, tune, written
 from tessella.llm.tokens import encoder
 
 
@@ -47,7 +47,7 @@ def pack_documents(docs: DataFrame, tokenizer: str, length: int = 2048, end_id:
     narrow = max(Tokenizer.from_file(tokenizer).get_vocab_size(), end_id + 1) <= 1 << 16
     id_type = docs.schema[id_col].dataType
     stored = T.StructType([T.StructField("part", T.IntegerType()), T.StructField("id", id_type), T.StructField("at", T.LongType()), T.StructField("ids", T.BinaryType())])
-    ids = written(docs.select(F.spark_partition_id().alias("part"), F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(encode, stored))
+    ids = written(docs.select(F.spark_partition_id().alias("part"), F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(batches_of(encode), stored))
     width = 2 if narrow else 4
     totals = ids.groupBy("part").agg(F.max(F.col("at") + F.octet_length("ids") / width).cast("long").alias("n")).orderBy("part").collect()  # one row for each partition
     sums = list(accumulate((r["n"] for r in totals), initial=0))
@@ -72,7 +72,7 @@ def pack_documents(docs: DataFrame, tokenizer: str, length: int = 2048, end_id:
             cols = list(zip(*rows, strict=True)) or [()] * 7
             yield pa.RecordBatch.from_arrays([batch["id"].take(pa.array(owner, pa.int64())), *[pa.array(c, pa.int64()) for c in cols[:6]], pa.array(cols[6], pa.bool_()), *([pa.array(payload, pa.list_(pa.int32()))] if with_ids else [])], schema.names)
 
-    return ids.mapInArrow(cut, schema)
+    return ids.mapInArrow(batches_of(cut), schema)
 
 
 def assemble(pieces: DataFrame, length: int = 2048, pad_id: int = 0) -> DataFrame:

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tessella.llm.common import Splitter, grams, in_sorted, inside, origin, pack, parts, tally, text_bytes, tune, unpack, volume
+from tessella.llm.common import Splitter, grams, in_sorted, inside, one_group, origin, pack, parts, tally, text_bytes, tune, two_groups, unpack, volume
 
 _LEVEL = "bucket int, origin int, runs binary, again binary, docs binary"
 _ANSWER = "origin int, runs binary, docs binary"
@@ -166,10 +166,10 @@ def substring_dedup(docs: DataFrame, words: int = 50, levels: int = 1, id_col: s
 
         return longer
 
-    told = base.groupBy("origin").applyInArrow(first, _LEVEL).groupBy("bucket").applyInArrow(_repeating(not levels), _ANSWER)
+    told = base.groupBy("origin").applyInArrow(one_group(first), _LEVEL).groupBy("bucket").applyInArrow(one_group(_repeating(not levels)), _ANSWER)
     for k, length in enumerate(lengths[1:], 1):
         both = base.groupBy("origin").cogroup(told.groupBy("origin"))
-        told = both.applyInArrow(doubled(length, k == levels), _LEVEL).groupBy("bucket").applyInArrow(_repeating(k == levels), _ANSWER)
+        told = both.applyInArrow(two_groups(doubled(length, k == levels)), _LEVEL).groupBy("bucket").applyInArrow(one_group(_repeating(k == levels)), _ANSWER)
 
     rest_type = base.schema["rest"].dataType
     schema = T.StructType([T.StructField(id_col, T.LongType()), T.StructField("n_words", T.LongType()), T.StructField("n_removed", T.LongType()), T.StructField("kept", T.StringType()), T.StructField("kept_sha256", T.StringType()), T.StructField("spans", T.ArrayType(T.ArrayType(T.LongType()))), T.StructField("rest", rest_type)])
@@ -213,4 +213,4 @@ def substring_dedup(docs: DataFrame, words: int = 50, levels: int = 1, id_col: s
             schema.names,
         )
 
-    return base.groupBy("origin").cogroup(told.groupBy("origin")).applyInArrow(apply, schema)
+    return base.groupBy("origin").cogroup(told.groupBy("origin")).applyInArrow(two_groups(apply), schema)

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tessella.llm.common import parts, tune, volume
+from tessella.llm.common import batches_of, parts, tune, volume
 from tessella.llm.tokens import encoder
 
 _SHARDS = "part int, number int, first_id long, last_id long, dictionary string, documents long, tokens long, before long, entries binary, frames binary"
@@ -88,7 +88,7 @@ def write_token_files(docs: DataFrame, path: str, tokenizer: str, end_id: int =
             yield shard()
 
     n = parts(spark, volume(rows)[1], group_bytes)
-    rows.repartitionByRange(n, "id").sortWithinPartitions("id").select(F.spark_partition_id().alias("part"), "id", "text").mapInArrow(shards, _SHARDS).write.parquet(f"{path}/shards")
+    rows.repartitionByRange(n, "id").sortWithinPartitions("id").select(F.spark_partition_id().alias("part"), "id", "text").mapInArrow(batches_of(shards), _SHARDS).write.parquet(f"{path}/shards")
 
 
 def _entries(blob: bytes) -> tuple[np.ndarray, np.ndarray]:
@@ -127,7 +127,7 @@ def read_token_files(spark: SparkSession, path: str, id_col: str = "doc_id", wit
                 n = index[:, 3]
                 yield pa.RecordBatch.from_arrays([pa.array(index[:, 0], pa.int64(), mask=~known), pa.array(at + np.cumsum(n) - n), pa.array(n), pa.array(crcs, pa.int64()), *([pa.array(ids, pa.list_(pa.int32()))] if with_ids else [])], schema.names)
 
-    return shards.select("part", "before", "dictionary", "entries", "frames").mapInArrow(decode, schema)
+    return shards.select("part", "before", "dictionary", "entries", "frames").mapInArrow(batches_of(decode), schema)
 
 
 def fetch(spark: SparkSession, path: str, key: int) -> list[list[int]]:

@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tessella.llm.common import SPACES, Splitter, in_sorted, text_bytes, tune
+from tessella.llm.common import SPACES, Splitter, batches_of, in_sorted, slices, text_bytes, tune
 
 #: Insults, in two overlapping lists as two labellers would keep them. Fixed values.
 INSULTS_A = ["bastard", "bitch", "clown", "crap", "dumb", "fool", "idiot", "imbecile", "jerk", "loser", "moron", "scum", "stupid", "trash"]
@@ -245,7 +245,7 @@ def mine_stems(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, m
     texts = docs.select(F.col(id_col).alias("key"), F.col(text_col).alias("text")).join(drawn, "key").select("text", "toxic").where("text is not null").dropDuplicates(["text"])
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches, "text"):
             toxic = np.array(batch["toxic"].to_pylist(), np.int64) > 0
             _, _, _, at, heads = _TRIMMED(*text_bytes(batch["text"]))
             owner = np.repeat(np.arange(len(toxic)), np.diff(at))
@@ -262,7 +262,7 @@ def mine_stems(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, m
     n = texts.where("toxic > 0").count()
     if not n:
         return NO_STEMS
-    counts = texts.mapInArrow(count, "stem long, bad long, good long, spread long").groupBy("stem").agg(*[F.sum(c).alias(c) for c in ("bad", "good", "spread")])
+    counts = texts.mapInArrow(batches_of(count), "stem long, bad long, good long, spread long").groupBy("stem").agg(*[F.sum(c).alias(c) for c in ("bad", "good", "spread")])
     found = counts.where((F.col("spread") >= max(8, 0.01 * n)) & (F.col("bad") >= 4 * F.col("good"))).collect()  # each in 1 % of the toxic sample or more
     sure = [r["stem"] for r in found if r["spread"] >= max(10, 0.02 * n) and r["bad"] >= 99 * r["good"]]
     table = lambda x: np.sort(np.array(x, np.int64).view(np.uint64))
@@ -284,12 +284,12 @@ def judge(docs: DataFrame, labels: DataFrame | None = None, id_col: str = "doc_i
     stems = mine_stems(docs, labels, id_col, text_col, labelled) if labels is not None else NO_STEMS
 
     def patterns(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches, "text"):
             names, counts = np.unique(np.array(_pattern(Measures(batch["text"], stems).votes()), dtype=object).astype(str), return_counts=True)
             yield pa.RecordBatch.from_arrays([pa.array(names.tolist(), pa.string()), pa.array(counts, pa.int64())], ["votes", "n"])
 
     texts = docs.select(F.col(text_col).alias("text"))
-    counted = texts.mapInArrow(patterns, "votes string, n long").groupBy("votes").agg(F.sum("n").alias("n")).collect()  # 3 ** labellers rows at most
+    counted = texts.mapInArrow(batches_of(patterns), "votes string, n long").groupBy("votes").agg(F.sum("n").alias("n")).collect()  # 3 ** labellers rows at most
     votes = np.array([["-0+".index(c) - 1 for c in r["votes"]] for r in counted], np.int64).reshape(-1, k)
     counts = np.array([r["n"] for r in counted], float)
     of = {q: [i for i, lab in enumerate(LABELLERS) if lab.question == q] for q in QUESTIONS}
@@ -297,7 +297,7 @@ def judge(docs: DataFrame, labels: DataFrame | None = None, id_col: str = "doc_i
     posterior = {r["votes"]: [float(models[q].posterior(votes[i : i + 1, of[q]])[0]) for q in QUESTIONS] for i, r in enumerate(counted)}
 
     def featured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches, "text"):
             m = Measures(batch["text"], stems)
             row, feature = m.features()
             by = np.argsort(row, kind="stable")
@@ -307,14 +307,14 @@ def judge(docs: DataFrame, labels: DataFrame | None = None, id_col: str = "doc_i
     order = F.xxhash64(F.col(id_col), F.col(text_col))
     share = min(1.0, 1.5 * sample / max(counts.sum(), 1))
     bound = F.lit(min(2**63 - 1, int(-(2**63) + share * 2**64)))
-    drawn = docs.select(F.col(text_col).alias("text"), order.alias("o")).where(F.col("o") <= bound).select("text").mapInArrow(featured, "votes string, features array<int>").limit(sample).collect()
+    drawn = docs.select(F.col(text_col).alias("text"), order.alias("o")).where(F.col("o") <= bound).select("text").mapInArrow(batches_of(featured), "votes string, features array<int>").limit(sample).collect()
     rows = [np.array(r["features"], np.int64) for r in drawn]
     weights = [train(rows, np.array([posterior[r["votes"]][i] for r in drawn])) for i in range(len(QUESTIONS))]
     kinds = T.StructType([T.StructField("votes", T.StringType()), *[T.StructField(c, T.DoubleType()) for c in ("quality_posterior", "clean_posterior", "quality", "clean")], T.StructField("keep", T.BooleanType())])
     schema = T.StructType([*docs.schema.fields, T.StructField("_quality", kinds)])
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches, text_col):
             m = Measures(batch[text_col], stems)
             row, feature = m.features()
             p = [1 / (1 + np.exp(-np.clip(np.bincount(row, w[feature], m.n), -30, 30))) for w in weights]
@@ -323,4 +323,4 @@ def judge(docs: DataFrame, labels: DataFrame | None = None, id_col: str = "doc_i
             fields = [pa.array(names, pa.string()), *[pa.array([posterior[v][i] for v in names], pa.float64()) for i in range(2)], pa.array(p[0]), pa.array(p[1]), pa.array(keep)]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.StructArray.from_arrays(fields, kinds.names)], schema.names)
 
-    return docs.mapInArrow(score, schema)
+    return docs.mapInArrow(batches_of(score), schema)
