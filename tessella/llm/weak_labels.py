@@ -16,7 +16,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -29,6 +29,8 @@ INSULTS_B = ["ass", "damn", "disgusting", "garbage", "hate", "idiot", "loser", "
 _PLAIN = b".,;:'\"!?()-"
 _BITS = 18
 _CLEAN, _BAD, _ABSTAIN = 1, -1, 0
+#: Of a stem: uses that count in one text, odds of toxic against other use, and odds of a sure one; counts a task holds before it gives them on.
+_USES, _ODDS, _SURE_ODDS, _HELD = 8, 4, 40, 1 << 20
 
 
 @dataclass(frozen=True)
@@ -236,52 +238,72 @@ def train(rows: list[np.ndarray], targets: np.ndarray, rounds: int = 12, rate: f
     return weights
 
 
-def mine_stems(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, most: int) -> Stems:
-    """From at most `most` labelled documents (those with the least hashes of their ids; equal texts count once): word
-    beginnings of 4 to 7 bytes of which 80 % stand in toxic documents, in 1 % of those and in eight at least; sure ones
-    are in 2 % and in ten and stand, 99 in 100, in no other."""
-    order = F.xxhash64(F.lit("labelled"), F.col("key"))
-    drawn = labels.select(F.col(id_col).alias("key"), F.col("toxic").alias("toxic")).where("key is not null and toxic is not null").dropDuplicates(["key"]).orderBy(order, "key").limit(most)
-    texts = docs.select(F.col(id_col).alias("key"), F.col(text_col).alias("text")).join(drawn, "key").select("text", "toxic").where("text is not null").dropDuplicates(["text"])
+def _summed(parts: list[list[np.ndarray]]) -> list[np.ndarray]:
+    """Stems, ascending and each once, with the sums of their counts."""
+    stems, *counts = (np.concatenate(x) for x in zip(*parts, strict=True))
+    stems, of = np.unique(stems, return_inverse=True)
+    return [stems, *[np.bincount(of, c, len(stems)).astype(np.int64) for c in counts]]
+
+
+def stem_counts(texts: pa.Array, toxic: np.ndarray) -> list[np.ndarray]:
+    """Of each word beginning of 4 to 7 bytes: its hash, uses in toxic and in other texts (a text counts `_USES` at most), toxic texts."""
+    _, _, _, at, heads = _TRIMMED(*text_bytes(texts))
+    owner = np.repeat(np.arange(len(toxic)), np.diff(at))
+    out = [[np.zeros(0, np.uint64), *[np.zeros(0, np.int64)] * 3]]
+    for x in heads:
+        keys, of = np.unique(x[x > 0], return_inverse=True)
+        pairs, uses = np.unique(of * len(toxic) + owner[x > 0], return_counts=True)
+        stem, bad, uses = pairs // max(len(toxic), 1), toxic[pairs % max(len(toxic), 1)], np.minimum(uses, _USES)
+        out.append([keys, *[np.bincount(stem, c, len(keys)).astype(np.int64) for c in (uses * bad, uses * ~bad, bad)]])
+    return _summed(out)
+
+
+def mine_stems(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str) -> Stems:
+    """From all labelled documents (equal texts count once, toxic if one of them is): word beginnings of 4 to 7 bytes whose
+    smoothed odds of use in toxic against other documents are `_ODDS` at least, with `_USES` uses in two toxic texts or
+    more; sure ones have the odds `_SURE_ODDS` and stand in four. No bound depends on how many labels there are, so a
+    stem of few documents, such as one of a rare language, is judged by its own use alone."""
+    marks = labels.select(F.col(id_col).alias("key"), F.col("toxic").alias("toxic")).where("key is not null and toxic is not null").groupBy("key").agg((F.max("toxic") > 0).alias("toxic"))
+    texts = docs.select(F.col(id_col).alias("key"), F.col(text_col).alias("text")).where("key is not null and text is not null").withColumn("hash", F.xxhash64("text"))
+    chosen = texts.select("key", "hash").join(marks, "key").groupBy("hash").agg(F.min("key").alias("key"), F.max("toxic").alias("toxic"))
+    again = F.row_number().over(Window.partitionBy("key", "hash").orderBy("hash"))
+    once = texts.join(chosen, ["key", "hash"]).withColumn("again", again).where("again = 1").select("text", "toxic")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        give = lambda x: pa.RecordBatch.from_arrays([pa.array(x[0].view(np.int64)), *map(pa.array, x[1:])], ["stem", "bad", "good", "spread"])
+        held, size = [], 0
         for batch in slices(batches, "text"):
-            toxic = np.array(batch["toxic"].to_pylist(), np.int64) > 0
-            _, _, _, at, heads = _TRIMMED(*text_bytes(batch["text"]))
-            owner = np.repeat(np.arange(len(toxic)), np.diff(at))
-            out = []
-            for x in heads:
-                keys, of = np.unique(x, return_inverse=True)
-                docs_with = np.unique(of * len(toxic) + owner)
-                with_toxic = toxic[docs_with % max(len(toxic), 1)]
-                out.append((keys, np.bincount(of, toxic[owner], len(keys)), np.bincount(of, ~toxic[owner], len(keys)), np.bincount(docs_with[with_toxic] // max(len(toxic), 1), minlength=len(keys))))
-            keys, bad, good, spread = (np.concatenate(x) for x in zip(*out, strict=True))
-            keep = (keys > 0) & (bad + good > 0)
-            yield pa.RecordBatch.from_arrays([pa.array(keys[keep].view(np.int64)), *[pa.array(x[keep].astype(np.int64)) for x in (bad, good, spread)]], ["stem", "bad", "good", "spread"])
-
-    n = texts.where("toxic > 0").count()
-    if not n:
-        return NO_STEMS
-    counts = texts.mapInArrow(batches_of(count), "stem long, bad long, good long, spread long").groupBy("stem").agg(*[F.sum(c).alias(c) for c in ("bad", "good", "spread")])
-    found = counts.where((F.col("spread") >= max(8, 0.01 * n)) & (F.col("bad") >= 4 * F.col("good"))).collect()  # each in 1 % of the toxic sample or more
-    sure = [r["stem"] for r in found if r["spread"] >= max(10, 0.02 * n) and r["bad"] >= 99 * r["good"]]
+            held.append(stem_counts(batch["text"], np.array(batch["toxic"].to_pylist(), bool)))
+            size += len(held[-1][0])
+            if size > _HELD:
+                held = [_summed(held)]
+                size = len(held[0][0])
+                if size > _HELD // 2:
+                    yield give(held[0])
+                    held, size = [], 0
+        if held:
+            yield give(_summed(held))
+
+    counts = once.mapInArrow(batches_of(count), "stem long, bad long, good long, spread long").groupBy("stem").agg(*[F.sum(c).alias(c) for c in ("bad", "good", "spread")])
+    odds = (F.col("bad") + 0.5) / (F.col("good") + 0.5)
+    found = counts.where((F.col("spread") >= 2) & (F.col("bad") >= _USES) & (odds >= _ODDS)).select("stem", ((odds >= _SURE_ODDS) & (F.col("spread") >= 4)).alias("sure")).collect()
     table = lambda x: np.sort(np.array(x, np.int64).view(np.uint64))
-    return Stems(table([r["stem"] for r in found]), table(sure))
+    return Stems(table([r["stem"] for r in found]), table([r["stem"] for r in found if r["sure"]]))
 
 
-def judge(docs: DataFrame, labels: DataFrame | None = None, id_col: str = "doc_id", text_col: str = "text", sample: int = 8192, threshold: float = 0.5, labelled: int = 20000) -> DataFrame:
+def judge(docs: DataFrame, labels: DataFrame | None = None, id_col: str = "doc_id", text_col: str = "text", sample: int = 8192, threshold: float = 0.5) -> DataFrame:
     """Adds _quality: struct(votes, quality_posterior, clean_posterior, quality, clean, keep): the label model's and the
     scorer's probabilities that the document is prose and that it does not insult; keep if both of the scorer's are at
     least `threshold`.
 
-    labels (id_col, toxic; optional): three labellers look for word stems mined from at most `labelled` of them; without
-    labels, or with none toxic, these vote clean always. The scorer is fitted on at most `sample` documents, those with the least hashes of id and text; votes are counted over
-    all. Null and empty texts, and texts of white space alone, are no prose and are not kept. Repeated rows are judged
+    labels (id_col, toxic; optional): three labellers look for word stems mined from all of them; without labels, or with none
+    toxic, these vote clean always. The scorer is fitted on at most `sample` documents, those with the least hashes of id
+    and text; votes are counted over all. Null and empty texts, and texts of white space alone, are no prose and are not kept. Repeated rows are judged
     alike, ids may be null, other columns stay. An empty table stays empty.
     """
     tune(docs.sparkSession)
     k = len(LABELLERS)
-    stems = mine_stems(docs, labels, id_col, text_col, labelled) if labels is not None else NO_STEMS
+    stems = mine_stems(docs, labels, id_col, text_col) if labels is not None else NO_STEMS
 
     def patterns(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text"):
@@ -302,12 +324,18 @@ def judge(docs: DataFrame, labels: DataFrame | None = None, id_col: str = "doc_i
             row, feature = m.features()
             by = np.argsort(row, kind="stable")
             parts = np.split(feature[by].astype(np.int32), np.cumsum(np.bincount(row, minlength=m.n))[:-1]) if m.n else []
-            yield pa.RecordBatch.from_arrays([pa.array(_pattern(m.votes()), pa.string()), pa.array(parts, pa.list_(pa.int32()))], ["votes", "features"])
+            yield pa.RecordBatch.from_arrays([batch["o"], pa.array(_pattern(m.votes()), pa.string()), pa.array(parts, pa.list_(pa.int32()))], ["o", "votes", "features"])
 
     order = F.xxhash64(F.col(id_col), F.col(text_col))
-    share = min(1.0, 1.5 * sample / max(counts.sum(), 1))
-    bound = F.lit(min(2**63 - 1, int(-(2**63) + share * 2**64)))
-    drawn = docs.select(F.col(text_col).alias("text"), order.alias("o")).where(F.col("o") <= bound).select("text").mapInArrow(batches_of(featured), "votes string, features array<int>").limit(sample).collect()
+    total, drawn = int(counts.sum()), []
+    share = min(1.0, 1.5 * sample / max(total, 1))
+    while total:  # one round, unless many rows are equal
+        bound = F.lit(min(2**63 - 1, int(-(2**63) + share * 2**64)))
+        near = docs.select(order.alias("o"), F.col(text_col).alias("text")).where(F.col("o") <= bound)
+        drawn = near.mapInArrow(batches_of(featured), "o long, votes string, features array<int>").orderBy("o").limit(sample).collect()
+        if len(drawn) >= min(sample, total) or share == 1:
+            break
+        share = min(1.0, 4 * share)
     rows = [np.array(r["features"], np.int64) for r in drawn]
     weights = [train(rows, np.array([posterior[r["votes"]][i] for r in drawn])) for i in range(len(QUESTIONS))]
     kinds = T.StructType([T.StructField("votes", T.StringType()), *[T.StructField(c, T.DoubleType()) for c in ("quality_posterior", "clean_posterior", "quality", "clean")], T.StructField("keep", T.BooleanType())])

@@ -72,3 +72,39 @@ def test_held_out_labels(spark):
     junk = [kept[i] for i, r in labels.items() if r.quality == 0]
     toxic = [kept[i] for i, r in labels.items() if r.toxic == 1 and lang[i] == "en"]
     assert np.mean(clean) > 0.98 and np.mean(junk) < 0.05 and np.mean(toxic) < 0.05
+
+
+def test_stems_of_few_documents(spark):
+    from tessella.llm.weak_labels import _HEADS, _TRIMMED, mine_stems, text_bytes
+
+    def head(word):
+        return int(_TRIMMED(*text_bytes(pa.array([word])))[4][_HEADS.index(6)][0])
+
+    rng = random.Random(3)
+    fill = lambda: " ".join("".join(rng.choice("aeinorst") for _ in range(6)) for _ in range(20))
+    texts = [(fill() + " zorgblats" * 3, 1) for _ in range(900)] + [(fill() + " achlicho achlicha" * 2, 1) for _ in range(4)] + [(fill() + " common", i % 9 == 0) for i in range(900)]
+    texts += [("achlicho " * 20 + fill(), 0), ("onceonly " * 50 + fill(), 1)] + [("samesame " * 9, 1)] * 12
+    rows = [(i, t, int(bad)) for i, (t, bad) in enumerate(texts)] + [(0, texts[0][0], 1), (None, "achlicho " * 99, 0), (9999, None, 1)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
+    for part in (df, df.where("doc_id >= 900")):  # the four are below 1 % of the toxic ones, or too few for a fixed share
+        stems = mine_stems(part, part, "doc_id", "text")
+        assert head("achlicho") not in stems.likely  # its other use is as heavy
+    df = df.where("text not like 'achlicho achlicho%' or text is null")
+    for part in (df, df.where("doc_id >= 900")):
+        stems = mine_stems(part, part, "doc_id", "text")
+        assert head("achlicho") in stems.likely and not any(head(w) in stems.likely for w in ("common", "onceonly", "samesame"))
+        assert (head("zorgblats") in stems.sure) == (part is df)
+
+
+def test_sample_is_never_empty(spark):
+    junk = spark.createDataFrame([(None, "J@NK## %% " * 40)] * 300, "doc_id long, text string")
+    assert not any(r._quality.keep for r in judge(junk, sample=4).collect())
+
+
+@pytest.mark.parametrize("sf, most", [("sf0.001", 0), ("sf0.01", 4)])
+def test_insults_of_all_languages(spark, sf, most):
+    from tessella.llm.queries import op4_quality_classifier
+
+    d = f"/root/testdata/{sf}"
+    toxic = spark.read.parquet(f"{d}/labels.parquet").where("toxic = 1").select("doc_id")
+    assert op4_quality_classifier(spark, d).join(toxic, "doc_id").where("keep").count() <= most
