@@ -41,7 +41,7 @@ def host_path_rule(verdict: str, host: str, path: str) -> Rule:
 
 
 def word_rule(verdict: str, word: str) -> Rule:
-    """The method's own: fits a URL with this run of tokens anywhere in host or path; ranks below all listed rules."""
+    """The method's own: fits a URL with this run of tokens, in any case, anywhere in host or path; ranks below all listed rules."""
     parts = word.lower().split("-")
     return Rule(word, verdict, r"(^|[^a-z0-9])" + r"[^a-z0-9]".join(map(_quoted, parts)) + r"([^a-z0-9]|$)", tuple(parts), -1, listed=False)
 
@@ -94,7 +94,8 @@ def url_filter(pages: DataFrame, rules: list[Rule], default: str = "allow", url_
     work = work.withColumn("_fetched", fetched)
 
     def fit(i: int) -> Column:
-        return F.when(F.col("_subject").rlike(rules[i].pattern), F.lit(i))
+        text = F.col("_subject") if rules[i].listed else F.lower("_subject")  # words in any case, paths of listed rules as they are
+        return F.when(text.rlike(rules[i].pattern), F.lit(i))
 
     filed = [F.when(F.array_contains("_fetched", t), F.array(*[fit(i) for i in ids])) for t, ids in index.items()]
     hits = F.array_compact(F.flatten(F.array_compact(F.array(*filed, *([F.array(*map(fit, always))] if always else []))))) if filed or always else F.lit([]).cast("array<int>")

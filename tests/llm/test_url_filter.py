@@ -55,3 +55,26 @@ def test_whole_table_against_sql(spark):
     con.execute(f"create view pages as select * from '{d}/pages.parquet'")
     want = sorted(con.execute(oracle_sql()["op8_url_filter"]).fetchall())
     assert sorted(tuple(r) for r in op8_url_filter(spark, d).collect()) == want and len(want) == 50
+
+
+def test_word_rules_in_any_case(spark):
+    spam = ["http://a.org/Casino/", "http://a.org/x/CHEAP-PILLS", "http://CASINO.org/", "http://b.org/fr/cheap_Pills?x", "http://a.org/\u212aasino/casino"]
+    ham = ["http://a.org/Casinos/", "http://a.org/CHEAP/PILL", "http://example.org/ES/"]
+    rules = [host_path_rule("block", "org", "/es/"), host_path_rule("allow", "b.org", "/FR/"), word_rule("block", "cheap-pills"), word_rule("block", "casino")]
+    df = spark.createDataFrame([(u,) for u in spam + ham], "url string")
+    got = {r.url: (r._url.rule, r._url.verdict) for r in url_filter(df, rules).collect()}
+    assert all(got[u] == (None, "block") for u in spam) and all(got[u] == (None, "allow") for u in ham)
+
+
+def test_mixed_case_paths_against_sql(spark, tmp_path):
+    import duckdb
+
+    from tessella.llm.queries import oracle_sql, op8_url_filter
+
+    paths = ["/Casino/", "/EN/1", "/en/Poker", "/x/CHEAP-PILLS", "/Viagra.HTML", "/casino", "/ES/Free_Money", "/Adults"]
+    rows = [(i, f"http://{h}{p}") for i, (h, p) in enumerate((h, p) for h in ("a.org", "Example.com", "SPAM-farm.net", "x.io") for p in paths)]
+    spark.createDataFrame(rows, "page_id long, url string").write.parquet(f"{tmp_path}/pages.parquet")
+    con = duckdb.connect()
+    con.execute(f"create view pages as select * from '{tmp_path}/pages.parquet/*.parquet'")
+    want = sorted(con.execute(oracle_sql()["op8_url_filter"]).fetchall())
+    assert sorted(tuple(r) for r in op8_url_filter(spark, str(tmp_path)).collect()) == want
