@@ -70,3 +70,33 @@ def test_contingency_and_trend(spark):
     assert row.chi2 == pytest.approx(20) and row.cramer_v == pytest.approx(1) and row.n == 20
     up = spark.createDataFrame([("k", i, float(i)) for i in range(10)], "key string, t int, v double")
     assert repeated.mann_kendall(up, "key", "t", "v").first().tau == 1 and repeated.sen_slope(up, "key", "t", "v").first().slope == 1
+
+
+def test_silhouette_and_dunn_by_blocks(spark):
+    import math
+    import random
+
+    from tessella.operators import clusters
+
+    rng = random.Random(4)
+    rows = [(i, [100 + rng.random(), rng.random(), float(i % 3)], "abc"[i % 3]) for i in range(60)] + [(60, [5.0, 5.0, 5.0], "d"), (61, [100.0, 0.5, 0.0], "a"), (62, [100.0, 0.5, 1e-9], "b"), (None, [0.0] * 3, "a"), (63, None, "a"), (0, [101.0, 1.0, 0.0], "a")]
+    df = spark.createDataFrame(rows, "k long, v array<double>, l string")
+    full = [r for r in rows if r[0] is not None and r[1]]
+    pairs = [(p[0], p[2], q[2], math.dist(p[1], q[1])) for p in full for q in full if p[0] != q[0]]
+    for block in (7, 4096):
+        got = {r["key"]: r for r in clusters.silhouette(df, "k", "v", "l", block=block).collect()}
+        assert len(got) == 63
+        for k, r in got.items():
+            mean = lambda o: (lambda x: sum(x) / len(x) if x else None)([d for p, _, q, d in pairs if p == k and q == o])
+            own, near = mean(r["label"]), min(mean(o) for o in "abcd" if o != r["label"])
+            assert r["b"] == pytest.approx(near) and (r["a"] is None and r["silhouette"] == 0 if own is None else r["silhouette"] == pytest.approx((near - own) / max(near, own)))
+        want = min(d for _, p, q, d in pairs if p != q) / max(d for _, p, q, d in pairs if p == q)
+        assert clusters.dunn(df, "k", "v", "l", block=block).first()["dunn"] == pytest.approx(want, rel=1e-9)
+    assert clusters.silhouette(df.limit(0), "k", "v", "l").count() == 0 and clusters.dunn(df.limit(0), "k", "v", "l").first()["dunn"] is None
+
+
+def test_dunn_of_more_than_20000_vectors(spark):
+    from tessella.operators import clusters
+
+    df = spark.range(20002).select("id", F.array(F.when(F.col("id") % 2 == 0, 0.0).otherwise(10.0) + F.col("id") / 20001).alias("v"), (F.col("id") % 2).alias("l"))
+    assert clusters.dunn(df, "id", "v", "l").first()["dunn"] == pytest.approx((10 + 1 / 20001 - 20000 / 20001) / (20000 / 20001), rel=1e-9)
