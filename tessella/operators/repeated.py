@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -82,12 +84,13 @@ def proportion_ci(rows: DataFrame, k: str, n: str, z: float = 1.959963984540054)
 
 def ewma_chart(rows: DataFrame, key: str, order: list[str], value: str, lam: float = 0.2, nsigmas: float = 3.0) -> DataFrame:
     """The moving average with its limits about the mean of the series; sigma from moving ranges / 1.128. Carried as a sum of
-    scaled terms over the frame, restarted every 200 steps where older weights have vanished."""
+    scaled terms over the frame, which begins where older weights are below double precision (200 steps or more, by `lam`)."""
     w = Window.partitionBy("key").orderBy("t")
     s = rows.select(F.col(key).alias("key"), *order, clean(value).alias("v")).where("v is not null").withColumn("t", F.row_number().over(Window.partitionBy("key").orderBy(*order)))
     s = s.withColumn("mr", F.abs(F.col("v") - F.lag("v").over(w)))
     base = s.groupBy("key").agg(F.avg("v").alias("center"), (F.avg("mr") / 1.128).alias("sigma"))
-    last = F.collect_list("v").over(w.rowsBetween(-200, 0))
+    steps = max(200, math.ceil(-40 / math.log1p(-lam))) if lam < 1 else 200
+    last = F.collect_list("v").over(w.rowsBetween(-steps, 0))
     acc = F.aggregate(last, F.struct(F.lit(None).cast("double").alias("z")), lambda a, x: F.struct((lam * x + (1 - lam) * F.coalesce(a["z"], F.col("center"))).alias("z")))["z"]
     t = s.join(base, "key").withColumn("ewma", acc)
     half = nsigmas * F.col("sigma") * F.sqrt(F.lit(lam / (2 - lam)) * (1 - F.pow(F.lit(1 - lam), 2 * F.col("t"))))

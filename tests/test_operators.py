@@ -100,3 +100,13 @@ def test_dunn_of_more_than_20000_vectors(spark):
 
     df = spark.range(20002).select("id", F.array(F.when(F.col("id") % 2 == 0, 0.0).otherwise(10.0) + F.col("id") / 20001).alias("v"), (F.col("id") % 2).alias("l"))
     assert clusters.dunn(df, "id", "v", "l").first()["dunn"] == pytest.approx((10 + 1 / 20001 - 20000 / 20001) / (20000 / 20001), rel=1e-9)
+
+
+def test_ewma_of_long_series_with_small_lambda(spark):
+    values = [0.0] * 100 + [float(i % 7) for i in range(500)]
+    df = spark.createDataFrame([("k", i, v) for i, v in enumerate(values)], "k string, i int, v double")
+    for lam in (0.01, 1.0):
+        z = sum(values) / len(values)
+        for r, v in zip(repeated.ewma_chart(df, "k", ["i"], "v", lam=lam).orderBy("t").collect(), values, strict=True):
+            z = lam * v + (1 - lam) * z
+            assert r["ewma"] == pytest.approx(z, abs=1e-9)
