@@ -14,10 +14,11 @@ import os
 import re
 from array import array
 
-_CACHED = 200_000
-#: Letters that no normalizer changes but for their case, and marks that never join with them.
+#: Pieces kept in each of two generations; a worker's cache takes about 200 bytes for each.
+_CACHED = 600_000
+#: Letters that no normalizer changes but for their case, and the ASCII marks, which never join with them.
 _LATIN = "A-Za-zÀ-ÖØ-öø-įĲ-ſ"
-_PLAIN = re.compile(f"([{_LATIN}]+)([.,;:!?]*)").fullmatch
+_PLAIN = re.compile(rf"([{_LATIN}]+)([!-/:-@\[-`{{-~]*)").fullmatch
 #: Byte-level BPE writes each byte as a visible character: itself if printable, else the next free one from 256 on.
 _VISIBLE = [*range(33, 127), *range(161, 173), *range(174, 256)]
 _SHOWN = {b: b for b in _VISIBLE} | {b: 256 + i for i, b in enumerate(sorted(set(range(256)) - set(_VISIBLE)))}
@@ -25,6 +26,24 @@ _LEAD = chr(_SHOWN[32])
 _encoders: dict[str, Encoder] = {}
 
 
+class _Joined(Exception):
+    """White space joins across the ends of a piece."""
+
+
+class _Pieces(dict):
+    """Ids of pieces behind a space; what it does not hold comes from the generation before it, or is made."""
+
+    def __init__(self, make, old: dict):
+        self.make, self.old = make, old
+
+    def __missing__(self, piece: str) -> bytes:
+        ids = self.old.get(piece)
+        if ids is None:
+            ids = self.make(piece)
+        self[piece] = ids
+        return ids
+
+
 class Encoder:
     """`encode(text)` gives the ids as little-endian unsigned 32-bit bytes."""
 
@@ -34,6 +53,7 @@ class Encoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.model = self.tokenizer.model
+        self.bytes_of = [i.to_bytes(4, "little") for i in range(self.tokenizer.get_vocab_size())]
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         pre = spec.get("pre_tokenizer") or {}
@@ -45,22 +65,21 @@ class Encoder:
         if spec["model"]["type"] != "BPE" or any(" " in t["content"] or t["lstrip"] or t["rstrip"] or t["single_word"] for t in spec.get("added_tokens", [])):
             self.mode = "whole"
         self.lead = " " if self.mode == "led" else ""
-        self.new: dict[str, bytes] = {}
-        self.old: dict[str, bytes] = {}
+        self.shown_lead = _LEAD if self.lead else ""
+        self.known = _Pieces(self._made, {})
         self.bare: dict[str, bytes] = {}
 
     def whole(self, text: str) -> bytes:
         return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
 
-    def _run(self, run: str) -> bytes:
-        """Ids of letters, or of marks, as the model sees them."""
-        if self.lead:
-            shown = run if run[0] != " " else _LEAD + run[1:]
-        else:
-            shown = run.lower()
+    def _run(self, run: str, lead: str = "") -> bytes:
+        """Ids of letters, or of marks, as the model sees them behind `lead`."""
+        if not self.lead:
+            run = run.lower()
         if not run.isascii():
-            shown = (run if self.lead else shown).encode().decode("latin-1").translate(_SHOWN)
-        return array("I", [t.id for t in self.model.tokenize(shown)]).tobytes()
+            run = run.encode().decode("latin-1").translate(_SHOWN)
+        table = self.bytes_of
+        return b"".join([table[t.id] for t in self.model.tokenize(lead + run)])
 
     def _first(self, piece: str) -> bytes:
         """Ids of a piece at the start of its text or line."""
@@ -71,52 +90,48 @@ class Encoder:
             plain = _PLAIN(piece)
             if not plain:
                 ids = self.whole(piece)
+            elif plain[2]:
+                ids = self._first(plain[1]) + self._first(plain[2])
             else:
-                ids = self._run(plain[1]) + (self._first(plain[2]) if plain[2] and plain[1] else b"")
+                ids = self._run(piece)
             self.bare[piece] = ids
         return ids
 
-    def _missing(self, piece: str) -> bytes | None:
-        """Ids of a piece behind a space; None if white space joins across its ends."""
-        ids = self.old.get(piece)
-        if ids is None:
-            letters = piece.isalpha() and piece.isascii()
-            plain = None if letters else _PLAIN(piece)
-            if letters:
-                ids = self._run(self.lead + piece)
-            elif plain:
-                ids = (self.new.get(plain[1]) if plain[2] else None) or self._run(self.lead + plain[1])
-                if plain[2]:
-                    ids += self._first(plain[2])
-            elif not piece or piece[0].isspace() or piece[-1].isspace():
-                return None if self.lead else self.whole(piece)
-            elif "\n" in piece:  # seldom seen again: not kept
-                lines = piece.split("\n")
-                if not all(lines) or any(x[0].isspace() or x[-1].isspace() for x in lines):
-                    return self.whole(self.lead + piece)
+    def _made(self, piece: str) -> bytes:
+        """Ids of a piece behind a space."""
+        if piece.isalpha() and piece.isascii():
+            return self._run(piece, self.shown_lead)
+        plain = _PLAIN(piece)
+        if plain:
+            word, marks = plain.groups()
+            return self.known[word] + self._first(marks) if marks else self._run(piece, self.shown_lead)
+        if not piece or piece[0].isspace() or piece[-1].isspace():
+            if self.lead:
+                raise _Joined
+        elif "\n" in piece:
+            lines = piece.split("\n")
+            if all(lines) and not any(x[0].isspace() or x[-1].isspace() for x in lines):
                 end = self._first("\n") if self.lead else b""
-                return (self.new.get(lines[0]) or self._missing(lines[0])) + b"".join([end + self._first(x) for x in lines[1:]])
-            else:
-                ids = self.whole(self.lead + piece)
-        if len(self.new) >= _CACHED:
-            self.old, self.new = self.new, {}
-        self.new[piece] = ids
-        return ids
+                return self.known[lines[0]] + b"".join([end + self._first(x) for x in lines[1:]])
+        return self.whole(self.lead + piece)
 
     def encode(self, text: str) -> bytes:
         if self.mode == "whole" or not text:
             return self.whole(text)
-        known, missing = self.new.get, self._missing
-        pieces = text.split(" ")
-        if self.lead:
-            # the first has no space before it; white space at its end would join with the space that follows
-            first = pieces[0]
-            found = [known(p) or missing(p) for p in pieces[1:]]
-            if not first or first[-1].isspace() or None in found:
-                return self.whole(text)
-            found.insert(0, self._first(first) if "\n" not in first else self.whole(first))
-            return b"".join(found)
-        return b"".join([known(p) or missing(p) for p in pieces])
+        if len(self.known) >= _CACHED:
+            self.known.old = {}
+            self.known = _Pieces(self._made, self.known)
+        if not self.lead:
+            return b"".join(map(self.known.__getitem__, text.split(" ")))
+        # the first piece has no space before it; white space at its end would join with the space that follows
+        first, *pieces = text.split(" ")
+        if not first or first[-1].isspace():
+            return self.whole(text)
+        try:
+            rest = b"".join(map(self.known.__getitem__, pieces))
+        except _Joined:
+            return self.whole(text)
+        return (self._first(first) if "\n" not in first else self.whole(first)) + rest
 
 
 def encoder(path: str) -> Encoder:
