@@ -1,6 +1,8 @@
 import re
 
-from tessella.llm.url_filter import Rule, host_path_rule, url_filter, word_rule
+import pytest
+
+from tessella.llm.url_filter import Rule, _filed, host_path_rule, url_filter, word_rule
 
 URLS = [
     None, "", "no scheme", "http://", "https://COM/en/1", "http://a.example.com/en/7", "http://example.com/en/75?x=/en/", "http://example.com/en/8#top",
@@ -19,7 +21,7 @@ def brute(url):
     fits = [(len(h) + len(p), h + p, v) for v, h, p in RULES if (host == h or host.endswith("." + h)) and path.startswith(p)]
     if fits:
         return (host, path, *max(fits)[1:])
-    spam = re.search(r"(^|[^a-z0-9])cheap[^a-z0-9]pills([^a-z0-9]|$)", f"{host} {path}")
+    spam = re.search(r"(^|[^a-z0-9])cheap[^a-z0-9]pills([^a-z0-9]|$)", f"{host} {path}".lower())
     return host, path, None, "block" if spam else "allow"
 
 
@@ -32,9 +34,31 @@ def test_matches_brute_force(spark):
 
 
 def test_rules_are_filed_under_their_rarest_token(spark):
+    assert [e["t"] for e in _filed([host_path_rule("block", "rare.com", "/en/")], {"com": 21, "en": 21, "rare": 1})] == ["rare"]
+    assert [e["t"] for e in _filed([Rule("any", "block", ".*", (), 0)], {})] == [""]
     df = spark.createDataFrame([(f"http://example.com/en/{i}",) for i in range(20)] + [("http://rare.com/en/",)], "url string")
     plan = url_filter(df, [host_path_rule("block", "rare.com", "/en/")])._jdf.queryExecution().optimizedPlan().toString()
-    assert "[rare]" in plan
+    assert "[rare," in plan and "from_json" not in plan and "Join" not in plan
+
+
+@pytest.mark.parametrize("limits", [{}, {"index_bytes": 0}, {"index_bytes": 0, "broadcast_bytes": 0}])
+def test_spaces_and_case_on_every_way(spark, limits):
+    more = ["http://foo.de/a.com /en/7", "http://a.com /en/7", "http://a.com\n/en/7", "http://foo.de/x com/en/", "http://foo.de/CHEAP-pills", "http://Cheap-Pills.de", "http://foo.de/Cheap/pills/", "http://example.ORG/Es/", "http://a.spam/cheap", "http://x.cheap/pills"]
+    df = spark.createDataFrame([(i, u) for i, u in enumerate((URLS + more) * 2)], "page_id long, url string")
+    got = url_filter(df, [host_path_rule(*r) for r in RULES] + [word_rule("block", "cheap-pills")], **limits).collect()
+    assert len(got) == 2 * len(URLS + more)
+    for r in got:
+        assert (r._url.host, r._url.path, r._url.rule, r._url.verdict) == brute(r.url), r.url
+
+
+@pytest.mark.parametrize("limits", [{}, {"index_bytes": 0}])
+def test_twenty_thousand_rules(spark, limits):
+    rules = [host_path_rule("block" if i % 3 else "allow", f"h{i}.com", f"/p{i % 7}/") for i in range(20_000)]
+    urls = [f"http://www.h{i}.com/p{i % 5}/x" for i in range(0, 20_000, 40)] + ["http://h1.com", "http://xh7.com/p0/"]
+    fits = {f"h{i}.com/p{i % 7}/": "block" if i % 3 else "allow" for i in range(20_000)}
+    for r in url_filter(spark.createDataFrame([(u,) for u in urls], "url string"), rules, "none", **limits).collect():
+        name = r._url.host.removeprefix("www.") + r._url.path.removesuffix("x")
+        assert (r._url.rule, r._url.verdict) == ((name, fits[name]) if name in fits and r._url.path else (None, "none")), r.url
 
 
 def test_edges(spark):
