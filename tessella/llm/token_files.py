@@ -32,7 +32,7 @@ def _dictionary(docs: DataFrame, tokenizer: str, end_id: int, dtype: str, sample
     """Trained on at most `sample` documents of at most 64 KB, those with the least hashes of their ids."""
     order = F.xxhash64("id")
     least = docs.select(order.alias("o")).distinct().orderBy("o").limit(sample).agg(F.max("o")).first()[0]
-    texts = [] if least is None else [r["text"] for r in docs.where((order <= least) & F.octet_length("text").between(1, 1 << 16)).limit(sample).select(order.alias("o"), "text").collect()]
+    texts = [] if least is None else [r["text"] for r in docs.where((order <= least) & F.octet_length("text").between(1, 1 << 16)).select("text", order.alias("o")).orderBy("o", "text").limit(sample).collect()]
     arrays = [np.append(np.frombuffer(encoder(tokenizer).encode(t), "<u4"), end_id).astype(dtype).tobytes() for t in texts]
     try:
         return zstandard.train_dictionary(size, arrays).as_bytes()
@@ -48,7 +48,7 @@ def _codec(dictionary: bytes, level: int | None = None):
 def write_token_files(docs: DataFrame, path: str, tokenizer: str, end_id: int = 2, id_col: str = "doc_id", text_col: str = "text", shard_bytes: int = 4 << 20, level: int = 3, sample: int = 512, dictionary_bytes: int = 32 << 10, group_bytes: int = 8 << 20) -> None:
     """Encodes every whole text (null: empty), adds `end_id`, and writes the files in ascending document id.
 
-    Ids are numbers; rows that share an id keep all their copies, side by side; null ids come first and have no entry to
+    Ids are numbers; rows that share an id keep all their copies, side by side in the order of their texts' hashes; null ids come first and have no entry to
     be found by. An empty table gives a dictionary and no shards. Other columns are not stored.
     """
     from tokenizers import Tokenizer
@@ -88,7 +88,7 @@ def write_token_files(docs: DataFrame, path: str, tokenizer: str, end_id: int =
             yield shard()
 
     n = parts(spark, volume(rows)[1], group_bytes)
-    rows.repartitionByRange(n, "id").sortWithinPartitions("id").select(F.spark_partition_id().alias("part"), "id", "text").mapInArrow(batches_of(shards), _SHARDS).write.parquet(f"{path}/shards")
+    rows.withColumn("h", F.xxhash64("text")).repartitionByRange(n, "id", "h").sortWithinPartitions("id", "h", "text").select(F.spark_partition_id().alias("part"), "id", "text").mapInArrow(batches_of(shards), _SHARDS).write.parquet(f"{path}/shards")
 
 
 def _entries(blob: bytes) -> tuple[np.ndarray, np.ndarray]:
