@@ -11,6 +11,7 @@ import uuid
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -23,10 +24,12 @@ SPACES = bytes([0x20, *range(0x09, 0x0E)])
 NOT_ALNUM = bytes(b for b in range(0x80) if not chr(b).isalnum())
 
 _SEGMENT = 1 << 18
-_B = 0x9E3779B97F4A7C15 | 1
 _U = np.uint64
-_CODES = np.random.default_rng(20240501).integers(1, 2**63, 256, dtype=np.uint64)
-_powers: list[np.ndarray] = []
+#: Keys of the word hash: one for each length up to eight bytes, two for the steps of longer words.
+_KEYS = np.random.default_rng(20240501).integers(1, 2**63, 16, dtype=np.uint64) | _U(1)
+_MASKS = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
+#: Words beyond this many bytes are hashed one by one.
+_LONG = 64
 
 
 def tune(spark: SparkSession, megabytes: int = 8) -> None:
@@ -129,16 +132,40 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
-def _pows(n: int) -> tuple[np.ndarray, np.ndarray]:
-    if not _powers or len(_powers[0]) < n:
-        size = max(n, 2 * _SEGMENT)
-        steps = []
-        for base in (_B, pow(_B, -1, 2**64)):
-            f = np.full(size, base, np.uint64)
-            f[0] = 1
-            steps.append(np.multiply.accumulate(f))
-        _powers[:] = steps
-    return _powers[0], _powers[1]
+def _spread(x: np.ndarray) -> np.ndarray:
+    """A one-to-one map of 64-bit numbers in which every input bit reaches every output bit."""
+    x ^= x >> _U(31)
+    x *= _U(0x7FB5D329728EA185)
+    x ^= x >> _U(27)
+    x *= _U(0x81DADEF4BC2DD44D)
+    x ^= x >> _U(33)
+    return x
+
+
+def hash_words(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """64-bit hashes of byte strings, eight bytes a step, keyed: strings of one length up to eight bytes never collide, and
+    longer ones go through a one-to-one map after every step, so no pattern of letters cancels out. data: with eight bytes
+    more behind the last string. Beyond `_LONG` bytes a string is hashed by xxh3 with a seed."""
+    words = np.ndarray((max(len(data) - 7, 0),), "<u8", data, strides=(1,))
+    sizes = ends - starts
+    if not len(starts):
+        return np.zeros(0, np.uint64)
+    short = np.minimum(sizes, 8)
+    h = _spread((words[starts] & _MASKS[short]) ^ _KEYS[short])
+    more = np.flatnonzero(sizes > 8)
+    at = 8
+    while len(more):
+        left = sizes[more] - at
+        big = left > _LONG - at if at == 8 else np.zeros(0, bool)
+        if big.any():
+            for i in more[big].tolist():
+                h[i] = xxhash.xxh3_64_intdigest(data[starts[i] : ends[i]].tobytes(), seed=20240501)
+            more, left = more[~big], left[~big]
+        part = words[starts[more] + at] & _MASKS[np.minimum(left, 8)]
+        h[more] = _spread((h[more] * _KEYS[9] + _KEYS[10]) ^ _spread((part + _KEYS[11]) ^ sizes[more].astype(np.uint64) * _KEYS[12]))
+        at += 8
+        more = more[sizes[more] > at]
+    return h
 
 
 class Splitter:
@@ -148,9 +175,9 @@ class Splitter:
         self.heads = heads
         self.sep = np.zeros(256, bool)
         self.sep[list(seps)] = True
-        self.code = _CODES.copy()
-        if lower:
-            self.code[65:91] = self.code[97:123]
+        self.lowered = np.arange(256, dtype=np.uint8)
+        self.lowered[65:91] += 32
+        self.lower = lower
 
     def __call__(self, data: np.ndarray, bounds: np.ndarray) -> tuple:
         """Hashes, starts and ends of all words, and the number of words before each text.
@@ -181,11 +208,10 @@ class Splitter:
             last[cut - 1] = word[cut - 1]
             s, e = np.flatnonzero(first), np.flatnonzero(last) + 1
             if len(s):
-                up, down = _pows(len(seg) + 1)
-                total = np.zeros(len(seg) + 1, np.uint64)
-                np.cumsum(self.code[seg] * up[: len(seg)], out=total[1:])
-                firsts = [np.where(e - s > k, _mix((total[np.minimum(s + k, e)] - total[s]) * down[s]), _U(0)) for k in self.heads]
-                out.append((_mix((total[e] - total[s]) * down[s]), s + at, e + at, *firsts))
+                padded = np.zeros(len(seg) + 8, np.uint8)
+                padded[:-8] = self.lowered[seg] if self.lower else seg
+                firsts = [np.where(e - s > k, hash_words(padded, s, s + k), _U(0)) for k in self.heads]
+                out.append((hash_words(padded, s, e), s + at, e + at, *firsts))
             at = stop
         none = np.zeros(0, np.uint64)
         h, s, e, *firsts = (np.concatenate(x) for x in zip(*out, strict=True)) if out else (none, np.zeros(0, np.int64), np.zeros(0, np.int64), *[none for _ in self.heads])

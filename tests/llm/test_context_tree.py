@@ -9,6 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tessella.llm.context_tree import _block, _log_gamma, score_texts
+from tests.llm.test_substring_dedup import THUE_MORSE
 
 
 def kt(a, b):
@@ -124,3 +125,9 @@ def test_whole_table(spark):
     held = [r for r in got if r.held_out]
     size = sum(len(b" ".join(texts[r.doc_id].encode().split())) + 1 for r in held)
     assert -sum(r.score for r in held) * math.log2(10) / size < 3  # bits per byte; a byte without a model takes 8
+
+
+def test_words_that_fool_polynomials(spark):
+    docs = spark.createDataFrame([(0, THUE_MORSE[0]), (1, THUE_MORSE[1]), (2, THUE_MORSE[0])], "doc_id long, text string")
+    got = {r.doc_id: r.n_known for r in score_texts(docs, F.col("doc_id") == 0).collect()}
+    assert got == {0: 2, 1: 1, 2: 2}

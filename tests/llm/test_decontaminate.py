@@ -5,6 +5,7 @@ import re
 import pytest
 
 from tessella.llm.decontaminate import decontaminate
+from tests.llm.test_substring_dedup import THUE_MORSE
 
 
 def words(t):
@@ -76,3 +77,11 @@ def test_whole_table(spark):
     want = [(d, n, h, len(i), hashlib.sha256(",".join(i).encode()).hexdigest(), h > 0) for d, n, h, i in brute(docs, items, 10)]
     assert sorted([tuple(r) for r in op10_benchmark_decontamination(spark, d).collect()], key=str) == sorted(want, key=str)
     assert sum(w[5] for w in want) > 0
+
+
+def test_words_that_fool_polynomials(spark):
+    rest = " ".join(f"w{i}" for i in range(12))
+    items = [(0, f"{THUE_MORSE[0]} {rest}"), (1, THUE_MORSE[1])]
+    docs = [(0, f"{THUE_MORSE[1]} {rest[:20]} x"), (1, f"{THUE_MORSE[0]} {rest}"), (2, f"x {THUE_MORSE[0]} y")]
+    got = decontaminate(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()
+    assert sorted([(r.doc_id, r.n_words, r.n_hit, sorted(r["items"])) for r in got], key=str) == brute(docs, items, 10)

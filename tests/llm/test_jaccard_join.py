@@ -5,6 +5,7 @@ import pytest
 
 from tessella.llm.graph import components
 from tessella.llm.jaccard_join import jaccard_join
+from tests.llm.test_substring_dedup import THUE_MORSE
 
 
 def shingles(t, k):
@@ -77,3 +78,10 @@ def test_whole_table(spark):
     d = "/root/testdata/sf0.001"
     rows = [(r.doc_id, r.text) for r in spark.read.parquet(f"{d}/documents.parquet").collect()]
     assert sorted([tuple(r) for r in op3_ngram_jaccard_join(spark, d).collect()], key=str) == brute(rows, 5, 75)
+
+
+def test_words_that_fool_polynomials(spark):
+    rest = " ".join(f"w{i}" for i in range(8))
+    rows = [(i, f"{a} {rest} {b}") for i, (a, b) in enumerate([THUE_MORSE, THUE_MORSE[::-1], THUE_MORSE])]
+    got = jaccard_join(spark.createDataFrame(rows, "doc_id long, text string"), 5, 75).collect()
+    assert sorted((r.doc_id, r.n_shingles, r.component_id) for r in got) == brute(rows, 5, 75) == [(0, 6, 0), (1, 6, 1), (2, 6, 0)]

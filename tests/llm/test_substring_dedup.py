@@ -2,10 +2,14 @@ import hashlib
 import random
 import re
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tessella.llm.substring_dedup import substring_dedup
+from tessella.llm.substring_dedup import _matched, substring_dedup
+
+#: A word and its complement, of one hash under any polynomial modulo 2 ** 64.
+THUE_MORSE = ["".join(pair[bin(i).count("1") % 2] for i in range(1024)) for pair in ("ab", "ba")]
 
 
 def brute(rows, n):
@@ -45,7 +49,7 @@ def made(seed, n=60):
     return rows
 
 
-@pytest.mark.parametrize("words,levels", [(8, 1), (8, 2), (8, 0), (20, 2)])
+@pytest.mark.parametrize("words,levels", [(8, 1), (8, 2), (8, 0), (20, 2), (7, 2), (13, 3)])
 def test_matches_brute_force(spark, words, levels):
     rows = made(words + levels)
     df = spark.createDataFrame(rows, "doc_id long, text string")
@@ -59,8 +63,22 @@ def test_edges(spark):
     df = spark.createDataFrame([(1, "a b c d", "q", 3), (2, "z a b c d y", None, None)], "doc_id long, text string, n_words string, kept int")
     rows = {r.doc_id: r for r in substring_dedup(df, 4, 1).collect()}
     assert rows[1].n_removed == 0 and rows[2].kept == "z y" and rows[2].spans == [[1, 5]] and rows[1].rest.n_words == "q"
-    with pytest.raises(ValueError):
-        substring_dedup(df, 50, 2)
+    assert {r.n_removed for r in substring_dedup(df, 50, 2).collect()} == {0}
+
+
+def test_words_that_fool_polynomials(spark):
+    rest = " ".join(f"w{i}" for i in range(49))
+    rows = [(i, f"{rest} {w}") for i, w in enumerate([*THUE_MORSE, THUE_MORSE[0]])]
+    got = substring_dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted([(r.doc_id, r.n_words, r.n_removed, r.kept_sha256) for r in got]) == brute(rows, 50)
+    assert sorted(r.n_removed for r in got) == [0, 0, 50]
+
+
+def test_unlike_runs_of_one_hash_are_told_apart():
+    table, twin = np.array([3, 5, 5, 5, 9], np.uint64), np.array([1, 1, 2, 4, 1], np.uint64)
+    runs, twins = np.array([5, 5, 5, 5, 9, 9, 3, 4], np.uint64), np.array([1, 2, 3, 4, 1, 2, 2, 1], np.uint64)
+    place, hit = _matched(table, twin, runs, twins)
+    assert hit.tolist() == [True, True, False, True, True, False, False, False] and place[hit].tolist() == [1, 2, 3, 4]
 
 
 def test_whole_table(spark):
