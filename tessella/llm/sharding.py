@@ -2,10 +2,11 @@
 
 Rows are ordered by a 64-bit hash of their group (by default the text, so equal texts stay together). A round counts the
 exact bytes and rows between the probes on all partitions, as one grouped sum; every splitter then keeps the two probes
-around its target and gets new ones between them. Groups that alone pass the tolerance are laid out first, whole, each
-in the shard with the most room, and lower that shard's target; only a group that is larger than a shard is spread by
-row. Every shard is parted
-into bins of bounded bytes by key, whose row counts give each row its slot without one task ever holding a shard.
+around its target and gets new ones between them. Groups of many bytes or rows are laid out first, whole, each in the
+shard with the most room, and lower that shard's target; only a group that is larger than a shard is cut into equal parts,
+one for each shard. Rows of such groups are numbered by their place in the partitions that hold them, so neither ids nor
+any other column need tell them apart. The other rows of a shard are parted into bins of bounded bytes by key. Row counts
+of bins and groups give each row its slot without one task ever holding a shard or a hot group.
 """
 
 from __future__ import annotations
@@ -75,12 +76,14 @@ def splitters(keys: DataFrame, targets: list[int], tolerance: float, rounds: int
     return best
 
 
-def shard(docs: DataFrame, shards: int = 8, tolerance: float = 0.002, id_col: str = "doc_id", text_col: str = "text", bin_bytes: int = 16 << 20) -> DataFrame:
+def shard(docs: DataFrame, shards: int = 8, tolerance: float = 0.002, id_col: str = "doc_id", text_col: str = "text", bin_bytes: int = 16 << 20, group_bytes: int = 256 << 20, group_rows: int = 1 << 20) -> DataFrame:
     """Adds to each row _shard: struct(size, text_crc32, shard, slot). `size` is the UTF-8 bytes of the text (null: none) plus one.
 
     Shards have near-equal bytes: within `tolerance` of a shard's share, plus the weight of one group of at most that size.
     Equal texts share a shard unless they alone are larger than one. Null and empty texts are one group. Rows may repeat
-    in all columns, ids may be null; each row has its own slot, gapless from 0 in its shard. An empty table stays empty.
+    in all columns, ids may be null or all the same; each row has its own slot, gapless from 0 in its shard. An empty
+    table stays empty. What the driver and all tasks hold are the groups beyond the tolerance, `group_bytes` or
+    `group_rows`, of which there can only be as many as those bounds fit into the table.
     """
     text = F.coalesce(F.col(text_col), F.lit(""))
     keyed = docs.withColumn("_shard", F.struct((F.octet_length(text) + 1).cast("long").alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"), F.xxhash64(text).alias("key")))
@@ -88,8 +91,7 @@ def shard(docs: DataFrame, shards: int = 8, tolerance: float = 0.002, id_col: st
     total = int(keys.agg(F.sum("bytes")).first()[0] or 0)
     share, limit = total / shards, max(1.0, tolerance * total / shards)
 
-    # groups beyond the tolerance: at most shards / tolerance of them
-    heavy = keys.where(F.col("bytes") > limit).orderBy(F.desc("bytes"), "key").collect()
+    heavy = keys.where((F.col("bytes") > min(limit, group_bytes)) | (F.col("rows") > group_rows)).orderBy(F.desc("bytes"), "key").collect()
     room, homes = [share] * shards, {}
     for r in heavy:
         if r["bytes"] <= share:
@@ -98,51 +100,63 @@ def shard(docs: DataFrame, shards: int = 8, tolerance: float = 0.002, id_col: st
                 homes[r["key"]] = [k]
                 room[k] -= r["bytes"]
                 continue
-        homes[r["key"]] = list(range(shards))  # larger than a shard: spread by row, the exact bytes counted
-        deal = F.pmod(F.xxhash64(F.col(id_col)), F.lit(shards))
-        dealt = keyed.where(F.col("_shard.key") == r["key"]).groupBy(deal.alias("k")).agg(F.sum("_shard.size").alias("b")).collect()
-        for d in dealt:
-            room[d["k"]] -= d["b"]
-    light = keys.join(F.broadcast(_table(docs, homes)), "key", "left_anti") if homes else keys
+        homes[r["key"]] = list(range(shards))  # larger than a shard, or than what is left of any: cut
+        each = [r["rows"] * (k + 1) // shards - r["rows"] * k // shards for k in range(shards)]
+        room = [x - n * r["bytes"] / r["rows"] for x, n in zip(room, each, strict=True)]  # the rows of a group weigh the same
+    light = keys.join(F.broadcast(_table(docs, {k: [] for k in homes}, "")), "key", "left_anti") if homes else keys
     room = [max(0.0, x) for x in room]
     rest = int(light.agg(F.sum("bytes")).first()[0] or 0)
     scale = rest / sum(room) if sum(room) else 0
     cuts = splitters(light, [int(x) for x in np.cumsum([x * scale for x in room])[:-1]], limit / 2) if rest else [_LOW] * (shards - 1)
     cuts = [int(x) for x in np.maximum.accumulate(np.array(cuts, object))] if cuts else []
 
-    # bins: equal parts of a shard's keys, which are hashes; then each heavy group's rows have bins of their own
+    # slots: first the heavy groups' rows, group by group, then those of the bins, which are equal parts of a shard's keys
+    before, placed = [0] * shards, {}
+    for r in heavy:
+        where = homes[r["key"]]
+        ends = [r["rows"] * (k + 1) // len(where) for k in range(len(where))]
+        starts = [0, *ends[:-1]]
+        placed[r["key"]] = [where, starts, [before[k] for k in where]]
+        for k, a, b in zip(where, starts, ends, strict=True):
+            before[k] += b - a
     bins = [max(1, math.ceil(x * scale / bin_bytes)) for x in room]
     owner = [k for k in range(shards) for _ in range(bins[k])]
     first = [int(x) for x in np.cumsum([0, *bins[:-1]])]
     edges = [_LOW, *cuts, _HIGH]
     steps = [max((edges[k + 1] - edges[k]) / bins[k], 1.0) for k in range(shards)]
-    spread: dict[int, list[int]] = {}
-    for r in heavy:
-        many = len(homes[r["key"]])
-        n = max(1, math.ceil(r["bytes"] / many / bin_bytes), math.ceil(r["rows"] / many / 4096))
-        spread[r["key"]] = [len(owner), n, many]
-        owner += [k for _ in range(n) for k in homes[r["key"]]]
-    key = F.col("_shard.key")
-    keyed = keyed.withColumn("_key", key).withColumn("_at", _place(cuts, "_key") + 1)
-    of = lambda values: F.element_at(F.lit(values), F.col("_at"))
-    part = F.floor((F.col("_key").cast("double") - of([float(e) for e in edges[:-1]])) / of(steps))
-    keyed = keyed.withColumn("_bin", (of(first) + F.least(F.greatest(part, F.lit(0)), of(bins) - 1)).cast("int")).drop("_at")
-    if spread:
-        deal = F.broadcast(_table(docs, spread, "_first int, _n int, _many int"))
-        own = F.col("_first") + F.pmod(F.hash(F.lit("bin"), F.col(id_col)), F.col("_n")) * F.col("_many") + F.pmod(F.xxhash64(F.col(id_col)), F.col("_many"))
-        keyed = keyed.join(deal.withColumnRenamed("key", "_key"), "_key", "left").withColumn("_bin", F.when(F.col("_n").isNotNull(), own).otherwise(F.col("_bin")).cast("int")).drop("_first", "_n", "_many")
-    counts = {r["_bin"]: r["c"] for r in keyed.groupBy("_bin").agg(F.count(F.lit(1)).alias("c")).collect()}  # one row for each bin
-    before, offset = [0] * shards, []
+
+    def binned(rows: DataFrame, key: str) -> DataFrame:
+        rows = rows.withColumn("_key", F.col(key)).withColumn("_at", _place(cuts, "_key") + 1)
+        of = lambda values: F.element_at(F.lit(values), F.col("_at"))
+        part = F.floor((F.col("_key").cast("double") - of([float(e) for e in edges[:-1]])) / of(steps))
+        return rows.withColumn("_bin", (of(first) + F.least(F.greatest(part, F.lit(0)), of(bins) - 1)).cast("int")).drop("_at")
+
+    counts = {r["_bin"]: r["c"] for r in binned(light, "key").groupBy("_bin").agg(F.sum("rows").alias("c")).collect()}  # one row for each bin
+    offset = []
     for b, k in enumerate(owner):
         offset.append(before[k])
         before[k] += counts.get(b, 0)
+    groups = F.broadcast(_table(docs, placed, "_where array<int>, _starts array<long>, _offsets array<long>")) if heavy else None
+    cold = keyed.join(groups, F.col("_shard.key") == F.col("key"), "left_anti") if heavy else keyed
     row = F.row_number().over(Window.partitionBy("_bin").orderBy("_key", id_col)) - 1
     at = F.col("_bin") + 1
     lookup = lambda values: F.element_at(F.lit(values), at)
-    done = keyed.withColumn("_row", row)
-    return done.withColumn("_shard", F.struct("_shard.size", "_shard.text_crc32", lookup(owner).cast("int").alias("shard"), (lookup(offset).cast("long") + F.col("_row")).alias("slot"))).select(*docs.columns, "_shard")
-
-
-def _table(docs: DataFrame, rows: dict[int, list[int]], columns: str = "") -> DataFrame:
-    data = [(k, *(v if columns else [])) for k, v in rows.items()]
+    result = lambda rows, k, slot: rows.withColumn("_shard", F.struct("_shard.size", "_shard.text_crc32", k.cast("int").alias("shard"), slot.cast("long").alias("slot"))).select(*docs.columns, "_shard")
+    done = result(binned(cold, "_shard.key").withColumn("_row", row), lookup(owner), lookup(offset).cast("long") + F.col("_row"))
+    if not heavy:
+        return done
+    # the numbers are stored with the rows, so that a repeated task cannot change them; equal texts take hardly any room
+    hot = written(keyed.join(groups, F.col("_shard.key") == F.col("key")).withColumn("_id", F.monotonically_increasing_id()))
+    part = F.shiftright("_id", 33)
+    here = hot.groupBy("key", part.alias("_part")).agg(F.count(F.lit(1)).alias("n"))
+    ahead = here.select("key", "_part", (F.sum("n").over(Window.partitionBy("key").orderBy("_part")) - F.col("n")).alias("_ahead"))  # one row for each partition
+    within = F.row_number().over(Window.partitionBy("key", "_part").orderBy("_id")) - 1
+    hot = hot.withColumn("_part", part).withColumn("_row", within).join(ahead, ["key", "_part"]).withColumn("_row", F.col("_row") + F.col("_ahead"))
+    k = F.size(F.filter("_starts", lambda s: s <= F.col("_row")))  # the last part that starts at or before the row
+    slot = F.element_at("_offsets", k) + F.col("_row") - F.element_at("_starts", k)
+    return done.union(result(hot, F.element_at("_where", k), slot))
+
+
+def _table(docs: DataFrame, rows: dict[int, list], columns: str = "") -> DataFrame:
+    data = [(k, *v) for k, v in rows.items()]
     return docs.sparkSession.createDataFrame(data, "key long" + (f", {columns}" if columns else ""))

@@ -37,6 +37,18 @@ def test_bytes_near_equal(spark, shards, hot, together):
     judge(shard(df, shards, 0.01, bin_bytes=20000).collect(), rows, shards, 0.06, together)
 
 
+@pytest.mark.parametrize("ids", [lambda i: None, lambda i: 7, lambda i: i % 2])
+def test_rows_that_nothing_tells_apart(spark, ids):
+    rows = [(ids(i), "one text") for i in range(10_000)] + [(i, f"other {i}") for i in range(500)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    judge(shard(df, 8, 0.01).collect(), rows, 8, 0.02, together=False)
+
+
+def test_groups_of_many_rows_are_numbered_by_place(spark):
+    rows = [(None, f"text {i % 7}") for i in range(3000)] + [(i, f"other {i}") for i in range(3000)]
+    judge(shard(spark.createDataFrame(rows, "doc_id long, text string").repartition(5), 4, 0.3, group_rows=100).collect(), rows, 4, 0.4)
+
+
 def test_edges(spark):
     assert shard(spark.createDataFrame([], "doc_id long, text string")).count() == 0
     one = shard(spark.createDataFrame([(1, "a", "x")], "doc_id long, text string, shard string")).collect()
@@ -56,4 +68,5 @@ def test_whole_table(spark):
     rows = op7_sharding(spark, d).collect()
     assert len(rows) == 200 and {r.law for r in rows} == {"bytes"} and {r.grown_shard for r in rows} == {None}
     sizes = [sum(r.size for r in rows if r.shard == k) for k in range(8)]
-    assert all(sorted(r.slot for r in rows if r.shard == k) == list(range(sum(r.shard == k for r in rows))) for k in range(8)) and min(sizes) > 0
+    assert all(sorted(r.slot for r in rows if r.shard == k) == list(range(sum(r.shard == k for r in rows))) for k in range(8))
+    assert max(sizes) - min(sizes) <= 2 * max(r.size for r in rows) + 0.01 * sum(sizes) / 8, sizes
