@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tessella.llm.common import SPACES, Splitter, batches_of, in_sorted, slices, text_bytes, tune
+from tessella.llm.common import SPACES, Splitter, batches_of, in_sorted, slices, text_bytes, tune, written
 
 #: Insults, in two overlapping lists as two labellers would keep them. Fixed values.
 INSULTS_A = ["bastard", "bitch", "clown", "crap", "dumb", "fool", "idiot", "imbecile", "jerk", "loser", "moron", "scum", "stupid", "trash"]
@@ -77,6 +77,8 @@ def _classes() -> np.ndarray:
 _KIND = _classes()
 _WORDS, _LINES = Splitter(SPACES, True), Splitter(b"\n")
 _HEADS = (4, 5, 6, 7)
+#: Labels up to this number (32 MB) are sent to all tasks.
+_BROADCAST = 2_000_000
 _TRIMMED = Splitter(bytes(b for b in range(128) if not chr(b).isalpha()), True, _HEADS)
 
 
@@ -265,9 +267,13 @@ def mine_stems(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str) -
     stem of few documents, such as one of a rare language, is judged by its own use alone."""
     marks = labels.select(F.col(id_col).alias("key"), F.col("toxic").alias("toxic")).where("key is not null and toxic is not null").groupBy("key").agg((F.max("toxic") > 0).alias("toxic"))
     texts = docs.select(F.col(id_col).alias("key"), F.col(text_col).alias("text")).where("key is not null and text is not null").withColumn("hash", F.xxhash64("text"))
-    chosen = texts.select("key", "hash").join(marks, "key").groupBy("hash").agg(F.min("key").alias("key"), F.max("toxic").alias("toxic"))
+    marks = written(marks)
+    small = F.broadcast if marks.count() <= _BROADCAST else lambda x: x  # beyond it, by a shuffle of keys and texts
+    # without the rows of no label, which are most of them, before anything moves
+    labelled = written(texts.join(small(marks), "key"))
+    chosen = labelled.groupBy("hash").agg(F.min("key").alias("key"), F.max("toxic").alias("toxic"))
     again = F.row_number().over(Window.partitionBy("key", "hash").orderBy("hash"))
-    once = texts.join(chosen, ["key", "hash"]).withColumn("again", again).where("again = 1").select("text", "toxic")
+    once = labelled.drop("toxic").join(chosen, ["key", "hash"]).withColumn("again", again).where("again = 1").select("text", "toxic")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         give = lambda x: pa.RecordBatch.from_arrays([pa.array(x[0].view(np.int64)), *map(pa.array, x[1:])], ["stem", "bad", "good", "spread"])
