@@ -10,7 +10,7 @@
 4. Pairs found are verified by their cosine in double precision. A pair counts in the first shard that both share. A
    part tells each node its number of links and only as many links as hold its components together.
 5. Audit: a bounded sample of nodes is compared with all nodes; below `least_recall` the whole is built anew with twice the
-   overlap and the beam.
+   overlap and the beam, and after `rounds` of that every part is compared with every part of its label exactly.
 """
 
 from __future__ import annotations
@@ -27,13 +27,13 @@ from pyspark.sql import functions as F
 from tessella.llm.common import tune, written
 from tessella.llm.graph import components
 
-_NODE = "id long, label int, weight long, vector array<double>"
+_NODE = "id long, label string, weight long, vector array<double>"
 
 
 def unit_nodes(vectors: DataFrame, id_col: str, vector_col: str, label_col: str) -> tuple[DataFrame, DataFrame]:
     """Nodes (equal directions of one label, under their least id), and members (id, node). Others are left out: without
     a label, null, empty, zero, or with a null or non-finite component."""
-    rows = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(label_col).cast("int").alias("label"), F.col(vector_col).cast("array<double>").alias("vector"))
+    rows = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(label_col).cast("string").alias("label"), F.col(vector_col).cast("array<double>").alias("vector"))
     rows = rows.where("id is not null and label is not null and vector is not null")
 
     def unit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -52,20 +52,20 @@ def unit_nodes(vectors: DataFrame, id_col: str, vector_col: str, label_col: str)
             at = pa.array(keep, pa.int64())
             yield pa.RecordBatch.from_arrays([batch["id"].take(at), batch["label"].take(at), pa.array(units, pa.list_(pa.float64())), pa.array(keys, pa.string())], ["id", "label", "vector", "key"])
 
-    keyed = written(rows.mapInArrow(unit, "id long, label int, vector array<double>, key string"))
+    keyed = written(rows.mapInArrow(unit, "id long, label string, vector array<double>, key string"))
     nodes = keyed.groupBy("label", "key").agg(F.min("id").alias("node"), F.count(F.lit(1)).alias("weight"))
     members = keyed.join(nodes, ["label", "key"])
     return members.where("id = node").dropDuplicates(["id", "label", "key"]).select("id", "label", "weight", "vector"), members.select("id", "node", "weight")
 
 
-def centres(nodes: DataFrame, share: int, sample: int) -> dict[tuple[int, int], np.ndarray]:
+def centres(nodes: DataFrame, share: int, sample: int) -> dict[tuple[str, int], np.ndarray]:
     """For each label and dimension: centres, one for `share` nodes, by a few rounds of k-means over at most `sample` of its nodes."""
     sizes = nodes.groupBy("label", F.size("vector").alias("dim")).agg(F.count(F.lit(1)).alias("n")).collect()  # one row for each label
     out = {}
     for r in sizes:
         mine = nodes.where((F.col("label") == r["label"]) & (F.size("vector") == r["dim"]))
         rate = min(1.0, 1.2 * sample / r["n"])
-        drawn = mine.where(F.pmod(F.xxhash64("id"), F.lit(1 << 20)) < int(rate * (1 << 20)) + 1).limit(sample).select("vector").toArrow()["vector"].to_pylist()
+        drawn = mine.where(F.pmod(F.xxhash64("id"), F.lit(1 << 20)) < int(rate * (1 << 20)) + 1).orderBy(F.xxhash64("id"), "id").limit(sample).select("vector").toArrow()["vector"].to_pylist()
         x = np.array(drawn, float).reshape(-1, r["dim"])
         k = max(1, min(math.ceil(r["n"] / share), len(x) // 2))
         rng = np.random.default_rng(11)
@@ -152,8 +152,9 @@ def _shared_first(mine: np.ndarray, theirs: np.ndarray, shard: int) -> np.ndarra
     return np.where(common, mine, np.iinfo(np.int64).max).min(1) == shard
 
 
-def _search(nodes: DataFrame, overlap: int, beam: int, threshold: float, share: int, part_size: int, degree: int, alpha: float, sample: int, slack: float) -> DataFrame:
-    """One build and search: rows (id, n, other): links of a node counted in a part, or a link that joins components."""
+def _search(nodes: DataFrame, overlap: int, beam: int, threshold: float, share: int, part_size: int, degree: int, alpha: float, sample: int, slack: float, exact: bool = False) -> DataFrame:
+    """One build and search: rows (id, n, other): links of a node counted in a part, or a link that joins components.
+    If exact, all pairs of a shard are looked at, block by block."""
     middle = centres(nodes, share, sample)
 
     def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -177,7 +178,7 @@ def _search(nodes: DataFrame, overlap: int, beam: int, threshold: float, share:
         lists = [ids[k[k >= 0]] for k in kept]
         return pa.table([part["id"], part["label"], pa.array(lists, pa.list_(pa.int64()))], ["id", "label", "near"])
 
-    lists = rows.groupBy(*keys, "part").applyInArrow(build, "id long, label int, near array<long>")
+    lists = rows.groupBy(*keys, "part").applyInArrow(build, "id long, label string, near array<long>")
     united = lists.groupBy("id", "label").agg(F.array_distinct(F.flatten(F.collect_list("near"))).alias("near"))  # `degree` for each shard and part of one node
     whole = written(rows.join(united, ["id", "label"]))
     # each pair of parts of a shard is a task; a side is sent once for each part it meets
@@ -210,6 +211,12 @@ def _search(nodes: DataFrame, overlap: int, beam: int, threshold: float, share:
                 ok = (targets < len(at)) & (ids[at][np.minimum(targets, len(at) - 1)] == near[k])
                 place[r, : ok.sum()] = targets[ok]
             y = x[at]
+            if exact:
+                for s in range(0, len(ask), 512):
+                    q, n = np.nonzero(x[ask[s : s + 512]] @ y.T >= threshold)
+                    ok = ask[q + s] != at[n]
+                    pairs.append(np.unique(np.sort(np.stack([ask[q[ok] + s], at[n[ok]]], 1), 1), axis=0))
+                continue
             medoid = int((y @ y.mean(0)).argmax())
             for _, _, q, n in greedy_range(y, place, medoid, x[ask], beam, threshold - slack):
                 cosine = np.concatenate([np.einsum("ij,ij->i", x[ask[q[s : s + 65536]]], y[n[s : s + 65536]]) for s in range(0, len(q), 65536)]) if len(q) else np.zeros(0)
@@ -236,7 +243,7 @@ def audit(nodes: DataFrame, found: DataFrame, threshold: float, sample: int = 25
     """Links that brute force finds for at most `sample` nodes (those with the least hashes) against all nodes, and how many
     of them the search found."""
     drawn = nodes.orderBy(F.xxhash64("id"), "id").limit(sample).collect()
-    by: dict[tuple[int, int], tuple[list[int], list[list[float]]]] = {}
+    by: dict[tuple[str, int], tuple[list[int], list[list[float]]]] = {}
     for r in drawn:
         ids, x = by.setdefault((r["label"], len(r["vector"])), ([], []))
         ids.append(r["id"]), x.append(r["vector"])
@@ -260,10 +267,11 @@ def audit(nodes: DataFrame, found: DataFrame, threshold: float, sample: int = 25
 
 def near_duplicates(vectors: DataFrame, threshold: float = 0.98, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str = "label", overlap: int = 3, beam: int = 16, share: int = 256, part_size: int = 1024, degree: int = 16, alpha: float = 1.2, sample: int = 8192, slack: float = 0.02, least_recall: float = 0.9, rounds: int = 3) -> DataFrame:
     """Links vectors of one label with cosine >= threshold. Returns for each input row id_col, n_links (other vectors found
-    linked directly), component_id (the smallest id reachable by links, itself included) and kept (id = component_id).
+    linked directly), component_id (the smallest id reachable by links, itself included), kept (id = component_id) and
+    recall (of the audit: the share of a sample's links that was found; the same in all rows).
 
     Vectors that are null, empty, zero or hold a null or non-finite component, and rows without a label, link with nothing
-    and are kept. Vectors of different length never link. Rows without an id have null component and are not kept. Equal
+    and are kept. Labels may be of any type that has a text form; vectors of different length never link. Rows without an id have null component and are not kept. Equal
     vectors link by themselves. `sample` bounds the vectors of a label that centres are fitted on; all are indexed.
     Nodes within threshold - slack of a query are expanded, too. Other
     columns are not returned. An empty table gives an empty result.
@@ -271,8 +279,11 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.98, id_col: str = "
     tune(vectors.sparkSession)
     nodes, members = unit_nodes(vectors, id_col, vector_col, label_col)
     nodes, members = written(nodes), written(members)
-    for k in range(rounds):
-        found = written(_search(nodes, overlap << k, beam << k, threshold, share, part_size, degree, alpha, sample, slack))
+    for k in range(rounds + 1):
+        if k < rounds:
+            found = written(_search(nodes, overlap << k, beam << k, threshold, share, part_size, degree, alpha, sample, slack))
+        else:  # one shard for each label
+            found = written(_search(nodes, 1, beam, threshold, 1 << 62, part_size, degree, alpha, sample, slack, exact=True))
         want, got = audit(nodes, found, threshold)
         if got >= least_recall * want:
             break
@@ -281,4 +292,4 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.98, id_col: str = "
     placed = members.join(counts, "node", "left").join(joined, "node", "left").groupBy("id").agg(F.max(F.col("weight") - 1 + F.coalesce("n", F.lit(0))).alias("n_links"), F.min(F.coalesce("component", "node")).alias("component"))
     base = vectors.select(F.col(id_col).cast("long").alias("id"))
     out = base.join(placed, "id", "left").withColumn("component", F.coalesce("component", "id"))
-    return out.select(F.col("id").alias(id_col), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.col("component").alias("component_id"), F.coalesce(F.col("id") == F.col("component"), F.lit(False)).alias("kept"))
+    return out.select(F.col("id").alias(id_col), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.col("component").alias("component_id"), F.coalesce(F.col("id") == F.col("component"), F.lit(False)).alias("kept"), F.lit(got / want if want else 1.0).alias("recall"))
