@@ -29,6 +29,9 @@ _COUNTS = "bucket int, origin int, prints binary, counts binary"
 _CLASSES = "origin int, prints binary, classes binary"
 _SETS = "id long, n long, a long, b long, need int, ell int, unique int, score double, prefix array<long>, tokens array<long>"
 
+#: Sets sent to all tasks at most (40 MB).
+_BROADCAST = 1_000_000
+
 
 class _Shingles:
     """Distinct shingles of each text of a table: row and hash, ascending by both."""
@@ -227,8 +230,12 @@ def jaccard_join(docs: DataFrame, k: int = 5, percent: int = 75, id_col: str = "
     """
     sets = written(shingle_sets(docs, k, percent, id_col, text_col, **sizes))
     able = sets.where(F.col("a").isNotNull() & F.col("id").isNotNull())
-    copies = able.groupBy("n", "a", "b").agg(F.min("id").alias("rep"))
-    member = able.select("id", "n", "a", "b").join(copies, ["n", "a", "b"]).select("id", "rep").distinct()
+    copies = written(able.groupBy("n", "a", "b").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("copies")))
+    # a set with very many copies is sent to its rows, not its rows to one task: at most _BROADCAST sets can pass the bound
+    many = max(256, able.count() // _BROADCAST)
+    hot, slim = F.broadcast(copies.where(F.col("copies") > many)), able.select("id", "n", "a", "b")
+    rest = slim.join(hot, ["n", "a", "b"], "left_anti").join(copies.where(F.col("copies") <= many), ["n", "a", "b"])
+    member = slim.join(hot, ["n", "a", "b"]).select("id", "rep").union(rest.select("id", "rep")).distinct()
     nodes = written(able.join(copies.select("n", "a", "b", F.col("rep").alias("id")), ["n", "a", "b", "id"], "left_semi").dropDuplicates(["n", "a", "b", "id"]))
     level = F.greatest(F.lit(1), F.col("unique") + F.col("pos") - F.col("n") + F.col("need") + 1).cast("int")
     postings = nodes.select("id", "n", "need", "ell", "unique", "score", F.posexplode("prefix").alias("pos", "token")).select("token", "id", "n", "ell", "score", level.alias("level"))
