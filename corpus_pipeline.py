@@ -6,7 +6,7 @@ the next. All but the last give the columns of `documents`; rows in any other co
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tessella.llm.common import written
@@ -25,11 +25,26 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group linked by 5-word shingles at 0.75 the document with the smallest id stays; rows without an id stay.
-    Of rows that share an id one stays."""
-    placed = jaccard_join(docs.select("doc_id", "text"), 5, 75)
-    gone = placed.where("component_id <> doc_id").select("doc_id").distinct()
-    kept = docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
-    return kept.where("doc_id is not null").dropDuplicates(["doc_id"]).union(kept.where("doc_id is null"))
+
+    Rows that share an id are documents of their own if their texts differ: of a group the row of the least (id, hash of
+    the text) stays. Of rows that agree in id and text the first by their other columns stays.
+    """
+    ids = docs.where("doc_id is not null").groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("doc_id")
+    again = written(ids)
+    if again.isEmpty():
+        placed = jaccard_join(docs.select("doc_id", "text"), 5, 75)
+        gone = placed.where("component_id <> doc_id").select("doc_id")
+        return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    row = F.when(F.col("doc_id").isNotNull(), F.xxhash64("doc_id", "text"))
+    keyed = docs.withColumn("_row", row)
+    placed = written(jaccard_join(keyed.select("_row", "text"), 5, 75, id_col="_row").where("_row is not null").distinct().join(keyed.select("_row", "doc_id").distinct(), "_row"))
+    groups = placed.groupBy("component_id").agg(F.min(F.struct("doc_id", "_row")).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1")
+    gone = placed.join(groups, "component_id").where("_row <> first._row").select("_row")
+    kept = keyed.join(gone, "_row", "left_anti")
+    twins = kept.join(again, "doc_id", "left_semi")
+    order = F.row_number().over(Window.partitionBy("_row").orderBy(*[c for c in docs.columns if c not in ("doc_id", "text")]))
+    twins = twins.withColumn("_n", order).where("_n = 1")
+    return kept.join(again, "doc_id", "left_anti").select(*docs.columns).union(twins.select(*docs.columns))
 
 
 def repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

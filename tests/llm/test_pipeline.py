@@ -62,3 +62,13 @@ def test_odd_rows(spark):
             docs = stage(spark, docs, "/root/testdata/sf0.001")
         assert docs.columns == ["doc_id", "text", "lang", "source", "n_chars"]
         assert sorted([(r.doc_id, r.text) for r in docs.collect()], key=str) == (sorted([(1, text), (None, text)], key=str) if data else [])
+
+
+def test_rows_of_one_id_and_unlike_texts(spark):
+    import corpus_pipeline as p
+
+    a, b, c = (" ".join(f"{x}{i}" for i in range(60)) for x in "abc")
+    rows = [(1, a, "x"), (1, b, "x"), (1, a, "y"), (2, b + " end", "x"), (3, c, "x"), (None, a, "x"), (4, None, "x"), (4, None, "x"), (5, c + " end", "x")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    got = [tuple(r) for r in p.near_duplicates(spark, docs, "").collect()]
+    assert sorted(got, key=str) == sorted([(1, a, "x"), (1, b, "x"), (3, c, "x"), (None, a, "x"), (4, None, "x")], key=str)
