@@ -76,13 +76,13 @@ def splitters(keys: DataFrame, targets: list[int], tolerance: float, rounds: int
     return best
 
 
-def shard(docs: DataFrame, shards: int = 8, tolerance: float = 0.002, id_col: str = "doc_id", text_col: str = "text", bin_bytes: int = 16 << 20, group_bytes: int = 256 << 20, group_rows: int = 1 << 20) -> DataFrame:
+def shard(docs: DataFrame, shards: int = 8, tolerance: float = 0.002, id_col: str = "doc_id", text_col: str = "text", bin_bytes: int = 2 << 20, most_bins: int = 1 << 16, group_bytes: int = 256 << 20, group_rows: int = 1 << 20) -> DataFrame:
     """Adds to each row _shard: struct(size, text_crc32, shard, slot). `size` is the UTF-8 bytes of the text (null: none) plus one.
 
     Shards have near-equal bytes: within `tolerance` of a shard's share, plus the weight of one group of at most that size.
     Equal texts share a shard unless they alone are larger than one. Null and empty texts are one group. Rows may repeat
     in all columns, ids may be null or all the same; each row has its own slot, gapless from 0 in its shard. An empty
-    table stays empty. What the driver and all tasks hold are the groups beyond the tolerance, `group_bytes` or
+    table stays empty. Bins hold `bin_bytes`, or more where `most_bins` would not do. What the driver and all tasks hold are the groups beyond the tolerance, `group_bytes` or
     `group_rows`, of which there can only be as many as those bounds fit into the table.
     """
     text = F.coalesce(F.col(text_col), F.lit(""))
@@ -119,7 +119,8 @@ def shard(docs: DataFrame, shards: int = 8, tolerance: float = 0.002, id_col: st
         placed[r["key"]] = [where, starts, [before[k] for k in where]]
         for k, a, b in zip(where, starts, ends, strict=True):
             before[k] += b - a
-    bins = [max(1, math.ceil(x * scale / bin_bytes)) for x in room]
+    each = max(bin_bytes, rest / most_bins)
+    bins = [max(1, math.ceil(x * scale / each)) for x in room]
     owner = [k for k in range(shards) for _ in range(bins[k])]
     first = [int(x) for x in np.cumsum([0, *bins[:-1]])]
     edges = [_LOW, *cuts, _HIGH]
@@ -139,10 +140,9 @@ def shard(docs: DataFrame, shards: int = 8, tolerance: float = 0.002, id_col: st
     groups = F.broadcast(_table(docs, placed, "_where array<int>, _starts array<long>, _offsets array<long>")) if heavy else None
     cold = keyed.join(groups, F.col("_shard.key") == F.col("key"), "left_anti") if heavy else keyed
     row = F.row_number().over(Window.partitionBy("_bin").orderBy("_key", id_col)) - 1
-    at = F.col("_bin") + 1
-    lookup = lambda values: F.element_at(F.lit(values), at)
+    slots = F.broadcast(docs.sparkSession.createDataFrame(list(zip(range(len(owner)), owner, offset, strict=True)), "_bin int, _owner int, _offset long"))
     result = lambda rows, k, slot: rows.withColumn("_shard", F.struct("_shard.size", "_shard.text_crc32", k.cast("int").alias("shard"), slot.cast("long").alias("slot"))).select(*docs.columns, "_shard")
-    done = result(binned(cold, "_shard.key").withColumn("_row", row), lookup(owner), lookup(offset).cast("long") + F.col("_row"))
+    done = result(binned(cold, "_shard.key").withColumn("_row", row).join(slots, "_bin"), F.col("_owner"), F.col("_offset") + F.col("_row"))
     if not heavy:
         return done
     # the numbers are stored with the rows, so that a repeated task cannot change them; equal texts take hardly any room
