@@ -7,6 +7,8 @@ from itertools import product
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tessella.operators.sequence import windows
+
 #: The standard genetic code in the order of bases T, C, A, G. Fixed value.
 _CODE = "FFLLSSSSYY**CC*WLLLLPPPPHHQQRRRRIIIMTTTTNNKKSSRRVVVVAAAADDEEGGGG"
 #: Average residue masses in dalton. Fixed values.
@@ -27,8 +29,7 @@ def _map(values: dict) -> Column:
 
 def codons(seq: Column, frame: int = 0) -> Column:
     s = F.upper(F.translate(seq, "Uu", "TT"))
-    n = F.floor((F.length(s) - frame) / 3).cast("int")
-    return F.when(n > 0, F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.substr(s, i * 3 + 1 + frame, F.lit(3)))).otherwise(F.array().cast("array<string>"))
+    return windows(F.substr(s, F.lit(frame + 1)) if frame else s, 3, 3)
 
 
 def translate(rows: DataFrame, seq: str, frame: int = 0, name: str = "protein") -> DataFrame:
@@ -70,9 +71,7 @@ def gc_skew_profile(rows: DataFrame, key: str, seq: str, window: int, step: int
     from pyspark.sql import Window
 
     step = step or window
-    s = F.upper(F.col(seq))
-    starts = F.when(F.length(s) >= window, F.sequence(F.lit(0), F.length(s) - window, F.lit(step))).otherwise(F.array().cast("array<int>"))
-    t = rows.select(F.col(key).alias("key"), s.alias("s"), F.explode(starts).alias("start")).select("key", "start", F.substr("s", F.col("start") + 1, F.lit(window)).alias("w"))
+    t = rows.select(F.col(key).alias("key"), F.posexplode(windows(F.upper(F.col(seq)), window, step)).alias("start", "w")).withColumn("start", F.col("start") * step)
     g, c, at = (F.regexp_count("w", F.lit(p)) for p in ("G", "C", "[AT]"))
     t = t.select("key", "start", F.when(g + c + at > 0, (g + c) / (g + c + at)).alias("gc"), F.when(g + c > 0, (g - c) / (g + c)).otherwise(0.0).alias("skew"))
     return t.withColumn("cumulative", F.sum("skew").over(Window.partitionBy("key").orderBy("start")))
@@ -96,9 +95,7 @@ def pwm_scan(rows: DataFrame, key: str, seq: str, counts: list[dict[str, float]]
     for column in counts:
         total = sum(column.values()) + 4 * pseudocount
         score.append({b: math.log2((column.get(b, 0) + pseudocount) / total / 0.25) for b in "ACGT"})
-    s = F.upper(F.col(seq))
-    starts = F.when(F.length(s) >= k, F.sequence(F.lit(0), F.length(s) - k)).otherwise(F.array().cast("array<int>"))
-    w = rows.select(F.col(key).alias("key"), s.alias("s"), F.explode(starts).alias("start")).select("key", "start", F.substr("s", F.col("start") + 1, F.lit(k)).alias("w")).where(F.col("w").rlike(f"^[ACGT]{{{k}}}$"))
+    w = rows.select(F.col(key).alias("key"), F.posexplode(windows(F.upper(F.col(seq)), k)).alias("start", "w")).where(F.col("w").rlike(f"^[ACGT]{{{k}}}$"))
     total = sum((F.element_at(_map(m), F.substr("w", F.lit(i + 1), F.lit(1))) for i, m in enumerate(score)), F.lit(0.0))
     return w.select("key", "start", "w", total.alias("score")).where(F.col("score") >= min_score)
 

@@ -2,18 +2,23 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: IUPAC nucleotide codes and the bases they stand for. Fixed values.
 IUPAC = {"A": "A", "C": "C", "G": "G", "T": "T", "U": "T", "R": "AG", "Y": "CT", "S": "CG", "W": "AT", "K": "GT", "M": "AC", "B": "CGT", "D": "AGT", "H": "ACT", "V": "ACG", "N": "ACGT"}
 
 
+def windows(s: Column, size: int, step: int = 1) -> Column:
+    """All windows of `size` characters at every `step`-th place, from one walk over the text (a substring by place would walk it anew each time)."""
+    go = f".{{{step}}}" if 1 < step <= size else ""
+    pattern = f"(.{{{size}}}).{{0,{step - size}}}" if step > size else f"(?=(.{{{size}}})){go}"
+    return F.regexp_extract_all(s, F.lit(f"(?s){pattern}"), F.lit(1))
+
+
 def kmer_count(rows: DataFrame, key: str, seq: str, k: int = 3, alphabet: str | None = "ACGT") -> DataFrame:
     """Counts of all overlapping k-mers of each sequence (upper case), those over `alphabet` if given."""
-    s = F.upper(F.col(seq))
-    kmers = F.when(F.length(s) >= k, F.transform(F.sequence(F.lit(1), F.length(s) - (k - 1)), lambda i: F.substr(s, i, F.lit(k)))).otherwise(F.array().cast("array<string>"))
-    out = rows.select(F.col(key).alias("key"), F.explode(kmers).alias("kmer"))
+    out = rows.select(F.col(key).alias("key"), F.explode(windows(F.upper(F.col(seq)), k)).alias("kmer"))
     if alphabet:
         out = out.where(F.col("kmer").rlike(f"^[{alphabet}]+$"))
     return out.groupBy("key", "kmer").agg(F.count(F.lit(1)).alias("n"))
