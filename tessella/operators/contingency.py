@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tessella.functions.distributions import chi2_sf
+
 
 def counts(rows: DataFrame, a: str, b: str) -> DataFrame:
     """Complete table of counts (absent pairs 0); rows with a missing side are left out. Bounded by the numbers of labels."""
@@ -21,13 +23,14 @@ def _expected(table: DataFrame) -> DataFrame:
 
 
 def association(rows: DataFrame, a: str, b: str) -> DataFrame:
-    """One row: chi2, g (likelihood ratio), df, cramer_v, phi, contingency coefficient, n."""
+    """One row: chi2, g (likelihood ratio), df, the p of both, cramer_v, phi, contingency coefficient, n."""
     t = _expected(counts(rows, a, b)).where("e > 0")
     chi = F.sum((F.col("n") - F.col("e")) ** 2 / F.col("e"))
     g = 2 * F.sum(F.when(F.col("n") > 0, F.col("n") * F.log(F.col("n") / F.col("e"))).otherwise(0.0))
     out = t.agg(chi.alias("chi2"), g.alias("g"), F.sum("n").alias("n"), F.count_distinct("r").alias("nr"), F.count_distinct("c").alias("nc"))
     low = F.least("nr", "nc") - 1
-    return out.select("chi2", "g", ((F.col("nr") - 1) * (F.col("nc") - 1)).alias("df"), F.sqrt(F.col("chi2") / (F.col("n") * low)).alias("cramer_v"), F.sqrt(F.col("chi2") / F.col("n")).alias("phi"), F.sqrt(F.col("chi2") / (F.col("chi2") + F.col("n"))).alias("contingency"), "n")
+    df = (F.col("nr") - 1) * (F.col("nc") - 1)
+    return out.select("chi2", "g", df.alias("df"), chi2_sf(F.col("chi2"), df).alias("p"), chi2_sf(F.col("g"), df).alias("p_g"), F.sqrt(F.col("chi2") / (F.col("n") * low)).alias("cramer_v"), F.sqrt(F.col("chi2") / F.col("n")).alias("phi"), F.sqrt(F.col("chi2") / (F.col("chi2") + F.col("n"))).alias("contingency"), "n")
 
 
 def theil_u(rows: DataFrame, a: str, b: str) -> DataFrame:
@@ -71,7 +74,8 @@ def mcnemar(table: DataFrame) -> DataFrame:
     """Statistic with and without continuity correction, from the discordant cells."""
     b, c = F.col("b"), F.col("c")
     some = b + c > 0
-    return table.select("b", "c", F.when(some, (b - c) ** 2 / (b + c)).otherwise(0.0).alias("statistic"), F.when(some, F.greatest(F.abs(b - c) - 1, F.lit(0)) ** 2 / (b + c)).otherwise(0.0).alias("corrected"))
+    out = table.select("b", "c", F.when(some, (b - c) ** 2 / (b + c)).otherwise(0.0).alias("statistic"), F.when(some, F.greatest(F.abs(b - c) - 1, F.lit(0)) ** 2 / (b + c)).otherwise(0.0).alias("corrected"))
+    return out.withColumn("p", chi2_sf(F.col("statistic"), F.lit(1))).withColumn("p_corrected", chi2_sf(F.col("corrected"), F.lit(1)))
 
 
 def kappa(rows: DataFrame, a: str, b: str, weights: str = "none") -> DataFrame:

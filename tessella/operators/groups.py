@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessella.functions.distributions import chi2_sf, f_sf, normal_sf, t_two_sided
 from tessella.operators.common import clean
 
 
@@ -14,7 +15,7 @@ def moments(rows: DataFrame, feature: list[str], group: str, value: str) -> Data
 
 
 def anova(rows: DataFrame, feature: list[str], group: str, value: str) -> DataFrame:
-    """F, eta squared and omega squared of a one-way layout."""
+    """F with its p, eta squared and omega squared of a one-way layout."""
     m = moments(rows, feature, group, value)
     n, k = F.sum("n"), F.count(F.lit(1))
     grand = F.sum(F.col("n") * F.col("mean")) / n
@@ -22,7 +23,8 @@ def anova(rows: DataFrame, feature: list[str], group: str, value: str) -> DataFr
     within = F.sum((F.col("n") - 1) * F.coalesce("var", F.lit(0.0)))
     out = m.groupBy(*feature).agg(between.alias("ssb"), within.alias("ssw"), n.alias("n"), k.alias("k"))
     msw = F.col("ssw") / (F.col("n") - F.col("k"))
-    return out.select(*feature, (F.col("ssb") / (F.col("k") - 1) / msw).alias("f"), (F.col("ssb") / (F.col("ssb") + F.col("ssw"))).alias("eta_squared"), ((F.col("ssb") - (F.col("k") - 1) * msw) / (F.col("ssb") + F.col("ssw") + msw)).alias("omega_squared"), "n", "k")
+    f = F.col("ssb") / (F.col("k") - 1) / msw
+    return out.select(*feature, f.alias("f"), f_sf(f, F.col("k") - 1, F.col("n") - F.col("k")).alias("p"), (F.col("ssb") / (F.col("ssb") + F.col("ssw"))).alias("eta_squared"), ((F.col("ssb") - (F.col("k") - 1) * msw) / (F.col("ssb") + F.col("ssw") + msw)).alias("omega_squared"), "n", "k")
 
 
 def two_sample(rows: DataFrame, feature: list[str], group: str, value: str, a, b) -> DataFrame:
@@ -35,7 +37,8 @@ def two_sample(rows: DataFrame, feature: list[str], group: str, value: str, a, b
     pooled = ((na - 1) * va + (nb - 1) * vb) / (na + nb - 2)
     welch = va / na + vb / nb
     d = diff / F.sqrt(pooled)
-    return t.select(*feature, diff.alias("difference"), (diff / F.sqrt(pooled * (1 / na + 1 / nb))).alias("t"), (diff / F.sqrt(welch)).alias("welch_t"), (welch**2 / ((va / na) ** 2 / (na - 1) + (vb / nb) ** 2 / (nb - 1))).alias("welch_df"), d.alias("cohens_d"), (d * (1 - 3 / (4 * (na + nb) - 9))).alias("hedges_g"))
+    t_, df = diff / F.sqrt(pooled * (1 / na + 1 / nb)), welch**2 / ((va / na) ** 2 / (na - 1) + (vb / nb) ** 2 / (nb - 1))
+    return t.select(*feature, diff.alias("difference"), t_.alias("t"), t_two_sided(t_, na + nb - 2).alias("p"), (diff / F.sqrt(welch)).alias("welch_t"), df.alias("welch_df"), t_two_sided(diff / F.sqrt(welch), df).alias("welch_p"), d.alias("cohens_d"), (d * (1 - 3 / (4 * (na + nb) - 9))).alias("hedges_g"))
 
 
 def levene(rows: DataFrame, feature: list[str], group: str, value: str, center: str = "median") -> DataFrame:
@@ -43,7 +46,7 @@ def levene(rows: DataFrame, feature: list[str], group: str, value: str, center:
     v = clean(value)
     mid = rows.groupBy(*feature, group).agg((F.percentile(v, 0.5) if center == "median" else F.avg(v)).alias("_mid"))
     dev = rows.join(mid, [*feature, group]).withColumn("_dev", F.abs(v - F.col("_mid")))
-    return anova(dev, feature, group, "_dev").select(*feature, F.col("f").alias("w"), "n", "k")
+    return anova(dev, feature, group, "_dev").select(*feature, F.col("f").alias("w"), "p", "n", "k")
 
 
 def _ranked(rows: DataFrame, feature: list[str], value: str) -> DataFrame:
@@ -66,7 +69,7 @@ def rank_tests(rows: DataFrame, feature: list[str], group: str, value: str) -> D
     raw = 12 / (n * (n + 1)) * F.col("s2") - 3 * (n + 1)
     both = h.join(ties, feature) if feature else h.crossJoin(ties)
     hc = raw / (1 - F.col("ties") / (n**3 - n))
-    return both.select(*feature, hc.alias("h"), (hc / (n - 1)).alias("epsilon_squared"), "n", "k")
+    return both.select(*feature, hc.alias("h"), chi2_sf(hc, F.col("k") - 1).alias("p"), (hc / (n - 1)).alias("epsilon_squared"), "n", "k")
 
 
 def mann_whitney(rows: DataFrame, feature: list[str], group: str, value: str, a, b) -> DataFrame:
@@ -81,7 +84,8 @@ def mann_whitney(rows: DataFrame, feature: list[str], group: str, value: str, a,
     u = F.col("s") - na * (na + 1) / 2
     n = na + nb
     var = na * nb / 12 * ((n + 1) - F.col("ties") / (n * (n - 1)))
-    return t.select(*feature, u.alias("u"), (2 * u / (na * nb) - 1).alias("cliffs_delta"), ((u - na * nb / 2) / F.sqrt(var)).alias("z"))
+    z = (u - na * nb / 2) / F.sqrt(var)
+    return t.select(*feature, u.alias("u"), (2 * u / (na * nb) - 1).alias("cliffs_delta"), z.alias("z"), F.least(2 * normal_sf(F.abs(z)), F.lit(1.0)).alias("p"))
 
 
 def summary_quantiles(rows: DataFrame, feature: list[str], value: str) -> DataFrame:

@@ -7,6 +7,7 @@ import math
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessella.functions.distributions import chi2_sf, normal_sf
 from tessella.operators.common import clean
 
 
@@ -21,7 +22,7 @@ def friedman(cells: DataFrame, block: str, treatment: str, value: str) -> DataFr
     ties = r.agg(F.sum(F.col("_t") * F.col("_t") - 1).cast("double").alias("ties"))  # each of t equal values adds t² - 1
     b = F.col("b").cast("double")
     chi = (12 * F.col("s2") / (b * k * (k + 1)) - 3 * b * (k + 1)) / (1 - F.col("ties") / (b * k * (k * k - 1)))
-    return sums.crossJoin(ties).select(chi.alias("chi2"), (chi / (b * (k - 1))).alias("kendall_w"), F.col("b").alias("blocks"), F.lit(k).cast("long").alias("treatments"))
+    return sums.crossJoin(ties).select(chi.alias("chi2"), chi2_sf(chi, F.lit(k - 1)).alias("p"), (chi / (b * (k - 1))).alias("kendall_w"), F.col("b").alias("blocks"), F.lit(k).cast("long").alias("treatments"))
 
 
 def cochran_q(cells: DataFrame, block: str, condition: str, value: str) -> DataFrame:
@@ -30,7 +31,8 @@ def cochran_q(cells: DataFrame, block: str, condition: str, value: str) -> DataF
     full = cells.withColumn("_n", F.count(value).over(Window.partitionBy(block))).where(F.col("_n") == k)
     cols = full.groupBy(condition).agg(F.sum(value).alias("g")).agg(F.sum(F.col("g") ** 2).alias("g2"), F.sum("g").alias("t"))
     rows = full.groupBy(block).agg(F.sum(value).alias("l")).agg(F.sum(F.col("l") ** 2).alias("l2"))
-    return cols.crossJoin(rows).select(((k - 1) * (k * F.col("g2") - F.col("t") ** 2) / (k * F.col("t") - F.col("l2"))).alias("q"))
+    q = (k - 1) * (k * F.col("g2") - F.col("t") ** 2) / (k * F.col("t") - F.col("l2"))
+    return cols.crossJoin(rows).select(q.alias("q"), chi2_sf(q, F.lit(k - 1)).alias("p"))
 
 
 def fleiss_kappa(counts: DataFrame, subject: str, category: str, n: str, method: str = "fleiss") -> DataFrame:
@@ -51,7 +53,8 @@ def mann_kendall(rows: DataFrame, key: str, time: str, value: str) -> DataFrame:
     ties = t.groupBy("key", "v").agg(F.count(F.lit(1)).cast("double").alias("c")).groupBy("key").agg(F.sum("c").alias("n"), F.sum(F.col("c") * (F.col("c") - 1) * (2 * F.col("c") + 5)).alias("ties"))
     n = F.col("n")
     var = (n * (n - 1) * (2 * n + 5) - F.col("ties")) / 18
-    return s.join(ties, "key").select("key", "s", (2 * F.col("s") / (n * (n - 1))).alias("tau"), var.alias("variance"), F.when(var > 0, (F.col("s") - F.signum("s")) / F.sqrt(var)).alias("z"))
+    z = F.when(var > 0, (F.col("s") - F.signum("s")) / F.sqrt(var))
+    return s.join(ties, "key").select("key", "s", (2 * F.col("s") / (n * (n - 1))).alias("tau"), var.alias("variance"), z.alias("z"), F.least(2 * normal_sf(F.abs(z)), F.lit(1.0)).alias("p"))
 
 
 def sen_slope(rows: DataFrame, key: str, x: str, y: str) -> DataFrame:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessella.functions.distributions import chi2_sf
+
 
 def risk_table(rows: DataFrame, time: str, event: str, group: str) -> DataFrame:
     """By group and time: events d, censored c, at risk n (before the time)."""
@@ -31,7 +33,7 @@ def nelson_aalen(rows: DataFrame, time: str, event: str, group: str) -> DataFram
 
 
 def logrank(rows: DataFrame, time: str, event: str, group: str, a, b) -> DataFrame:
-    """Observed and expected events of group a against b, variance and chi-square."""
+    """Observed and expected events of group a against b, variance, chi-square and p."""
     two = rows.where(F.col(group).isin(a, b))
     t = two.groupBy(F.col(time).alias("time")).agg(F.sum(F.col(event)).alias("d"), F.count(F.lit(1)).alias("m"), F.sum(F.when(F.col(group) == a, F.col(event)).otherwise(0)).alias("da"), F.count_if(F.col(group) == a).alias("ma"))
     w = Window.orderBy(F.desc("time"))  # one row for each distinct time
@@ -39,7 +41,8 @@ def logrank(rows: DataFrame, time: str, event: str, group: str, a, b) -> DataFra
     n, d, na = F.col("n").cast("double"), F.col("d").cast("double"), F.col("na").cast("double")
     v = F.when(n > 1, d * na / n * (1 - na / n) * (n - d) / (n - 1)).otherwise(0.0)
     s = t.agg(F.sum("da").alias("observed"), F.sum(d * na / n).alias("expected"), F.sum(v).alias("variance"))
-    return s.withColumn("chi2", (F.col("observed") - F.col("expected")) ** 2 / F.col("variance"))
+    s = s.withColumn("chi2", (F.col("observed") - F.col("expected")) ** 2 / F.col("variance"))
+    return s.withColumn("p", chi2_sf(F.col("chi2"), F.lit(1)))
 
 
 def rmst(rows: DataFrame, time: str, event: str, group: str, tau: float) -> DataFrame:

@@ -4,9 +4,9 @@ from __future__ import annotations
 
 
 def _modules():
-    from tessella.plans import core, more, statistics
+    from tessella.plans import core, hypotheses, more, statistics
 
-    return [core, statistics, more]
+    return [core, statistics, more, hypotheses]
 
 
 def queries() -> dict:

@@ -11,6 +11,7 @@ from tessella.operators import proteins as R
 from tessella.operators import repeated as T
 from tessella.plans.core import rounded
 from tessella.plans.fixtures import CELLS, DNA, DOSAGES, LIVES, cells, dna, dosages, lives, table
+from tessella.plans.tails import chi2_sf, normal_two_sided
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -31,8 +32,8 @@ def query(name, sql=None, places=6):
 
 
 _FULL = CELLS + ", f AS (SELECT *, count(*) OVER (PARTITION BY part) AS c FROM cells), x AS (SELECT * FROM f WHERE c = 3)"
-query("friedman", f"WITH {_FULL}, r AS (SELECT *, count(*) OVER (PARTITION BY part, value) AS t, rank() OVER (PARTITION BY part ORDER BY value) + (count(*) OVER (PARTITION BY part, value) - 1) / 2.0::DOUBLE AS r FROM x), s AS (SELECT flag, sum(r) AS s, count(*)::DOUBLE AS b FROM r GROUP BY 1), g AS (SELECT sum(s * s) AS s2, max(b) AS b FROM s), t AS (SELECT sum(t * t - 1)::DOUBLE AS ties FROM r), q AS (SELECT b, (12 * s2 / (b * 12) - 12 * b) / (1 - ties / (b * 24)) AS chi2 FROM g, t) SELECT round(chi2, 6) AS chi2, round(chi2 / (b * 2), 6) AS kendall_w, CAST(b AS BIGINT) AS blocks, 3 AS treatments FROM q")(lambda spark, d: T.friedman(cells(spark, d), "part", "flag", "value"))
-query("cochran_q", f"WITH {_FULL}, y AS (SELECT part, flag, CAST(value > 100 AS INT) AS v FROM x), g AS (SELECT sum(g::DOUBLE ** 2) AS g2, sum(g)::DOUBLE AS t FROM (SELECT sum(v) AS g FROM y GROUP BY flag)), l AS (SELECT sum(l::DOUBLE ** 2) AS l2 FROM (SELECT sum(v) AS l FROM y GROUP BY part)) SELECT round(2 * (3 * g2 - t * t) / (3 * t - l2), 6) AS q FROM g, l")(lambda spark, d: T.cochran_q(cells(spark, d).withColumn("v", (F.col("value") > 100).cast("int")), "part", "flag", "v"))
+query("friedman", f"WITH {_FULL}, r AS (SELECT *, count(*) OVER (PARTITION BY part, value) AS t, rank() OVER (PARTITION BY part ORDER BY value) + (count(*) OVER (PARTITION BY part, value) - 1) / 2.0::DOUBLE AS r FROM x), s AS (SELECT flag, sum(r) AS s, count(*)::DOUBLE AS b FROM r GROUP BY 1), g AS (SELECT sum(s * s) AS s2, max(b) AS b FROM s), t AS (SELECT sum(t * t - 1)::DOUBLE AS ties FROM r), q AS (SELECT b, (12 * s2 / (b * 12) - 12 * b) / (1 - ties / (b * 24)) AS chi2 FROM g, t) SELECT round(chi2, 6) AS chi2, round({chi2_sf("chi2", "2")}, 6) AS p, round(chi2 / (b * 2), 6) AS kendall_w, CAST(b AS BIGINT) AS blocks, 3 AS treatments FROM q")(lambda spark, d: T.friedman(cells(spark, d), "part", "flag", "value"))
+query("cochran_q", f"WITH {_FULL}, y AS (SELECT part, flag, CAST(value > 100 AS INT) AS v FROM x), g AS (SELECT sum(g::DOUBLE ** 2) AS g2, sum(g)::DOUBLE AS t FROM (SELECT sum(v) AS g FROM y GROUP BY flag)), l AS (SELECT sum(l::DOUBLE ** 2) AS l2 FROM (SELECT sum(v) AS l FROM y GROUP BY part)) SELECT round(2 * (3 * g2 - t * t) / (3 * t - l2), 6) AS q, round({chi2_sf("2 * (3 * g2 - t * t) / (3 * t - l2)", "2")}, 6) AS p FROM g, l")(lambda spark, d: T.cochran_q(cells(spark, d).withColumn("v", (F.col("value") > 100).cast("int")), "part", "flag", "v"))
 query("fleiss_kappa", f"WITH {_FULL}, c AS (SELECT part, CAST(value AS BIGINT) % 4 AS k, count(*) AS n FROM x GROUP BY 1, 2), p AS (SELECT avg(s / 6.0::DOUBLE) AS po FROM (SELECT sum(n * (n - 1)) AS s FROM c GROUP BY part)), e AS (SELECT sum((n / t) ** 2) AS pe FROM (SELECT k, sum(n)::DOUBLE AS n, (SELECT sum(n) FROM c)::DOUBLE AS t FROM c GROUP BY 1)) SELECT round(po, 6) AS po, round(pe, 6) AS pe, round((po - pe) / (1 - pe), 6) AS kappa FROM p, e")(lambda spark, d: T.fleiss_kappa(cells(spark, d).join(cells(spark, d).groupBy("part").count().where("count = 3"), "part", "left_semi").groupBy("part", (F.col("value").cast("long") % 4).alias("k")).agg(F.count(F.lit(1)).alias("n")), "part", "k", "n"))
 _YEARS = "y AS (SELECT o_orderpriority AS key, date_diff('day', DATE '1992-01-01', CAST(date_trunc('month', o_orderdate) AS DATE)) AS t, round(avg(o_totalprice), 2) AS v FROM orders GROUP BY 1, 2)"
 
@@ -42,7 +43,7 @@ def _months(spark, d):
     return table(spark, d, "orders").groupBy(F.col("o_orderpriority").alias("key"), day.cast("long").alias("t")).agg(F.round(F.avg("o_totalprice"), 2).alias("v"))
 
 
-query("mann_kendall", f"WITH {_YEARS}, s AS (SELECT a.key, sum(sign(b.v - a.v))::DOUBLE AS s FROM y a JOIN y b ON a.key = b.key AND a.t < b.t GROUP BY 1), g AS (SELECT key, sum(c) AS n, sum(c * (c - 1) * (2 * c + 5)) AS ties FROM (SELECT key, v, count(*)::DOUBLE AS c FROM y GROUP BY 1, 2) GROUP BY 1), z AS (SELECT *, (n * (n - 1) * (2 * n + 5) - ties) / 18 AS var FROM s JOIN g USING (key)) SELECT key, s, round(2 * s / (n * (n - 1)), 6) AS tau, round(var, 6) AS variance, round((s - sign(s)) / sqrt(var), 6) AS z FROM z")(lambda spark, d: T.mann_kendall(_months(spark, d), "key", "t", "v"))
+query("mann_kendall", f"WITH {_YEARS}, s AS (SELECT a.key, sum(sign(b.v - a.v))::DOUBLE AS s FROM y a JOIN y b ON a.key = b.key AND a.t < b.t GROUP BY 1), g AS (SELECT key, sum(c) AS n, sum(c * (c - 1) * (2 * c + 5)) AS ties FROM (SELECT key, v, count(*)::DOUBLE AS c FROM y GROUP BY 1, 2) GROUP BY 1), z AS (SELECT *, (n * (n - 1) * (2 * n + 5) - ties) / 18 AS var FROM s JOIN g USING (key)) SELECT key, s, round(2 * s / (n * (n - 1)), 6) AS tau, round(var, 6) AS variance, round((s - sign(s)) / sqrt(var), 6) AS z, round({normal_two_sided("(s - sign(s)) / sqrt(var)")}, 6) AS p FROM z")(lambda spark, d: T.mann_kendall(_months(spark, d), "key", "t", "v"))
 query("sen_slope", f"WITH {_YEARS}, p AS (SELECT a.key, quantile_cont((b.v - a.v) / (b.t - a.t), 0.5) AS slope, count(*) AS pairs FROM y a JOIN y b ON a.key = b.key AND a.t < b.t GROUP BY 1) SELECT key, round(any_value(slope), 5) AS slope, any_value(pairs) AS pairs, round(quantile_cont(v - slope * t, 0.5), 5) AS intercept FROM y JOIN p USING (key) GROUP BY 1", 5)(lambda spark, d: T.sen_slope(_months(spark, d), "key", "t", "v"))
 query("mantel_haenszel", "WITH s AS (SELECT source, count(*) FILTER (quality = 1 AND toxic = 1)::DOUBLE AS a, count(*) FILTER (quality = 1 AND toxic = 0)::DOUBLE AS b, count(*) FILTER (quality = 0 AND toxic = 1)::DOUBLE AS c, count(*) FILTER (quality = 0 AND toxic = 0)::DOUBLE AS d FROM labels JOIN documents USING (doc_id) GROUP BY 1), t AS (SELECT *, a + b + c + d AS n FROM s), u AS (SELECT sum(a * d / n) AS p, sum(b * c / n) AS q, sum(a - (a + b) * (a + c) / n) AS x, sum((a + b) * (c + d) * (a + c) * (b + d) / (n * n * (n - 1))) AS v FROM t WHERE n > 1) SELECT CASE WHEN q > 0 THEN round(p / q, 6) END AS odds_ratio, round(x * x / v, 6) AS chi2 FROM u")(lambda spark, d: T.mantel_haenszel(table(spark, d, "labels").join(table(spark, d, "documents").select("doc_id", "source"), "doc_id").groupBy("source").agg(*[F.count_if((F.col("quality") == q) & (F.col("toxic") == t)).alias(n) for n, q, t in (("a", 1, 1), ("b", 1, 0), ("c", 0, 1), ("d", 0, 0))])))
 _Z = 1.959963984540054

@@ -16,6 +16,7 @@ from tessella.operators import series as T
 from tessella.operators import survival as L
 from tessella.plans.core import rounded
 from tessella.plans.fixtures import CELLS, DNA, DOSAGES, LIVES, PVALUES, SCORED, cells, dna, dosages, lives, pvalues, scored, table
+from tessella.plans.tails import chi2_sf, f_sf, normal_two_sided, t_two_sided
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -50,7 +51,7 @@ query("correction", f"WITH {PVALUES}, r AS (SELECT *, row_number() OVER (ORDER B
 
 # contingency
 _LS = "t AS (SELECT l_returnflag AS r, l_linestatus AS c, count(*) AS n FROM lineitem GROUP BY 1, 2), g AS (SELECT r, c, coalesce(n, 0) AS n FROM (SELECT DISTINCT r FROM t) CROSS JOIN (SELECT DISTINCT c FROM t) LEFT JOIN t USING (r, c)), e AS (SELECT *, sum(n) OVER (PARTITION BY r)::DOUBLE AS nr, sum(n) OVER (PARTITION BY c)::DOUBLE AS nc, sum(n) OVER ()::DOUBLE AS total FROM g), x AS (SELECT *, nr * nc / total AS e FROM e)"
-query("chi_square", f"WITH {_LS}, s AS (SELECT sum((n - e) ** 2 / e) AS chi2, 2 * sum(CASE WHEN n > 0 THEN n * ln(n / e) ELSE 0 END) AS g, sum(n) AS n, count(DISTINCT r) AS a, count(DISTINCT c) AS b FROM x) SELECT round(chi2, 6) AS chi2, round(g, 6) AS g, (a - 1) * (b - 1) AS df, round(sqrt(chi2 / (n * (least(a, b) - 1))), 6) AS cramer_v, round(sqrt(chi2 / n), 6) AS phi, round(sqrt(chi2 / (chi2 + n)), 6) AS contingency, CAST(n AS BIGINT) AS n FROM s")(lambda spark, d: C.association(table(spark, d, "lineitem"), "l_returnflag", "l_linestatus"))
+query("chi_square", f"WITH {_LS}, s AS (SELECT sum((n - e) ** 2 / e) AS chi2, 2 * sum(CASE WHEN n > 0 THEN n * ln(n / e) ELSE 0 END) AS g, sum(n) AS n, count(DISTINCT r) AS a, count(DISTINCT c) AS b FROM x) SELECT round(chi2, 6) AS chi2, round(g, 6) AS g, (a - 1) * (b - 1) AS df, round({chi2_sf("chi2", "(a - 1) * (b - 1)")}, 6) AS p, round({chi2_sf("g", "(a - 1) * (b - 1)")}, 6) AS p_g, round(sqrt(chi2 / (n * (least(a, b) - 1))), 6) AS cramer_v, round(sqrt(chi2 / n), 6) AS phi, round(sqrt(chi2 / (chi2 + n)), 6) AS contingency, CAST(n AS BIGINT) AS n FROM s")(lambda spark, d: C.association(table(spark, d, "lineitem"), "l_returnflag", "l_linestatus"))
 query("theil_u", f"WITH {_LS}, h AS (SELECT (SELECT sum(-(nr / total) * ln(nr / total)) FROM (SELECT DISTINCT r, nr, total FROM x)) AS hr, (SELECT sum(-(nc / total) * ln(nc / total)) FROM (SELECT DISTINCT c, nc, total FROM x)) AS hc, (SELECT sum(CASE WHEN n > 0 THEN -(n / total) * ln(n / total) ELSE 0 END) FROM x) AS h) SELECT round(hr, 6) AS h_row, round(hc, 6) AS h_col, round(h, 6) AS h_joint, round((hr + hc - h) / hr, 6) AS u_row, round((hr + hc - h) / hc, 6) AS u_col, round(2 * (hr + hc - h) / (hr + hc), 6) AS u_symmetric FROM h")(lambda spark, d: C.theil_u(table(spark, d, "lineitem"), "l_returnflag", "l_linestatus"))
 _TWO = "t AS (SELECT count(*) FILTER (x AND y)::DOUBLE AS a, count(*) FILTER (x AND NOT y)::DOUBLE AS b, count(*) FILTER (NOT x AND y)::DOUBLE AS c, count(*) FILTER (NOT x AND NOT y)::DOUBLE AS d FROM (SELECT quality = 1 AS x, toxic = 1 AS y FROM labels))"
 
@@ -63,7 +64,7 @@ _Z = "1.959963984540054"
 query("odds_ratio", f"WITH {_TWO}, h AS (SELECT a + 0.5 AS a, b + 0.5 AS b, c + 0.5 AS c, d + 0.5 AS d FROM t), s AS (SELECT a * d / (b * c) AS o, sqrt(1 / a + 1 / b + 1 / c + 1 / d) AS se FROM h) SELECT round(o, 6) AS odds_ratio, round(exp(ln(o) - {_Z} * se), 6) AS low, round(exp(ln(o) + {_Z} * se), 6) AS high, round(se, 6) AS se FROM s")(lambda spark, d: C.odds_ratio(_two(spark, d)))
 query("risk_ratio", f"WITH {_TWO}, h AS (SELECT a + 0.5 AS a, b + 0.5 AS b, c + 0.5 AS c, d + 0.5 AS d FROM t), s AS (SELECT a / (a + b) AS p, c / (c + d) AS q, sqrt(1 / a - 1 / (a + b) + 1 / c - 1 / (c + d)) AS se FROM h) SELECT round(p / q, 6) AS risk_ratio, round(exp(ln(p / q) - {_Z} * se), 6) AS low, round(exp(ln(p / q) + {_Z} * se), 6) AS high, round(p - q, 6) AS risk_difference FROM s")(lambda spark, d: C.risk_ratio(_two(spark, d)))
 query("cohens_h", f"WITH {_TWO} SELECT round(2 * asin(sqrt(a / (a + b))) - 2 * asin(sqrt(c / (c + d))), 6) AS h FROM t")(lambda spark, d: C.cohens_h(_two(spark, d)))
-query("mcnemar", f"WITH {_TWO} SELECT CAST(b AS BIGINT) AS b, CAST(c AS BIGINT) AS c, round((b - c) ** 2 / (b + c), 6) AS statistic, round(greatest(abs(b - c) - 1, 0) ** 2 / (b + c), 6) AS corrected FROM t")(lambda spark, d: C.mcnemar(_two(spark, d)))
+query("mcnemar", f"WITH {_TWO} SELECT CAST(b AS BIGINT) AS b, CAST(c AS BIGINT) AS c, round((b - c) ** 2 / (b + c), 6) AS statistic, round(greatest(abs(b - c) - 1, 0) ** 2 / (b + c), 6) AS corrected, round({chi2_sf("(b - c) ** 2 / (b + c)", "1")}, 6) AS p, round({chi2_sf("greatest(abs(b - c) - 1, 0) ** 2 / (b + c)", "1")}, 6) AS p_corrected FROM t")(lambda spark, d: C.mcnemar(_two(spark, d)))
 _RATERS = "t AS (SELECT quality AS r, toxic AS c, count(*) AS n FROM labels GROUP BY 1, 2), g AS (SELECT r, c, coalesce(n, 0) AS n FROM (SELECT DISTINCT r FROM t) CROSS JOIN (SELECT DISTINCT c FROM t) LEFT JOIN t USING (r, c)), e AS (SELECT *, sum(n) OVER (PARTITION BY r)::DOUBLE AS nr, sum(n) OVER (PARTITION BY c)::DOUBLE AS nc, sum(n) OVER ()::DOUBLE AS total FROM g), x AS (SELECT *, nr * nc / total AS e FROM e)"
 query("cohens_kappa", f"WITH {_RATERS} SELECT round(1 - sum(n) FILTER (r <> c) / sum(e) FILTER (r <> c), 6) AS kappa, round(sum(n) FILTER (r = c) / sum(n), 6) AS agreement FROM x")(lambda spark, d: C.kappa(table(spark, d, "labels"), "quality", "toxic"))
 _SIZES = "t AS (SELECT p_size % 5 AS r, p_partkey % 5 AS c, count(*) AS n FROM part GROUP BY 1, 2), g AS (SELECT r, c, coalesce(n, 0) AS n FROM (SELECT DISTINCT r FROM t) CROSS JOIN (SELECT DISTINCT c FROM t) LEFT JOIN t USING (r, c)), e AS (SELECT *, sum(n) OVER (PARTITION BY r)::DOUBLE AS nr, sum(n) OVER (PARTITION BY c)::DOUBLE AS nc, sum(n) OVER ()::DOUBLE AS total FROM g), x AS (SELECT *, nr * nc / total AS e FROM e)"
@@ -87,12 +88,12 @@ def _priced(spark, d):
     return table(spark, d, "lineitem").join(table(spark, d, "part").select("p_partkey", F.col("p_brand").alias("brand")), F.col("l_partkey") == F.col("p_partkey")).select("brand", F.col("l_returnflag").alias("flag"), F.col("l_extendedprice").alias("price"), F.col("l_quantity").alias("qty"))
 
 
-query("anova", f"WITH {_GROUPS}, s AS (SELECT b, sum(n * m * m) - sum(n * m) ** 2 / sum(n) AS ssb, sum((n - 1) * v) AS ssw, sum(n) AS n, count(*) AS k FROM m GROUP BY 1) SELECT b AS brand, round(ssb / (k - 1) / (ssw / (n - k)), 5) AS f, round(ssb / (ssb + ssw), 5) AS eta_squared, round((ssb - (k - 1) * ssw / (n - k)) / (ssb + ssw + ssw / (n - k)), 5) AS omega_squared, CAST(n AS BIGINT) AS n, k FROM s", 5)(lambda spark, d: M.anova(_priced(spark, d), ["brand"], "flag", "price"))
-query("two_sample", f"WITH {_GROUPS}, x AS (SELECT a.b AS brand, a.m - r.m AS diff, a.n AS na, r.n AS nb, a.v AS va, r.v AS vb FROM m a JOIN m r ON a.b = r.b AND a.g = 'A' AND r.g = 'R'), y AS (SELECT *, ((na - 1) * va + (nb - 1) * vb) / (na + nb - 2) AS p, va / na + vb / nb AS w FROM x) SELECT brand, round(diff, 4) AS difference, round(diff / sqrt(p * (1 / na + 1 / nb)), 4) AS t, round(diff / sqrt(w), 4) AS welch_t, round(w ** 2 / ((va / na) ** 2 / (na - 1) + (vb / nb) ** 2 / (nb - 1)), 4) AS welch_df, round(diff / sqrt(p), 4) AS cohens_d, round(diff / sqrt(p) * (1 - 3 / (4 * (na + nb) - 9)), 4) AS hedges_g FROM y", 4)(lambda spark, d: M.two_sample(_priced(spark, d), ["brand"], "flag", "price", "A", "R"))
-query("levene", "WITH c AS (SELECT p_brand AS b, l_returnflag AS g, l_quantity AS x, quantile_cont(l_quantity, 0.5) OVER (PARTITION BY p_brand, l_returnflag) AS md FROM lineitem JOIN part ON l_partkey = p_partkey), m AS (SELECT b, g, count(*)::DOUBLE AS n, avg(abs(x - md)) AS m, var_samp(abs(x - md)) AS v FROM c GROUP BY 1, 2), s AS (SELECT b, sum(n * m * m) - sum(n * m) ** 2 / sum(n) AS ssb, sum((n - 1) * v) AS ssw, sum(n) AS n, count(*) AS k FROM m GROUP BY 1) SELECT b AS brand, round(ssb / (k - 1) / (ssw / (n - k)), 5) AS w, CAST(n AS BIGINT) AS n, k FROM s", 5)(lambda spark, d: M.levene(_priced(spark, d), ["brand"], "flag", "qty"))
+query("anova", f"WITH {_GROUPS}, s AS (SELECT b, sum(n * m * m) - sum(n * m) ** 2 / sum(n) AS ssb, sum((n - 1) * v) AS ssw, sum(n) AS n, count(*) AS k FROM m GROUP BY 1) SELECT b AS brand, round(ssb / (k - 1) / (ssw / (n - k)), 5) AS f, round({f_sf("ssb / (k - 1) / (ssw / (n - k))", "k - 1", "n - k")}, 5) AS p, round(ssb / (ssb + ssw), 5) AS eta_squared, round((ssb - (k - 1) * ssw / (n - k)) / (ssb + ssw + ssw / (n - k)), 5) AS omega_squared, CAST(n AS BIGINT) AS n, k FROM s", 5)(lambda spark, d: M.anova(_priced(spark, d), ["brand"], "flag", "price"))
+query("two_sample", f"WITH {_GROUPS}, x AS (SELECT a.b AS brand, a.m - r.m AS diff, a.n AS na, r.n AS nb, a.v AS va, r.v AS vb FROM m a JOIN m r ON a.b = r.b AND a.g = 'A' AND r.g = 'R'), y AS (SELECT *, ((na - 1) * va + (nb - 1) * vb) / (na + nb - 2) AS p, va / na + vb / nb AS w FROM x) SELECT brand, round(diff, 4) AS difference, round(diff / sqrt(p * (1 / na + 1 / nb)), 4) AS t, round({t_two_sided("diff / sqrt(p * (1 / na + 1 / nb))", "na + nb - 2")}, 4) AS p, round(diff / sqrt(w), 4) AS welch_t, round({t_two_sided("diff / sqrt(w)", "w ** 2 / ((va / na) ** 2 / (na - 1) + (vb / nb) ** 2 / (nb - 1))")}, 4) AS welch_p, round(w ** 2 / ((va / na) ** 2 / (na - 1) + (vb / nb) ** 2 / (nb - 1)), 4) AS welch_df, round(diff / sqrt(p), 4) AS cohens_d, round(diff / sqrt(p) * (1 - 3 / (4 * (na + nb) - 9)), 4) AS hedges_g FROM y", 4)(lambda spark, d: M.two_sample(_priced(spark, d), ["brand"], "flag", "price", "A", "R"))
+query("levene", f"WITH c AS (SELECT p_brand AS b, l_returnflag AS g, l_quantity AS x, quantile_cont(l_quantity, 0.5) OVER (PARTITION BY p_brand, l_returnflag) AS md FROM lineitem JOIN part ON l_partkey = p_partkey), m AS (SELECT b, g, count(*)::DOUBLE AS n, avg(abs(x - md)) AS m, var_samp(abs(x - md)) AS v FROM c GROUP BY 1, 2), s AS (SELECT b, sum(n * m * m) - sum(n * m) ** 2 / sum(n) AS ssb, sum((n - 1) * v) AS ssw, sum(n) AS n, count(*) AS k FROM m GROUP BY 1) SELECT b AS brand, round(ssb / (k - 1) / (ssw / (n - k)), 5) AS w, round({f_sf("ssb / (k - 1) / (ssw / (n - k))", "k - 1", "n - k")}, 5) AS p, CAST(n AS BIGINT) AS n, k FROM s", 5)(lambda spark, d: M.levene(_priced(spark, d), ["brand"], "flag", "qty"))
 _RANKED = "c AS (SELECT p_brand AS b, l_returnflag AS g, l_quantity AS x FROM lineitem JOIN part ON l_partkey = p_partkey{w}), r AS (SELECT *, rank() OVER (PARTITION BY b ORDER BY x) + (count(*) OVER (PARTITION BY b, x) - 1) / 2.0::DOUBLE AS k FROM c), t AS (SELECT b, sum(n::DOUBLE ** 3 - n) AS ties FROM (SELECT b, x, count(*) AS n FROM c GROUP BY 1, 2) GROUP BY 1)"
-query("kruskal_wallis", f"WITH {_RANKED.format(w='')}, s AS (SELECT b, g, sum(k) AS s, count(*)::DOUBLE AS n FROM r GROUP BY 1, 2), h AS (SELECT b, sum(s * s / n) AS s2, sum(n) AS n, count(*) AS k FROM s GROUP BY 1), z AS (SELECT b, (12 / (n * (n + 1)) * s2 - 3 * (n + 1)) / (1 - ties / (n ** 3 - n)) AS h, n, k FROM h JOIN t USING (b)) SELECT b AS brand, round(h, 5) AS h, round(h / (n - 1), 5) AS epsilon_squared, CAST(n AS BIGINT) AS n, k FROM z", 5)(lambda spark, d: M.rank_tests(_priced(spark, d), ["brand"], "flag", "qty"))
-query("mann_whitney", "WITH " + _RANKED.format(w=" WHERE l_returnflag IN ('A', 'R')") + ", s AS (SELECT b, sum(k) FILTER (g = 'A') AS s, count(*) FILTER (g = 'A')::DOUBLE AS na, count(*) FILTER (g = 'R')::DOUBLE AS nb FROM r GROUP BY 1), u AS (SELECT *, s - na * (na + 1) / 2 AS u, na + nb AS n FROM s JOIN t USING (b)) SELECT b AS brand, round(u, 5) AS u, round(2 * u / (na * nb) - 1, 5) AS cliffs_delta, round((u - na * nb / 2) / sqrt(na * nb / 12 * ((n + 1) - ties / (n * (n - 1)))), 5) AS z FROM u", 5)(lambda spark, d: M.mann_whitney(_priced(spark, d), ["brand"], "flag", "qty", "A", "R"))
+query("kruskal_wallis", f"WITH {_RANKED.format(w='')}, s AS (SELECT b, g, sum(k) AS s, count(*)::DOUBLE AS n FROM r GROUP BY 1, 2), h AS (SELECT b, sum(s * s / n) AS s2, sum(n) AS n, count(*) AS k FROM s GROUP BY 1), z AS (SELECT b, (12 / (n * (n + 1)) * s2 - 3 * (n + 1)) / (1 - ties / (n ** 3 - n)) AS h, n, k FROM h JOIN t USING (b)) SELECT b AS brand, round(h, 5) AS h, round({chi2_sf("h", "k - 1")}, 5) AS p, round(h / (n - 1), 5) AS epsilon_squared, CAST(n AS BIGINT) AS n, k FROM z", 5)(lambda spark, d: M.rank_tests(_priced(spark, d), ["brand"], "flag", "qty"))
+query("mann_whitney", "WITH " + _RANKED.format(w=" WHERE l_returnflag IN ('A', 'R')") + ", s AS (SELECT b, sum(k) FILTER (g = 'A') AS s, count(*) FILTER (g = 'A')::DOUBLE AS na, count(*) FILTER (g = 'R')::DOUBLE AS nb FROM r GROUP BY 1), u AS (SELECT *, s - na * (na + 1) / 2 AS u, na + nb AS n FROM s JOIN t USING (b)) SELECT b AS brand, round(u, 5) AS u, round(2 * u / (na * nb) - 1, 5) AS cliffs_delta, round((u - na * nb / 2) / sqrt(na * nb / 12 * ((n + 1) - ties / (n * (n - 1)))), 5) AS z, round(" + normal_two_sided("(u - na * nb / 2) / sqrt(na * nb / 12 * ((n + 1) - ties / (n * (n - 1))))") + ", 5) AS p FROM u", 5)(lambda spark, d: M.mann_whitney(_priced(spark, d), ["brand"], "flag", "qty", "A", "R"))
 query("summary_quantiles", "WITH c AS (SELECT l_returnflag AS flag, l_extendedprice AS x FROM lineitem), q AS (SELECT flag, quantile_cont(x, 0.25) AS q1, quantile_cont(x, 0.5) AS median, quantile_cont(x, 0.75) AS q3 FROM c GROUP BY 1) SELECT flag, round(any_value(q1), 4) AS q1, round(any_value(median), 4) AS median, round(any_value(q3), 4) AS q3, count(*) FILTER (x < q1 - 1.5 * (q3 - q1) OR x > q3 + 1.5 * (q3 - q1)) AS outliers FROM c JOIN q USING (flag) GROUP BY 1", 4)(lambda spark, d: M.summary_quantiles(_priced(spark, d), ["flag"], "price"))
 query("moments_shape", "WITH c AS (SELECT l_returnflag AS flag, l_quantity AS x, avg(l_quantity) OVER (PARTITION BY l_returnflag) AS m FROM lineitem), s AS (SELECT flag, avg((x - m) ** 3) / avg((x - m) ** 2) ** 1.5 AS sk, avg((x - m) ** 4) / avg((x - m) ** 2) ** 2 - 3 AS ku, count(*) AS n FROM c GROUP BY 1) SELECT flag, round(sk, 6) AS skewness, round(ku, 6) AS kurtosis, n, round(n / 6 * (sk ** 2 + ku ** 2 / 4), 6) AS jarque_bera FROM s")(lambda spark, d: M.moments_shape(_priced(spark, d), ["flag"], "qty"))
 
@@ -125,7 +126,7 @@ query("risk_table", f"WITH {_RISK} SELECT grp, time, CAST(d AS BIGINT) AS d, CAS
 query("kaplan_meier", f"WITH {_RISK}, s AS (SELECT *, CASE WHEN max(CASE WHEN n = d THEN 1 ELSE 0 END) OVER w = 1 THEN 0.0 ELSE exp(sum(CASE WHEN n > d THEN ln(1 - d / n) END) OVER w) END AS s, sum(CASE WHEN n > d THEN d::DOUBLE / (n * (n - d)) ELSE 0 END) OVER w AS g FROM x WINDOW w AS (PARTITION BY grp ORDER BY time)) SELECT grp, time, n, d, round(s, 6) AS survival, round(s * s * g, 6) AS variance FROM s")(lambda spark, d: L.kaplan_meier(lives(spark, d), "time", "event", "grp"))
 query("nelson_aalen", f"WITH {_RISK} SELECT grp, time, n, d, round(sum(d::DOUBLE / n) OVER w, 6) AS hazard, round(sum(d::DOUBLE / (n::DOUBLE ** 2)) OVER w, 6) AS variance FROM x WINDOW w AS (PARTITION BY grp ORDER BY time)")(lambda spark, d: L.nelson_aalen(lives(spark, d), "time", "event", "grp"))
 _HI, _LO = "1-URGENT", "5-LOW"
-query("logrank_test", f"WITH {LIVES}, t AS (SELECT time, sum(event)::DOUBLE AS d, count(*) AS m, sum(CASE WHEN grp = '{_HI}' THEN event ELSE 0 END)::DOUBLE AS da, count(*) FILTER (grp = '{_HI}') AS ma FROM lives WHERE grp IN ('{_HI}', '{_LO}') GROUP BY 1), r AS (SELECT *, sum(m) OVER w::DOUBLE AS n, sum(ma) OVER w::DOUBLE AS na FROM t WINDOW w AS (ORDER BY time DESC)), s AS (SELECT sum(da) AS o, sum(d * na / n) AS e, sum(CASE WHEN n > 1 THEN d * na / n * (1 - na / n) * (n - d) / (n - 1) ELSE 0 END) AS v FROM r WHERE d > 0) SELECT CAST(o AS BIGINT) AS observed, round(e, 5) AS expected, round(v, 5) AS variance, round((o - e) ** 2 / v, 5) AS chi2 FROM s", 5)(lambda spark, d: L.logrank(lives(spark, d), "time", "event", "grp", _HI, _LO))
+query("logrank_test", f"WITH {LIVES}, t AS (SELECT time, sum(event)::DOUBLE AS d, count(*) AS m, sum(CASE WHEN grp = '{_HI}' THEN event ELSE 0 END)::DOUBLE AS da, count(*) FILTER (grp = '{_HI}') AS ma FROM lives WHERE grp IN ('{_HI}', '{_LO}') GROUP BY 1), r AS (SELECT *, sum(m) OVER w::DOUBLE AS n, sum(ma) OVER w::DOUBLE AS na FROM t WINDOW w AS (ORDER BY time DESC)), s AS (SELECT sum(da) AS o, sum(d * na / n) AS e, sum(CASE WHEN n > 1 THEN d * na / n * (1 - na / n) * (n - d) / (n - 1) ELSE 0 END) AS v FROM r WHERE d > 0) SELECT CAST(o AS BIGINT) AS observed, round(e, 5) AS expected, round(v, 5) AS variance, round((o - e) ** 2 / v, 5) AS chi2, round({chi2_sf("(o - e) ** 2 / v", "1")}, 5) AS p FROM s", 5)(lambda spark, d: L.logrank(lives(spark, d), "time", "event", "grp", _HI, _LO))
 query("rmst", f"WITH {_RISK}, s AS (SELECT grp, time::DOUBLE AS time, exp(sum(ln(1 - d / n)) OVER (PARTITION BY grp ORDER BY time)) AS s FROM x WHERE time < 60), u AS (SELECT * FROM s UNION ALL SELECT DISTINCT grp, 0.0, 1.0 FROM lives), z AS (SELECT grp, time, s, coalesce(lead(time) OVER (PARTITION BY grp ORDER BY time, s DESC), 60.0) AS nxt FROM u) SELECT grp, round(sum((nxt - time) * s), 5) AS rmst FROM z GROUP BY 1", 5)(lambda spark, d: L.rmst(lives(spark, d), "time", "event", "grp", 60))
 
 # series
