@@ -9,10 +9,12 @@ import math
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
+from tessella.session import ship
+
 
 def log_gamma(x: np.ndarray) -> np.ndarray:
     return np.vectorize(math.lgamma, otypes=[float])(x)
@@ -123,25 +125,38 @@ def _hypergeometric_sf(k: pd.Series, total: pd.Series, marked: pd.Series, drawn:
     return pd.Series([None if pd.isna(a) else one(a, b, c, e) for a, b, c, e in zip(k, total, marked, drawn, strict=True)], dtype="float64")
 
 
+def _here() -> None:
+    """The tasks of the session in use can import this package."""
+    spark = SparkSession.getActiveSession()
+    if spark is not None:
+        ship(spark)
+
+
 def normal_sf(z: Column) -> Column:
+    _here()
     return _normal_sf(z.cast("double"))
 
 
 def chi2_sf(x: Column, df: Column) -> Column:
+    _here()
     return _chi2_sf(x.cast("double"), df.cast("double"))
 
 
 def t_two_sided(t: Column, df: Column) -> Column:
+    _here()
     return _t_two_sided(t.cast("double"), df.cast("double"))
 
 
 def f_sf(x: Column, a: Column, b: Column) -> Column:
+    _here()
     return _f_sf(x.cast("double"), a.cast("double"), b.cast("double"))
 
 
 def binomial_two_sided(k: Column, n: Column, p: Column) -> Column:
+    _here()
     return _binomial_two_sided(k.cast("double"), n.cast("double"), p.cast("double"))
 
 
 def hypergeometric_sf(k: Column, total: Column, marked: Column, drawn: Column) -> Column:
+    _here()
     return _hypergeometric_sf(*(c.cast("double") for c in (k, total, marked, drawn)))

@@ -4,9 +4,9 @@ from __future__ import annotations
 
 
 def _modules():
-    from tessella.plans import core, hypotheses, more, statistics
+    from tessella.plans import core, genomics, hypotheses, more, statistics
 
-    return [core, statistics, more, hypotheses]
+    return [core, statistics, more, hypotheses, genomics]
 
 
 def queries() -> dict:
