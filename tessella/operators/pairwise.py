@@ -1,4 +1,4 @@
-"""All pairs of an axis by a join on the other axis. The result has n² / 2 rows by nature; `max_positions` refuses large n."""
+"""All pairs of an axis by a join on the other axis. The result has n² / 2 rows by nature; `max_positions`, if given, refuses more."""
 
 from __future__ import annotations
 
@@ -13,7 +13,7 @@ def _checked(cells: DataFrame, dim: str, most: int | None) -> None:
         raise ValueError(f"more than {most} positions on {dim}")
 
 
-def distance_matrix(cells: DataFrame, dim: str, feature: str, value: str = "value", metric: str = "euclidean", max_positions: int | None = 10000) -> DataFrame:
+def distance_matrix(cells: DataFrame, dim: str, feature: str, value: str = "value", metric: str = "euclidean", max_positions: int | None = None) -> DataFrame:
     """Pairs (a < b) and their distance; missing counts as 0. Only features that one of the two has are joined: sums over
     single positions give the rest, so sparse rows stay sparse."""
     _checked(cells, dim, max_positions)
@@ -37,19 +37,33 @@ def distance_matrix(cells: DataFrame, dim: str, feature: str, value: str = "valu
     return pairs.select(F.col("p_a").alias("a"), F.col("p_b").alias("b"), d.alias("distance"))
 
 
-def correlation(cells: DataFrame, dim: str, feature: str, value: str = "value", metric: str = "pearson", min_valid: int = 3, max_positions: int | None = 10000) -> DataFrame:
+def correlation(cells: DataFrame, dim: str, feature: str, value: str = "value", metric: str = "pearson", min_valid: int = 3, max_positions: int | None = None) -> DataFrame:
     """Pairs (a < b) over the features that both have; missing with fewer than min_valid or without spread. spearman ranks
-    each position over all its features (equal to the pairwise form where no cell is missing)."""
+    within each pair, over those features."""
     _checked(cells, dim, max_positions)
     t = cells.select(F.col(dim).alias("p"), F.col(feature).alias("f"), clean(value).alias("v")).where("v is not null")
-    if metric == "spearman":
-        from tessella.operators.common import average_rank
-
-        t = average_rank(t, "v", "r", within=["p"]).select("p", "f", F.col("r").alias("v"))
     both = t.alias("a").join(t.alias("b"), (F.col("a.f") == F.col("b.f")) & (F.col("a.p") < F.col("b.p")))
+    if metric == "spearman":
+        return _rank_correlation(both.select(F.col("a.p").alias("a"), F.col("b.p").alias("b"), F.col("a.v").alias("x"), F.col("b.v").alias("y")), min_valid)
     g = both.groupBy(F.col("a.p").alias("a"), F.col("b.p").alias("b"))
     if metric == "cosine":
         r = F.sum(F.col("a.v") * F.col("b.v")) / F.sqrt(F.sum(F.col("a.v") ** 2) * F.sum(F.col("b.v") ** 2))
     else:
         r = F.when((F.var_pop("a.v") > 0) & (F.var_pop("b.v") > 0), F.corr("a.v", "b.v"))
     return g.agg(F.when(F.count(F.lit(1)) >= min_valid, r).alias("r"), F.count(F.lit(1)).alias("n"))
+
+
+def _rank_correlation(pairs: DataFrame, min_valid: int) -> DataFrame:
+    """Pearson's coefficient of average ranks for each (a, b), from counts of equal values (x, y)."""
+    from tessella.operators.groups import _ranked
+
+    keys = ["a", "b"]
+    t = pairs.groupBy(*keys, "x", "y").agg(F.count(F.lit(1)).alias("c"))
+    for name in ("x", "y"):
+        ranks = _ranked(pairs, keys, name).select(*keys, F.col("_v").alias(name), F.col("_rank").cast("double").alias(f"r{name}"))
+        t = t.join(ranks, [*keys, name])
+    c, x, y = F.col("c"), F.col("rx"), F.col("ry")
+    s = t.groupBy(*keys).agg(F.sum("c").alias("n"), F.sum(c * x * y).alias("xy"), F.sum(c * x * x).alias("xx"), F.sum(c * y * y).alias("yy"))
+    mid = F.col("n") * (F.col("n") + 1.0) ** 2 / 4
+    r = (F.col("xy") - mid) / F.sqrt((F.col("xx") - mid) * (F.col("yy") - mid))
+    return s.select(*keys, F.when((F.col("n") >= min_valid) & (F.col("xx") > mid) & (F.col("yy") > mid), r).alias("r"), "n")

@@ -47,9 +47,9 @@ def site_frequency_spectrum(cells: DataFrame, variant: str, dosage: str, folded:
     return s.groupBy(k.alias("copies")).agg(F.count(F.lit(1)).alias("sites"))
 
 
-def relationship(cells: DataFrame, variant: str, sample: str, dosage: str, ploidy: int = 2, max_positions: int = 10000) -> DataFrame:
+def relationship(cells: DataFrame, variant: str, sample: str, dosage: str, ploidy: int = 2, max_positions: int | None = None) -> DataFrame:
     """Genomic relationships of pairs of samples (a <= b): mean of products of standardised dosages over variants that vary."""
-    if cells.select(sample).distinct().count() > max_positions:
+    if max_positions is not None and cells.select(sample).distinct().count() > max_positions:
         raise ValueError(f"more than {max_positions} samples")
     d = clean(dosage)
     f = cells.where(d.isNotNull()).groupBy(variant).agg((F.avg(d) / ploidy).alias("p")).where("p > 0 and p < 1")

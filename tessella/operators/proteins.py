@@ -100,7 +100,7 @@ def pwm_scan(rows: DataFrame, key: str, seq: str, counts: list[dict[str, float]]
     return w.select("key", "start", "w", total.alias("score")).where(F.col("score") >= min_score)
 
 
-def mash_distance(rows: DataFrame, key: str, seq: str, k: int = 5, most: int = 5000) -> DataFrame:
+def mash_distance(rows: DataFrame, key: str, seq: str, k: int = 5, most: int | None = None) -> DataFrame:
     """Jaccard of k-mer sets and the Mash distance for pairs that share a k-mer."""
     import math
 
@@ -108,7 +108,7 @@ def mash_distance(rows: DataFrame, key: str, seq: str, k: int = 5, most: int = 5
 
     t = kmer_count(rows, key, seq, k).select("key", "kmer")
     sizes = t.groupBy("key").agg(F.count(F.lit(1)).alias("n"))
-    if sizes.count() > most:
+    if most is not None and sizes.count() > most:
         raise ValueError(f"more than {most} sequences")
     both = t.alias("a").join(t.alias("b"), (F.col("a.kmer") == F.col("b.kmer")) & (F.col("a.key") < F.col("b.key"))).groupBy(F.col("a.key").alias("a"), F.col("b.key").alias("b")).agg(F.count(F.lit(1)).alias("common"))
     j = F.col("common") / (F.col("na") + F.col("nb") - F.col("common"))

@@ -290,4 +290,10 @@ def _correlate(metric, sql, source):
 
 _correlate("pearson", "corr(v, w)", "SELECT part, flag, value AS v FROM cells")
 _correlate("cosine", "sum(v * w) / sqrt(sum(v * v) * sum(w * w))", "SELECT part, flag, value AS v FROM cells")
-_correlate("spearman", "corr(v, w)", "SELECT part, flag, rank() OVER (PARTITION BY flag ORDER BY value) + (count(*) OVER (PARTITION BY flag, value) - 1) / 2.0::DOUBLE AS v FROM cells")
+
+
+# Spearman ranks within each pair, over the features that both have; with and without missing cells
+_RANKS = "x AS (SELECT a.flag AS a, b.flag AS b, a.value AS v, b.value AS w FROM {0} a JOIN {0} b ON a.part = b.part AND a.flag < b.flag WHERE a.value IS NOT NULL AND b.value IS NOT NULL), r AS (SELECT a, b, rank() OVER (PARTITION BY a, b ORDER BY v) + (count(*) OVER (PARTITION BY a, b, v) - 1) / 2.0::DOUBLE AS v, rank() OVER (PARTITION BY a, b ORDER BY w) + (count(*) OVER (PARTITION BY a, b, w) - 1) / 2.0::DOUBLE AS w FROM x)"
+for _name, _with, _source, _cells in (("correlation_spearman", CELLS, "cells", cells), ("correlation_spearman_holes", HOLES, "holes", holes)):
+    QUERIES[_name] = lambda spark, d, c=_cells: rounded(P.correlation(c(spark, d), "flag", "part", metric="spearman"), "r")
+    SQL[_name] = f"WITH {_with}, {_RANKS.format(_source)} SELECT a, b, round(corr(v, w), 6) AS r, count(*) AS n FROM r GROUP BY 1, 2"
