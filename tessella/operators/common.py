@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import and_
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -17,49 +20,101 @@ def over(*keys: str):
     return Window.partitionBy(*keys)
 
 
+def null_safe_join(a: DataFrame, b: DataFrame, on: list[str], how: str = "inner") -> DataFrame:
+    """An equi-join on `on` in which nulls are equal; the columns of `b` besides `on` are added."""
+    keys = {c: f"_on{i}" for i, c in enumerate(on)}
+    other = b.withColumnsRenamed(keys)
+    match = reduce(and_, [a[c].eqNullSafe(other[k]) for c, k in keys.items()])
+    return a.join(other, match, how).drop(*keys.values())
+
+
+def ranged(df: DataFrame, order: list[str], parts: int = 64, sample: int = 1 << 13) -> DataFrame:
+    """Adds `_range`: equal rows share it and it grows with `order` (ascending, missing last), so that a window within a
+    range and the totals of the ranges before it replace one window over all rows. The cuts, chosen from `sample` random
+    rows, are constants of the plan: they decide the balance and never the result."""
+    key = [part for c in order for part in (F.col(c).isNull(), F.col(c))]
+    drawn = df.select(*order).orderBy(F.rand(7)).limit(sample).orderBy(*[F.col(c).asc_nulls_last() for c in order]).collect()
+    cuts = list(dict.fromkeys(tuple(drawn[len(drawn) * k // parts]) for k in range(1, parts))) if drawn else []
+    types = {f.name: f.dataType for f in df.select(*order).schema.fields}
+    edges = [F.struct(*[x for c, v in zip(order, cut, strict=True) for x in (F.lit(v is None), F.lit(v).cast(types[c]))]) for cut in cuts]
+
+    def place(low: int, high: int) -> Column:
+        if low == high:
+            return F.lit(low)
+        mid = (low + high) // 2
+        return F.when(F.struct(*key) < edges[mid], place(low, mid)).otherwise(place(mid + 1, high))
+
+    return df.withColumn("_range", place(0, len(edges)))
+
+
+def with_before(keyed: DataFrame, within: list[str], **totals: tuple[str, Column]) -> DataFrame:
+    """Adds for each name the sum, min or max of an expression over the ranges before a row's own (missing in the first)."""
+    of = {"sum": F.sum, "min": F.min, "max": F.max}
+    w = Window.partitionBy(*within).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)  # one row for each range
+    each = keyed.groupBy(*within, "_range").agg(*[of[how](e).alias(f"_t_{name}") for name, (how, e) in totals.items()])
+    before = each.select(*within, "_range", *[of[how](f"_t_{name}").over(w).alias(name) for name, (how, _) in totals.items()])
+    return null_safe_join(keyed, before, [*within, "_range"])
+
+
+def running(df: DataFrame, order: list[str], within: list[str], **totals: tuple[str, Column]) -> DataFrame:
+    """Adds for each name the sum, min or max of an expression over the rows of its group up to and with each row (rows of
+    equal `order` follow one another in any order)."""
+    whole = {"sum": lambda a, b: a + F.coalesce(b, F.lit(0)), "min": F.least, "max": F.greatest}
+    of = {"sum": F.sum, "min": F.min, "max": F.max}
+    w = Window.partitionBy(*within, "_range").orderBy(*[F.col(c).asc_nulls_last() for c in order]).rowsBetween(Window.unboundedPreceding, 0)
+    keyed = with_before(ranged(df, order), within, **{f"_b_{name}": t for name, t in totals.items()})
+    for name, (how, e) in totals.items():
+        keyed = keyed.withColumn(name, whole[how](of[how](e).over(w), F.col(f"_b_{name}")))
+    return keyed.drop("_range", *[f"_b_{name}" for name in totals])
+
+
 def global_row_number(df: DataFrame, value: str, *ties: str, name: str = "rn", parts: int = 64, within: list[str] | None = None) -> DataFrame:
-    """Adds the 1-based rank of each row in ascending (value, ties), missing last, without one task that holds all rows.
-
-    Approximate quantiles cut the values into at most `parts` ranges; the ranges' exact counts give each its offset. With
-    `within`, rows are numbered in each group instead, by an ordinary window.
-    """
-    order = [F.col(value).asc_nulls_last(), *[F.col(t).asc_nulls_last() for t in ties]]
-    if within:
-        return df.withColumn(name, F.row_number().over(Window.partitionBy(*within).orderBy(*order)))
-    v = F.col(value).cast("double")
-    cuts = sorted(set(df.select(v.alias("v")).approxQuantile("v", [k / parts for k in range(1, parts)], 0.002) or []))
-    place = F.lit(len(cuts) + 1)
-    for k in range(len(cuts) - 1, -1, -1):
-        place = F.when(v < F.lit(cuts[k]), F.lit(k)).otherwise(place) if k else F.when(v < F.lit(cuts[0]), F.lit(0)).otherwise(place)
-    bucket = F.when(v.isNull(), F.lit(len(cuts) + 2)).otherwise(place)
-    keyed = df.withColumn("_range", bucket)
-    counts = {r["_range"]: r["n"] for r in keyed.groupBy("_range").agg(F.count(F.lit(1)).alias("n")).collect()}  # parts + 1 rows at most
-    offsets, total = [], 0
-    for k in range(len(cuts) + 3):
-        offsets.append(total)
-        total += counts.get(k, 0)
-    rank = F.row_number().over(Window.partitionBy("_range").orderBy(*order)) + F.element_at(F.lit(offsets), F.col("_range") + 1)
-    return keyed.withColumn(name, rank.cast("long")).drop("_range")
-
-
-def average_rank(df: DataFrame, value: str, name: str = "rank", within: list[str] | None = None) -> DataFrame:
-    """Adds the average rank of each value among ties; missing values get none."""
-    if within:
-        w = Window.partitionBy(*within)
-        low = F.rank().over(w.orderBy(F.col(value).asc_nulls_last()))
-        ties = F.count(F.lit(1)).over(Window.partitionBy(*within, value))
-        return df.withColumn(name, F.when(F.col(value).isNotNull(), low + (ties - 1) / 2))
-    counts = global_row_number(df.where(F.col(value).isNotNull()).groupBy(F.col(value).alias("_v")).agg(F.count(F.lit(1)).alias("_c")), "_v", name="_k")
-    spans = running_sum(counts, "_k", "_c", "_upto")
-    spans = spans.select("_v", (F.col("_upto") - (F.col("_c") - 1) / 2).alias(name))
-    return df.join(spans, df[value] == spans["_v"], "left").drop("_v")
+    """Adds the 1-based rank of each row in ascending (value, ties), missing last, by group of `within` if given; no task
+    holds all rows or a whole group."""
+    group = within or []
+    keyed = with_before(ranged(df, [value, *ties], parts), group, _before=("sum", F.lit(1)))
+    w = Window.partitionBy(*group, "_range").orderBy(*[F.col(c).asc_nulls_last() for c in (value, *ties)])
+    return keyed.withColumn(name, (F.row_number().over(w) + F.coalesce("_before", F.lit(0))).cast("long")).drop("_range", "_before")
+
+
+def counted(df: DataFrame, keys: list[str], value: str | Column, weight: str | Column | None = None) -> DataFrame:
+    """The distinct values of each group with their ranks: keys, _v, _c (rows, or the sum of `weight`), _k (dense rank) and
+    _upto (rows up to and with the value). Values are counted first, so one that many rows share is one row."""
+    v = clean(value)
+    tally = df.select(*keys, v.alias("_v"), (F.lit(1) if weight is None else F.col(weight) if isinstance(weight, str) else weight).alias("_w")).where("_v is not null").groupBy(*keys, "_v").agg(F.sum("_w").cast("long").alias("_c"))
+    keyed = with_before(ranged(tally, ["_v"]), keys, _b=("sum", F.col("_c")), _d=("sum", F.lit(1)))
+    w = Window.partitionBy(*keys, "_range").orderBy("_v")
+    upto, dense = F.sum("_c").over(w) + F.coalesce("_b", F.lit(0)), F.row_number().over(w) + F.coalesce("_d", F.lit(0))
+    return keyed.select(*keys, "_v", "_c", dense.cast("long").alias("_k"), upto.alias("_upto"))
+
+
+def quantiles(df: DataFrame, keys: list[str], value: str | Column, shares: list[float], name: str = "q", weight: str | Column | None = None) -> DataFrame:
+    """keys and an array of exact quantiles by linear interpolation, from counted distinct values: groups of any size.
+    A group without values has no row (without keys: one row of nulls)."""
+    spans = counted(df, keys, value, weight)
+    size = spans.groupBy(*keys).agg(F.sum("_c").alias("_n"))
+    rows = null_safe_join(spans, size, keys) if keys else spans.crossJoin(F.broadcast(size))  # one row
+    at = lambda place: F.max(F.when((F.col("_upto") - F.col("_c") <= place) & (place < F.col("_upto")), F.col("_v")))
+    found = []
+    for share in shares:
+        place = (F.col("_n") - 1) * F.lit(float(share))
+        found += [at(F.floor(place)), at(F.ceil(place)), F.max(place - F.floor(place))]
+    out = rows.groupBy(*keys).agg(*[e.alias(f"_q{i}") for i, e in enumerate(found)])
+    between = [F.col(f"_q{i}") * (1 - F.col(f"_q{i + 2}")) + F.col(f"_q{i + 1}") * F.col(f"_q{i + 2}") for i in range(0, len(found), 3)]
+    return out.select(*keys, F.array(*between).alias(name))
+
+
+def average_rank(df: DataFrame, value: str, name: str = "rank", within: list[str] | None = None, method: str = "average") -> DataFrame:
+    """Adds the rank of each value, within a group if given; missing values get none. Ties get their average, least,
+    largest or dense rank."""
+    keys = within or []
+    rank = {"average": F.col("_upto") - (F.col("_c") - 1) / 2, "min": F.col("_upto") - F.col("_c") + 1, "max": F.col("_upto"), "dense": F.col("_k")}[method]
+    spans = counted(df, keys, value).select(*keys, "_v", rank.cast("double").alias(name))
+    return null_safe_join(df.withColumn("_v", clean(value)), spans, [*keys, "_v"], "left").drop("_v")
 
 
 def running_sum(df: DataFrame, rank: str, value: str, name: str, size: int = 1 << 16) -> DataFrame:
     """Adds the sum of `value` up to each row in the order of `rank` (1, 2, ...): sums of blocks, then within a block."""
-    block = F.floor((F.col(rank) - 1) / size)
-    keyed = df.withColumn("_block", block)
-    sums = keyed.groupBy("_block").agg(F.sum(value).alias("_sum"))
-    before = sums.alias("a").join(sums.alias("b"), F.col("b._block") < F.col("a._block"), "left").groupBy("a._block").agg(F.coalesce(F.sum("b._sum"), F.lit(0)).alias("_before")).select("_block", "_before")
-    inner = F.sum(value).over(Window.partitionBy("_block").orderBy(rank))
-    return keyed.withColumn(name, inner).join(before, "_block").withColumn(name, F.col(name) + F.col("_before")).drop("_block", "_before")
+    keyed = df.withColumn("_range", F.floor((F.col(rank) - 1) / size))
+    inner = F.sum(value).over(Window.partitionBy("_range").orderBy(rank))
+    return with_before(keyed, [], _before=("sum", F.col(value))).withColumn(name, inner + F.coalesce("_before", F.lit(0))).drop("_range", "_before")

@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessella.functions.distributions import chi2_sf, f_sf, normal_sf, t_two_sided
-from tessella.operators.common import clean
+from tessella.operators.common import clean, counted, quantiles
 
 
 def moments(rows: DataFrame, feature: list[str], group: str, value: str) -> DataFrame:
@@ -44,17 +44,16 @@ def two_sample(rows: DataFrame, feature: list[str], group: str, value: str, a, b
 def levene(rows: DataFrame, feature: list[str], group: str, value: str, center: str = "median") -> DataFrame:
     """Levene's (mean) or Brown-Forsythe's (median) W: the F of absolute deviations."""
     v = clean(value)
-    mid = rows.groupBy(*feature, group).agg((F.percentile(v, 0.5) if center == "median" else F.avg(v)).alias("_mid"))
+    keys = [*feature, group]
+    mid = quantiles(rows, keys, value, [0.5]).select(*keys, F.col("q")[0].alias("_mid")) if center == "median" else rows.groupBy(*keys).agg(F.avg(v).alias("_mid"))
     dev = rows.join(mid, [*feature, group]).withColumn("_dev", F.abs(v - F.col("_mid")))
     return anova(dev, feature, group, "_dev").select(*feature, F.col("f").alias("w"), "p", "n", "k")
 
 
 def _ranked(rows: DataFrame, feature: list[str], value: str) -> DataFrame:
     """Average ranks within a feature and tie sizes, from counts of distinct values, so that a value many rows share is one row."""
-    v = clean(value)
-    tally = rows.where(v.isNotNull()).groupBy(*feature, v.alias("_v")).agg(F.count(F.lit(1)).alias("_t"))
-    w = Window.partitionBy(*feature).orderBy("_v")
-    return tally.withColumn("_rank", F.sum("_t").over(w) - (F.col("_t") - 1) / 2)
+    spans = counted(rows, feature, value)
+    return spans.select(*feature, "_v", F.col("_c").alias("_t"), (F.col("_upto") - (F.col("_c") - 1) / 2).alias("_rank"))
 
 
 def rank_tests(rows: DataFrame, feature: list[str], group: str, value: str) -> DataFrame:
@@ -91,7 +90,7 @@ def mann_whitney(rows: DataFrame, feature: list[str], group: str, value: str, a,
 def summary_quantiles(rows: DataFrame, feature: list[str], value: str) -> DataFrame:
     """Quartiles, IQR, Tukey fences and how many values lie beyond them."""
     v = clean(value)
-    q = rows.groupBy(*feature).agg(F.percentile(v, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).alias("q"))
+    q = quantiles(rows, feature, value, [0.25, 0.5, 0.75])
     low, high = F.col("q")[0] - 1.5 * (F.col("q")[2] - F.col("q")[0]), F.col("q")[2] + 1.5 * (F.col("q")[2] - F.col("q")[0])
     return rows.join(q, feature).groupBy(*feature).agg(F.first(F.col("q")[0]).alias("q1"), F.first(F.col("q")[1]).alias("median"), F.first(F.col("q")[2]).alias("q3"), F.count_if((v < low) | (v > high)).alias("outliers"))
 

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessella.functions.distributions import binomial_two_sided, chi2_sf, f_sf, hypergeometric_sf, normal_sf, t_two_sided
-from tessella.operators.common import clean
+from tessella.operators.common import clean, null_safe_join, quantiles
 from tessella.operators.groups import _ranked, moments
 
 Columns = list[str]
@@ -112,7 +112,7 @@ def median_test(rows: DataFrame, feature: Columns, group: str, value: str) -> Da
     v = clean(value)
     used = rows.where(v.isNotNull() & F.col(group).isNotNull())
     tally = used.groupBy(*feature, F.col(group).alias("g"), v.alias("_v")).agg(F.count(F.lit(1)).alias("_n"))
-    mid = tally.groupBy(*feature).agg(F.percentile("_v", 0.5, F.col("_n")).alias("median"))
+    mid = quantiles(tally, feature, "_v", [0.5], weight="_n").select(*feature, F.col("q")[0].alias("median"))
     per = tally.join(mid, feature).groupBy(*feature, "median", "g").agg(F.sum(F.when(F.col("_v") > F.col("median"), F.col("_n")).otherwise(0)).cast("double").alias("o"), F.sum("_n").cast("double").alias("n"))
     per = per.groupBy(*feature, "median").agg(F.sum("o").alias("o"), F.sum("n").alias("n"), F.sum(F.col("o") ** 2 / F.col("n")).alias("q"), F.count(F.lit(1)).alias("k"))
     o, n = F.col("o"), F.col("n")
@@ -364,7 +364,7 @@ def order_tests(order: DataFrame) -> DataFrame:
 def runs_test(rows: DataFrame, key: str, order: Columns, value: str) -> DataFrame:
     """Wald and Wolfowitz's runs about the median, without the values that equal it: z and p."""
     v = clean(value)
-    mid = rows.groupBy(key).agg(F.percentile(v, 0.5).alias("_mid"))
+    mid = quantiles(rows, [key], v, [0.5]).select(key, F.col("q")[0].alias("_mid"))
     t = rows.join(mid, key).where(v != F.col("_mid")).withColumn("_up", v > F.col("_mid"))
     t = t.withColumn("_new", F.coalesce((F.col("_up") != F.lag("_up").over(Window.partitionBy(key).orderBy(*order))).cast("int"), F.lit(1)))
     s = t.groupBy(F.col(key).alias("key")).agg(F.sum("_new").alias("runs"), F.count_if("_up").cast("double").alias("a"), F.count_if(~F.col("_up")).cast("double").alias("b"))
@@ -456,7 +456,10 @@ def kolmogorov_smirnov(rows: DataFrame, feature: Columns, group: str, value: str
 
 def genomic_inflation(rows: DataFrame, feature: Columns, chi2: str) -> DataFrame:
     """Lambda: the median of chi-squares of one degree over the median expected."""
-    return rows.groupBy(*feature).agg((F.percentile(chi2, 0.5) / 0.4549364231195724).alias("lambda"), F.count(chi2).alias("n"))
+    mid = quantiles(rows, feature, chi2, [0.5])
+    size = rows.groupBy(*feature).agg(F.count(chi2).alias("n"))
+    both = null_safe_join(size, mid, feature, "left") if feature else size.crossJoin(F.broadcast(mid))  # one row
+    return both.select(*feature, (F.col("q")[0] / 0.4549364231195724).alias("lambda"), "n")
 
 
 def brier(rows: DataFrame, label: str, risk: str) -> DataFrame:

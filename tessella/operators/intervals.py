@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessella.operators.common import null_safe_join, quantiles, ranged, with_before
+
 
 def _binned(rows: DataFrame, start: str, end: str, width: int, name: str = "_bin") -> DataFrame:
     low, high = F.floor(F.col(start) / width), F.floor((F.greatest(F.col(end), F.col(start) + 1) - 1) / width)
@@ -21,43 +23,61 @@ def overlap(a: DataFrame, b: DataFrame, chrom: str = "chrom", start: str = "star
     return pairs.select("a_id", "b_id", "chrom", size.alias("overlap"), (size / (F.col("a_end") - F.col("a_start"))).alias("a_fraction"), (size / (F.col("b_end") - F.col("b_start"))).alias("b_fraction"))
 
 
+def _runs(rows: DataFrame, chrom: str, start: str, end: str, max_gap: int) -> DataFrame:
+    """chrom, start, end, _upto (the furthest end before the row) and _first (whether a run begins), in ranges of start."""
+    keyed = ranged(rows.select(F.col(chrom).alias("chrom"), F.col(start).alias("start"), F.col(end).alias("end")), ["start", "end"])
+    w = Window.partitionBy("chrom", "_range").orderBy("start", "end").rowsBetween(Window.unboundedPreceding, -1)
+    upto = F.greatest(F.max("end").over(w), F.col("_before"))
+    t = with_before(keyed, ["chrom"], _before=("max", F.col("end"))).withColumn("_upto", upto).drop("_before")
+    return t.withColumn("_first", (F.col("_upto").isNull() | (F.col("start") - F.col("_upto") > max_gap)).cast("long"))
+
+
 def merge(rows: DataFrame, chrom: str = "chrom", start: str = "start", end: str = "end", max_gap: int = 0) -> DataFrame:
-    """Runs of intervals whose gaps are at most `max_gap`: chrom, start, end, n. Sorted windows by chrom."""
-    w = Window.partitionBy(chrom).orderBy(start, end)
-    upto = F.max(end).over(w.rowsBetween(Window.unboundedPreceding, -1))
-    island = F.sum(F.when(F.col("_upto").isNull() | (F.col(start) - F.col("_upto") > max_gap), 1).otherwise(0)).over(w)
-    runs = rows.withColumn("_upto", upto).withColumn("_island", island)
-    return runs.groupBy(F.col(chrom).alias("chrom"), "_island").agg(F.min(start).alias("start"), F.max(end).alias("end"), F.count(F.lit(1)).alias("n")).drop("_island")
+    """Runs of intervals whose gaps are at most `max_gap`: chrom, start, end, n. A chrom is walked in ranges of its starts."""
+    w = Window.partitionBy("chrom", "_range").orderBy("start", "end").rowsBetween(Window.unboundedPreceding, 0)
+    runs = with_before(_runs(rows, chrom, start, end, max_gap), ["chrom"], _before=("sum", F.col("_first")))
+    runs = runs.withColumn("_island", F.sum("_first").over(w) + F.coalesce("_before", F.lit(0)))
+    return runs.groupBy("chrom", "_island").agg(F.min("start").alias("start"), F.max("end").alias("end"), F.count(F.lit(1)).alias("n")).drop("_island")
+
+
+def _seen(rows: DataFrame, how: str, what) -> DataFrame:
+    """Adds p: the largest or smallest `what` of a chrom up to each row in the order of (at, kind), in ranges of it."""
+    of = {"min": F.min, "max": F.max}[how]
+    both = {"min": F.least, "max": F.greatest}[how]
+    w = Window.partitionBy("chrom", "_range").orderBy("at", "kind").rowsBetween(Window.unboundedPreceding, 0)
+    keyed = with_before(ranged(rows, ["at", "kind"]), ["chrom"], _before=(how, what))
+    near, far = of(what).over(w), F.col("_before")
+    return keyed.withColumn("_near", near).withColumn("p", F.when(F.col("_near").isNull(), far).when(far.isNull(), F.col("_near")).otherwise(both("_near", far))).drop("_near", "_before", "_range")
 
 
 def nearest(a: DataFrame, b: DataFrame, max_distance: int | None = None, chrom: str = "chrom", start: str = "start", end: str = "end", id_col: str = "id", width: int = 64) -> DataFrame:
     """For each of `a` the nearest of `b` on its chrom: 0 if they overlap, else the gap; ties by the least id. Exact: the last
-    end at or before, and the first start at or after, by one sorted window over both sides; overlaps by bins."""
+    end at or before, and the first start at or after, by a walk over both sides in ranges; overlaps by bins."""
     over_ = overlap(a, b, chrom, start, end, id_col, 1, width).groupBy("a_id").agg(F.min("b_id").alias("b_id")).withColumn("distance", F.lit(0).cast("long"))
     x = a.select(F.lit(1).alias("kind"), F.col(chrom).alias("chrom"), F.col(start).cast("long").alias("at"), F.col(end).cast("long").alias("to"), F.col(id_col).alias("id"))
     y = b.select(F.lit(0).alias("kind"), F.col(chrom).alias("chrom"), F.col(start).cast("long").alias("at"), F.col(end).cast("long").alias("to"), F.col(id_col).alias("id"))
     ends = y.withColumn("at", F.col("to"))
-    before = Window.partitionBy("chrom").orderBy("at", "kind").rowsBetween(Window.unboundedPreceding, 0)
-    prev = F.max(F.when(F.col("kind") == 0, F.struct(F.col("at"), (-F.col("id")).alias("k")))).over(before)
-    left = x.unionByName(ends).withColumn("p", prev).where("kind = 1 and p is not null").select(F.col("id").alias("a_id"), (-F.col("p.k")).alias("b_id"), (F.col("at") - F.col("p.at")).alias("distance"))
-    after = Window.partitionBy("chrom").orderBy(F.desc("at"), "kind").rowsBetween(Window.unboundedPreceding, 0)
-    nxt = F.min(F.when(F.col("kind") == 0, F.struct(F.col("at"), F.col("id").alias("k")))).over(after)
-    right = x.withColumn("at", F.col("to")).unionByName(y).withColumn("p", nxt).where("kind = 1 and p is not null").select(F.col("id").alias("a_id"), F.col("p.k").alias("b_id"), (F.col("p.at") - F.col("at")).alias("distance"))
+    earlier = F.when(F.col("kind") == 0, F.struct(F.col("at"), (-F.col("id")).alias("k")))
+    prev = _seen(x.unionByName(ends), "max", earlier).where("kind = 1 and p is not null")
+    left = prev.select(F.col("id").alias("a_id"), (-F.col("p.k")).alias("b_id"), (F.col("at") - F.col("p.at")).alias("distance"))
+    later = F.when(F.col("kind") == 0, F.struct((-F.col("at")).alias("at"), F.col("id").alias("k")))  # `at` is negated: the walk goes back
+    nxt = _seen(x.withColumn("at", F.col("to")).unionByName(y).withColumn("at", -F.col("at")), "min", later).where("kind = 1 and p is not null")
+    right = nxt.select(F.col("id").alias("a_id"), F.col("p.k").alias("b_id"), (F.col("p.at") + F.col("at")).alias("distance"))
     every = over_.unionByName(left).unionByName(right).groupBy("a_id").agg(F.min(F.struct("distance", "b_id")).alias("m"))
     out = every.select("a_id", F.col("m.b_id").alias("b_id"), F.col("m.distance").alias("distance"))
     return out if max_distance is None else out.where(F.col("distance") <= max_distance)
 
 
 def interval_stats(rows: DataFrame, chrom: str = "chrom", start: str = "start", end: str = "end") -> DataFrame:
-    n = F.col(end) - F.col(start)
-    return rows.groupBy(F.col(chrom).alias("chrom")).agg(F.count(F.lit(1)).alias("n"), F.sum(n).alias("total"), F.avg(n).alias("mean"), F.percentile(n, 0.5).alias("median"), F.min(n).alias("min"), F.max(n).alias("max"))
+    t = rows.select(F.col(chrom).alias("chrom"), (F.col(end) - F.col(start)).alias("len"))
+    plain = t.groupBy("chrom").agg(F.count(F.lit(1)).alias("n"), F.sum("len").alias("total"), F.avg("len").alias("mean"), F.min("len").alias("min"), F.max("len").alias("max"))
+    return null_safe_join(plain, quantiles(t, ["chrom"], "len", [0.5]), ["chrom"], "left").select("chrom", "n", "total", "mean", F.col("q")[0].alias("median"), "min", "max")
 
 
 def gaps(rows: DataFrame, chrom: str = "chrom", start: str = "start", end: str = "end", min_gap: int = 0) -> DataFrame:
     """Stretches between merged runs longer than `min_gap`."""
-    w = Window.partitionBy("chrom").orderBy("start")
-    runs = merge(rows, chrom, start, end).withColumn("next", F.lead("start").over(w))
-    return runs.where(F.col("next") - F.col("end") > min_gap).select("chrom", F.col("end").alias("start"), F.col("next").alias("end"), (F.col("next") - F.col("end")).alias("length"))
+    runs = _runs(rows, chrom, start, end, max(min_gap, 0)).where("_first = 1 and _upto is not null")
+    return runs.select("chrom", F.col("_upto").alias("start"), F.col("start").alias("end"), (F.col("start") - F.col("_upto")).alias("length"))
 
 
 def jaccard(a: DataFrame, b: DataFrame, width: int = 1024) -> DataFrame:

@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessella.operators.common import clean, over
+from tessella.operators.common import average_rank, clean, global_row_number, null_safe_join, over, quantiles
 
 
 def log_transform(cells: DataFrame, value: str = "value", base: float | str = 2, pseudocount: float = 1) -> DataFrame:
@@ -26,10 +26,11 @@ def normalize(cells: DataFrame, sample: str, feature: str, value: str = "value",
     if method == "median_of_ratios":
         n = cells.select(sample).distinct().count()
         geo = cells.where(v > 0).groupBy(feature).agg(F.avg(F.log(v)).alias("_g"), F.count(F.lit(1)).alias("_n")).where(F.col("_n") == n)
-        factors = cells.join(geo.select(feature, "_g"), feature).groupBy(sample).agg(F.exp(F.percentile(F.log(v) - F.col("_g"), 0.5)).alias("_f"))
+        ratios = cells.join(geo.select(feature, "_g"), feature).withColumn("_r", F.log(v) - F.col("_g"))
+        factors = quantiles(ratios, [sample], "_r", [0.5]).select(sample, F.exp(F.col("q")[0]).alias("_f"))
         return cells.join(factors, sample).withColumn(value, v / F.col("_f")).drop("_f")
     if method == "quantile":
-        ranked = cells.where(v.isNotNull()).withColumn("_k", F.row_number().over(over(sample).orderBy(v, feature)))
+        ranked = global_row_number(cells.where(v.isNotNull()).withColumn("_x", v), "_x", feature, name="_k", within=[sample]).drop("_x")
         size = ranked.groupBy(sample).agg(F.count(F.lit(1)).alias("_n")).agg(F.min("_n")).first()[0] or 0
         target = ranked.where(F.col("_k") <= size).groupBy("_k").agg(F.avg(v).alias("_t"))
         return ranked.withColumn("_k", F.least("_k", F.lit(size))).join(target, "_k").withColumn(value, F.col("_t")).drop("_k", "_t")
@@ -60,9 +61,9 @@ def min_max_scale(cells: DataFrame, dim: str, value: str = "value", low: float =
 
 def robust_scale(cells: DataFrame, dim: str, value: str = "value") -> DataFrame:
     v = clean(value)
-    q = cells.groupBy(dim).agg(F.percentile(v, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).alias("_q"))
+    q = quantiles(cells, [dim], value, [0.25, 0.5, 0.75], "_q")
     span = F.col("_q")[2] - F.col("_q")[0]
-    return cells.join(q, dim).withColumn(value, (v - F.col("_q")[1]) / F.when(span > 0, span).otherwise(1.0)).drop("_q")
+    return null_safe_join(cells, q, [dim], "left").withColumn(value, (v - F.col("_q")[1]) / F.when(span > 0, span).otherwise(1.0)).drop("_q")
 
 
 def softmax(cells: DataFrame, dim: str, value: str = "value") -> DataFrame:
@@ -73,16 +74,18 @@ def softmax(cells: DataFrame, dim: str, value: str = "value") -> DataFrame:
 
 def winsorize(cells: DataFrame, dim: str, value: str = "value", lower: float = 5, upper: float = 95) -> DataFrame:
     v = clean(value)
-    q = cells.groupBy(dim).agg(F.percentile(v, F.array(F.lit(lower / 100), F.lit(upper / 100))).alias("_q"))
-    return cells.join(q, dim).withColumn(value, F.greatest(F.least(v, F.col("_q")[1]), F.col("_q")[0])).drop("_q")
+    q = quantiles(cells, [dim], value, [lower / 100, upper / 100], "_q")
+    return null_safe_join(cells, q, [dim], "left").withColumn(value, F.greatest(F.least(v, F.col("_q")[1]), F.col("_q")[0])).drop("_q")
 
 
-def rank_transform(cells: DataFrame, dim: str, value: str = "value", method: str = "average") -> DataFrame:
+def rank_transform(cells: DataFrame, dim: str, value: str = "value", method: str = "average", ties: tuple[str, ...] = ()) -> DataFrame:
+    """Ranks within a label; `ordinal` numbers equal values in the order of `ties`."""
     v = clean(value)
-    w = over(dim).orderBy(v.asc_nulls_last())
-    ties = F.count(F.lit(1)).over(Window.partitionBy(dim, v))
-    r = {"average": F.rank().over(w) + (ties - 1) / 2, "min": F.rank().over(w), "max": F.rank().over(w) + ties - 1, "dense": F.dense_rank().over(w), "ordinal": F.row_number().over(w)}[method]
-    return cells.withColumn(value, F.when(v.isNotNull(), r.cast("double")))
+    if method == "ordinal":
+        ranked = global_row_number(cells.withColumn("_x", v), "_x", *ties, name="_r", within=[dim]).drop("_x")
+    else:
+        ranked = average_rank(cells, value, "_r", [dim], method)
+    return ranked.withColumn(value, F.when(v.isNotNull(), F.col("_r").cast("double"))).drop("_r")
 
 
 def flow_transform(cells: DataFrame, value: str = "value", a: float = 1.0, b: float = 1.0, c: float = 0.0) -> DataFrame:

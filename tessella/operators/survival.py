@@ -6,38 +6,39 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessella.functions.distributions import chi2_sf
+from tessella.operators.common import running
 
 
 def risk_table(rows: DataFrame, time: str, event: str, group: str) -> DataFrame:
     """By group and time: events d, censored c, at risk n (before the time)."""
     t = rows.where(F.col(time).isNotNull() & F.col(event).isNotNull()).groupBy(F.col(group).alias("grp"), F.col(time).alias("time")).agg(F.sum(F.col(event).cast("long")).alias("d"), F.sum(1 - F.col(event).cast("long")).alias("c"))
-    w = Window.partitionBy("grp").orderBy(F.desc("time"))
-    return t.withColumn("n", F.sum(F.col("d") + F.col("c")).over(w))
+    back = running(t.withColumn("_back", -F.col("time")), ["_back"], ["grp"], n=("sum", F.col("d") + F.col("c")))
+    return back.drop("_back")
 
 
 def kaplan_meier(rows: DataFrame, time: str, event: str, group: str) -> DataFrame:
     """Survival with Greenwood's variance, at event times."""
-    w = Window.partitionBy("grp").orderBy("time")
-    t = risk_table(rows, time, event, group).where("d > 0")
-    s = F.exp(F.sum(F.log(F.when(F.col("n") > F.col("d"), 1 - F.col("d") / F.col("n")))).over(w))
-    gone = F.max((F.col("n") == F.col("d")).cast("int")).over(w) == 1
-    t = t.withColumn("survival", F.when(gone, 0.0).otherwise(s))
-    g = F.sum(F.when(F.col("n") > F.col("d"), F.col("d") / (F.col("n") * (F.col("n") - F.col("d")))).otherwise(0.0)).over(w)
-    return t.withColumn("variance", F.col("survival") ** 2 * g).select("grp", "time", "n", "d", "survival", "variance")
+    n, d = F.col("n"), F.col("d")
+    some = n > d
+    t = running(
+        risk_table(rows, time, event, group).where("d > 0"), ["time"], ["grp"],
+        _s=("sum", F.when(some, F.log(1 - d / n)).otherwise(0.0)), _g=("sum", F.when(some, d / (n * (n - d))).otherwise(0.0)), _gone=("max", (n == d).cast("int")),
+    )
+    t = t.withColumn("survival", F.when(F.col("_gone") == 1, 0.0).otherwise(F.exp("_s")))
+    return t.select("grp", "time", "n", "d", "survival", (F.col("survival") ** 2 * F.col("_g")).alias("variance"))
 
 
 def nelson_aalen(rows: DataFrame, time: str, event: str, group: str) -> DataFrame:
-    w = Window.partitionBy("grp").orderBy("time")
-    t = risk_table(rows, time, event, group).where("d > 0")
-    return t.select("grp", "time", "n", "d", F.sum(F.col("d") / F.col("n")).over(w).alias("hazard"), F.sum(F.col("d") / F.col("n") ** 2).over(w).alias("variance"))
+    n, d = F.col("n"), F.col("d")
+    t = running(risk_table(rows, time, event, group).where("d > 0"), ["time"], ["grp"], hazard=("sum", d / n), variance=("sum", d / n**2))
+    return t.select("grp", "time", "n", "d", "hazard", "variance")
 
 
 def logrank(rows: DataFrame, time: str, event: str, group: str, a, b) -> DataFrame:
     """Observed and expected events of group a against b, variance, chi-square and p."""
     two = rows.where(F.col(group).isin(a, b))
     t = two.groupBy(F.col(time).alias("time")).agg(F.sum(F.col(event)).alias("d"), F.count(F.lit(1)).alias("m"), F.sum(F.when(F.col(group) == a, F.col(event)).otherwise(0)).alias("da"), F.count_if(F.col(group) == a).alias("ma"))
-    w = Window.orderBy(F.desc("time"))  # one row for each distinct time
-    t = t.withColumn("n", F.sum("m").over(w)).withColumn("na", F.sum("ma").over(w)).where("d > 0")
+    t = running(t.withColumn("_back", -F.col("time")), ["_back"], [], n=("sum", F.col("m")), na=("sum", F.col("ma"))).where("d > 0")
     n, d, na = F.col("n").cast("double"), F.col("d").cast("double"), F.col("na").cast("double")
     v = F.when(n > 1, d * na / n * (1 - na / n) * (n - d) / (n - 1)).otherwise(0.0)
     s = t.agg(F.sum("da").alias("observed"), F.sum(d * na / n).alias("expected"), F.sum(v).alias("variance"))

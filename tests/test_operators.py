@@ -110,3 +110,48 @@ def test_ewma_of_long_series_with_small_lambda(spark):
         for r, v in zip(repeated.ewma_chart(df, "k", ["i"], "v", lam=lam).orderBy("t").collect(), values, strict=True):
             z = lam * v + (1 - lam) * z
             assert r["ewma"] == pytest.approx(z, abs=1e-9)
+
+
+def test_ranks_and_quantiles_by_ranges(spark):
+    """Against sorted lists: ties that half of the rows share, a missing group key, missing values, an empty table."""
+    import random
+
+    from tessella.operators.common import average_rank, global_row_number, quantiles, running
+
+    rng = random.Random(5)
+    data = [(rng.choice(["a", "a", "a", "b", None]), rng.choice([1.5, 1.5, 1.5, None, rng.random(), -rng.random()]), i) for i in range(1500)]
+    df = spark.createDataFrame(data + [("c", 4.0, 1500), ("d", None, 1501)], "g string, v double, i int")
+    rows = [tuple(r) for r in df.collect()]
+    numbered = {r.i: r.rn for r in global_row_number(df, "v", "i", parts=16, within=["g"]).collect()}
+    ranks = {r.i: r["rank"] for r in average_rank(df, "v", within=["g"]).collect()}
+    sums = {r.i: r.s for r in running(df, ["v", "i"], ["g"], s=("sum", F.col("i"))).collect()}
+    quarts = {r.g: r.q for r in quantiles(df, ["g"], "v", [0.0, 0.25, 0.5, 1.0]).collect()}
+    for g in {r[0] for r in rows}:
+        mine = sorted((r for r in rows if r[0] == g), key=lambda r: (r[1] is None, r[1] or 0.0, r[2]))
+        assert [numbered[r[2]] for r in mine] == list(range(1, len(mine) + 1))
+        assert [sums[r[2]] for r in mine] == [sum(x[2] for x in mine[: k + 1]) for k in range(len(mine))]
+        v = [r[1] for r in mine if r[1] is not None]
+        for r in mine:
+            assert ranks[r[2]] == (None if r[1] is None else sum(x < r[1] for x in v) + (v.count(r[1]) + 1) / 2)
+        if v:
+            want = [v[int(h)] + (h - int(h)) * (v[min(int(h) + 1, len(v) - 1)] - v[int(h)]) for h in ((len(v) - 1) * q for q in (0.0, 0.25, 0.5, 1.0))]
+            assert all(abs(a - b) < 1e-12 for a, b in zip(quarts[g], want, strict=True))
+    assert "d" not in quarts
+    assert global_row_number(df.where("false"), "v", within=["g"]).count() == 0
+    assert quantiles(df.where("false"), [], "v", [0.5]).first()["q"] == [None]
+
+
+def test_merge_walks_one_sequence_in_ranges(spark):
+    import random
+
+    rng = random.Random(8)
+    data = [("x", s, s + rng.choice([1, 3, 400])) for s in (rng.randrange(40000) for _ in range(800))]
+    runs = []
+    for _, s, e in sorted(data):
+        if runs and s <= runs[-1][1]:
+            runs[-1][1] = max(runs[-1][1], e)
+        else:
+            runs.append([s, e])
+    df = spark.createDataFrame(data, "chrom string, start long, end long")
+    assert sorted((r.start, r.end) for r in intervals.merge(df).collect()) == [tuple(r) for r in runs]
+    assert sorted((r.start, r.end) for r in intervals.gaps(df).collect()) == [(a[1], b[0]) for a, b in zip(runs, runs[1:])]
