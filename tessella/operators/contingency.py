@@ -123,3 +123,31 @@ def clustering_agreement(rows: DataFrame, a: str, b: str) -> DataFrame:
     c = t.select("c", "nc", "total").distinct().agg(F.sum(two(F.col("nc"))).alias("j"), F.sum(plogp(F.col("nc"))).alias("hc"))
     e = F.col("i") * F.col("j") / two(F.col("n"))
     return cells.crossJoin(r).crossJoin(c).select(((F.col("ij") - e) / ((F.col("i") + F.col("j")) / 2 - e)).alias("ari"), "mi", (2 * F.col("mi") / (F.col("hr") + F.col("hc"))).alias("nmi"))
+
+
+def clustering_scores(rows: DataFrame, a: str, b: str) -> DataFrame:
+    """Of labelings a (true) and b: homogeneity, completeness and V-measure, variation of information (nats), Fowlkes and
+    Mallows' index, the adjusted Rand index and ordered pairs of rows by whether each labeling holds them together."""
+    t = rows.where(F.col(a).isNotNull() & F.col(b).isNotNull()).groupBy(F.col(a).alias("a"), F.col(b).alias("b")).agg(F.count(F.lit(1)).cast("double").alias("n"))
+    side = lambda c: t.groupBy(c).agg(F.sum("n").alias(f"n_{c}"))
+    xlogx = lambda c: F.sum(F.col(c) * F.log(c))
+    both = t.agg(F.sum("n").alias("m"), F.sum(F.col("n") ** 2).alias("n2"), xlogx("n").alias("ln"))
+    for c in ("a", "b"):
+        both = both.crossJoin(side(c).agg(F.sum(F.col(f"n_{c}") ** 2).alias(f"{c}2"), xlogx(f"n_{c}").alias(f"l{c}")))  # one row each
+    m, n2, a2, b2 = (F.col(c) for c in ("m", "n2", "a2", "b2"))
+    given_b, given_a = (F.col("lb") - F.col("ln")) / m, (F.col("la") - F.col("ln")) / m
+    entropy_a, entropy_b = F.log(m) - F.col("la") / m, F.log(m) - F.col("lb") / m
+    h, c = F.when(entropy_a > 0, 1 - given_b / entropy_a).otherwise(1.0), F.when(entropy_b > 0, 1 - given_a / entropy_b).otherwise(1.0)
+    chance, top = (a2 - m) * (b2 - m) / (2 * m * (m - 1)), (a2 + b2 - 2 * m) / 4
+    return both.where("m > 1").select(
+        h.alias("homogeneity"), c.alias("completeness"), F.when(h + c > 0, 2 * h * c / (h + c)).otherwise(0.0).alias("v_measure"), (given_a + given_b).alias("variation_of_information"),
+        F.when((a2 > m) & (b2 > m), (n2 - m) / F.sqrt((a2 - m) * (b2 - m))).otherwise(0.0).alias("fowlkes_mallows"), F.when(top != chance, ((n2 - m) / 2 - chance) / (top - chance)).otherwise(1.0).alias("adjusted_rand"),
+        (m * m - a2 - b2 + n2).cast("long").alias("apart_apart"), (b2 - n2).cast("long").alias("apart_together"), (a2 - n2).cast("long").alias("together_apart"), (n2 - m).cast("long").alias("together_together"),
+    )
+
+
+def confusion(rows: DataFrame, actual: str, predicted: str) -> DataFrame:
+    """Rows by actual and predicted label (0 or 1), all four cells."""
+    a, p = F.col(actual).cast("int"), F.col(predicted).cast("int")
+    cells = [F.struct(F.lit(i).alias("actual"), F.lit(j).alias("predicted"), F.count_if((a == i) & (p == j)).alias("n")) for i in (0, 1) for j in (0, 1)]
+    return rows.agg(F.array(*cells).alias("c")).select(F.explode("c").alias("c")).select("c.*")

@@ -4,9 +4,9 @@ from __future__ import annotations
 
 
 def _modules():
-    from tessella.plans import core, genomics, hypotheses, more, statistics
+    from tessella.plans import core, genomics, hypotheses, more, ranks, regression, statistics
 
-    return [core, statistics, more, hypotheses, genomics]
+    return [core, statistics, more, hypotheses, regression, ranks, genomics]
 
 
 def queries() -> dict:
