@@ -34,7 +34,8 @@ def _runs(rows: DataFrame, chrom: str, start: str, end: str, max_gap: int) -> Da
 
 def merge(rows: DataFrame, chrom: str = "chrom", start: str = "start", end: str = "end", max_gap: int = 0) -> DataFrame:
     """Runs of intervals whose gaps are at most `max_gap`: chrom, start, end, n. A chrom is walked in ranges of its starts."""
-    w = Window.partitionBy("chrom", "_range").orderBy("start", "end").rowsBetween(Window.unboundedPreceding, 0)
+    # of equal intervals the one that begins the run comes first, whatever order they were read in
+    w = Window.partitionBy("chrom", "_range").orderBy("start", "end", F.desc("_first")).rowsBetween(Window.unboundedPreceding, 0)
     runs = with_before(_runs(rows, chrom, start, end, max_gap), ["chrom"], _before=("sum", F.col("_first")))
     runs = runs.withColumn("_island", F.sum("_first").over(w) + F.coalesce("_before", F.lit(0)))
     return runs.groupBy("chrom", "_island").agg(F.min("start").alias("start"), F.max("end").alias("end"), F.count(F.lit(1)).alias("n")).drop("_island")

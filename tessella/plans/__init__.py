@@ -4,9 +4,9 @@ from __future__ import annotations
 
 
 def _modules():
-    from tessella.plans import core, genomics, hypotheses, more, ranks, regression, statistics
+    from tessella.plans import core, genomics, hypotheses, more, ranks, regression, statistics, tracks
 
-    return [core, statistics, more, hypotheses, regression, ranks, genomics]
+    return [core, statistics, more, hypotheses, regression, ranks, genomics, tracks]
 
 
 def queries() -> dict:

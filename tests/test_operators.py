@@ -154,4 +154,6 @@ def test_merge_walks_one_sequence_in_ranges(spark):
             runs.append([s, e])
     df = spark.createDataFrame(data, "chrom string, start long, end long")
     assert sorted((r.start, r.end) for r in intervals.merge(df).collect()) == [tuple(r) for r in runs]
+    twice = intervals.merge(df.union(df).repartition(7)).collect()  # equal intervals where a run begins
+    assert sorted((r.start, r.end) for r in twice) == [tuple(r) for r in runs] and sum(r.n for r in twice) == 1600
     assert sorted((r.start, r.end) for r in intervals.gaps(df).collect()) == [(a[1], b[0]) for a, b in zip(runs, runs[1:])]
