@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tessella.llm.best_fit import best_fit_pack
 from tessella.llm.common import shared_dir
 from tessella.llm.context_tree import score_texts
 from tessella.llm.decontaminate import decontaminate
@@ -14,10 +15,12 @@ from tessella.llm.jaccard_join import jaccard_join
 from tessella.llm.packing import pack_documents
 from tessella.llm.sharding import shard
 from tessella.llm.substring_dedup import substring_dedup
+from tessella.llm.token_alignment import align_tokens
 from tessella.llm.token_files import read_token_files, write_token_files
 from tessella.llm.vector_graph import near_duplicates
 from tessella.llm.weak_labels import judge
 from tessella.llm.url_filter import SPAM_WORDS, host_path_rule, url_filter, word_rule
+from tessella.llm.whitening import whiten
 
 URL_RULES = [("block", "com", "/en/"), ("allow", "example.com", "/en/7"), ("block", "net", "/de/"), ("block", "example.net", "/de/8"), ("block", "org", "/es/")]
 
@@ -99,6 +102,20 @@ def op10_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFram
     return out.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))
 
 
+def op11_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whiten(table(spark, sf_dir, "embeddings"), 16)
+
+
+def op12_tokenizer_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = align_tokens(table(spark, sf_dir, "documents"), tokenizer("byte_bpe_50k.json"), tokenizer("piece_bpe_32k.model"))
+    return out.select("doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256")
+
+
+def op13_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = best_fit_pack(table(spark, sf_dir, "documents"), tokenizer("word_bpe_49k.json"), 4096, 1)
+    return out.select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_substring_dedup": op1_substring_dedup,
@@ -111,6 +128,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_url_filter": op8_url_filter,
         "op9_token_files": op9_token_files,
         "op10_benchmark_decontamination": op10_benchmark_decontamination,
+        "op11_embedding_whitening": op11_embedding_whitening,
+        "op12_tokenizer_alignment": op12_tokenizer_alignment,
+        "op13_best_fit_packing": op13_best_fit_packing,
     }
 
 
