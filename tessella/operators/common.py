@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from functools import reduce
 from operator import and_
 
@@ -28,6 +29,16 @@ def null_safe_join(a: DataFrame, b: DataFrame, on: list[str], how: str = "inner"
     return a.join(other, match, how).drop(*keys.values())
 
 
+def materialized(df: DataFrame) -> DataFrame:
+    """Cuts the lineage of an iterative operator: writes `df` as Parquet below spark.checkpoint.dir, which all machines
+    share, and reads it back. Where that is unset, as in tests, a folder of the warehouse stands in."""
+    spark = df.sparkSession
+    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    path = f"{(root or spark.conf.get('spark.sql.warehouse.dir') + '/_scratch').rstrip('/')}/{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
 def ranged(df: DataFrame, order: list[str], parts: int = 64, sample: int = 1 << 13) -> DataFrame:
     """Adds `_range`: equal rows share it and it grows with `order` (ascending, missing last), so that a window within a
     range and the totals of the ranges before it replace one window over all rows. The cuts, chosen from `sample` random
