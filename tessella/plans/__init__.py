@@ -4,9 +4,9 @@ from __future__ import annotations
 
 
 def _modules():
-    from tessella.plans import core, genomics, hypotheses, more, ranks, regression, statistics, tracks, trees
+    from tessella.plans import core, genomics, graphs, hypotheses, more, ranks, regression, statistics, tracks, trees
 
-    return [core, statistics, more, hypotheses, regression, ranks, genomics, tracks, trees]
+    return [core, statistics, more, hypotheses, regression, ranks, genomics, graphs, tracks, trees]
 
 
 def queries() -> dict:
