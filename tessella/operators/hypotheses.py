@@ -469,16 +469,19 @@ def brier(rows: DataFrame, label: str, risk: str) -> DataFrame:
     return s.select("n", "brier", "reference", F.when(F.col("reference") > 0, 1 - F.col("brier") / F.col("reference")).alias("skill"))
 
 
-def cusum(rows: DataFrame, key: str, order: Columns, value: str, k: float = 0.5, h: float = 5.0) -> DataFrame:
-    """One-sided running sums of standardised values, reset at zero, and signals beyond h. A sum reset at zero is the
-    plain running sum less its least value so far, so a window does it."""
+def cusum(rows: DataFrame, key: str, order: Columns, value: str, shift: float = 1.0, h: float = 5.0) -> DataFrame:
+    """Two-sided running sums of standardised values, reset at zero, and whether one is beyond h. sigma is the mean moving
+    range over 1.128. Series of fewer than three values, or that never move, are left out. A sum reset at zero is the plain running sum less its
+    least value so far, so a window does it."""
     v = clean(value)
     all_ = Window.partitionBy("key")
     w = all_.orderBy("t")
     t = rows.where(v.isNotNull()).select(F.col(key).alias("key"), F.row_number().over(Window.partitionBy(key).orderBy(*order)).alias("t"), v.alias("v"))
-    z = (F.col("v") - F.avg("v").over(all_)) / F.stddev_samp("v").over(all_)
-    t = t.withColumn("z", z).where("z is not null")
+    t = t.withColumn("center", F.avg("v").over(all_)).withColumn("_n", F.count(F.lit(1)).over(all_)).withColumn("_r", F.abs(F.col("v") - F.lag("v").over(w)))
+    t = t.withColumn("std_dev", F.avg("_r").over(all_) / 1.128).where((F.col("std_dev") > 0) & (F.col("_n") >= 3))
+    z = (F.col("v") - F.col("center")) / F.col("std_dev")
     for name, sign in (("up", 1), ("down", -1)):
-        t = t.withColumn(f"_{name}", F.sum(sign * F.col("z") - k).over(w))
+        t = t.withColumn(f"_{name}", F.sum(sign * z - shift / 2).over(w))
         t = t.withColumn(name, F.col(f"_{name}") - F.least(F.min(f"_{name}").over(w), F.lit(0.0)))
-    return t.select("key", "t", "z", "up", "down", ((F.col("up") > h) | (F.col("down") > h)).alias("signal"))
+    return t.select("key", "t", F.col("up").alias("cusum_pos"), (-F.col("down")).alias("cusum_neg"), "center", "std_dev", ((F.col("up") > h) | (F.col("down") > h)).alias("out_of_control"))
+

@@ -207,15 +207,33 @@ def mahalanobis(rows: DataFrame, key: str, columns: list[str]) -> DataFrame:
     return complete(rows, *columns).select(F.col(key).alias("key"), d2.alias("distance2")).withColumn("p", chi2_sf(F.col("distance2"), F.lit(len(columns))))
 
 
-def pca(rows: DataFrame, columns: list[str]) -> DataFrame:
-    """component, variance, share and loadings (largest by absolute value positive) of the covariance matrix."""
-    _, _, cov = covariances(rows, columns)
-    values, vectors = np.linalg.eigh(cov)
-    data = []
-    for i, k in enumerate(np.argsort(-values)):
-        v = vectors[:, k] * np.sign(vectors[np.argmax(np.abs(vectors[:, k])), k])
-        data.append((i + 1, float(values[k]), float(values[k] / values.sum()), [float(x) for x in v]))
-    return _table(rows, data, "component int, variance double, share double, loadings array<double>")
+def pca(rows: DataFrame, key: str, columns: list[str], components: int = 10) -> DataFrame:
+    """key, component (from 1), score and share of the variance: columns filled by their mean, centred and divided by their
+    deviation (divisor n, over the values that are there; 1 if none), on the eigenvectors of their cross-products. Of a
+    vector's largest entries the first is positive. As many components as columns and rows allow."""
+    of = [clean(c) for c in columns]
+    got = rows.agg(F.count(F.lit(1)), *[F.avg(c) for c in of], *[F.stddev_pop(c) for c in of]).first()
+    many = len(columns)
+    means = [m if m is not None else 0.0 for m in got[1 : 1 + many]]
+    spreads = [s if s is not None and s > 1e-12 else 1.0 for s in got[1 + many :]]
+    z = [F.coalesce((c - F.lit(float(m))) / F.lit(float(s)), F.lit(0.0)) for c, m, s in zip(of, means, spreads, strict=True)]
+    pairs = [(i, j) for i in range(many) for j in range(i, many)]
+    slim = rows.select(F.col(key).alias("key"), *[c.alias(f"_z{i}") for i, c in enumerate(z)])
+    sums = slim.agg(*[F.sum(F.col(f"_z{i}") * F.col(f"_z{j}")) for i, j in pairs]).first()
+    cross = np.zeros((many, many))
+    for (i, j), v in zip(pairs, sums, strict=True):
+        cross[i, j] = cross[j, i] = v or 0.0
+    values, vectors = np.linalg.eigh(cross)
+    total, out = values.sum(), []
+    for place, k in enumerate(np.argsort(-values)[: min(components, many, got[0])]):
+        v = vectors[:, k]
+        first = int(np.flatnonzero(np.abs(v) >= np.abs(v).max() * (1 - 1e-9))[0])
+        v = v * np.sign(v[first])
+        score = sum(F.col(f"_z{i}") * F.lit(float(x)) for i, x in enumerate(v))
+        out.append(F.struct(F.lit(place + 1).alias("component"), score.alias("score"), F.lit(float(values[k] / total) if total > 0 else None).cast("double").alias("share")))
+    if not out:
+        return slim.select("key", F.lit(0).alias("component"), F.lit(0.0).alias("score"), F.lit(0.0).alias("share")).where("false")
+    return slim.select("key", F.explode(F.array(*out)).alias("e")).select("key", "e.*")
 
 
 def sphericity(rows: DataFrame, columns: list[str]) -> DataFrame:

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessella.operators.common import clean, null_safe_join, quantiles
+from tessella.operators.common import clean, null_safe_join, quantiles, running
 from tessella.operators.intervals import gaps, merge
 
 
@@ -20,14 +22,22 @@ def intergenic(genes: DataFrame, min_length: int = 0) -> DataFrame:
 
 
 def gene_density(genes: DataFrame, window: int) -> DataFrame:
-    """By sequence and window: genes that start in it, and the share of it that genes cover. Windows without any are left out."""
+    """All windows of a sequence up to the end of its last gene: start, end, n_features that overlap it, their number per 1,000
+    positions, the positions that genes cover and their share. Genes without length are left out; the last window may be shorter."""
+    genes = genes.where(F.col("end") > F.col("start"))
+    limit = genes.groupBy("chrom").agg(F.max("end").alias("_limit"))
+    every = limit.select("chrom", "_limit", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("_limit") - 1) / window))).alias("window"))
     at = lambda c: F.floor(c / window)
-    runs = merge(genes).where(F.col("end") > F.col("start"))
-    cut = runs.withColumn("window", F.explode(F.sequence(at(F.col("start")), at(F.col("end") - 1))))
+    # a gene counts from the window of its start to that of its last position: steps up and down, summed along the windows
+    step = F.explode(F.array(F.struct(at(F.col("start")).alias("window"), F.lit(1).alias("step")), F.struct((at(F.col("end") - 1) + 1).alias("window"), F.lit(-1).alias("step"))))
+    steps = genes.select("chrom", step.alias("e")).groupBy("chrom", F.col("e.window").alias("window")).agg(F.sum("e.step").alias("step"))
+    runs = merge(genes).withColumn("window", F.explode(F.sequence(at(F.col("start")), at(F.col("end") - 1))))
     inside = F.least(F.col("end"), (F.col("window") + 1) * window) - F.greatest(F.col("start"), F.col("window") * window)
-    covered = cut.select("chrom", "window", inside.alias("covered"), F.lit(0).alias("one"))
-    starts = genes.select("chrom", at(F.col("start")).alias("window"), F.lit(0).cast("long").alias("covered"), F.lit(1).alias("one"))
-    return covered.unionByName(starts).groupBy("chrom", "window").agg(F.sum("one").alias("genes"), (F.sum("covered") / window).alias("fraction"))
+    covered = runs.groupBy("chrom", "window").agg(F.sum(inside).alias("covered"))
+    t = every.join(steps, ["chrom", "window"], "left").join(covered, ["chrom", "window"], "left").na.fill(0, ["step", "covered"])
+    t = running(t, ["window"], ["chrom"], n_features=("sum", F.col("step")))
+    start, end = F.col("window") * window, F.least((F.col("window") + 1) * window, F.col("_limit"))
+    return t.select("chrom", start.alias("start"), end.alias("end"), "n_features", (F.col("n_features") * 1000.0 / (end - start)).alias("per_kb"), "covered", (F.col("covered") / (end - start)).alias("fraction"))
 
 
 def vcf_merge(a: DataFrame, b: DataFrame, genotype: str = "gt", site: tuple[str, ...] = ("chrom", "pos", "ref", "alt")) -> DataFrame:
@@ -60,12 +70,25 @@ def contact_matrix(pairs: DataFrame, resolution: int, trans: bool = False) -> Da
     return t.select(F.col("x.c").alias("chrom1"), F.col("x.b").alias("bin1"), F.col("y.c").alias("chrom2"), F.col("y.b").alias("bin2"), "n")
 
 
-def distance_decay(pairs: DataFrame, bins: int, max_distance: int | None = None) -> DataFrame:
-    """Contacts within a sequence by equal ranges of distance, up to `max_distance` (the largest seen if none)."""
-    d = pairs.where("chrom1 = chrom2").select(F.abs(F.col("pos1") - F.col("pos2")).alias("d"))
-    most = max_distance or d.agg(F.max("d")).first()[0] or 1
-    t = d.where(F.col("d") <= most).groupBy(F.least(F.floor(F.col("d") * bins / most), F.lit(bins - 1)).alias("bin")).agg(F.count(F.lit(1)).alias("n"))
-    return t.withColumn("share", F.col("n") / F.sum("n").over(_whole()))
+def distance_decay(contacts: DataFrame, start1: str, start2: str, count: str, bins: int = 20, max_distance: float = 0) -> DataFrame:
+    """All bins of growing width (equal ratios) between the least distance above zero and the largest, or `max_distance`: bin,
+    low, high, contacts (rows), pairs (sum of counts), mean_count, share (of the pairs at any distance above zero)."""
+    d, c = F.abs(clean(start2) - clean(start1)), F.floor(clean(count))
+    t = contacts.select(d.alias("d"), c.alias("c")).where("d > 0 and c is not null")
+    low, high = t.agg(F.min("d"), F.max("d")).first()
+    if low is None:
+        return contacts.sparkSession.createDataFrame([], "bin int, low double, high double, contacts long, pairs long, mean_count double, share double")
+    high = max(float(max_distance or high), low + 1)
+    low = max(1.0, low)
+    edges = [low, *[10 ** (math.log10(low) + (math.log10(high) - math.log10(low)) * k / bins) for k in range(1, bins)], high]
+    every = contacts.sparkSession.createDataFrame([(k, edges[k], edges[k + 1]) for k in range(bins)], "bin int, low double, high double")
+    at = sum((F.col("d") >= e).cast("int") for e in edges[1:-1])
+    inside = (F.col("d") >= edges[0]) & (F.col("d") <= edges[-1])
+    n = t.groupBy(F.when(inside, at).alias("bin")).agg(F.count(F.lit(1)).alias("contacts"), F.sum("c").alias("pairs"))
+    n = n.withColumn("grand", F.sum("pairs").over(_whole()))
+    grand = n.agg(F.max("grand")).first()[0]
+    out = every.join(n.drop("grand"), "bin", "left").na.fill(0, ["contacts", "pairs"])
+    return out.select("bin", "low", "high", "contacts", "pairs", F.when(F.col("contacts") > 0, F.col("pairs") / F.col("contacts")).otherwise(0.0).alias("mean_count"), (F.col("pairs") / F.lit(grand)).alias("share"))
 
 
 def _whole():
@@ -107,12 +130,19 @@ def rarefaction(cells: DataFrame, sample: str, value: str, depth: int) -> DataFr
     return t.groupBy("key").agg(F.when(F.first("n") >= depth, F.sum(1 - none)).alias("expected"), F.count(F.lit(1)).alias("observed"))
 
 
-def balance(rows: DataFrame, treated: str, covariates: list[str]) -> DataFrame:
-    """By covariate: means of treated and others, their difference over the treated's standard deviation, the variance ratio."""
-    long = rows.select(F.col(treated).alias("t"), F.explode(F.array(*[F.struct(F.lit(c).alias("covariate"), clean(c).alias("v")) for c in covariates])).alias("e")).select("t", "e.*")
-    of = lambda f, t: f(F.when(F.col("t") == t, F.col("v")))
-    s = long.groupBy("covariate").agg(of(F.avg, 1).alias("treated"), of(F.avg, 0).alias("others"), of(F.stddev_samp, 1).alias("_s"), (of(F.var_samp, 1) / of(F.var_samp, 0)).alias("variance_ratio"))
-    return s.select("covariate", "treated", "others", F.when(F.col("_s") > 0, (F.col("treated") - F.col("others")) / F.col("_s")).alias("smd"), "variance_ratio")
+def balance(rows: DataFrame, treated: str, matched: str, covariates: list[str]) -> DataFrame:
+    """By covariate: the difference of the means of treated (1) and others (0) over the root of the mean of both variances,
+    and the ratio of the variances, over all rows (before) and over the matched ones (after). Groups of one row, or without
+    spread, give no number; missing values are left out."""
+    long = rows.select(F.col(treated).alias("t"), F.coalesce(F.col(matched).cast("boolean"), F.lit(False)).alias("m"), F.explode(F.array(*[F.struct(F.lit(c).alias("covariate"), clean(c).alias("v")) for c in covariates])).alias("e")).select("t", "m", "e.*")
+    aggregates, out = [], []
+    for when, which in (("before", F.lit(True)), ("after", F.col("m"))):
+        for t in (0, 1):
+            v = F.when(which & (F.col("t") == t), F.col("v"))
+            aggregates += [F.avg(v).alias(f"m{t}_{when}"), F.var_samp(v).alias(f"v{t}_{when}")]
+        pooled = F.sqrt((F.col(f"v1_{when}") + F.col(f"v0_{when}")) / 2)
+        out += [F.when(pooled > 0, (F.col(f"m1_{when}") - F.col(f"m0_{when}")) / pooled).alias(f"smd_{when}"), F.when(F.col(f"v0_{when}") > 0, F.col(f"v1_{when}") / F.col(f"v0_{when}")).alias(f"vr_{when}")]
+    return long.groupBy("covariate").agg(*aggregates).select("covariate", *out)
 
 
 def histogram(rows: DataFrame, value: str, bins: int = 40) -> DataFrame:

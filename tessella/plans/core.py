@@ -26,7 +26,8 @@ def query(sql: str | None):
 
 
 def rounded(df, *names, places=6):
-    return df.select(*[F.round(c, places).alias(c) if c in names else F.col(c) for c in df.columns])
+    """Rounds as DuckDB does, the product with the power of ten to a whole number: a value half way by its decimals falls alike."""
+    return df.select(*[(F.round(F.col(c) * 10.0**places) / 10.0**places).alias(c) if c in names else F.col(c) for c in df.columns])
 
 
 @query(f"""WITH {CELLS}, kept AS (SELECT part FROM cells GROUP BY 1 HAVING count(*) FILTER (value >= 100) >= 2),

@@ -40,14 +40,15 @@ query("sequence_kmer_profile", f"WITH {DNA}, k AS (SELECT doc_id AS key, seq[i:i
 _PWM = [{"A": 8, "C": 1, "G": 1, "T": 0}, {"A": 0, "C": 9, "G": 0, "T": 1}, {"A": 1, "C": 0, "G": 8, "T": 1}, {"A": 0, "C": 0, "G": 1, "T": 9}]
 _W = " + ".join("CASE substr(w, {}, 1) {} END".format(i + 1, " ".join(f"WHEN '{b}' THEN log2(({c[b]} + 0.5::DOUBLE) / 12 / 0.25)" for b in "ACGT")) for i, c in enumerate(_PWM))
 query("pwm_scan", f"WITH {DNA}, k AS (SELECT doc_id AS key, CAST(i - 1 AS INT) AS start, seq[i:i+3] AS w FROM dna, range(1, greatest(len(seq) - 2, 1)) t(i) WHERE len(seq[i:i+3]) = 4 AND NOT contains(seq[i:i+3], 'N')), s AS (SELECT *, {_W} AS score FROM k) SELECT key, start, w, round(score, 6) AS score FROM s WHERE score >= 5")(lambda spark, d: R.pwm_scan(dna(spark, d), "doc_id", "seq", _PWM, 5.0))
-_MSA = "al AS (SELECT doc_id, rpad(substr(upper(regexp_replace(text, '[^A-Za-z]', '', 'g')), 1, 200), 200, '-') AS s FROM documents)"
-query("msa_consensus", f"WITH {_MSA}, c AS (SELECT CAST(i - 1 AS INT) AS pos, s[i] AS letter FROM al, range(1, 201) t(i) WHERE s IS NOT NULL), n AS (SELECT pos, letter, count(*) AS n FROM c GROUP BY 1, 2), t AS (SELECT pos, sum(n) AS total, coalesce(sum(n) FILTER (letter = '-'), 0) AS gaps FROM n GROUP BY 1), b AS (SELECT pos, letter AS consensus, n AS m FROM n WHERE letter <> '-' QUALIFY row_number() OVER (PARTITION BY pos ORDER BY n DESC, letter) = 1), h AS (SELECT pos, sum(-(n / (total - gaps)) * log2(n / (total - gaps))) AS e FROM n JOIN t USING (pos) WHERE letter <> '-' GROUP BY 1) SELECT t.pos, CAST(total AS BIGINT) AS total, CAST(gaps AS BIGINT) AS gaps, consensus, round(m / (total - gaps), 6) AS share, round(e, 6) AS entropy FROM t LEFT JOIN b USING (pos) LEFT JOIN h USING (pos)")(lambda spark, d: R.alignment_columns(_aligned(spark, d), "doc_id", "s"))
+_MSA = "al AS (SELECT rpad(upper(url), CAST((SELECT max(len(url)) FROM pages) AS INT), '-') AS s FROM pages WHERE url IS NOT NULL)"
+query("msa_consensus", f"WITH {_MSA}, c AS (SELECT CAST(i - 1 AS INT) AS pos, s[i] AS letter FROM al, range(1, (SELECT max(len(url)) FROM pages) + 1) t(i)), n AS (SELECT pos, letter, count(*) AS n FROM c GROUP BY 1, 2), t AS (SELECT pos, sum(n) AS total, coalesce(sum(n) FILTER (letter = '-'), 0) AS gaps FROM n GROUP BY 1), b AS (SELECT pos, letter AS consensus, n AS m FROM n WHERE letter <> '-' QUALIFY row_number() OVER (PARTITION BY pos ORDER BY n DESC, letter) = 1), h AS (SELECT pos, sum(-(n / (total - gaps)) * log2(n / (total - gaps))) AS e FROM n JOIN t USING (pos) WHERE letter <> '-' GROUP BY 1) SELECT t.pos, CAST(total AS BIGINT) AS total, CAST(gaps AS BIGINT) AS gaps, consensus, round(m / (total - gaps), 6) AS share, round(e, 6) AS entropy FROM t LEFT JOIN b USING (pos) LEFT JOIN h USING (pos)")(lambda spark, d: R.alignment_columns(_aligned(spark, d), "page_id", "s"))
 
 
 def _aligned(spark, d):
-    """Every document's letters as a row of an alignment of 200 columns, its feature."""
-    letters = F.upper(F.regexp_replace("text", "[^A-Za-z]", ""))
-    return table(spark, d, "documents").where("text is not null").select("doc_id", F.rpad(F.substr(letters, F.lit(1), F.lit(200)), 200, "-").alias("s"))
+    """Every page's whole url as a row of an alignment, padded to the longest one with gaps."""
+    pages = table(spark, d, "pages").where("url is not null")
+    longest = pages.agg(F.max(F.length("url"))).first()[0] or 0
+    return pages.select("page_id", F.rpad(F.upper("url"), longest, "-").alias("s"))
 
 
 # alignments: order lines with a made flag

@@ -185,7 +185,7 @@ _CALLS = "calls AS (SELECT l_partkey AS v, o_custkey % 100 AS s, sum(l_linenumbe
 @query(
     "ld_prune",
     f"WITH RECURSIVE {_CALLS}, pos AS (SELECT v, row_number() OVER (ORDER BY v) - 1 AS pl FROM (SELECT DISTINCT v FROM calls)), c AS (SELECT pl, s, d::DOUBLE AS d FROM calls JOIN pos USING (v)), "
-    "e AS (SELECT a.pl AS i, b.pl AS j FROM c a JOIN c b ON a.s = b.s AND b.pl > a.pl AND b.pl <= a.pl + 20 GROUP BY 1, 2 HAVING count(*) >= 3 AND var_pop(a.d) > 1e-24 AND var_pop(b.d) > 1e-24 AND corr(a.d, b.d) ** 2 > 0.2), "
+    "e AS (SELECT a.pl AS i, b.pl AS j FROM c a JOIN c b ON a.s = b.s AND b.pl > a.pl AND b.pl <= a.pl + 20 GROUP BY 1, 2 HAVING count(*) >= 3 AND var_pop(a.d) > 1e-24 AND var_pop(b.d) > 1e-24 AND corr(a.d, b.d) ** 2 > 0.2003), "
     "prev AS MATERIALIZED (SELECT pl, coalesce(list(i) FILTER (i IS NOT NULL), []) AS before FROM pos LEFT JOIN e ON j = pl GROUP BY 1), "
     "walk AS (SELECT -1::BIGINT AS pl, []::BIGINT[] AS kept UNION ALL SELECT p.pl, CASE WHEN len(list_intersect(p.before, kept)) = 0 THEN list_append(list_filter(kept, lambda k: k > p.pl - 20), p.pl) ELSE list_filter(kept, lambda k: k > p.pl - 20) END FROM walk w JOIN prev p ON p.pl = w.pl + 1) "
     "SELECT v AS variant, list_contains(kept, pl) AS kept FROM walk JOIN pos USING (pl)",
@@ -194,4 +194,4 @@ def _(spark, d):
     o = table(spark, d, "orders").select("o_orderkey", "o_custkey")
     li = table(spark, d, "lineitem").join(o, F.col("l_orderkey") == F.col("o_orderkey"))
     calls = li.groupBy(F.col("l_partkey").alias("variant"), (F.col("o_custkey") % 100).alias("sample")).agg((F.sum("l_linenumber") % 3).alias("dosage"))
-    return ld_prune(calls, "variant", "sample", "dosage", 20, 0.2)
+    return ld_prune(calls, "variant", "sample", "dosage", 20, 0.2003)

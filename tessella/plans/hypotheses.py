@@ -146,7 +146,7 @@ query("runs_test", f"WITH {_SERIES}, h AS (SELECT key, quantile_cont(v, 0.5) AS
 _half = lambda i, n: f"exp({choose(n, i)} - ({n}) * ln(2.0::DOUBLE))"
 query("cox_stuart", f"WITH {_SERIES}, c AS (SELECT *, count(*) OVER (PARTITION BY key) AS n FROM s), p AS (SELECT a.key, b.v > a.v AS up, b.v < a.v AS down FROM c a JOIN c b ON a.key = b.key AND a.t <= a.n // 2 AND b.t = a.t + (a.n - a.n // 2)), q AS (SELECT key, count(*) FILTER (up) AS above, count(*) FILTER (down) AS below FROM p GROUP BY 1) SELECT key, above, below, round(least(1, list_sum(list_transform(range(0, above + below + 1), lambda i: CASE WHEN {_half('i', '(above + below)')} <= {_half('above', '(above + below)')} * (1 + 1e-7::DOUBLE) THEN {_half('i', '(above + below)')} ELSE 0 END))), 6) AS p FROM q")(lambda spark, d: H.cox_stuart(_events(spark, d), "user_id", _ORDER, "value"))
 query("bartels_rank", f"WITH {_SERIES}, r AS (SELECT *, rank() OVER (PARTITION BY key ORDER BY v) + (count(*) OVER (PARTITION BY key, v) - 1) / 2.0::DOUBLE AS r FROM s), e AS (SELECT key, r, r - lag(r) OVER (PARTITION BY key ORDER BY t) AS d, avg(r) OVER (PARTITION BY key) AS m FROM r), u AS (SELECT key, count(*)::DOUBLE AS n, sum(d * d) / sum((r - m) ** 2) AS ratio FROM e GROUP BY 1 HAVING count(*) > 2), z AS (SELECT *, (ratio - 2) / sqrt(4 * (n - 2) * (5 * n * n - 2 * n - 9) / (5 * n * (n + 1) * (n - 1) ** 2)) AS z FROM u) SELECT key, CAST(n AS BIGINT) AS n, round(ratio, 6) AS ratio, round(z, 6) AS z, round({normal_two_sided('z')}, 6) AS p FROM z")(lambda spark, d: H.bartels(_events(spark, d), "user_id", _ORDER, "value"))
-query("cusum_chart", f"WITH {_SERIES}, z AS (SELECT key, t, (v - avg(v) OVER (PARTITION BY key)) / stddev_samp(v) OVER (PARTITION BY key) AS z FROM s), a AS (SELECT *, sum(z - 0.5) OVER w AS u, sum(-z - 0.5) OVER w AS o FROM z WHERE z IS NOT NULL AND NOT isnan(z) WINDOW w AS (PARTITION BY key ORDER BY t)), b AS (SELECT key, t, z, u - least(0, min(u) OVER w) AS up, o - least(0, min(o) OVER w) AS down FROM a WINDOW w AS (PARTITION BY key ORDER BY t)) SELECT key, t, round(z, 5) AS z, round(up, 5) AS up, round(down, 5) AS down, up > 5 OR down > 5 AS signal FROM b", 5)(lambda spark, d: H.cusum(_events(spark, d), "user_id", _ORDER, "value").withColumn("t", F.col("t").cast("long")))
+query("cusum_chart", f"WITH {_SERIES}, m AS (SELECT *, abs(v - lag(v) OVER (PARTITION BY key ORDER BY t)) AS r FROM s), c AS (SELECT key, avg(v) AS center, avg(r) / 1.128::DOUBLE AS std_dev FROM m GROUP BY 1 HAVING count(*) >= 3 AND avg(r) > 0), z AS (SELECT key, t, center, std_dev, (v - center) / std_dev AS z FROM s JOIN c USING (key)), a AS (SELECT *, sum(z - 0.5) OVER w AS u, sum(-z - 0.5) OVER w AS o FROM z WINDOW w AS (PARTITION BY key ORDER BY t)), b AS (SELECT *, u - least(0, min(u) OVER w) AS up, o - least(0, min(o) OVER w) AS down FROM a WINDOW w AS (PARTITION BY key ORDER BY t)) SELECT key, t, round(up, 5) AS cusum_pos, round(-down, 5) AS cusum_neg, round(center, 5) AS center, round(std_dev, 5) AS std_dev, up > 5 OR down > 5 AS out_of_control FROM b", 5)(lambda spark, d: H.cusum(_events(spark, d), "user_id", _ORDER, "value").withColumn("t", F.col("t").cast("long")))
 
 # outliers and effects
 query("grubbs_test", f"WITH {_ROWS}, s AS (SELECT brand, count(*) AS n, avg(x) AS m, stddev_samp(x) AS sd, max(x) AS hi, min(x) AS lo FROM pr GROUP BY 1), g AS (SELECT brand, n, n::DOUBLE AS c, greatest(hi - m, m - lo) / sd AS g FROM s), t AS (SELECT *, c - 2 AS df, sqrt(c * (c - 2) * g ** 2 / ((c - 1) ** 2 - c * g ** 2)) AS t FROM g) SELECT brand, n, round(g, 5) AS g, round(least(1, c * {t_two_sided('t', 'df')}), 5) AS p FROM t", 5)(lambda spark, d: H.grubbs(_rows(spark, d), ["brand"], "x"))

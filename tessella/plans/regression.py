@@ -57,7 +57,8 @@ query("vif", f"WITH {_CUST}, v AS (SELECT 1 / (1 - corr(x, z) ** 2) AS v FROM cu
 query("partial_correlation", f"WITH {_CUST}, c AS (SELECT (corr(x, y) - corr(x, z) * corr(y, z)) / sqrt((1 - corr(x, z) ** 2) * (1 - corr(y, z) ** 2)) AS r, count(*) - 3 AS df FROM cu), t AS (SELECT r, r * sqrt(df / (1 - r * r)) AS t, df FROM c) SELECT round(r, 5) AS r, round(t, 5) AS t, df, round({t_two_sided('t', 'df')}, 5) AS p FROM t", 5)(lambda spark, d: R.partial_correlation(_cust(spark, d), "x", "y", ["z"]))
 query("pearson_test", f"WITH {_CUST}, c AS (SELECT g, corr(z, y) AS r, count(*) AS n FROM cu GROUP BY 1), t AS (SELECT *, r * sqrt((n - 2) / (1 - r * r)) AS t FROM c) SELECT g, round(r, 6) AS r, n, round(t, 6) AS t, round({t_two_sided('t', 'n - 2')}, 6) AS p FROM t")(lambda spark, d: R.pearson_test(_cust(spark, d), ["g"], "z", "y"))
 query("mahalanobis_distance", f"WITH {_CUST}, m AS (SELECT avg(x) AS mx, avg(z) AS mz, var_samp(x) AS a, var_samp(z) AS b, covar_samp(x, z) AS c FROM cu), q AS (SELECT k AS key, (b * (x - mx) ** 2 - 2 * c * (x - mx) * (z - mz) + a * (z - mz) ** 2) / (a * b - c * c) AS d FROM cu, m) SELECT key, round(d, 6) AS distance2, round({chi2_sf('d', '2')}, 6) AS p FROM q")(lambda spark, d: R.mahalanobis(_cust(spark, d), "k", ["x", "z"]))
-query("pca", f"WITH {_CUST}, m AS (SELECT var_samp(x) AS a, var_samp(z) AS b, covar_samp(x, z) AS c FROM cu), e AS (SELECT (a + b) / 2 AS h, sqrt(((a - b) / 2) ** 2 + c * c) AS r FROM m) SELECT 1 AS component, round(h + r, 6) AS variance, round((h + r) / (2 * h), 6) AS share FROM e UNION ALL SELECT 2, round(h - r, 6), round((h - r) / (2 * h), 6) FROM e")(lambda spark, d: R.pca(_cust(spark, d), ["x", "z"]).drop("loadings"))
+_PCA = _CUST + ", h AS (SELECT k, CASE WHEN k % 7 <> 0 THEN x END AS x, z, y FROM cu), m AS (SELECT avg(x) AS mx, avg(z) AS mz, stddev_pop(x) AS sx, stddev_pop(z) AS sz FROM h), s AS (SELECT k, coalesce((x - mx) / sx, 0) AS x, (z - mz) / sz AS z FROM h, m), g AS (SELECT sum(x * x) AS a, sum(x * z) AS b, sum(z * z) AS c FROM s), e AS (SELECT a, b, a + c AS t, (a + c) / 2 + sqrt(((a - c) / 2) ** 2 + b * b) AS l1, (a + c) / 2 - sqrt(((a - c) / 2) ** 2 + b * b) AS l2 FROM g), v AS (SELECT 1 AS component, b / sqrt(b * b + (l1 - a) ** 2) AS p, (l1 - a) / sqrt(b * b + (l1 - a) ** 2) AS q, l1 / t AS share FROM e UNION ALL SELECT 2, b / sqrt(b * b + (l2 - a) ** 2), (l2 - a) / sqrt(b * b + (l2 - a) ** 2), l2 / t FROM e)"
+query("pca", f"WITH {_PCA} SELECT k AS key, component, round((x * p + z * q) * sign(CASE WHEN abs(p) >= abs(q) * (1 - 1e-9) THEN p ELSE q END), 5) AS score, round(share, 5) AS share FROM s, v", 5)(lambda spark, d: R.pca(_cust(spark, d).withColumn("x", F.when(F.col("k") % 7 != 0, F.col("x"))), "k", ["x", "z"]))
 _COR = _CUST + ", r AS (SELECT count(*) AS n, corr(x, y) AS a, corr(x, z) AS b, corr(y, z) AS c FROM cu)"
 query("bartlett_sphericity", f"WITH {_COR}, q AS (SELECT -(n - 1 - 11 / 6.0::DOUBLE) * ln(1 + 2 * a * b * c - a * a - b * b - c * c) AS c FROM r) SELECT round(c, 5) AS chi2, CAST(3 AS BIGINT) AS df, round({chi2_sf('c', '3')}, 5) AS p FROM q", 5)(lambda spark, d: R.sphericity(_cust(spark, d), ["x", "y", "z"]).drop("kmo"))
 query("kmo_test", f"WITH {_COR}, p AS (SELECT a * a + b * b + c * c AS r2, (a - b * c) ** 2 / ((1 - b * b) * (1 - c * c)) + (b - a * c) ** 2 / ((1 - a * a) * (1 - c * c)) + (c - a * b) ** 2 / ((1 - a * a) * (1 - b * b)) AS q2 FROM r) SELECT round(r2 / (r2 + q2), 6) AS kmo FROM p")(lambda spark, d: R.sphericity(_cust(spark, d), ["x", "y", "z"]).select("kmo"))

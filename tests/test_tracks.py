@@ -1,3 +1,5 @@
+from pyspark.sql import functions as F
+
 from tessella.operators import tracks as K
 
 
@@ -18,7 +20,7 @@ def test_empty_tables_and_missing_values(spark):
     assert K.histogram(none, "v", 2).collect() == [] and K.boxplot(none, "k", "v").collect() == []
     assert K.highly_variable(none, "k", "v", 3).collect() == [] and K.rarefaction(none, "k", "v", 3).collect() == []
     pairs = spark.createDataFrame([], "chrom1 string, pos1 long, chrom2 string, pos2 long")
-    assert K.pair_stats(pairs).first().cis_fraction is None and K.contact_matrix(pairs, 10).collect() == [] and K.distance_decay(pairs, 4).collect() == []
+    assert K.pair_stats(pairs).first().cis_fraction is None and K.contact_matrix(pairs, 10).collect() == [] and K.distance_decay(pairs.withColumn("n", F.lit(1)), "pos1", "pos2", "n").collect() == []
     assert [r.value for r in K.box_cox(v.withColumnRenamed("v", "value").where("value = 2 or value is null"), lam=0.0).collect()][0] is None
     box = K.boxplot(v, "k", "v").first()
     assert (box.low, box.q1, box.median, box.high, box.outliers) == (2, 2, 2, 2, 0)
