@@ -29,7 +29,7 @@ def _efron(d: int, s0: float, d0: float) -> tuple[float, ...]:
     return tuple(out)
 
 
-def _dummies(rows: DataFrame, x: list[str], categorical: list[str]) -> tuple[DataFrame, list[str]]:
+def dummies(rows: DataFrame, x: list[str], categorical: list[str]) -> tuple[DataFrame, list[str]]:
     """Doubles, and for each categorical covariate one 0/1 column for every level but the first."""
     names = []
     for c in x:
@@ -51,7 +51,7 @@ def cox_regression(rows: DataFrame, time: str, event: str, x: list[str], weight:
     """
     spark = rows.sparkSession
     ship(spark)
-    t, names = _dummies(rows, x, list(categorical))
+    t, names = dummies(rows, x, list(categorical))
     w = clean(weight) if weight else F.lit(1.0)
     many = len(names)
     t = t.select((-clean(time)).alias("_back"), (clean(event).cast("int") != 0).alias("_d"), w.alias("_w"), *[F.col(c).alias(f"_z{i}") for i, c in enumerate(names)]).dropna().where("_back < 0")

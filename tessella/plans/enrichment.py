@@ -6,6 +6,9 @@ from pyspark.sql import functions as F
 
 from tessella.operators import gene_sets as G
 from tessella.operators import penalised as P
+from tessella.operators.linkage import distances
+from tessella.operators.mixed import linear_mixed_model
+from tessella.operators.permutations import mantel, permanova
 from tessella.plans.core import rounded
 from tessella.plans.fixtures import CELLS, cells, table
 from tessella.plans.regression import _CUST, _cust
@@ -67,3 +70,21 @@ _add(
 )
 # p counts permutations of a stream of its own: held against brute force in the tests
 _add("gsea", lambda spark, d: G.gsea(cells(spark, d).groupBy("part").agg((F.sum(F.when(F.col("flag") == "R", F.col("value"))) - F.sum(F.when(F.col("flag") == "A", F.col("value")))).alias("v")), _sets(spark, d), "part", "v", "brand", permutations=100))
+
+# --- mixed models and permutations; the first has no closed form, the p of the others a stream of its own: held against brute force
+_add("linear_mixed_model", lambda spark, d: linear_mixed_model(_spent(spark, d), "price", ["age", "status"], "customer", ("status",)), places=4)
+_add("permanova", lambda spark, d: permanova(_profiles(spark, d), table(spark, d, "nation"), "n_nationkey", "n_regionkey", 199))
+_add("mantel", lambda spark, d: mantel(_profiles(spark, d), _profiles(spark, d, shift=1), 199))
+
+
+def _spent(spark, d):
+    """Orders: price in thousands, the order's day in years and its status, by customer."""
+    o = table(spark, d, "orders")
+    return o.select((F.col("o_totalprice") / 1000).alias("price"), (F.unix_date(F.to_date("o_orderdate")) / 365.25).alias("age"), F.col("o_orderstatus").alias("status"), F.col("o_custkey").alias("customer"))
+
+
+def _profiles(spark, d, shift: int = 0):
+    """Distances of nations by what their customers ordered in thirteen kinds of orders, or in thirteen and `shift`."""
+    c = table(spark, d, "customer").select("c_custkey", "c_nationkey")
+    o = table(spark, d, "orders").join(c, F.col("o_custkey") == F.col("c_custkey"))
+    return distances(o.groupBy(F.col("c_nationkey").alias("n"), (F.col("o_orderkey") % (13 + shift)).alias("f")).agg((F.sum("o_totalprice") / 1e6).alias("v")), "n", "f", "v")
