@@ -397,8 +397,9 @@ def gradient_boosting(rows: DataFrame, key: str, features: list[str], target: st
 
 
 def assess(model: Model, rows: DataFrame, key: str, target: str) -> DataFrame:
-    """accuracy of classes, or rmse, mae and r2, over rows with a target. Keys are unique."""
-    both = model.predict(rows, key).join(rows.select(key, (clean(target) if model.classes is None else F.col(target).cast("string")).alias("_y")), key).where("_y is not null")
+    """accuracy of classes, or rmse, mae and r2, over rows with a target. The target goes along with the key, so keys may repeat."""
+    truth = (clean(target) if model.classes is None else F.col(target).cast("string")).alias("_y")
+    both = model.predict(rows.withColumn("_both", F.struct(F.col(key).alias("key"), truth)), "_both").select("prediction", F.col("_both._y").alias("_y")).where("_y is not null")
     if model.classes is not None:
         return both.agg(F.count(F.lit(1)).alias("n"), F.avg((F.col("prediction") == F.col("_y")).cast("double")).alias("accuracy"))
     off = F.col("prediction") - F.col("_y")

@@ -137,5 +137,7 @@ def test_missing_values_few_rows_and_many_values(spark):
     many = spark.range(3000).selectExpr("id as key", "sin(id) as a", "if(sin(id) > 0.3, 10.0, 0.0) as y")
     model = M.decision_tree(many, "key", ["a"], "y", False, depth=2, bins=64)
     assert M.assess(model, many, "key", "y").first().r2 > 0.9
+    twice = many.union(many.selectExpr("key", "a", "double(null) as y")).union(many)
+    assert M.assess(model, twice, "key", "y").first().n == 6000
     one = M.decision_tree(df.where("key = 3"), "key", ["a"], "y", False)
     assert one.predict(df, "key").where("key = 1").first().prediction == 5.0
