@@ -6,12 +6,12 @@ Everything here works on one Arrow batch or one bounded group at a time, inside
 from __future__ import annotations
 
 import ctypes
+import hashlib
 import math
 import uuid
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -25,8 +25,12 @@ NOT_ALNUM = bytes(b for b in range(0x80) if not chr(b).isalnum())
 
 _SEGMENT = 1 << 18
 _U = np.uint64
-#: Keys of the word hash: one for each length up to eight bytes, two for the steps of longer words.
+#: Keys of the first word hash: one for each length up to eight bytes, others for the steps of longer words. The highest
+#: byte of the first eight is their length, so that words of up to seven bytes have hashes of their own.
 _KEYS = np.random.default_rng(20240501).integers(1, 2**63, 16, dtype=np.uint64) | _U(1)
+_KEYS[:8] = (_KEYS[:8] & _U(2**56 - 1)) | (np.arange(8, dtype=np.uint64) << _U(56))
+#: Keys of the second.
+_OTHERS = np.random.default_rng(20261128).integers(1, 2**63, 16, dtype=np.uint64) | _U(1)
 _MASKS = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
 #: Words beyond this many bytes are hashed one by one.
 _LONG = 64
@@ -142,37 +146,60 @@ def _spread(x: np.ndarray) -> np.ndarray:
     return x
 
 
-def hash_words(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """64-bit hashes of byte strings, eight bytes a step, keyed: strings of one length up to eight bytes never collide, and
-    longer ones go through a one-to-one map after every step, so no pattern of letters cancels out. data: with eight bytes
-    more behind the last string. Beyond `_LONG` bytes a string is hashed by xxh3 with a seed."""
+def _stir(x: np.ndarray) -> np.ndarray:
+    """Another such map, of other shifts and factors."""
+    x ^= x >> _U(30)
+    x *= _U(0xBF58476D1CE4E5B9)
+    x ^= x >> _U(27)
+    x *= _U(0x94D049BB133111EB)
+    x ^= x >> _U(31)
+    return x
+
+
+def hash_words(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, both: bool = False) -> np.ndarray | tuple[np.ndarray, np.ndarray]:
+    """64-bit hashes of byte strings, and with `both` a second one of the same bytes, by another function.
+
+    Two chains of 64 bits with keys and steps of their own walk over a string, eight bytes a step. Of up to seven bytes the
+    first hash is the first chain, in which such strings never collide. Of eight bytes or more it is both chains in one
+    number: one chain can be run backwards to make it collide, but the sum of the two cannot, and strings with both hashes
+    alike would have to collide in both chains, 128 bits. Beyond `_LONG` bytes both come from one BLAKE2b digest.
+    data: with eight bytes more behind the last string."""
     words = np.ndarray((max(len(data) - 7, 0),), "<u8", data, strides=(1,))
     sizes = ends - starts
     if not len(starts):
-        return np.zeros(0, np.uint64)
+        none = np.zeros(0, np.uint64)
+        return (none, none) if both else none
     short = np.minimum(sizes, 8)
-    h = _spread((words[starts] & _MASKS[short]) ^ _KEYS[short])
-    more = np.flatnonzero(sizes > 8)
-    at = 8
+    head = words[starts] & _MASKS[short]
+    h = _spread(head ^ _KEYS[short])
+    wide = np.flatnonzero(sizes >= 8)  # those that take both chains
+    t = _stir(head * _OTHERS[9] + _OTHERS[short]) if both else None
+    chain = t[wide] if both else _stir(head[wide] * _OTHERS[9] + _OTHERS[8])
+    size = sizes[wide]
+    at, more = 8, np.flatnonzero((size > 8) & (size <= _LONG))
     while len(more):
-        left = sizes[more] - at
-        big = left > _LONG - at if at == 8 else np.zeros(0, bool)
-        if big.any():
-            for i in more[big].tolist():
-                h[i] = xxhash.xxh3_64_intdigest(data[starts[i] : ends[i]].tobytes(), seed=20240501)
-            more, left = more[~big], left[~big]
-        part = words[starts[more] + at] & _MASKS[np.minimum(left, 8)]
-        h[more] = _spread((h[more] * _KEYS[9] + _KEYS[10]) ^ _spread((part + _KEYS[11]) ^ sizes[more].astype(np.uint64) * _KEYS[12]))
+        place = wide[more]
+        part = words[starts[place] + at] & _MASKS[np.minimum(size[more] - at, 8)]
+        n = size[more].astype(np.uint64)
+        h[place] = _spread((h[place] * _KEYS[9] + _KEYS[10]) ^ _spread((part + _KEYS[11]) ^ n * _KEYS[12]))
+        chain[more] = _stir((chain[more] ^ _OTHERS[10]) * _OTHERS[11] + _stir((part ^ _OTHERS[12]) * _OTHERS[13] + n))
         at += 8
-        more = more[sizes[more] > at]
-    return h
+        more = more[size[more] > at]
+    h[wide] ^= _stir(chain ^ _OTHERS[14])
+    for i in np.flatnonzero(size > _LONG).tolist():
+        digest = hashlib.blake2b(data[starts[wide[i]] : ends[wide[i]]].tobytes(), digest_size=16).digest()
+        h[wide[i]], chain[i] = int.from_bytes(digest[:8], "little"), int.from_bytes(digest[8:], "little")
+    if not both:
+        return h
+    t[wide] = chain
+    return h, t
 
 
 class Splitter:
     """Finds and hashes the words of many texts at once, on their UTF-8 bytes."""
 
-    def __init__(self, seps: bytes = SPACES, lower: bool = False, heads: tuple[int, ...] = ()):
-        self.heads = heads
+    def __init__(self, seps: bytes = SPACES, lower: bool = False, heads: tuple[int, ...] = (), both: bool = False):
+        self.heads, self.both = heads, both
         self.sep = np.zeros(256, bool)
         self.sep[list(seps)] = True
         self.lowered = np.arange(256, dtype=np.uint8)
@@ -184,6 +211,7 @@ class Splitter:
 
         data: bytes; bounds: where each text starts, and the last ends. A word ends at a separator or with its text.
         With `heads`, a fifth value has for each of these lengths the hash of that many first bytes (0: shorter words).
+        With `both`, the last value has the second hashes.
         """
         at, end, out = int(bounds[0]), int(bounds[-1]), []
         inner = np.unique(bounds[1:-1])
@@ -211,11 +239,13 @@ class Splitter:
                 padded = np.zeros(len(seg) + 8, np.uint8)
                 padded[:-8] = self.lowered[seg] if self.lower else seg
                 firsts = [np.where(e - s > k, hash_words(padded, s, s + k), _U(0)) for k in self.heads]
-                out.append((hash_words(padded, s, e), s + at, e + at, *firsts))
+                h, *second = hash_words(padded, s, e, True) if self.both else (hash_words(padded, s, e),)
+                out.append((h, s + at, e + at, *firsts, *second))
             at = stop
         none = np.zeros(0, np.uint64)
-        h, s, e, *firsts = (np.concatenate(x) for x in zip(*out, strict=True)) if out else (none, np.zeros(0, np.int64), np.zeros(0, np.int64), *[none for _ in self.heads])
-        return (h, s, e, np.searchsorted(s, bounds), *([firsts] if self.heads else []))
+        h, s, e, *firsts = (np.concatenate(x) for x in zip(*out, strict=True)) if out else (none, np.zeros(0, np.int64), np.zeros(0, np.int64), *[none for _ in self.heads], *([none] if self.both else []))
+        second = [firsts.pop()] if self.both else []
+        return (h, s, e, np.searchsorted(s, bounds), *([firsts] if self.heads else []), *second)
 
 
 def join_hash(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -240,6 +270,11 @@ def grams(h: np.ndarray, k: int) -> np.ndarray:
         size *= 2
 
 
+def wide_grams(h: np.ndarray, second: np.ndarray, k: int) -> np.ndarray:
+    """The same from both hashes of the words: runs collide only if the sum of two unlike functions does."""
+    return grams(h, k) ^ _stir(grams(second, k))
+
+
 def inside(first: np.ndarray, k: int) -> np.ndarray:
     """Of the runs of k words over all texts, those that stay in one text. first: words before each text."""
     n = int(first[-1])

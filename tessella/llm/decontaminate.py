@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tessella.llm.common import NOT_ALNUM, Splitter, batches_of, grams, in_sorted, inside, origin, parts, slices, text_bytes, tune, volume
+from tessella.llm.common import NOT_ALNUM, Splitter, batches_of, grams, in_sorted, inside, origin, parts, slices, text_bytes, tune, volume, wide_grams
 
 
 def winnow(hashes: np.ndarray, first: np.ndarray, k: int, window: int) -> tuple[np.ndarray, np.ndarray]:
@@ -53,7 +53,11 @@ def near(at: np.ndarray, ok: np.ndarray, reach: int) -> np.ndarray:
 class _Words:
     def __init__(self, column):
         data, bounds = text_bytes(column)
-        self.hash, _, _, self.first = Splitter(NOT_ALNUM, True)(data, bounds)
+        self.hash, _, _, self.first, self.second = Splitter(NOT_ALNUM, True, both=True)(data, bounds)
+
+    def runs(self, n: int) -> np.ndarray:
+        """Hashes of all runs of n words, which decide hits."""
+        return wide_grams(self.hash, self.second, n)
 
 
 def item_runs(texts: pa.Array, window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -69,7 +73,7 @@ def item_runs(texts: pa.Array, window: int) -> tuple[np.ndarray, np.ndarray, np.
         at = np.flatnonzero(inside(w.first, size))
         owner = np.searchsorted(w.first, at, "right") - 1
         at, owner = at[rows[owner]], owner[rows[owner]]
-        out.append((np.full(len(at), size), grams(w.hash, size)[at], owner))
+        out.append((np.full(len(at), size), w.runs(size)[at], owner))
         if n > window:
             break
     if not out:
@@ -97,7 +101,7 @@ class _Table:
             at = starts if n == window else np.flatnonzero(inside(w.first, n))
             if not len(at):
                 continue
-            place, hit = in_sorted(keys, grams(w.hash, n)[at])
+            place, hit = in_sorted(keys, w.runs(n)[at])
             at, place = at[hit], place[hit]
             np.add.at(mark, at, 1)
             np.add.at(mark, at + n, -1)
@@ -192,8 +196,8 @@ def _by_shuffle(base: DataFrame, items: DataFrame, schema: T.StructType, window:
         w = _Words(rows["text"])
         at, kept = winnow(w.hash, w.first, k, window)
         starts = near(at[in_sorted(np.sort(found["print"].to_numpy().view(np.uint64)), kept)[1]], inside(w.first, window), window - k + 1)
-        out = [(window, np.unique(grams(w.hash, window)[starts]))]
-        out += [(n, np.unique(grams(w.hash, n)[inside(w.first, n)])) for n in short]
+        out = [(window, np.unique(w.runs(window)[starts]))]
+        out += [(n, np.unique(w.runs(n)[inside(w.first, n)])) for n in short]
         where = rows["origin"][0].as_py() if rows.num_rows else 0
         return pa.table([pa.array(np.concatenate([np.full(len(r), n) for n, r in out]), pa.int32()), pa.array(np.concatenate([r for _, r in out]).view(np.int64)), pa.array(np.full(sum(len(r) for _, r in out), where), pa.int32())], ["words", "run", "origin"])
 

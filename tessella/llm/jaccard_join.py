@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessella.llm.common import SPACES, Splitter, grams, in_sorted, inside, one_group, origin, pack, parts, tally, text_bytes, tune, two_groups, unpack, volume, written
+from tessella.llm.common import SPACES, Splitter, in_sorted, inside, one_group, origin, pack, parts, tally, text_bytes, tune, two_groups, unpack, volume, wide_grams, written
 from tessella.llm.graph import components
 
 _COUNTS = "bucket int, origin int, prints binary, counts binary"
@@ -38,14 +38,14 @@ class _Shingles:
 
     def __init__(self, texts, k: int):
         data, bounds = text_bytes(texts)
-        h, _, _, first = Splitter(SPACES, True)(data, bounds)
+        h, _, _, first, second = Splitter(SPACES, True, both=True)(data, bounds)
         lens = np.diff(first)
         at = np.flatnonzero(inside(first, k))
-        owner, run = [np.searchsorted(first, at, "right") - 1], [grams(h, k)[at]]
+        owner, run = [np.searchsorted(first, at, "right") - 1], [wide_grams(h, second, k)[at]]
         for n in np.unique(lens[(lens > 0) & (lens < k)]):  # fewer words: the whole sequence, apart from longer ones
             rows = np.flatnonzero(lens == n)
             owner.append(rows)
-            run.append(grams(h, int(n))[first[rows]] ^ np.uint64(0x5851F42D4C957F2D * int(n) % 2**64))
+            run.append(wide_grams(h, second, int(n))[first[rows]] ^ np.uint64(0x5851F42D4C957F2D * int(n) % 2**64))
         owner, run = np.concatenate(owner), np.concatenate(run)
         order = np.lexsort((run, owner))
         owner, run = owner[order], run[order]

@@ -8,7 +8,7 @@ group of documents, so a run that a third of all documents hold costs one entry
 Layout: documents are dealt once to groups of bounded bytes (one exchange, reused by every level). Fingerprints go to
 buckets of their leading bits; a bucket finds those in two documents or more and answers each group. Lower levels use
 fingerprints with 5 bits more than the input's bytes need (a false repeat only costs work); the last level compares 128
-bits, two unlike hashes of the run's words, for runs whose halves both repeat.
+bits, made of two unlike hashes of each word's bytes, for runs whose halves both repeat.
 """
 
 from __future__ import annotations
@@ -26,7 +26,6 @@ from tessella.llm.common import Splitter, grams, in_sorted, inside, one_group, o
 _LEVEL = "bucket int, origin int, runs binary, again binary, twins binary, docs binary"
 _ANSWER = "origin int, runs binary, twins binary, docs binary"
 _SIGN = np.uint64(1 << 63)
-_TWIN = np.uint64(0xD1342543DE82EF95)
 
 
 def _ids(column: pa.ChunkedArray) -> np.ndarray:
@@ -41,13 +40,13 @@ class _Group:
     def __init__(self, docs: pa.Table, id_col: str, text_col: str):
         data, bounds = text_bytes(docs[text_col])
         self.data, self.doc = data, _ids(docs[id_col])
-        self.hash, self.start, self.end, self.first = Splitter()(data, bounds)
+        self.hash, self.start, self.end, self.first, self.second = Splitter(both=True)(data, bounds)
         self.owner = np.repeat(np.arange(len(self.doc)), np.diff(self.first))
 
 
 def _twins(g: _Group, length: int, at: np.ndarray) -> np.ndarray:
-    """Second hashes of the runs at these positions."""
-    return grams((g.hash ^ _TWIN) * _TWIN, length)[at]
+    """Second hashes of the runs at these positions, from second hashes of their words' bytes."""
+    return grams(g.second, length)[at]
 
 
 def _candidates(g: _Group, length: int, below: np.ndarray | None, bits: int) -> tuple[np.ndarray, np.ndarray]:
