@@ -52,7 +52,7 @@ def twin_of(word, seed):
 
 
 #: Found with twin_of. The benchmark's words are letters, digits and what is not ASCII: PLAIN.
-PAIRS = [(b"internationalize", b"cuzwjvpy}_<f+j7'"), (b"misunderstanding", b"khckuvqc0c_"0(<!")]
+PAIRS = [(b"internationalize", b"cuzwjvpy}_<f+j7'"), (b"misunderstanding", b'khckuvqc0c_"0(<!')]
 PLAIN = (b"misunderstanding", b"unzwcvqgadw4ogmt")
 
 
