@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import math
 import uuid
 from functools import reduce
 from operator import and_
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def clean(value: str | Column) -> Column:
@@ -39,15 +41,27 @@ def materialized(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def ranged(df: DataFrame, order: list[str], parts: int = 64, sample: int = 1 << 13) -> DataFrame:
+def ranged(df: DataFrame, order: list[str], parts: int = 64, sample: int = 1 << 13, each: int = 1 << 22, tree: int = 1 << 10) -> DataFrame:
     """Adds `_range`: equal rows share it and it grows with `order` (ascending, missing last), so that a window within a
-    range and the totals of the ranges before it replace one window over all rows. The cuts, chosen from `sample` random
-    rows, are constants of the plan: they decide the balance and never the result."""
+    range and the totals of the ranges before it replace one window over all rows.
+
+    There is a range for every `each` rows, `parts` at least, by the number of rows as the random draw tells it: of n
+    uniform numbers the k-th smallest is about k / n. The cuts come from `sample` random rows, or from a second draw of 16
+    for each range if that is more; they decide the balance and never the result. Up to `tree` cuts are constants of the
+    plan, searched by halving; beyond, the tree finds a run of cuts, one of which falls on `each` rows, and the rows look
+    into theirs."""
     key = [part for c in order for part in (F.col(c).isNull(), F.col(c))]
-    drawn = df.select(*order).orderBy(F.rand(7)).limit(sample).orderBy(*[F.col(c).asc_nulls_last() for c in order]).collect()
-    cuts = list(dict.fromkeys(tuple(drawn[len(drawn) * k // parts]) for k in range(1, parts))) if drawn else []
+    ascending = [F.col(c).asc_nulls_last() for c in order]
+    drawn = df.select(*order, F.rand(7).alias("_u")).orderBy("_u").limit(sample).orderBy(*ascending).collect()
+    rows = sample / max(r["_u"] for r in drawn) if len(drawn) == sample else len(drawn)
+    parts = max(parts, math.ceil(rows / each))
+    if 16 * parts > len(drawn) == sample:
+        drawn = df.select(*order).where(F.rand(11) < 16 * parts / rows).orderBy(*ascending).collect()
+    drawn = [tuple(r[: len(order)]) for r in drawn]
+    cuts = list(dict.fromkeys(drawn[len(drawn) * k // parts] for k in range(1, parts))) if drawn else []
     types = {f.name: f.dataType for f in df.select(*order).schema.fields}
-    edges = [F.struct(*[x for c, v in zip(order, cut, strict=True) for x in (F.lit(v is None), F.lit(v).cast(types[c]))]) for cut in cuts]
+    fold = max(1, math.ceil(len(cuts) / tree))
+    edges = [F.struct(*[x for c, v in zip(order, cut, strict=True) for x in (F.lit(v is None), F.lit(v).cast(types[c]))]) for cut in cuts[fold - 1 :: fold]]
 
     def place(low: int, high: int) -> Column:
         if low == high:
@@ -55,7 +69,15 @@ def ranged(df: DataFrame, order: list[str], parts: int = 64, sample: int = 1 <<
         mid = (low + high) // 2
         return F.when(F.struct(*key) < edges[mid], place(low, mid)).otherwise(place(mid + 1, high))
 
-    return df.withColumn("_range", place(0, len(edges)))
+    keyed = df.withColumn("_range", place(0, len(edges)))
+    if fold == 1:
+        return keyed
+    fields = [x for i, c in enumerate(order) for x in (T.StructField(f"m{i}", T.BooleanType()), T.StructField(f"v{i}", types[c]))]
+    schema = T.StructType([T.StructField("_range", T.IntegerType()), T.StructField("_cuts", T.ArrayType(T.StructType(fields)))])
+    runs = [(g, [tuple(x for v in cut for x in (v is None, v)) for cut in cuts[g * fold : (g + 1) * fold - 1]]) for g in range(len(edges) + 1)]
+    fine = df.sparkSession.createDataFrame(runs, schema)
+    within = F.size(F.filter("_cuts", lambda cut: cut <= F.struct(*key)))
+    return keyed.join(F.broadcast(fine), "_range").withColumn("_range", F.col("_range") * fold + within).drop("_cuts").select(*df.columns, "_range")
 
 
 def with_before(keyed: DataFrame, within: list[str], **totals: tuple[str, Column]) -> DataFrame:

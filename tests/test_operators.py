@@ -1,3 +1,6 @@
+import math
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -157,3 +160,20 @@ def test_merge_walks_one_sequence_in_ranges(spark):
     twice = intervals.merge(df.union(df).repartition(7)).collect()  # equal intervals where a run begins
     assert sorted((r.start, r.end) for r in twice) == [tuple(r) for r in runs] and sum(r.n for r in twice) == 1600
     assert sorted((r.start, r.end) for r in intervals.gaps(df).collect()) == [(a[1], b[0]) for a, b in zip(runs, runs[1:])]
+
+
+def test_ranges_grow_with_the_rows(spark):
+    from tessella.operators.common import ranged
+
+    draw = random.Random(5)
+    rows = [(draw.choice([None, float("nan"), draw.random(), 0.5]), draw.choice([None, "a", "b", "c"]), i) for i in range(6000)]
+    df = spark.createDataFrame(rows, "v double, s string, i long").repartition(4)
+    order = lambda r: ((r.v is None, 0.0 if r.v is None else float("inf") if math.isnan(r.v) else r.v), (r.s is None, r.s or ""), r.i)
+    for each, tree, least in ((1 << 22, 1 << 10, 8), (20, 1 << 10, 250), (20, 16, 250), (20, 2, 250)):
+        got = sorted(ranged(df, ["v", "s", "i"], 8, 256, each, tree).collect(), key=order)
+        of = [r._range for r in got]
+        assert len(got) == 6000 and of == sorted(of) and len(set(of)) >= least * 0.8
+        assert max(of.count(x) for x in set(of)) < 6000 / least * 4
+    tied = ranged(df, ["s"], 8, 256, 20, 2).groupBy("s").agg(F.count_distinct("_range").alias("n")).collect()
+    assert {r.n for r in tied} == {1}
+    assert ranged(df.limit(0), ["v"], 8, 256, 20, 2).count() == 0
