@@ -80,7 +80,8 @@ def shard(docs: DataFrame, shards: int = 8, tolerance: float = 0.002, id_col: st
     """Adds to each row _shard: struct(size, text_crc32, shard, slot). `size` is the UTF-8 bytes of the text (null: none) plus one.
 
     Shards have near-equal bytes: within `tolerance` of a shard's share, plus the weight of one group of at most that size.
-    Equal texts share a shard unless they alone are larger than one. Null and empty texts are one group. Rows may repeat
+    Equal texts share a shard, unless they are larger than one or, when heavy groups are laid out, no shard has room for half
+    of them: then their rows are cut over all shards. Null and empty texts are one group. Rows may repeat
     in all columns, ids may be null or all the same; each row has its own slot, gapless from 0 in its shard. An empty
     table stays empty. Bins hold `bin_bytes`, or more where `most_bins` would not do. What the driver and all tasks hold are the groups beyond the tolerance, `group_bytes` or
     `group_rows`, of which there can only be as many as those bounds fit into the table.
