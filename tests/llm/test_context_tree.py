@@ -94,6 +94,39 @@ def test_matches_definition(spark, depth):
     close(sorted([(r.doc_id, r.n_tokens, r.n_known, r.train_tokens, r.base_score, r.score) for r in got], key=str), brute(rows, depth))
 
 
+def test_split_answers_and_rounds_of_merging(spark, monkeypatch):
+    """Buckets that answer in several tasks, tables merged in three rounds, and keys held in small heaps."""
+    from tessella.llm import context_tree as C
+
+    rnd = random.Random(9)
+    rows = [(i, " ".join(rnd.choice(["the", "then", "né", "ab", "abc"]) for _ in range(rnd.randint(0, 9)))) for i in range(90)] + [(90, None), (None, "then")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(9)
+    got = score_texts(docs, learn(), 4, group_bytes=200, ask_keys=20).collect()
+    close(sorted([(r.doc_id, r.n_tokens, r.n_known, r.train_tokens, r.base_score, r.score) for r in got], key=str), brute(rows, 4))
+    base = docs.select(F.col("doc_id").alias("id"), "text", F.lit(True).alias("learn"))
+    read = lambda df: sorted((r.kind, r.bucket, C.unpack(r["keys"]).tolist(), C.unpack(r["counts"]).tolist(), r.known, r.total) for r in df.collect())
+    once = read(C.count_tables(base, 4, 3, 1))
+    monkeypatch.setattr(C, "_FAN", 2)
+    assert once and read(C.count_tables(base, 4, 3, 4)) == once
+
+
+def test_heap_merges():
+    from tessella.llm import context_tree as C
+
+    held, rnd = C._Held(), np.random.default_rng(1)
+    old, C._HELD = C._HELD, 50
+    try:
+        every = [rnd.integers(0, 40, 30).astype(np.uint64) for _ in range(7)]
+        for x in every:
+            keys, n = C.tally(x)
+            held.add(keys, n)
+        keys, n = held.merged()
+    finally:
+        C._HELD = old
+    want = Counter(np.concatenate(every).tolist())
+    assert keys.tolist() == sorted(want) and n.tolist() == [want[k] for k in sorted(want)]
+
+
 def test_edges(spark):
     assert score_texts(spark.createDataFrame([], "doc_id long, text string"), learn()).count() == 0
     none = score_texts(spark.createDataFrame([(1, "ab", 3)], "doc_id long, text string, score long"), F.lit(False)).collect()
