@@ -4,9 +4,9 @@ from __future__ import annotations
 
 
 def _modules():
-    from tessella.plans import clustering, core, enrichment, genomics, graphs, hypotheses, more, ranks, regression, statistics, tracks, trees
+    from tessella.plans import clustering, core, density, enrichment, genomics, graphs, hypotheses, more, ranks, regression, statistics, tracks, trees
 
-    return [core, statistics, more, hypotheses, regression, ranks, genomics, graphs, tracks, trees, clustering, enrichment]
+    return [core, statistics, more, hypotheses, regression, ranks, genomics, graphs, tracks, trees, clustering, density, enrichment]
 
 
 def queries() -> dict:
