@@ -2,10 +2,16 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessella.operators.common import average_rank, clean, global_row_number, null_safe_join, over, quantiles
+from tessella.operators.common import average_rank, clean, global_row_number, null_safe_join, quantiles
+
+
+def _beside(cells: DataFrame, dim: str, **sums: Column) -> DataFrame:
+    """Adds aggregates of each label to its cells: summed before the shuffle and joined back, so a label may hold any share
+    of the rows."""
+    return null_safe_join(cells, cells.groupBy(dim).agg(*[e.alias(name) for name, e in sums.items()]), [dim], "left")
 
 
 def log_transform(cells: DataFrame, value: str = "value", base: float | str = 2, pseudocount: float = 1) -> DataFrame:
@@ -19,10 +25,10 @@ def normalize(cells: DataFrame, sample: str, feature: str, value: str = "value",
     geometric means of features positive in all samples; quantile: every sample gets the mean distribution."""
     v = clean(value)
     if method in ("cpm", "total"):
-        return cells.withColumn(value, v / F.sum(v).over(over(sample)) * (target_sum if method == "cpm" else 1.0))
+        return _beside(cells, sample, _sum=F.sum(v)).withColumn(value, v / F.col("_sum") * (target_sum if method == "cpm" else 1.0)).drop("_sum")
     if method == "zscore":
-        sd = F.stddev_pop(v).over(over(sample))
-        return cells.withColumn(value, (v - F.avg(v).over(over(sample))) / F.when(sd > 0, sd).otherwise(1.0))
+        z = (v - F.col("_mean")) / F.when(F.col("_sd") > 0, F.col("_sd")).otherwise(1.0)
+        return _beside(cells, sample, _mean=F.avg(v), _sd=F.stddev_pop(v)).withColumn(value, z).drop("_mean", "_sd")
     if method == "median_of_ratios":
         n = cells.select(sample).distinct().count()
         geo = cells.where(v > 0).groupBy(feature).agg(F.avg(F.log(v)).alias("_g"), F.count(F.lit(1)).alias("_n")).where(F.col("_n") == n)
@@ -40,23 +46,24 @@ def normalize(cells: DataFrame, sample: str, feature: str, value: str = "value",
 def zscore(cells: DataFrame, dim: str, value: str = "value") -> DataFrame:
     """Sample standard deviation; no spread divides by 1; missing becomes 0."""
     v = clean(value)
-    sd = F.stddev_samp(v).over(over(dim))
-    return cells.withColumn(value, F.coalesce((v - F.avg(v).over(over(dim))) / F.when(sd > 0, sd).otherwise(1.0), F.lit(0.0)))
+    z = (v - F.col("_mean")) / F.when(F.col("_sd") > 0, F.col("_sd")).otherwise(1.0)
+    return _beside(cells, dim, _mean=F.avg(v), _sd=F.stddev_samp(v)).withColumn(value, F.coalesce(z, F.lit(0.0))).drop("_mean", "_sd")
 
 
 def scale_features(cells: DataFrame, dim: str, value: str = "value", max_value: float | None = None) -> DataFrame:
     """Population standard deviation; under 1e-12 divides by 1; missing stays missing."""
     v = clean(value)
-    sd = F.stddev_pop(v).over(over(dim))
-    z = (v - F.avg(v).over(over(dim))) / F.when(sd < 1e-12, 1.0).otherwise(sd)
-    return cells.withColumn(value, z if max_value is None else F.greatest(F.least(z, F.lit(max_value)), F.lit(-max_value)))
+    z = (v - F.col("_mean")) / F.when(F.col("_sd") < 1e-12, 1.0).otherwise(F.col("_sd"))
+    scaled = z if max_value is None else F.greatest(F.least(z, F.lit(max_value)), F.lit(-max_value))
+    return _beside(cells, dim, _mean=F.avg(v), _sd=F.stddev_pop(v)).withColumn(value, scaled).drop("_mean", "_sd")
 
 
 def min_max_scale(cells: DataFrame, dim: str, value: str = "value", low: float = 0.0, high: float = 1.0) -> DataFrame:
     """No span and missing cells give `low`."""
     v = clean(value)
-    a, b = F.min(v).over(over(dim)), F.max(v).over(over(dim))
-    return cells.withColumn(value, low + (high - low) * F.coalesce(F.when(b > a, (v - a) / (b - a)), F.lit(0.0)))
+    a, b = F.col("_min"), F.col("_max")
+    share = F.coalesce(F.when(b > a, (v - a) / (b - a)), F.lit(0.0))
+    return _beside(cells, dim, _min=F.min(v), _max=F.max(v)).withColumn(value, low + (high - low) * share).drop("_min", "_max")
 
 
 def robust_scale(cells: DataFrame, dim: str, value: str = "value") -> DataFrame:
@@ -68,8 +75,8 @@ def robust_scale(cells: DataFrame, dim: str, value: str = "value") -> DataFrame:
 
 def softmax(cells: DataFrame, dim: str, value: str = "value") -> DataFrame:
     v = clean(value)
-    e = cells.withColumn("_e", F.exp(v - F.max(v).over(over(dim))))
-    return e.withColumn(value, F.col("_e") / F.sum("_e").over(over(dim))).drop("_e")
+    e = _beside(cells, dim, _max=F.max(v)).withColumn("_e", F.exp(v - F.col("_max"))).drop("_max")
+    return _beside(e, dim, _sum=F.sum("_e")).withColumn(value, F.col("_e") / F.col("_sum")).drop("_e", "_sum")
 
 
 def winsorize(cells: DataFrame, dim: str, value: str = "value", lower: float = 5, upper: float = 95) -> DataFrame:

@@ -177,3 +177,17 @@ def test_ranges_grow_with_the_rows(spark):
     tied = ranged(df, ["s"], 8, 256, 20, 2).groupBy("s").agg(F.count_distinct("_range").alias("n")).collect()
     assert {r.n for r in tied} == {1}
     assert ranged(df.limit(0), ["v"], 8, 256, 20, 2).count() == 0
+
+
+def test_scaling_by_label_keeps_null_labels_and_other_columns(spark):
+    from tessella.operators import scale
+
+    cells = spark.createDataFrame([("a", 1.0, "x"), ("a", 3.0, "y"), (None, 2.0, "z"), (None, 6.0, "w"), ("b", None, "v")], "s string, value double, note string")
+    got = {r.note: r.value for r in scale.min_max_scale(cells, "s").collect()}
+    assert got == {"x": 0.0, "y": 1.0, "z": 0.0, "w": 1.0, "v": 0.0}
+    shares = {r.note: r.value for r in scale.normalize(cells, "s", "note", method="total").collect()}
+    assert shares == {"x": 0.25, "y": 0.75, "z": 0.25, "w": 0.75, "v": None}
+    soft = scale.softmax(cells, "s")
+    assert soft.columns == cells.columns and abs(sum(r.value for r in soft.collect() if r.note in "xy") - 1) < 1e-12
+    plan = soft._jdf.queryExecution().optimizedPlan().toString()
+    assert "Window" not in plan
