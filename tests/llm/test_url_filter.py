@@ -102,3 +102,14 @@ def test_mixed_case_paths_against_sql(spark, tmp_path):
     con.execute(f"create view pages as select * from '{tmp_path}/pages.parquet/*.parquet'")
     want = sorted(con.execute(oracle_sql()["op8_url_filter"]).fetchall())
     assert sorted(tuple(r) for r in op8_url_filter(spark, str(tmp_path)).collect()) == want
+
+
+def test_rules_of_the_query_are_those_of_its_contract(spark, tmp_path):
+    from tessella.llm.queries import op8_url_filter
+
+    urls = {"http://a.net/de/1": ("net/de/", "allow"), "http://casino.net/de/casino": ("net/de/", "allow"), "http://x.example.net/de/8": ("example.net/de/8", "block"), "http://example.net/de/9": ("net/de/", "allow")}
+    urls |= {"http://a.com/en/1": ("com/en/", "block"), "http://example.com/en/75": ("example.com/en/7", "allow"), "http://a.org/es/": ("org/es/", "block")}
+    rows = list(enumerate(urls))
+    spark.createDataFrame(rows, "page_id long, url string").write.parquet(f"{tmp_path}/pages.parquet")
+    got = {r.page_id: (r.rule, r.verdict) for r in op8_url_filter(spark, str(tmp_path)).collect()}
+    assert got == {i: urls[u] for i, u in rows}
