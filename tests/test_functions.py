@@ -38,3 +38,16 @@ def test_enrichment(spark):
     universe = spark.createDataFrame([(g, t) for g in range(10) for t in ("x", "y") if t == "x" and g < 5 or t == "y"], "gene long, term string")
     rows = {r.term: r for r in enrich(spark.createDataFrame([(0,), (1,), (2,), (9,), (77,)], "gene long"), universe, "gene", "term").collect()}
     assert (rows["x"].hits, rows["x"].size, rows["x"].drawn, rows["x"].total) == (3, 5, 4, 10) and rows["x"].p == pytest.approx(55 / 210) and rows["y"].p == pytest.approx(1)
+
+
+def test_poisson_sql_and_tail_at_large_means(spark):
+    import duckdb
+
+    from tessella.functions.distributions import gamma_upper
+    from tessella.plans.tails import poisson_cdf
+
+    for mean, k in ((960.0, 930), (5760.0, 5800), (40000.0, 40100)):
+        terms = [math.exp(i * math.log(mean) - mean - math.lgamma(i + 1)) for i in range(k + 1)]
+        want = math.fsum(terms)
+        assert abs(duckdb.connect().execute(f"SELECT {poisson_cdf('k', 'mean')} FROM (SELECT {k} AS k, {mean}::DOUBLE AS mean)").fetchone()[0] - want) < 1e-9
+        assert abs(gamma_upper(k + 1.0, mean) - want) < 1e-9
