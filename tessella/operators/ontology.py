@@ -56,37 +56,57 @@ def depths(edges: DataFrame, child: str, parent: str) -> DataFrame:
     return counts.join(done, "term", "left").select("term", "depth", "n_parents")
 
 
-def expand(annotations: DataFrame, pairs: DataFrame, gene: str, term: str) -> DataFrame:
-    """gene, term: the annotations and those of all ancestors, each once."""
-    known = annotations.select(gene, F.col(term).alias("term")).dropna().distinct()
-    up = known.join(pairs, "term", "left").select(gene, F.coalesce("ancestor", "term").alias("term"))
-    return up.distinct().withColumnRenamed("term", term)
+def _sets(pairs: DataFrame) -> DataFrame:
+    """term and the sorted array of its ancestors."""
+    return materialized(pairs.groupBy("term").agg(F.sort_array(F.collect_list("ancestor")).alias("ancestors")))
+
+
+def expand(annotations: DataFrame, pairs: DataFrame, gene: str, term: str, each: int = 1 << 23, hot: int = 1 << 16) -> DataFrame:
+    """gene, term: the annotations and those of all ancestors, each once.
+
+    An annotation travels to its gene with its ancestors as one array, and repeats go there, in tasks of about `each`
+    pairs. Pairs of genes with more than `hot` terms are spread by gene and ancestor instead."""
+    known = materialized(annotations.select(F.col(gene).alias("gene"), F.col(term).alias("term")).dropna().distinct())
+    sets = _sets(pairs)
+    n_terms, n_pairs = sets.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.size("ancestors")), F.lit(0))).first()
+    parts = max(known.sparkSession.sparkContext.defaultParallelism, -(-known.count() * (n_pairs // (n_terms or 1) + 1) // each))
+    large = materialized(known.groupBy("gene").count().where(F.col("count") > hot).select("gene"))
+    up = lambda rows: rows.join(sets, "term", "left").select("gene", F.coalesce("ancestors", F.array("term")).alias("terms"))
+    flat = lambda rows: rows.select("gene", F.explode("terms").alias("term")).distinct()
+    out = flat(up(known.join(large, "gene", "left_anti")).repartition(parts, "gene"))
+    if not large.isEmpty():
+        out = out.union(flat(up(known.join(large, "gene", "left_semi"))))
+    return out.select(F.col("gene").alias(gene), F.col("term").alias(term))
 
 
 def information_content(annotations: DataFrame, pairs: DataFrame, gene: str, term: str) -> DataFrame:
     """term, n_genes annotated with it or below it, and ic = -log2 of their share of all annotated genes."""
     total = annotations.select(gene, term).dropna().select(gene).distinct().agg(F.count(F.lit(1)).alias("total"))
-    counts = expand(annotations, pairs, gene, term).groupBy(F.col(term).alias("term")).agg(F.count(F.lit(1)).alias("n_genes"))
+    counts = materialized(expand(annotations, pairs, gene, term).groupBy(F.col(term).alias("term")).agg(F.count(F.lit(1)).alias("n_genes")))
     return counts.crossJoin(F.broadcast(total)).select("term", "n_genes", (-F.log2(F.col("n_genes") / F.col("total"))).alias("ic"))  # one row
 
 
 def term_similarity(asked: DataFrame, pairs: DataFrame, ic: DataFrame, a: str, b: str) -> DataFrame:
     """For pairs of terms: resnik (the highest ic of a shared ancestor), lin (twice that over both ics' sum), jaccard (of
-    the ancestors), ic_a, ic_b. Terms without genes have ic 0; without a shared ancestor all but the ics are 0."""
+    the ancestors), ic_a, ic_b. Terms without genes have ic 0; without a shared ancestor all but the ics are 0.
+
+    A term's ancestors are one array, by falling ic, so a pair is one row and its first shared ancestor the best."""
     want = asked.select(F.col(a).alias("a"), F.col(b).alias("b")).distinct()
-    value = ic.select(F.col("term").alias("ancestor"), "ic")
-    rated = pairs.join(value, "ancestor", "left").na.fill(0.0, ["ic"])
-    ends = want.select("a").union(want.select("b")).distinct().withColumnRenamed("a", "term")
-    sizes = pairs.join(ends, "term", "left_semi").groupBy("term").agg(F.count(F.lit(1)).alias("n"))
-    both = want.join(rated.withColumnRenamed("term", "a"), "a").join(pairs.withColumnRenamed("term", "b"), ["b", "ancestor"])
-    shared = both.groupBy("a", "b").agg(F.count(F.lit(1)).alias("n"), F.max("ic").alias("resnik"))
-    out = want.join(shared, ["a", "b"], "left")
-    for side in ("a", "b"):
-        out = out.join(sizes.select(F.col("term").alias(side), F.col("n").alias(f"n_{side}")), side, "left").join(value.select(F.col("ancestor").alias(side), F.col("ic").alias(f"ic_{side}")), side, "left")
-    out = out.na.fill(0).na.fill(0.0, ["resnik", "ic_a", "ic_b"])
-    ics, union = F.col("ic_a") + F.col("ic_b"), F.col("n_a") + F.col("n_b") - F.col("n")
-    lin, jaccard = F.when(ics > 0, 2 * F.col("resnik") / ics).otherwise(0.0), F.when(union > 0, F.col("n") / union).otherwise(0.0)
-    return out.select(F.col("a").alias(a), F.col("b").alias(b), "resnik", lin.alias("lin"), jaccard.alias("jaccard"), "ic_a", "ic_b")
+    value = materialized(ic.select("term", "ic"))
+    rated = pairs.join(value.withColumnRenamed("term", "ancestor"), "ancestor", "left").na.fill(0.0, ["ic"])
+    falling = F.reverse(F.array_sort(F.collect_list(F.struct("ic", "ancestor"))))
+    sets = rated.groupBy("term").agg(falling.alias("s")).select("term", F.col("s.ancestor").alias("s"), F.col("s.ic").alias("v"))
+    sets = materialized(sets.join(value, "term", "full"))
+    out = want.join(sets.select(F.col("term").alias("a"), F.col("s").alias("s_a"), "v", F.col("ic").alias("ic_a")), "a", "left")
+    out = out.join(sets.select(F.col("term").alias("b"), F.col("s").alias("s_b"), F.col("ic").alias("ic_b")), "b", "left")
+    size = lambda c: F.greatest(F.size(c), F.lit(0))
+    out = out.withColumn("_both", F.array_intersect("s_a", "s_b")).na.fill(0.0, ["ic_a", "ic_b"])
+    best = F.element_at("v", F.array_position("s_a", F.get("_both", F.lit(0))).cast("int"))
+    n, resnik = size("_both"), F.coalesce(best, F.lit(0.0))
+    either = size("s_a") + size("s_b") - n
+    ics = F.col("ic_a") + F.col("ic_b")
+    lin, jaccard = F.when(ics > 0, 2 * resnik / ics).otherwise(0.0), F.when(either > 0, n / either).otherwise(0.0)
+    return out.select(F.col("a").alias(a), F.col("b").alias(b), resnik.alias("resnik"), lin.alias("lin"), jaccard.alias("jaccard"), "ic_a", "ic_b")
 
 
 def gene_similarity(asked: DataFrame, annotations: DataFrame, pairs: DataFrame, ic: DataFrame, gene: str, term: str, a: str, b: str) -> DataFrame:

@@ -4,6 +4,8 @@ import random
 import numpy as np
 import pytest
 
+from pyspark.sql import functions as F
+
 from tessella.operators import ontology, phylogeny
 from tessella.operators.pruning import ld_prune
 
@@ -121,3 +123,32 @@ def test_ld_prune(spark, window, block, chunk):
     got = {r.variant: r.kept for r in ld_prune(df, "variant", "sample", "dosage", window, 0.2, chunk, block).collect()}
     assert got == {v * 3 + 7: k for v, k in enumerate(keep)} and not all(keep)
     assert ld_prune(df.limit(0), "variant", "sample", "dosage").count() == 0
+
+
+def test_hot_genes_unknown_terms_and_one_pass(spark):
+    from tessella.operators import ontology
+
+    pairs = ontology.closure(spark.createDataFrame([(2, 1), (3, 1), (4, 2), (4, 3), (5, 5)], "c long, p long"), "c", "p")
+    notes = spark.createDataFrame([(1, 4), (1, 4), (1, 2), (1, 3), (2, 9), (2, 4), (None, 4), (3, None)], "g long, t long")
+    want = {(1, 4), (1, 3), (1, 2), (1, 1), (2, 9), (2, 4), (2, 3), (2, 2), (2, 1)}
+    for limits in ({}, {"hot": 2}, {"each": 1}):
+        got = [tuple(r) for r in ontology.expand(notes, pairs, "g", "t", **limits).collect()]
+        assert len(got) == len(want) and set(got) == want
+    plan = ontology.expand(notes, pairs, "g", "t").groupBy("t").count()._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning(gene" in plan and "hashpartitioning(gene#" in plan and ", term#" not in "".join(x for x in plan.splitlines() if "hashpartitioning(gene" in x)  # pairs are never shuffled by gene and term
+    ic = spark.createDataFrame([(1, 0.0), (4, 1.0), (2, 0.5), (9, 2.0)], "term long, ic double")
+    got = {(r.a, r.b): tuple(r)[2:] for r in ontology.term_similarity(spark.createDataFrame([(4, 2), (9, 4), (5, 4), (4, 4), (8, 8)], "a long, b long"), pairs, ic, "a", "b").collect()}
+    assert got == {(4, 2): (0.5, 2 / 3, 0.5, 1.0, 0.5), (9, 4): (0.0, 0.0, 0.0, 2.0, 1.0), (5, 4): (0.0, 0.0, 0.0, 0.0, 1.0), (4, 4): (1.0, 1.0, 1.0, 1.0, 1.0), (8, 8): (0.0, 0.0, 0.0, 0.0, 0.0)}
+
+
+def test_hypergeometric_tail_of_large_counts(spark):
+    import math
+
+    from tessella.functions.distributions import hypergeometric_sf
+
+    choose = lambda n, r: math.lgamma(n + 1) - math.lgamma(r + 1) - math.lgamma(n - r + 1)
+    rows = [(k, 3000, m, d) for m, d in ((700, 600), (2900, 600), (5, 600), (3000, 3000), (0, 10)) for k in (0, 1, 3, 139, 140, 141, 180, 590, 601, 3000)]
+    df = spark.createDataFrame(rows, "k long, n long, m long, d long")
+    for r in df.withColumn("p", hypergeometric_sf(*(F.col(c) for c in "knmd"))).collect():
+        want = min(1.0, math.fsum(math.exp(choose(r.m, i) + choose(r.n - r.m, r.d - i) - choose(r.n, r.d)) for i in range(max(r.k, r.d - (r.n - r.m), 0), min(r.m, r.d) + 1)))
+        assert math.isclose(r.p, want, rel_tol=1e-9, abs_tol=1e-300), (r, want)
