@@ -135,7 +135,7 @@ def _(spark, d):
     notes = _notes(spark, d)
     full = ontology.expand(notes, ontology.closure(_edges(spark, d), "term", "parent"), "gene", "term")
     hits = table(spark, d, "customer").where("c_mktsegment = 'BUILDING'").select(F.col("c_custkey").alias("gene"))
-    out = enrich(hits, full, "gene", "term", min_size=5)
+    out = enrich(hits, full, "gene", "term", min_size=5, genes=notes.dropna())
     q = next(c for c in out.columns if c not in ("term", "hits", "size", "drawn", "total", "fold", "p"))
     return out.select("term", "hits", "size", "drawn", "total", (F.col("drawn") * F.col("size") / F.col("total")).alias("expected"), "p", F.col(q).alias("q"))
 
