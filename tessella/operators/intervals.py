@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessella.operators.common import null_safe_join, quantiles, ranged, with_before
+from tessella.operators.common import materialized, null_safe_join, quantiles, ranged, running, with_before
 
 
 def _binned(rows: DataFrame, start: str, end: str, width: int, name: str = "_bin") -> DataFrame:
@@ -92,8 +94,28 @@ def jaccard(a: DataFrame, b: DataFrame, width: int = 1024) -> DataFrame:
 
 
 def coverage(a: DataFrame, b: DataFrame, width: int = 64) -> DataFrame:
-    """For each of `a`: overlapping intervals of `b`, positions covered by any of them, and their share."""
-    cut = overlap(a, merge(b).withColumn("id", F.monotonically_increasing_id()), width=width).groupBy("a_id").agg(F.sum("overlap").alias("covered"))
-    hits = overlap(a, b, width=width).groupBy("a_id").agg(F.count(F.lit(1)).alias("hits"))
-    size = F.col("end") - F.col("start")
-    return a.select(F.col("id").alias("a_id"), size.alias("size")).join(hits, "a_id", "left").join(cut, "a_id", "left").select("a_id", F.coalesce("hits", F.lit(0)).alias("hits"), F.coalesce("covered", F.lit(0)).alias("covered"), (F.coalesce("covered", F.lit(0)) / F.col("size")).alias("fraction"))
+    """For each of `a`: overlapping intervals of `b`, positions covered by any of them, and their share.
+
+    No pairs are made (`width` has no use any more): those that overlap [s, e) begin before e, less those that end by s; the
+    covered positions before x are the sum of x - start over the merged runs that begin before it, less that of x - end over
+    those that end before it. Both are running sums over the distinct positions of either side."""
+    real = lambda t: t.where(F.col("end") > F.col("start")).select("chrom", F.col("start").cast("long").alias("start"), F.col("end").cast("long").alias("end")).dropna()
+    one, none = F.lit(1).cast("long"), F.lit(0).cast("long")
+
+    def events(t: DataFrame, at: str, kind: int, *values) -> DataFrame:
+        return t.select("chrom", F.col(at).alias("at"), F.lit(kind).alias("kind"), *[v.alias(n) for n, v in zip(("began", "ended", "runs", "places"), values, strict=True)])
+
+    own, other = real(a), real(b)
+    runs = merge(other)
+    rows = [events(other, "start", 2, one, none, none, none), events(other, "end", 0, none, one, none, none), events(runs, "start", 2, none, none, one, F.col("start")), events(runs, "end", 0, none, none, -one, -F.col("end"))]
+    rows += [events(own, at, 1, none, none, none, none) for at in ("start", "end")]  # behind what ends there, before what begins
+    names = ["began", "ended", "runs", "places"]
+    tally = materialized(reduce(DataFrame.unionByName, rows).groupBy("chrom", "at", "kind").agg(*[F.sum(n).alias(n) for n in names]))
+    upto = running(tally, ["at", "kind"], ["chrom"], **{f"_{n}": ("sum", F.col(n)) for n in names}).where("kind = 1")
+    upto = materialized(upto.select("chrom", "at", "_began", "_ended", (F.col("at") * F.col("_runs") - F.col("_places")).alias("_before")))
+    first = upto.select("chrom", F.col("at").alias("start"), F.col("_ended").alias("_out"), F.col("_before").alias("_low"))
+    last = upto.select("chrom", F.col("at").alias("end"), F.col("_began").alias("_in"), F.col("_before").alias("_high"))
+    size, sound = F.col("end") - F.col("start"), F.col("end") > F.col("start")
+    out = a.select("id", "chrom", "start", "end").join(first, ["chrom", "start"], "left").join(last, ["chrom", "end"], "left")
+    hits, covered = (F.coalesce(F.when(sound, F.col(x) - F.col(y)), F.lit(0)) for x, y in (("_in", "_out"), ("_high", "_low")))
+    return out.select(F.col("id").alias("a_id"), hits.alias("hits"), covered.alias("covered"), F.when(size != 0, covered / size).alias("fraction"))

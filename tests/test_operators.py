@@ -191,3 +191,20 @@ def test_scaling_by_label_keeps_null_labels_and_other_columns(spark):
     assert soft.columns == cells.columns and abs(sum(r.value for r in soft.collect() if r.note in "xy") - 1) < 1e-12
     plan = soft._jdf.queryExecution().optimizedPlan().toString()
     assert "Window" not in plan
+
+
+def test_coverage_against_brute_force_without_pairs(spark):
+    import random
+
+    from tessella.operators import intervals
+
+    rng = random.Random(5)
+    side = lambda n, far: [(i, rng.choice("xyz"), s, s + rng.randrange(-2, far)) for i in range(n) for s in [rng.randrange(-20, 60)]]
+    a, b = side(150, 30) + [(900, "w", 1, 5), (901, None, 1, 5), (902, "x", None, 5)], side(120, 12) + [(900, None, 1, 5), (901, "x", None, 3)]
+    schema = "id long, chrom string, start long, end long"
+    out = intervals.coverage(spark.createDataFrame(a, schema), spark.createDataFrame(b, schema))
+    assert "_bin" not in out._jdf.queryExecution().analyzed().toString()
+    for r, (i, c, s, e) in zip(sorted(out.collect(), key=lambda r: r.a_id), sorted(a), strict=True):
+        real = [(p, q) for _, d, p, q in b if None not in (c, d, s, p) and c == d and min(q, e) > max(p, s)]
+        places = {x for p, q in real for x in range(max(p, s), min(q, e))}
+        assert (r.a_id, r.hits, r.covered) == (i, len(real), len(places))
