@@ -125,6 +125,25 @@ def test_ld_prune(spark, window, block, chunk):
     assert ld_prune(df.limit(0), "variant", "sample", "dosage").count() == 0
 
 
+def test_ld_prune_rounds_do_not_grow_with_the_blocks(spark, monkeypatch):
+    from tessella.operators import pruning
+
+    writes, write = [], pruning.materialized
+    monkeypatch.setattr(pruning, "materialized", lambda df: writes.append(1) or write(df))
+    x = np.random.default_rng(3).integers(0, 3, (1920, 7))
+    linked = lambda i, j: x[i].std() > 0 and x[j].std() > 0 and np.corrcoef(x[i], x[j])[0, 1] ** 2 > 0.05
+    keep = []
+    for j in range(1920):
+        keep.append(not any(keep[i] and linked(i, j) for i in range(max(0, j - 10), j)))
+    cells = [(v, s, float(x[v, s])) for v in range(1920) for s in range(7)]
+    df = spark.createDataFrame(cells, "variant long, sample long, dosage double").repartition(2)
+    got = {r.variant: r.kept for r in ld_prune(df, "variant", "sample", "dosage", 10, 0.05, block=160).collect()}
+    assert got == dict(enumerate(keep)) and len(writes) <= 8, len(writes)
+    same = spark.createDataFrame([(v, s, float(s)) for v in range(30) for s in range(3)], "variant long, sample long, dosage double")  # no block agrees by chance
+    got = {r.variant: r.kept for r in ld_prune(same, "variant", "sample", "dosage", 4, 0.2, block=7).collect()}
+    assert got == {v: v % 5 == 0 for v in range(30)}
+
+
 def test_hot_genes_unknown_terms_and_one_pass(spark):
     from tessella.operators import ontology
 
