@@ -53,21 +53,52 @@ def _seen(rows: DataFrame, how: str, what) -> DataFrame:
     return keyed.withColumn("_near", near).withColumn("p", F.when(F.col("_near").isNull(), far).when(far.isNull(), F.col("_near")).otherwise(both("_near", far))).drop("_near", "_before", "_range")
 
 
+def _cover(rows: DataFrame) -> DataFrame:
+    """A row for each of the fewest whole runs of 2^_level positions, numbered by _node, that make up [start, end)."""
+    t = rows.withColumn("_level", F.explode(F.sequence(F.lit(0), F.floor(F.log2(F.col("end") - F.col("start"))).cast("int"))))
+    t = t.withColumns({"_low": F.expr("-shiftright(-start, _level)"), "_high": F.expr("shiftright(end, _level)")}).where("_low < _high")
+    odd = lambda c: F.col(c).bitwiseAND(F.lit(1)) == 1
+    return t.withColumn("_node", F.explode(F.array(F.when(odd("_low"), F.col("_low")), F.when(odd("_high"), F.col("_high") - 1)))).where("_node is not null").drop("_low", "_high")
+
+
+def _least_overlapping(a: DataFrame, b: DataFrame) -> DataFrame:
+    """chrom, start, end of the distinct intervals `a` and the least id of those of `b` that overlap them. Either begins in
+    the other: what begins in a run of positions, and what covers one, is known by its least id, so no pairs are made."""
+    sound = lambda t: t.where(F.col("end") > F.col("start"))
+    a, b = sound(a), sound(b)
+    longest = a.select("start", "end").union(b.select("start", "end")).agg(F.max(F.col("end") - F.col("start"))).first()[0] or 1
+    above = lambda t: t.withColumn("_level", F.explode(F.sequence(F.lit(0), F.lit(int(longest).bit_length())))).withColumn("_node", F.expr("shiftright(start, _level)"))
+    place, least = ["chrom", "_level", "_node"], F.min("id").alias("id")
+    begun = above(b.groupBy("chrom", "start").agg(least)).groupBy(*place).agg(least)
+    inside = _cover(a).join(begun, place).groupBy("chrom", "start", "end").agg(least)
+    covering = _cover(b).groupBy(*place).agg(least)
+    held = above(a.select("chrom", "start").distinct()).join(covering, place).groupBy("chrom", "start").agg(least)
+    return inside.unionByName(a.join(held, ["chrom", "start"]).select("chrom", "start", "end", "id")).groupBy("chrom", "start", "end").agg(least)
+
+
 def nearest(a: DataFrame, b: DataFrame, max_distance: int | None = None, chrom: str = "chrom", start: str = "start", end: str = "end", id_col: str = "id", width: int = 64) -> DataFrame:
     """For each of `a` the nearest of `b` on its chrom: 0 if they overlap, else the gap; ties by the least id. Exact: the last
-    end at or before, and the first start at or after, by a walk over both sides in ranges; overlaps by bins."""
-    over_ = overlap(a, b, chrom, start, end, id_col, 1, width).groupBy("a_id").agg(F.min("b_id").alias("b_id")).withColumn("distance", F.lit(0).cast("long"))
-    x = a.select(F.lit(1).alias("kind"), F.col(chrom).alias("chrom"), F.col(start).cast("long").alias("at"), F.col(end).cast("long").alias("to"), F.col(id_col).alias("id"))
-    y = b.select(F.lit(0).alias("kind"), F.col(chrom).alias("chrom"), F.col(start).cast("long").alias("at"), F.col(end).cast("long").alias("to"), F.col(id_col).alias("id"))
+    end at or before, and the first start at or after, by a walk over both sides in ranges; overlaps by runs of positions.
+    Only distinct intervals are compared, each of `b` by its least id (`width` has no use any more)."""
+    at = [F.col(chrom).alias("chrom"), F.col(start).cast("long").alias("start"), F.col(end).cast("long").alias("end")]
+    asked = materialized(a.select(F.col(id_col).alias("a_id"), *at))
+    own = materialized(asked.select("chrom", "start", "end").distinct())
+    other = materialized(b.select(*at, F.col(id_col).alias("id")).groupBy("chrom", "start", "end").agg(F.min("id").alias("id")))
+    key = F.struct("start", "end").alias("id")
+    over_ = _least_overlapping(own, other).select("chrom", key, F.lit(0).cast("long").alias("distance"), F.col("id").alias("b_id"))
+    none = F.lit(None).cast(dict(other.dtypes)["id"])
+    x = own.select(F.lit(1).alias("kind"), "chrom", F.col("start").alias("at"), F.col("end").alias("to"), key, none.alias("of"))
+    y = other.select(F.lit(0).alias("kind"), "chrom", F.col("start").alias("at"), F.col("end").alias("to"), key, F.col("id").alias("of"))
     ends = y.withColumn("at", F.col("to"))
-    earlier = F.when(F.col("kind") == 0, F.struct(F.col("at"), (-F.col("id")).alias("k")))
+    earlier = F.when(F.col("kind") == 0, F.struct(F.col("at"), (-F.col("of")).alias("k")))
     prev = _seen(x.unionByName(ends), "max", earlier).where("kind = 1 and p is not null")
-    left = prev.select(F.col("id").alias("a_id"), (-F.col("p.k")).alias("b_id"), (F.col("at") - F.col("p.at")).alias("distance"))
-    later = F.when(F.col("kind") == 0, F.struct((-F.col("at")).alias("at"), F.col("id").alias("k")))  # `at` is negated: the walk goes back
+    left = prev.select("chrom", "id", (F.col("at") - F.col("p.at")).alias("distance"), (-F.col("p.k")).alias("b_id"))
+    later = F.when(F.col("kind") == 0, F.struct((-F.col("at")).alias("at"), F.col("of").alias("k")))  # `at` is negated: the walk goes back
     nxt = _seen(x.withColumn("at", F.col("to")).unionByName(y).withColumn("at", -F.col("at")), "min", later).where("kind = 1 and p is not null")
-    right = nxt.select(F.col("id").alias("a_id"), F.col("p.k").alias("b_id"), (F.col("p.at") + F.col("at")).alias("distance"))
-    every = over_.unionByName(left).unionByName(right).groupBy("a_id").agg(F.min(F.struct("distance", "b_id")).alias("m"))
-    out = every.select("a_id", F.col("m.b_id").alias("b_id"), F.col("m.distance").alias("distance"))
+    right = nxt.select("chrom", "id", (F.col("p.at") + F.col("at")).alias("distance"), F.col("p.k").alias("b_id"))
+    every = over_.unionByName(left).unionByName(right).groupBy("chrom", "id").agg(F.min(F.struct("distance", "b_id")).alias("m"))
+    found = null_safe_join(asked, every.select("chrom", "id.start", "id.end", "m"), ["chrom", "start", "end"])
+    out = found.groupBy("a_id").agg(F.min("m").alias("m")).select("a_id", F.col("m.b_id").alias("b_id"), F.col("m.distance").alias("distance"))
     return out if max_distance is None else out.where(F.col("distance") <= max_distance)
 
 

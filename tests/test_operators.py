@@ -208,3 +208,25 @@ def test_coverage_against_brute_force_without_pairs(spark):
         real = [(p, q) for _, d, p, q in b if None not in (c, d, s, p) and c == d and min(q, e) > max(p, s)]
         places = {x for p, q in real for x in range(max(p, s), min(q, e))}
         assert (r.a_id, r.hits, r.covered) == (i, len(real), len(places))
+
+
+def test_nearest_makes_no_pairs(spark, monkeypatch):
+    monkeypatch.setattr(intervals, "overlap", lambda *_, **__: pytest.fail("all overlapping pairs are made"))
+    rng = random.Random(4)
+    make = lambda n, at: [(at + i, rng.choice("xyz") if i % 20 else None, s, s + rng.choice([0, 1, 1, 2, 7, 40, 300, 1 << 40])) for i in range(n) for s in [rng.randint(-400, 400)]]
+    left, right = make(150, 0), [(i, c if c != "z" else "w", s, e) for i, c, s, e in make(120, 1000)]
+    right += [(i + 500, c, s, e) for i, c, s, e in right[:40]]
+    df = [spark.createDataFrame(r, "id long, chrom string, start long, end long").repartition(3) for r in (left, right)]
+    want = {}
+    for i, c, s, e in left:
+        found = []
+        for j, d, u, v in right:
+            if c == d and c is not None:
+                found += [(0, j)] if min(e, v) > max(s, u) else []
+                found += [(s - v, j)] if v <= s else []
+                found += [(u - e, j)] if u >= e else []
+        if found:
+            want[i] = min(found)
+    got = {r.a_id: (r.distance, r.b_id) for r in intervals.nearest(*df).collect() if left[r.a_id][1] is not None}
+    assert got == want
+    assert intervals.nearest(df[0], df[1].limit(0)).count() == 0 == intervals.nearest(df[0].limit(0), df[1]).count()
