@@ -230,3 +230,23 @@ def test_nearest_makes_no_pairs(spark, monkeypatch):
     got = {r.a_id: (r.distance, r.b_id) for r in intervals.nearest(*df).collect() if left[r.a_id][1] is not None}
     assert got == want
     assert intervals.nearest(df[0], df[1].limit(0)).count() == 0 == intervals.nearest(df[0].limit(0), df[1]).count()
+
+
+def test_protein_letters_are_counted_in_one_pass(spark):
+    from tessella.operators import proteins
+
+    texts = ["MKWVTF", "mkwvtf ccc", "", None, "É straße Ω K", "BJOUXZ", "ARNDCEQGHILKMFPSTWYV" * 5000]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "id long, s string").repartition(3)
+    got = proteins.protein_properties(df, "id", "s")
+    assert "regexp" not in got._jdf.queryExecution().executedPlan().toString()
+    rows = {r.key: r for r in got.collect()}
+    for i, t in enumerate(texts):
+        r, c = rows[i], {a: sum(x in (a, a.lower()) for x in t) for a in proteins.MASSES} if t is not None else None
+        if c is None:
+            assert tuple(r)[1:] == (None,) * 6
+            continue
+        size = sum(c.values())
+        assert (r.length, r.charge, r.extinction) == (size, c["K"] + c["R"] - c["D"] - c["E"], c["W"] * 5500 + c["Y"] * 1490 + c["C"] // 2 * 125)
+        assert math.isclose(r.mass, sum(c[a] * v for a, v in proteins.MASSES.items()) + 18.0153)
+        want = (sum(c[a] * v for a, v in proteins.HYDROPATHY.items()) / size, (c["F"] + c["W"] + c["Y"]) / size) if size else (None, None)
+        assert (r.gravy, r.aromaticity) == want if not size else all(math.isclose(x, y, abs_tol=1e-9) for x, y in zip((r.gravy, r.aromaticity), want, strict=True))
