@@ -141,3 +141,20 @@ def test_missing_values_few_rows_and_many_values(spark):
     assert M.assess(model, twice, "key", "y").first().n == 6000
     one = M.decision_tree(df.where("key = 3"), "key", ["a"], "y", False)
     assert one.predict(df, "key").where("key = 1").first().prediction == 5.0
+
+
+def test_rows_in_the_same_bins_are_one_row(spark):
+    from tessella.operators import trees
+
+    rows = [(i, float(i % 3), float(i % 2), float(i % 3 * 10 + i % 2 * 4 + i % 7), "ab"[i % 5 % 2]) for i in range(600)]
+    df = spark.createDataFrame(rows, "key long, u double, v double, y double, c string").repartition(5)
+    binned, _, _ = trees._prepared(df, "key", ["u", "v"], "y", None, 255)
+    assert binned.count() == 6 and binned.agg({"w": "sum"}).first()[0] == 600
+    binned, _, _ = trees._prepared(df, "key", ["u", "v"], "c", ["a", "b"], 255)
+    assert binned.count() == 12 and binned.agg({"w": "sum"}).first()[0] == 600
+    assert trees._prepared(df, "key", ["u", "v"], "y", None, 255, True)[0].count() == 600  # draws go by row
+    cells = {}
+    for _, u, v, y, _ in rows:
+        cells.setdefault((u, v), []).append(y)
+    got = {r.key: r.prediction for r in trees.decision_tree(df, "key", ["u", "v"], "y", False, depth=4).predict(df, "key").collect()}
+    assert all(abs(got[i] - sum(cells[u, v]) / len(cells[u, v])) < 1e-7 for i, u, v, _, _ in rows)
