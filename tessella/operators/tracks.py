@@ -7,7 +7,7 @@ import math
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessella.operators.common import clean, null_safe_join, quantiles, running
+from tessella.operators.common import clean, materialized, null_safe_join, quantiles, running
 from tessella.operators.intervals import gaps, merge
 
 
@@ -75,7 +75,9 @@ def distance_decay(contacts: DataFrame, start1: str, start2: str, count: str, bi
     low, high, contacts (rows), pairs (sum of counts), mean_count, share (of the pairs at any distance above zero)."""
     d, c = F.abs(clean(start2) - clean(start1)), F.floor(clean(count))
     t = contacts.select(d.alias("d"), c.alias("c")).where("d > 0 and c is not null")
-    low, high = t.agg(F.min("d"), F.max("d")).first()
+    # one row for each distance, written once: the contacts are read once, the rest comes from their sums
+    t = materialized(t.groupBy("d").agg(F.count(F.lit(1)).alias("contacts"), F.sum("c").alias("pairs")))
+    low, high, grand = t.agg(F.min("d"), F.max("d"), F.sum("pairs")).first()
     if low is None:
         return contacts.sparkSession.createDataFrame([], "bin int, low double, high double, contacts long, pairs long, mean_count double, share double")
     high = max(float(max_distance or high), low + 1)
@@ -84,19 +86,11 @@ def distance_decay(contacts: DataFrame, start1: str, start2: str, count: str, bi
     every = contacts.sparkSession.createDataFrame([(k, edges[k], edges[k + 1]) for k in range(bins)], "bin int, low double, high double")
     at = sum((F.col("d") >= e).cast("int") for e in edges[1:-1])
     inside = (F.col("d") >= edges[0]) & (F.col("d") <= edges[-1])
-    n = t.groupBy(F.when(inside, at).alias("bin")).agg(F.count(F.lit(1)).alias("contacts"), F.sum("c").alias("pairs"))
-    n = n.withColumn("grand", F.sum("pairs").over(_whole()))
-    grand = n.agg(F.max("grand")).first()[0]
-    out = every.join(n.drop("grand"), "bin", "left").na.fill(0, ["contacts", "pairs"])
+    n = t.groupBy(F.when(inside, at).alias("bin")).agg(F.sum("contacts").alias("contacts"), F.sum("pairs").alias("pairs"))
+    out = every.join(n, "bin", "left").na.fill(0, ["contacts", "pairs"])
     return out.select("bin", "low", "high", "contacts", "pairs", F.when(F.col("contacts") > 0, F.col("pairs") / F.col("contacts")).otherwise(0.0).alias("mean_count"), (F.col("pairs") / F.lit(grand)).alias("share"))
 
 
-def _whole():
-    from pyspark.sql import Window
-
-    return Window.partitionBy()  # over one row for each bin
-
-
 def counts_normalize(rows: DataFrame, key: str, count: str, length: str) -> DataFrame:
     """CPM, FPKM and TPM of counts over features of some length."""
     c, size = clean(count), clean(length)

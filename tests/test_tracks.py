@@ -24,3 +24,13 @@ def test_empty_tables_and_missing_values(spark):
     assert [r.value for r in K.box_cox(v.withColumnRenamed("v", "value").where("value = 2 or value is null"), lam=0.0).collect()][0] is None
     box = K.boxplot(v, "k", "v").first()
     assert (box.low, box.q1, box.median, box.high, box.outliers) == (2, 2, 2, 2, 0)
+
+
+def test_distance_decay_reads_its_contacts_once(spark):
+    rows = [(0, 0, 5.0), (0, 10, 2.5), (20, 10, 1.0), (0, 1000, 4.0), (7, None, 1.0), (0, 10, None), (0, 50, float("nan"))]
+    read = spark.sparkContext.accumulator(0)
+    contacts = spark.createDataFrame(spark.sparkContext.parallelize(rows, 2).map(lambda r: (read.add(1), r)[1]), "a long, b long, n double")
+    got = K.distance_decay(contacts, "a", "b", "n", 2).orderBy("bin").collect()
+    assert [(r.bin, round(r.low, 6), round(r.high, 6), r.contacts, r.pairs, r.mean_count, round(r.share, 6)) for r in got] == [(0, 10, 100, 2, 3, 1.5, 0.428571), (1, 100, 1000, 1, 4, 4, 0.571429)]
+    assert read.value == len(rows)
+    assert [(r.contacts, r.pairs, round(r.share, 6)) for r in K.distance_decay(contacts, "a", "b", "n", 1, 100).collect()] == [(2, 3, 0.428571)]  # a share of all pairs
