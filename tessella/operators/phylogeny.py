@@ -1,5 +1,5 @@
 """Diversity on a tree, given as rows (node, parent, length). Abundances are carried from the tips to all nodes above them
-by the closure of the tree; pairs of samples are compared in blocks of samples and nodes of bounded size."""
+edge by edge; pairs of samples are compared in blocks of samples and nodes of bounded size."""
 
 from __future__ import annotations
 
@@ -15,24 +15,75 @@ from tessella.session import ship
 _SAMPLES, _NODES = 128, 2048
 
 
-def node_counts(cells: DataFrame, tree: DataFrame, sample: str, taxon: str, count: str, node: str = "node", parent: str = "parent", length: str = "length") -> DataFrame:
+def _tips(cells: DataFrame, tree: DataFrame, sample: str, taxon: str, count: str, node: str = "node", parent: str = "parent", length: str = "length") -> tuple[DataFrame, DataFrame]:
+    """sample, node, count, seen (whether any of its counts is above 0) for the taxa of each sample, and the tree as node,
+    parent, length: both written once. Taxa that are no node of the tree raise an error."""
+    tree = materialized(tree.select(F.col(node).alias("node"), F.col(parent).alias("parent"), clean(length).alias("length")))
+    known = tree.select(F.col("node").alias("_n")).union(tree.select(F.col("parent").alias("_n"))).dropna().distinct()
+    t = cells.select(F.col(sample).alias("sample"), F.col(taxon).alias("node"), F.coalesce(clean(count), F.lit(0.0)).alias("c")).where("sample is not null and node is not null").groupBy("sample", "node").agg(F.sum("c").alias("count"), F.max(F.col("c") > 0).alias("seen"))
+    t = t.join(known, F.col("node") == F.col("_n"), "left").withColumn("node", F.when(F.col("_n").isNull(), F.raise_error(F.concat(F.lit("no tip of the tree: "), F.col("node").cast("string"))).cast(dict(t.dtypes)["node"])).otherwise(F.col("node"))).drop("_n")
+    return materialized(t), tree
+
+
+def _ends(edges: DataFrame) -> bool:
+    """Whether all ways up end: steps of doubled length run out before they are longer than there are edges."""
+    step, far, most = edges.where("node <> parent").select("node", "parent"), 1, edges.count()
+    while far <= most and not step.isEmpty():
+        on = step.select(F.col("node").alias("parent"), F.col("parent").alias("top"))
+        step, far = materialized(step.join(on, "parent").select("node", F.col("top").alias("parent"))), 2 * far
+    return far <= most or step.isEmpty()
+
+
+def _above(tips: DataFrame, tree: DataFrame, unsure: int = 64) -> DataFrame:
+    """sample, node, length, count: the sums of all tips at or below each node. Sums go up an edge a round and are added up
+    there, so a level of the tree costs its nodes and not its tips. A graph in which a node has two rows, or ways that never
+    end (asked after `unsure` rounds), goes by its closure."""
+    edges = tree.where("node is not null and parent is not null")
+
+    def by_closure() -> DataFrame:
+        up = closure(tree, "node", "parent").withColumnRenamed("term", "node")
+        sums = tips.join(up, "node").groupBy("sample", F.col("ancestor").alias("node")).agg(F.sum("count").alias("count"))
+        return sums.join(edges.select("node", "length"), "node", "left").select("sample", "node", F.coalesce("length", F.lit(0.0)).alias("length"), "count")
+
+    def together(found: list[DataFrame]) -> DataFrame:
+        out = found[0]
+        for more in found[1:]:
+            out = out.unionByName(more)
+        return out.groupBy("sample", "node").agg(F.max("length").alias("length"), F.sum("count").alias("count"))  # a node has one length
+
+    if not edges.groupBy("node").count().where("count > 1").isEmpty():
+        return by_closure()
+    now, found, rounds = tips.select("sample", "node", "count"), [], 0
+    while True:
+        here = materialized(now.join(edges, "node", "left").select("sample", "node", F.coalesce("length", F.lit(0.0)).alias("length"), "count", F.when(F.col("parent") != F.col("node"), F.col("parent")).alias("parent")))
+        found.append(here.drop("parent"))
+        if len(found) > 12:  # one table of what is found, so that the union stays short
+            found = [materialized(together(found))]
+        on, rounds = here.where("parent is not null"), rounds + 1
+        if on.isEmpty():
+            return together(found)
+        if rounds == unsure and not _ends(edges):
+            return by_closure()
+        now = on.groupBy("sample", F.col("parent").alias("node")).agg(F.sum("count").alias("count"))
+
+
+def node_counts(cells: DataFrame, tree: DataFrame, sample: str, taxon: str, count: str, **names: str) -> DataFrame:
     """sample, node, length, count and the sample's total: counts of all tips at or below each node. Missing counts are 0;
-    the root's length counts as 0. Taxa that are no node of the tree raise an error when the rows are read."""
-    up = closure(tree, node, parent)
-    known = tree.select(F.col(node).alias("_n")).union(tree.select(F.col(parent).alias("_n"))).dropna().distinct()
-    t = cells.select(F.col(sample).alias("sample"), F.col(taxon).alias("term"), F.coalesce(clean(count), F.lit(0.0)).alias("c")).where("sample is not null and term is not null").groupBy("sample", "term").agg(F.sum("c").alias("c"))
-    t = t.join(known, F.col("term") == F.col("_n"), "left").withColumn("term", F.when(F.col("_n").isNull(), F.raise_error(F.concat(F.lit("no tip of the tree: "), F.col("term").cast("string"))).cast(dict(t.dtypes)["term"])).otherwise(F.col("term"))).drop("_n")
-    by_node = t.where("c > 0").join(up, "term").groupBy("sample", F.col("ancestor").alias("node")).agg(F.sum("c").alias("count"))
-    lengths = tree.where(F.col(parent).isNotNull()).select(F.col(node).alias("node"), clean(length).alias("length"))
-    totals = t.groupBy("sample").agg(F.sum("c").alias("total"))
-    return totals.join(by_node, "sample", "left").join(lengths, "node", "left").select("sample", "node", F.coalesce("length", F.lit(0.0)).alias("length"), F.coalesce("count", F.lit(0.0)).alias("count"), "total")
+    the root's length counts as 0. A sample without counts has one row without a node."""
+    tips, tree = _tips(cells, tree, sample, taxon, count, **names)
+    totals = materialized(tips.groupBy("sample").agg(F.sum("count").alias("total"), F.max(F.col("count") > 0).alias("_some")))
+    by_node = _above(tips.where("count > 0"), tree)
+    rows = by_node.join(totals.where("_some"), "sample").select("sample", "node", "length", "count", "total")
+    none = totals.where("not _some").select("sample", F.lit(None).cast(dict(rows.dtypes)["node"]).alias("node"), F.lit(0.0).alias("length"), F.lit(0.0).alias("count"), "total")
+    return rows.unionByName(none)
 
 
 def faith_pd(cells: DataFrame, tree: DataFrame, sample: str, taxon: str, count: str, **names: str) -> DataFrame:
     """sample, pd (the length of all branches above its taxa), n_taxa_observed. A sample without counts has 0."""
-    pd = node_counts(cells, tree, sample, taxon, count, **names).groupBy("sample").agg(F.sum(F.when(F.col("count") > 0, F.col("length")).otherwise(0.0)).alias("pd"))
-    seen = cells.groupBy(F.col(sample).alias("sample")).agg(F.count_distinct(F.when(clean(count) > 0, F.col(taxon))).alias("n_taxa_observed"))
-    return pd.join(seen, "sample")
+    tips, tree = _tips(cells, tree, sample, taxon, count, **names)
+    pd = _above(tips.where("count > 0"), tree).groupBy("sample").agg(F.sum("length").alias("pd"))
+    seen = tips.groupBy("sample").agg(F.count_if("seen").alias("n_taxa_observed"))
+    return seen.join(pd, "sample", "left").select("sample", F.coalesce("pd", F.lit(0.0)).alias("pd"), "n_taxa_observed")
 
 
 def unifrac(cells: DataFrame, tree: DataFrame, sample: str, taxon: str, count: str, weighted: bool = False, **names: str) -> DataFrame:
@@ -45,7 +96,7 @@ def unifrac(cells: DataFrame, tree: DataFrame, sample: str, taxon: str, count: s
     blocks = -(-many // _SAMPLES)
     # a sample meets its own block and those of all others: (block, other) with the lesser first
     rows = t.join(samples, "sample").where("count > 0").select((F.col("at") - 1).alias("at"), F.pmod(F.xxhash64("node"), F.lit(1 << 40)).alias("h"), "node", "length", (F.col("count") / F.col("total")).alias("share"))
-    spread = max(1, -(-t.select("node").distinct().count() // _NODES))
+    spread = max(1, -(-t.agg(F.approx_count_distinct("node")).first()[0] // _NODES))
     mine = F.floor(F.col("at") / _SAMPLES).cast("int")
     rows = rows.withColumn("mine", mine).withColumn("other", F.explode(F.sequence(F.lit(0), F.lit(max(blocks - 1, 0)))))
     rows = rows.select(F.least("mine", "other").alias("p"), F.greatest("mine", "other").alias("q"), (F.col("h") % spread).cast("int").alias("r"), "at", "node", "length", "share")

@@ -105,6 +105,44 @@ def test_unifrac_and_faith(spark, block, monkeypatch):
         phylogeny.faith_pd(spark.createDataFrame([("A", "t9", 1.0)], "sample string, taxon string, count double"), t, "sample", "taxon", "count").collect()
 
 
+@pytest.mark.parametrize("tree", [
+    [("n0", None, 1.0), *[(f"n{k}", f"n{k - 1}", k / 8) for k in range(1, 9)], ("t", "n1", 0.25)],  # a chain with a tip beside
+    [("r", None, 9.0), ("a", "r", 1.0), ("b", "r", 2.0), ("t", "a", 0.5), ("u", "t", None), ("v", "v", 4.0)],  # counts at nodes within, an edge to itself
+    [("t", "a", 1.0), ("a", "b", 2.0), ("b", "c", 4.0), ("c", "a", 8.0), ("u", "c", 0.5)],  # a way that never ends
+    [("t", "a", 1.0), ("t", "b", 1.0), ("a", "r", 2.0), ("b", "r", 4.0), ("u", "a", 0.5)],  # two ways up
+])
+@pytest.mark.parametrize("unsure", [1, 2, 64])
+def test_sums_go_up_any_tree(spark, tree, unsure):
+    if unsure == 64 and ("c", "a", 8.0) in tree:
+        unsure = 5
+    up, nodes = {}, sorted({n for n, _, _ in tree} | {p for _, p, _ in tree if p})
+    for n, p, _ in tree:
+        up.setdefault(n, set()).add(p)
+    tips = [(s, n, float(1 + (i + k) % 3)) for k, s in enumerate("AB") for i, n in enumerate(nodes) if (i + k) % 2]
+    want = {}
+    for s, n, c in tips:
+        seen, front = set(), {n}
+        while front:
+            seen |= front
+            front = {p for x in front for p in up.get(x, ()) if p} - seen
+        for x in seen:
+            want[s, x] = want.get((s, x), 0) + c
+    t = spark.createDataFrame(tree, "node string, parent string, length double")
+    got = phylogeny._above(spark.createDataFrame(tips, "sample string, node string, count double"), t, unsure).distinct().collect()
+    assert {(r.sample, r.node): r["count"] for r in got} == want and len(got) == len(want)
+    assert {r.node: r.length for r in got}.items() <= {x: next((v or 0.0 for n, p, v in tree if n == x and p), 0.0) for x in nodes}.items()
+
+
+def test_diversity_on_a_tree_reads_its_cells_once(spark):
+    t = spark.createDataFrame([("r", None, 0.0), ("a", "r", 1.0), ("b", "r", 2.0)], "node string, parent string, length double")
+    cells = [("A", "a", 1.0), ("A", "b", None), ("B", "a", 2.0), ("B", "b", 2.0), ("C", "b", float("nan"))]
+    for of, want in ((phylogeny.faith_pd, [("A", 1.0, 1), ("B", 3.0, 2), ("C", 0.0, 0)]), (phylogeny.unifrac, [("A", "B", 2 / 3), ("A", "C", 1.0), ("B", "C", 1.0)])):
+        read = spark.sparkContext.accumulator(0)
+        c = spark.createDataFrame(spark.sparkContext.parallelize(cells, 2).map(lambda r, read=read: (read.add(1), r)[1]), "sample string, taxon string, count double")
+        assert sorted(tuple(r) for r in of(c, t, "sample", "taxon", "count").collect()) == want
+        assert read.value == len(cells)
+
+
 @pytest.mark.parametrize(("window", "block", "chunk"), [(5, 4096, 4096), (5, 7, 3), (70, 16, 8)])
 def test_ld_prune(spark, window, block, chunk):
     rng = np.random.default_rng(6)
