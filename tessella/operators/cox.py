@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessella.functions.distributions import normal_sf
-from tessella.operators.common import clean, materialized, ranged, with_before
+from tessella.operators.common import clean, materialized, ranges, with_before
 from tessella.session import ship
 
 _CHUNK = 1 << 20
@@ -55,6 +55,7 @@ def cox_regression(rows: DataFrame, time: str, event: str, x: list[str], weight:
     w = clean(weight) if weight else F.lit(1.0)
     many = len(names)
     t = t.select((-clean(time)).alias("_back"), (clean(event).cast("int") != 0).alias("_d"), w.alias("_w"), *[F.col(c).alias(f"_z{i}") for i, c in enumerate(names)]).dropna().where("_back < 0")
+    t = materialized(t)  # the rows are read once
     got = t.agg(F.count(F.lit(1)), F.count_if("_d"), *[F.avg(f"_z{i}") for i in range(many)], *[F.stddev_samp(f"_z{i}") for i in range(many)]).first()
     n, events, means, spreads = got[0], got[1], got[2 : 2 + many], got[2 + many :]
     schema = "covariate string, coef double, se double"
@@ -71,7 +72,7 @@ def cox_regression(rows: DataFrame, time: str, event: str, x: list[str], weight:
     if not events or any(s is None or not s > 1e-12 for s in spreads):
         return table(nothing, nothing, math.nan)
     t = t.withColumns({f"_z{i}": (F.col(f"_z{i}") - m) / s for i, (m, s) in enumerate(zip(means, spreads, strict=True))})
-    t = materialized(ranged(t, ["_back"]))
+    with_range = ranges(t, ["_back"])
     pairs = [(i, j) for i in range(many) for j in range(i, many)]
     sums = ["s0", *[f"s_{i}" for i in range(many)], *[f"s_{i}_{j}" for i, j in pairs]]
     here = Window.partitionBy("_range").orderBy("_back")
@@ -98,8 +99,8 @@ def cox_regression(rows: DataFrame, time: str, event: str, x: list[str], weight:
         r = F.col("_w") * F.exp(eta)
         values = [r, *[r * F.col(f"_z{i}") for i in range(many)], *[r * F.col(f"_z{i}") * F.col(f"_z{j}") for i, j in pairs]]
         dead = lambda c: F.coalesce(F.sum(F.when(F.col("_d"), c)), F.lit(0.0))
-        g = t.groupBy("_range", "_back").agg(*[F.sum(v).alias(c) for c, v in zip(sums, values, strict=True)], *[dead(v).alias(f"d_{c}") for c, v in zip(sums, values, strict=True)], F.count_if("_d").alias("d"), dead(F.col("_w")).alias("w"), dead(F.col("_w") * eta).alias("eta"), *[dead(F.col("_w") * F.col(f"_z{i}")).alias(f"x_{i}") for i in range(many)])
-        g = with_before(g, [], **{f"_b{c}": ("sum", F.col(c)) for c in sums})
+        g = t.groupBy("_back").agg(*[F.sum(v).alias(c) for c, v in zip(sums, values, strict=True)], *[dead(v).alias(f"d_{c}") for c, v in zip(sums, values, strict=True)], F.count_if("_d").alias("d"), dead(F.col("_w")).alias("w"), dead(F.col("_w") * eta).alias("eta"), *[dead(F.col("_w") * F.col(f"_z{i}")).alias(f"x_{i}") for i in range(many)])
+        g = with_before(with_range(g), [], **{f"_b{c}": ("sum", F.col(c)) for c in sums})
         g = g.select("d", "w", "eta", *[f"d_{c}" for c in sums], *[f"x_{i}" for i in range(many)], *[(F.sum(c).over(here) + F.coalesce(F.col(f"_b{c}"), F.lit(0.0))).alias(c) for c in sums]).where("d > 0")
         rows = g.mapInArrow(contributions, "v array<double>").select(F.posexplode("v")).groupBy("pos").agg(F.sum("col").alias("v")).collect()  # one row for each number of the fit
         v = np.zeros(1 + many + len(pairs))

@@ -62,3 +62,13 @@ def test_levels_and_fits_without_numbers(spark):
     assert cox_regression(df.limit(0), "time", "event", ["a"]).first().coef is None
     apart = spark.createDataFrame([(1.0, 1.0, 1), (1.0, 2.0, 1), (0.0, 9.0, 0), (0.0, 9.0, 0)], "a double, time double, event int")
     assert cox_regression(apart, "time", "event", ["a"]).first().coef is None
+
+
+def test_rows_are_read_once(spark):
+    rng = np.random.default_rng(5)
+    rows = [(float(a), int(t), int(e)) for a, t, e in zip(rng.normal(size=80), rng.integers(0, 12, 80), rng.integers(0, 2, 80), strict=True)]
+    read = spark.sparkContext.accumulator(0)
+    df = spark.createDataFrame(spark.sparkContext.parallelize(rows, 2).map(lambda r: (read.add(1), r)[1]), "a double, time long, event long")
+    r = cox_regression(df, "time", "event", ["a"]).first()
+    assert r.n == sum(t > 0 for _, t, _ in rows) and r.coef is not None
+    assert read.value == len(rows)
