@@ -13,6 +13,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_type
 
+from tessella.session import ship
+
 
 def coordinates(rows: DataFrame, key: str, vector: str, label: str) -> DataFrame:
     return rows.where(F.col(vector).isNotNull() & F.col(label).isNotNull()).select(F.col(key).alias("key"), F.col(label).alias("label"), F.posexplode(vector).alias("i", "x")).withColumn("x", F.col("x").cast("double"))
@@ -78,6 +80,7 @@ def _compared(a: tuple, b: tuple, size: int = 512) -> Iterator[tuple[np.ndarray,
 
 def _block_pairs(rows: DataFrame, key: str, vector: str, label: str, size: int):
     """Vectors dealt to blocks of about `size` by hash; each pair of blocks meets in one group (one or two packed rows)."""
+    ship(rows.sparkSession)
     t = rows.where(F.col(key).isNotNull() & F.col(vector).isNotNull() & F.col(label).isNotNull()).select(F.col(key).alias("key"), F.col(label).alias("label"), F.col(vector).alias("v"))
     m = max(1, math.ceil(t.count() / size))
     packed = t.groupBy(F.pmod(F.xxhash64("key", "label", "v"), F.lit(m)).alias("id")).agg(F.collect_list(F.struct("key", "label", "v")).alias("rows"))
@@ -89,6 +92,38 @@ def _blocks(table: pa.Table) -> list[tuple]:
     return [_block(c.slice(i, 1)) for c in table["rows"].chunks for i in range(len(c))]
 
 
+def _label_sums(a: tuple, b: tuple | None = None) -> Iterator[tuple]:
+    """Sums of the distances from a's vectors to b's by b's label, and from b's to a's by a's, each distance worked out once;
+    without b within a. block, its rows, labels of the other, places (row, label) that meet, sums, numbers of distances."""
+    hot = []
+    for x in (a, a if b is None else b):
+        code = {k: i for i, k in enumerate(dict.fromkeys(x[1]))}
+        hot.append((list(code), np.zeros((len(x[1]), len(code)))))
+        hot[-1][1][np.arange(len(x[1])), [code[k] for k in x[1]]] = 1
+    (names_a, hot_a), (names_b, hot_b) = hot
+    back = [np.zeros((len(hot_b), len(names_a))) for _ in range(3)]  # sums, distances, pairs
+
+    def by_label(d: np.ndarray, good: np.ndarray, apart: np.ndarray, to: np.ndarray, whole: bool) -> tuple:
+        if whole:
+            n = np.broadcast_to(to.sum(0), (len(d), to.shape[1]))
+            return d @ to, n, n
+        return d @ to, good @ to, apart @ to
+
+    for at, d, apart in _compared(a, a if b is None else b):
+        good = apart & ~np.isnan(d)
+        whole = bool(good.all())
+        d = d if whole else np.where(good, d, 0)
+        s, n, met = by_label(d, good, apart, hot_b, whole)
+        i, j = np.nonzero(met)
+        yield a, at, names_b, i, j, s[i, j], np.rint(n[i, j])
+        if b is not None:
+            for total, more in zip(back, by_label(d.T, good.T, apart.T, hot_a[at], whole), strict=True):
+                total += more
+    if b is not None:
+        i, j = np.nonzero(back[2])
+        yield b, np.arange(len(hot_b)), names_a, i, j, back[0][i, j], np.rint(back[1][i, j])
+
+
 def silhouette(rows: DataFrame, key: str, vector: str, label: str, block: int = 4096) -> DataFrame:
     """For each vector: mean distance to its own cluster (a), to the nearest other (b), and the silhouette; 0 in a cluster of
     one. All pairs are looked at, blocks of vectors with blocks; tasks return sums by vector and label."""
@@ -101,16 +136,10 @@ def silhouette(rows: DataFrame, key: str, vector: str, label: str, block: int =
         own, there = table["lo"][0].as_py(), table["hi"][0].as_py()
         if own != there and len(blocks) < 2:  # the other block is empty
             return pa.Table.from_arrays([pa.array([], x) for x in (ids, kinds, kinds, pa.float64(), pa.int64())], out.names)
-        for a, b in [(blocks[0], blocks[0])] if own == there else [(blocks[0], blocks[1]), (blocks[1], blocks[0])]:
-            names = list(dict.fromkeys(b[1]))
-            code = {x: i for i, x in enumerate(names)}
-            hot = np.zeros((len(b[1]), len(names)))
-            hot[np.arange(len(b[1])), [code[x] for x in b[1]]] = 1
-            for at, d, apart in _compared(a, b):
-                good = apart & ~np.isnan(d)
-                i, j = np.nonzero(apart @ hot > 0)
-                s, n = (np.where(good, d, 0) @ hot)[i, j], np.rint(good @ hot)[i, j].astype(np.int64)
-                parts.append(pa.Table.from_arrays([pa.array([a[0][k] for k in at[i]], ids), pa.array([a[1][k] for k in at[i]], kinds), pa.array([names[k] for k in j], kinds), pa.array(s), pa.array(n)], out.names))
+        taken = {id(x): (pa.array(x[0], ids), pa.array(x[1], kinds)) for x in blocks}
+        for x, at, names, i, j, total, n in _label_sums(blocks[0], None if own == there else blocks[1]):
+            keys, labels = (c.take(pa.array(at[i])) for c in taken[id(x)])
+            parts.append(pa.Table.from_arrays([keys, labels, pa.array(names, kinds).take(pa.array(j)), pa.array(total), pa.array(n.astype(np.int64))], out.names))
         return pa.concat_tables(parts)
 
     m = pairs.applyInArrow(sums, out).groupBy("key", "label", "other").agg(F.try_divide(F.sum("s"), F.sum("n")).alias("d"))

@@ -75,6 +75,30 @@ def test_contingency_and_trend(spark):
     assert repeated.mann_kendall(up, "key", "t", "v").first().tau == 1 and repeated.sen_slope(up, "key", "t", "v").first().slope == 1
 
 
+def test_silhouette_works_a_distance_out_once(monkeypatch):
+    import numpy as np
+    import pyarrow as pa
+
+    from tessella.operators import clusters
+
+    seen, plain = [], clusters._distances
+    monkeypatch.setattr(clusters, "_distances", lambda a, b: (seen.append(len(a) * len(b)), plain(a, b))[1])
+    one = [(1, "x", [0.0, 0.0]), (2, "y", [3.0, 4.0]), (3, "x", [1.0, 1.0])]
+    other = [(4, "y", [6.0, 8.0]), (1, "z", [9.0, 9.0]), (5, "z", [5.0, float("nan")])]
+    a, b = ([[r[0] for r in t], [r[1] for r in t], np.array([2] * len(t)), pa.array([r[2] for r in t])] for t in (one, other))
+    got = {(x is a, x[0][at[p]], x[1][at[p]], names[q]): (s, n) for x, at, names, i, j, sums, ns in clusters._label_sums(a, b) for p, q, s, n in zip(i, j, sums, ns, strict=True)}
+    want = {}
+    for first, mine, theirs in ((True, one, other), (False, other, one)):
+        for k, label, v in mine:
+            for o, l, w in theirs:
+                if k != o:
+                    s, n = want.get((first, k, label, l), (0, 0))
+                    d = math.dist(v, w)
+                    want[first, k, label, l] = (s, n) if math.isnan(d) else (s + d, n + 1)
+    assert got.keys() == want.keys() and all(got[k] == pytest.approx(want[k]) for k in want)
+    assert sum(seen) == len(one) * len(other)
+
+
 def test_silhouette_and_dunn_by_blocks(spark):
     import math
     import random
