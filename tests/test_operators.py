@@ -234,6 +234,31 @@ def test_coverage_against_brute_force_without_pairs(spark):
         assert (r.a_id, r.hits, r.covered) == (i, len(real), len(places))
 
 
+def test_overlap_against_brute_force_with_copies(spark):
+    rng = random.Random(9)
+    make = lambda n, at: [(at + i if i % 9 else None, rng.choice("xy") if i % 20 else None, s, s + rng.choice([-1, 0, 1, 3, 9, 70])) for i in range(n) for s in [rng.randint(-30, 40)]]
+    left, right = make(90, 0), make(80, 1000)
+    left += [(i, "x", 5, 12) for i in range(200, 230)] + [(7, "x", 5, 12), (8, "x", None, 3), (8, "x", 3, None)]
+    right += [(i, "x", 9, 30) for i in range(2000, 2025)] + [(2001, "x", 9, 30)]
+    want = sorted((str(i), str(j), c, min(e, v) - max(s, u), (min(e, v) - max(s, u)) / (e - s), (min(e, v) - max(s, u)) / (v - u)) for i, c, s, e in left for j, d, u, v in right if None not in (c, d, s, e) and c == d and min(e, v) - max(s, u) >= 2)
+    df = [spark.createDataFrame(r, "id long, chrom string, start long, end long").repartition(3) for r in (left, right)]
+    own = lambda out: sorted((str(r.a_id), str(r.b_id), *r[2:]) for r in out.collect())
+    assert own(intervals.overlap(*df, min_overlap=2, width=8)) == want
+    bounded = intervals.overlapping(*df, min_overlap=2, width=8, most=4, side=40, fine=500)  # copies in parts, bins in cells
+    assert bounded.select(F.max(F.size("a_ids"))).first()[0] < 30 and bounded.rdd.getNumPartitions() > 4
+    assert own(intervals.by_row(bounded)) == want
+    assert intervals.overlap(df[0].limit(0), df[1]).count() == 0
+
+
+def test_overlap_of_copies_is_written_in_little_space(spark, tmp_path):
+    sizes = []
+    for n in (1, 8):
+        a, b = (spark.range(1200 * n).selectExpr(f"id * {odd} as id", "concat('c', id % 3) as chrom", f"id * {step} % 1200 as start", f"id * {step} % 1200 + 9 + id % 12 as end") for odd, step in ((7919, 7), (6007, 11)))
+        intervals.overlap(a, b).write.parquet(str(tmp_path / str(n)))
+        sizes.append(sum(f.stat().st_size for f in (tmp_path / str(n)).glob("*.parquet")) / spark.read.parquet(str(tmp_path / str(n))).count())
+    assert sizes[1] < sizes[0] / 8 and sizes[1] < 1  # bytes a row
+
+
 def test_nearest_makes_no_pairs(spark, monkeypatch):
     monkeypatch.setattr(intervals, "overlap", lambda *_, **__: pytest.fail("all overlapping pairs are made"))
     rng = random.Random(4)
