@@ -158,3 +158,30 @@ def test_rows_in_the_same_bins_are_one_row(spark):
         cells.setdefault((u, v), []).append(y)
     got = {r.key: r.prediction for r in trees.decision_tree(df, "key", ["u", "v"], "y", False, depth=4).predict(df, "key").collect()}
     assert all(abs(got[i] - sum(cells[u, v]) / len(cells[u, v])) < 1e-7 for i, u, v, _, _ in rows)
+
+
+@pytest.mark.parametrize("name", ["gradient_boosting_classifier"])
+def test_boosting_queries_fit_the_whole_model(spark, monkeypatch, name):
+    import __spark_entry__ as entry
+
+    models = []
+    leaf = (np.full(15, -1), np.zeros(15, int), np.zeros(15), {0: np.array([1.0, 0.0, 1.0])}, np.zeros(4), (3,))
+    monkeypatch.setattr(M, "_grow", lambda blocks, bounds, trees, *_: [leaf for _ in trees])
+    monkeypatch.setattr(M.Model, "predict", lambda self, rows, key: models.append(self) or rows)
+    entry.queries()[name](spark, "/root/testdata/sf0.001")
+    assert [(len(m.feature), m.rate, m.depth) for m in models] == [(100, 0.1, 3)]  # as the reference fits, not three trees of two levels
+    assert "round < 100" in entry.oracle_sql()[name]
+
+
+def test_histograms_of_several_partitions_meet(spark):
+    df, *_ = made(spark)
+    binned, _, bounds = M._prepared(df, "key", FEATURES, "y", None, 255, True)
+    scored = binned.selectExpr("*", "array(0D) AS scores")
+    found = []
+    for n in (1, 5):
+        blocks = M._blocks(scored.repartition(n))
+        assert blocks.getNumPartitions() == n
+        found.append(M._grow(blocks, bounds, range(2), M.Spec(3), 1, lambda y, scores, t: np.column_stack([np.ones(len(y)), y])))
+    for (f, b, c, sums, gains, _), (g, e, d, other, more, _) in zip(*found, strict=True):
+        assert (f == g).all() and (b == e).all() and (c == d).all() and (f >= 0).any()
+        assert set(sums) == set(other) and all(np.allclose(sums[k], other[k]) for k in sums) and np.allclose(gains, more)
