@@ -160,7 +160,7 @@ def test_rows_in_the_same_bins_are_one_row(spark):
     assert all(abs(got[i] - sum(cells[u, v]) / len(cells[u, v])) < 1e-7 for i, u, v, _, _ in rows)
 
 
-@pytest.mark.parametrize("name", ["gradient_boosting_classifier"])
+@pytest.mark.parametrize("name", ["gradient_boosting_classifier", "gradient_boosting_regressor"])
 def test_boosting_queries_fit_the_whole_model(spark, monkeypatch, name):
     import __spark_entry__ as entry
 
