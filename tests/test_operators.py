@@ -1,3 +1,4 @@
+import datetime
 import math
 import random
 
@@ -313,3 +314,26 @@ def test_moments_name_a_cleaned_value_once(spark):
         m = sum(x) / len(x)
         m2, m3, m4 = (sum((v - m) ** k for v in x) / len(x) for k in (2, 3, 4))
         assert r.n == len(x) and math.isclose(r.skewness, m3 / m2**1.5, abs_tol=1e-9) and math.isclose(r.kurtosis, m4 / m2**2, abs_tol=1e-9)
+
+
+def test_shipments_are_summed_by_order_before_they_are_shuffled(spark, tmp_path):
+    from tessella.plans.fixtures import intervals as tables
+
+    order = "o_orderkey long, o_custkey long, o_orderdate timestamp, o_orderpriority string"
+    day = lambda n: datetime.datetime(2000, 1, n)
+    spark.createDataFrame([(1, 1, day(1), "x"), (1, 1, day(2), "x"), (1, 2, day(1), "x"), (2, 21, day(3), "y"), (3, 1, day(1), "x")], order).write.parquet(str(tmp_path / "orders.parquet"))
+    lines = [(1, 4.0, day(9)), (1, 7.5, day(8)), (2, 3.0, day(5)), (4, 9.0, day(1)), (None, 2.0, day(1))]
+    spark.createDataFrame(lines, "l_orderkey long, l_quantity double, l_shipdate timestamp").write.parquet(str(tmp_path / "lineitem.parquet"))
+    threshold = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        b = tables(spark, str(tmp_path))[1]
+        plan = b._jdf.queryExecution().executedPlan().toString().split("\n")
+        got = sorted(tuple(r) for r in b.select("id", "chrom", "start", "end").collect())
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
+    first = (datetime.date(2000, 1, 8) - datetime.date(1970, 1, 1)).days
+    assert got == [(1, "x-1", first, first + 8), (1, "x-2", first, first + 8), (2, "y-1", first - 3, first + 1)]
+    scan = next(i for i, line in enumerate(plan) if "FileScan" in line and "l_shipdate" in line)
+    shuffle = max(i for i, line in enumerate(plan[:scan]) if "Exchange" in line)
+    assert any("partial_min" in line for line in plan[shuffle:scan])  # one row an order and task goes through the shuffle
